@@ -34,3 +34,9 @@ def regex_escape_char(ch: str) -> str:
 def chars(col: Column) -> Column:
     """Code points of a string as an array (empty string -> empty array)."""
     return F.filter(F.split(col, ""), lambda c: c != F.lit(""))
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable
+    (keeps the optimizer from copying a costly expression into each use)."""
+    return F.transform(F.array(value), fn)[0]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import py_isdigit, py_strip, regex_escape_char, text_or_empty
+from ..functions.text import let, py_isdigit, py_strip, regex_escape_char, text_or_empty
 from ..plans import fixed_values as FV
 
 LEXICON_SCHEMA = T.StructType([
@@ -122,21 +122,22 @@ def _quote_regex(form: Column) -> Column:
 
 def _starts(text: Column, form: Column) -> Column:
     """0-based start offsets of the non-overlapping occurrences of ``form``."""
-    lens = F.transform(F.split(text, _quote_regex(form), -1), lambda p: F.length(p))
-    n = F.size(lens) - 1
-    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n),
-                    lambda i: (F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
-                               + (i - 1) * F.length(form)).cast("int")))
+    def from_lens(lens):
+        n = F.size(lens) - 1
+        return F.when(n <= 0, F.array().cast("array<int>")).otherwise(
+            F.transform(F.sequence(F.lit(1), n),
+                        lambda i: (F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
+                                   + (i - 1) * F.length(form)).cast("int")))
+    return let(F.transform(F.split(text, _quote_regex(form), -1), lambda p: F.length(p)), from_lens)
 
 
 def _match_structs(text: Column, form: Column, entries: Column) -> Column:
-    starts = _starts(text, form)
     flen = F.length(form)
-    return F.flatten(F.transform(entries, lambda e: F.transform(starts, lambda s: F.struct(
-        s.alias("start"), e["seed_ord"].alias("seed_ord"), e["form_ord"].alias("form_ord"),
-        (s + flen).cast("int").alias("end"), e["seed"].alias("seed"), form.alias("form"),
-        e["type"].alias("type")))))
+    return let(_starts(text, form), lambda starts: F.flatten(F.transform(entries, lambda e: F.transform(
+        starts, lambda s: F.struct(
+            s.alias("start"), e["seed_ord"].alias("seed_ord"), e["form_ord"].alias("form_ord"),
+            (s + flen).cast("int").alias("end"), e["seed"].alias("seed"), form.alias("form"),
+            e["type"].alias("type"))))))
 
 
 def _lit_str_array(values) -> Column:
