@@ -66,7 +66,7 @@ def labels_over(probs, names: list[str], threshold: float) -> Column:
     """Names of the labels whose probability is >= threshold."""
     arr = F.array(*[F.lit(n) for n in names])
     p = _c(probs)
-    return F.filter(arr, lambda _, i: p[i] >= F.lit(threshold))
+    return F.filter(arr, lambda _, i: F.coalesce(F.get(p, i) >= F.lit(threshold), F.lit(False)))
 
 
 def decode(idx, names: list[str]) -> Column:
