@@ -153,17 +153,28 @@ def match_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "text",
     Every non-overlapping occurrence of every canonical form is reported;
     overlaps between different forms are kept.
     """
+    return prepare_matcher(lexicon, max_inline_forms, max_inline_chars)(df, text_col, id_col, out_col)
+
+
+def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS,
+                    max_inline_chars: int = MAX_INLINE_CHARS):
+    """Compile the lexicon once; returns ``f(df, text_col, id_col, out_col)``.
+
+    Reused across micro-batches of a stream so the lexicon is read once."""
     forms = lexicon_forms(lexicon)
     n_forms, n_chars = forms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("form")), F.lit(0))).first()
     if n_forms <= max_inline_forms and n_chars <= max_inline_chars:
-        return _match_inline(df, forms, text_col, out_col)
-    return _match_distributed(df, forms, text_col, id_col, out_col)
+        compiled = _compile_inline(forms)
+        return lambda df, text_col="text", id_col="doc_id", out_col="matches": _apply_inline(
+            df, compiled, text_col, out_col)
+    return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
+        df, forms, text_col, id_col, out_col)
 
 
-def _match_inline(df: DataFrame, forms: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    rows = forms.collect()  # bounded by the size check in match_lexicon
+def _compile_inline(forms: DataFrame):
+    rows = forms.collect()  # bounded by the size check in prepare_matcher
     if not rows:
-        return df.withColumn(out_col, F.array().cast(T.ArrayType(MATCH_TYPE)))
+        return None
     by_form: dict[str, list] = {}
     for r in rows:
         by_form.setdefault(r["form"], []).append(r)
@@ -181,6 +192,13 @@ def _match_inline(df: DataFrame, forms: DataFrame, text_col: str, out_col: str)
                                      F.lit(int(r["form_ord"])).cast("int").alias("form_ord"),
                                      F.lit(r["type"]).cast("string").alias("type"))
                             for r in by_form[f]]).cast(entry_type) for f in names]))
+    return pattern, closure_map, entries_map
+
+
+def _apply_inline(df: DataFrame, compiled, text_col: str, out_col: str) -> DataFrame:
+    if compiled is None:
+        return df.withColumn(out_col, F.array().cast(T.ArrayType(MATCH_TYPE)))
+    pattern, closure_map, entries_map = compiled
     text = text_or_empty(F.col(text_col))
     tmp = f"__{out_col}_forms"
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))

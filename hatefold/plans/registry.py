@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["q_lexicon", "q_metrics", "q_corpus", "q_augment", "q_io", "q_models"]
+_MODULES = ["q_lexicon", "q_metrics", "q_corpus", "q_augment", "q_io", "q_models", "q_stream"]
 
 
 def _mods():
