@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chars, let, text_or_empty
+from ..functions.text import text_or_empty
 
 DEFAULT_DIM = 1 << 13
 
@@ -13,37 +13,20 @@ DEFAULT_DIM = 1 << 13
 def char_ngrams(col: Column, sizes=(2, 3)) -> Column:
     """All character n-grams of the whole text for each n in ``sizes``.
 
-    The text is split into code points once (bound as a lambda variable) and
-    n-grams are built by array indexing, which is O(1) per gram; substring at
-    an offset would rescan the UTF-8 string and make long texts quadratic."""
-    def from_chars(cs):
-        parts = []
-        for n in sizes:
-            grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))),
-                                lambda i: F.concat(*[cs[i + k] for k in range(n)]))
-            parts.append(F.when(F.size(cs) >= n, grams).otherwise(F.array().cast("array<string>")))
-        return F.concat(*parts)
-    return let(chars(text_or_empty(col)), from_chars)
-
-
-def hashed_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM,
-                    out_col: str = "feat_idx", count_col: str = "feat_cnt") -> DataFrame:
-    """Sparse hashed char 2-3-gram counts: distinct indices (ascending) and
-    their counts, computed on the JVM; the stand-in for an encoder's sentence
-    vector. Run-lengths of the sorted indices give the counts in O(n)."""
-    idx = F.array_sort(F.transform(char_ngrams(F.col(text_col)),
-                                   lambda g: F.pmod(F.xxhash64(g), F.lit(dim)).cast("int")))
-
-    def runs(s):
-        n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (n > 0) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1))))))
-        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
-        return F.struct(F.transform(starts, lambda i: F.element_at(s, i)).alias("u"),
-                        F.zip_with(starts, ends, lambda a, b: b - a).alias("c"))
-    r = let(idx, runs)
-    return (df.withColumn("_runs", r)
-            .withColumn(out_col, F.col("_runs.u")).withColumn(count_col, F.col("_runs.c")).drop("_runs"))
+    One regex pass per size: a lookahead capture of n code points at every
+    offset (``(?s)`` so newlines count as characters). This stays inside one
+    JVM expression; building grams by substring at an offset would rescan the
+    UTF-8 string and make long texts quadratic."""
+    t = text_or_empty(col)
+    return F.concat(*[F.regexp_extract_all(t, F.lit("(?s)(?=(" + "." * n + "))"), 1) for n in sizes])
+
+
+def hashed_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM, idf: bool = False,
+                    out_col: str = "features") -> DataFrame:
+    """M1: char 2-3-grams -> HashingTF term counts (sparse vector, JVM side),
+    optionally IDF-weighted; the stand-in for an encoder's sentence vector."""
+    out, _ = mllib_features(df, text_col, dim, idf, out_col)
+    return out
 
 
 def mllib_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM, idf: bool = False,
@@ -85,7 +68,7 @@ def encode_text(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_co
     # The vocabulary is bounded by its size parameter, so it is broadcast.
     ids = (toks.join(F.broadcast(vocab.withColumnRenamed(vocab.columns[0], "term")), "term", "left")
            .withColumn("token_id", F.coalesce("token_id", F.lit(unk_id))))
-    grouped = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
+    grouped = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
     enc = df.select(id_col).join(grouped, id_col, "left").withColumn(
         "_ids", F.coalesce(F.transform("_t", lambda s: s["token_id"]), F.array().cast("array<int>")))
     n = F.size("_ids")

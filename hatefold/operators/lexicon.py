@@ -206,7 +206,7 @@ def _apply_inline(df: DataFrame, compiled, text_col: str, out_col: str) -> DataF
     out = df.withColumn(tmp, occurring)
     matches = F.flatten(F.transform(F.col(tmp), lambda f: _match_structs(
         text, f, F.element_at(entries_map, f))))
-    return out.withColumn(out_col, F.array_sort(matches)).drop(tmp)
+    return out.withColumn(out_col, F.sort_array(matches)).drop(tmp)
 
 
 def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: str,
@@ -229,7 +229,7 @@ def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: s
                 .select("_id", F.explode(_match_structs(
                     F.col("_t"), F.col("form"),
                     F.array(F.struct("seed", "seed_ord", "form_ord", "type")))).alias("m")))
-    grouped = per_form.groupBy("_id").agg(F.array_sort(F.collect_list("m")).alias(out_col))
+    grouped = per_form.groupBy("_id").agg(F.sort_array(F.collect_list("m")).alias(out_col))
     return (df.join(grouped, df[id_col] == grouped["_id"], "left").drop("_id")
             .withColumn(out_col, F.coalesce(F.col(out_col),
                                             F.array().cast(T.ArrayType(MATCH_TYPE)))))

@@ -41,16 +41,28 @@ class TwoHeadModel:
         return spark.createDataFrame(rows, "output int, w array<double>")
 
 
-def _rows_matrix(feat_idx: pd.Series, feat_cnt: pd.Series):
-    """CSR-like arrays: feature index, row number and weight = count / sqrt(total)."""
-    lens = feat_idx.map(len).to_numpy()
-    if lens.sum():
-        idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in feat_idx.to_numpy()])
-        cnt = np.concatenate([np.asarray(a, dtype=np.float64) for a in feat_cnt.to_numpy()])
-    else:
-        idx, cnt = np.zeros(0, dtype=np.int64), np.zeros(0)
-    row = np.repeat(np.arange(len(feat_idx)), lens)
-    totals = np.bincount(row, weights=cnt, minlength=len(feat_idx))
+def _rows_matrix(features: pd.Series):
+    """CSR-like arrays from sparse vectors (Arrow hands them over as
+    {indices, values}): feature index, row number, value / sqrt(row total)."""
+    n = len(features)
+    ind, vals = [], []
+    for v in features:
+        if v is None:
+            ind.append(np.zeros(0, dtype=np.int64))
+            vals.append(np.zeros(0))
+        elif v.get("indices") is not None:
+            ind.append(np.asarray(v["indices"], dtype=np.int64))
+            vals.append(np.asarray(v["values"], dtype=np.float64))
+        else:  # dense vector
+            d = np.asarray(v["values"], dtype=np.float64)
+            nz = np.nonzero(d)[0]
+            ind.append(nz.astype(np.int64))
+            vals.append(d[nz])
+    lens = np.array([len(a) for a in ind], dtype=np.int64)
+    idx = np.concatenate(ind) if lens.sum() else np.zeros(0, dtype=np.int64)
+    cnt = np.concatenate(vals) if lens.sum() else np.zeros(0)
+    row = np.repeat(np.arange(n), lens)
+    totals = np.bincount(row, weights=cnt, minlength=n)
     val = cnt / np.sqrt(np.maximum(totals, 1.0))[row]
     return idx, row, val
 
@@ -107,12 +119,12 @@ def head_gradients(zc, zf, y, Y, cw, pw, n_total, w_total, lambda_fine, lambda_h
 
 def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0,
                  lambda_hier: float = 0.0, weighted: bool = True, iterations: int = 30,
-                 lr: float = 0.05, feat_col: str = "feat_idx", cnt_col: str = "feat_cnt",
+                 lr: float = 0.05, feat_col: str = "features",
                  y_col: str = "y_coarse", yf_col: str = "y_fine") -> TwoHeadModel:
     """M2 (``lambda_hier=0``, class / positive weights from A2 / A3) and M3
     (``lambda_hier>0``, unweighted, as the hierarchical objective)."""
     spark = train.sparkSession
-    data = train.select(feat_col, cnt_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
+    data = train.select(feat_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     if weighted and not lambda_hier:
         cw = np.array(_collect_weights(class_weights(data, "y", list(range(N_COARSE))), "class_ord", N_COARSE))
@@ -137,7 +149,7 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
                 n = len(pdf)
                 if n == 0:
                     continue
-                idx, row, val = _rows_matrix(pdf[feat_col], pdf[cnt_col])
+                idx, row, val = _rows_matrix(pdf[feat_col])
                 Z = _forward(Wl, dim, idx, row, val, n)
                 y = pdf["y"].to_numpy().astype(int)
                 Y = np.stack(pdf["yf"].to_numpy()).astype(float)
@@ -165,14 +177,14 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
     return TwoHeadModel(W, dim, bool(lambda_hier), history)
 
 
-def score_two_head(df: DataFrame, model: TwoHeadModel, feat_col: str = "feat_idx",
-                   keep: tuple = ("doc_id",), cnt_col: str = "feat_cnt") -> DataFrame:
+def score_two_head(df: DataFrame, model: TwoHeadModel, feat_col: str = "features",
+                   keep: tuple = ("doc_id",)) -> DataFrame:
     """M7: logits of both heads, vectorised per Arrow batch with broadcast weights."""
     spark = df.sparkSession
     bw = spark.sparkContext.broadcast(model.weights)
     dim = model.dim
     keep = list(keep)
-    src = df.select(*keep, feat_col, cnt_col)
+    src = df.select(*keep, feat_col)
     fields = [f for f in src.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += ", logits_coarse array<double>, logits_fine array<double>"
@@ -183,7 +195,7 @@ def score_two_head(df: DataFrame, model: TwoHeadModel, feat_col: str = "feat_idx
             n = len(pdf)
             if n == 0:
                 continue
-            idx, row, val = _rows_matrix(pdf[feat_col], pdf[cnt_col])
+            idx, row, val = _rows_matrix(pdf[feat_col])
             Z = _forward(W, dim, idx, row, val, n)
             out = pdf[keep].copy()
             out["logits_coarse"] = list(Z[:, :N_COARSE])

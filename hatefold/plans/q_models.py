@@ -35,9 +35,9 @@ def register(name, sql=None):
 
 
 def _two_head_input(df):
-    """posts -> (doc_id, feat_idx, y_coarse, y_fine)."""
+    """posts -> (doc_id, features, y_coarse, y_fine)."""
     f = FE.hashed_features(df, dim=DIM)
-    return f.select("doc_id", "feat_idx", "feat_cnt", L.coarse_encode(F.col("hate_label")).alias("y_coarse"),
+    return f.select("doc_id", "features", L.coarse_encode(F.col("hate_label")).alias("y_coarse"),
                     L.pack_fine().alias("y_fine"), *[c for c in ("split", "origin") if c in df.columns])
 
 
@@ -47,9 +47,8 @@ def _two_head_input(df):
 SELECT doc_id, CAST(greatest(length(text) - 1, 0) + greatest(length(text) - 2, 0) AS INTEGER) AS n_grams FROM posts
 """)
 def text_features(spark, sf_dir):
-    f = FE.hashed_features(B.posts(spark, sf_dir), dim=DIM)
-    n = F.aggregate("feat_cnt", F.lit(0), lambda a, x: a + x)
-    return f.select("doc_id", n.alias("n_grams"))
+    posts = B.posts(spark, sf_dir)
+    return posts.select("doc_id", F.size(FE.char_ngrams(F.col("text"))).alias("n_grams"))
 
 
 # ---------------------------------------------------------------- F11
