@@ -43,12 +43,12 @@ def _part_of(rank: Column, cuts: list[Column]) -> Column:
 
 def stratified_split(df: DataFrame, class_col: str, id_col: str,
                      ratios=FV.THREE_WAY_RATIOS, names=FV.SPLIT_NAMES_3, seed: int = 42,
-                     out_col: str = "split") -> DataFrame:
+                     out_col: str = "split", bucket_hex: int = BUCKET_HEX) -> DataFrame:
     ratios, names = list(ratios), list(names)
     if len(ratios) != len(names):
         raise ValueError("ratios and names differ in length")
     keyed = (df.withColumn("_h", hash_order_key(F.lit(seed), F.col(id_col)))
-             .withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+             .withColumn("_b", F.substring("_h", 1, bucket_hex))
              .withColumn("_cls", F.col(class_col)))
     counts = keyed.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy("_cls").orderBy("_b")
