@@ -127,3 +127,9 @@ def value_distribution(df: DataFrame, col: str) -> DataFrame:
     """A1: value counts, most frequent first."""
     return (df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), F.asc(col)))
+
+
+def preview(df: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """The first ``n`` rows by ``key`` (a distributed top-k; the limit is
+    the feature)."""
+    return df.orderBy(key).limit(n)

@@ -124,3 +124,18 @@ THREE_WAY_RATIOS = (80, 10, 10)
 TWO_WAY_RATIOS = (90, 10)
 SPLIT_NAMES_3 = ["train", "valid", "test"]
 SPLIT_NAMES_2 = ["train", "valid"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — Hangul syllable decomposition (Unicode standard tables)
+# ---------------------------------------------------------------------------
+
+HANGUL_BASE = 0xAC00
+HANGUL_LAST = 0xD7A3
+HANGUL_VOWELS_X_FINALS = 21 * 28
+HANGUL_FINALS = 28
+JAMO_INITIALS = ["ㄱ", "ㄲ", "ㄴ", "ㄷ", "ㄸ", "ㄹ", "ㅁ", "ㅂ", "ㅃ", "ㅅ",
+                 "ㅆ", "ㅇ", "ㅈ", "ㅉ", "ㅊ", "ㅋ", "ㅌ", "ㅍ", "ㅎ"]
+JAMO_VOWELS = ["ㅏ", "ㅐ", "ㅑ", "ㅒ", "ㅓ", "ㅔ", "ㅕ", "ㅖ", "ㅗ", "ㅘ", "ㅙ",
+               "ㅚ", "ㅛ", "ㅜ", "ㅝ", "ㅞ", "ㅟ", "ㅠ", "ㅡ", "ㅢ", "ㅣ"]
+JAMO_FINALS = ["", "ㄱ", "ㄲ", "ㄳ", "ㄴ", "ㄵ", "ㄶ", "ㄷ", "ㄹ", "ㄺ", "ㄻ", "ㄼ", "ㄽ", "ㄾ",
+               "ㄿ", "ㅀ", "ㅁ", "ㅂ", "ㅄ", "ㅅ", "ㅆ", "ㅇ", "ㅈ", "ㅊ", "ㅋ", "ㅌ", "ㅍ", "ㅎ"]

@@ -162,3 +162,28 @@ def training_set_counts(spark, sf_dir):
     """Split, then augment only the train rows of the hate class (2 variants)."""
     ts = AU.build_training_set(B.posts(spark, sf_dir), B.lexicon(spark), seed=SEED)
     return ts.groupBy("split", "origin", "hate_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- F5
+
+def _jamo_sql(col: str) -> str:
+    ini = _lst(FV.JAMO_INITIALS)
+    vow = _lst(FV.JAMO_VOWELS)
+    fin = _lst(FV.JAMO_FINALS)
+    k = "(unicode(c) - 44032)"
+    return (f"array_to_string(list_transform(string_split(coalesce({col}, ''), ''), lambda c: "
+            f"CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN "
+            f"{ini}[{k} // 588 + 1] || {vow}[({k} % 588) // 28 + 1] || {fin}[{k} % 28 + 1] "
+            f"ELSE c END), '')")
+
+
+@register("jamo_decomposition", with_views("posts") + f"""
+SELECT doc_id, md5({_jamo_sql('text')}) AS decomposed_md5, CAST(length({_jamo_sql('text')}) AS INTEGER) AS n_chars
+FROM posts
+""")
+def jamo_decomposition(spark, sf_dir):
+    """F5 over every post text (md5 of the result keeps the output small)."""
+    from ..functions.obfuscate import jamo_decompose
+    p = B.posts(spark, sf_dir)
+    return p.select("doc_id", jamo_decompose(F.col("text")).alias("_d")).select(
+        "doc_id", F.md5("_d").alias("decomposed_md5"), F.length("_d").alias("n_chars"))

@@ -250,3 +250,12 @@ FROM batch_losses GROUP BY 1, 2
 def epoch_train_loss(spark, sf_dir):
     t = H.epoch_train_loss(B.batch_losses(spark, sf_dir))
     return t.select("run_id", "epoch", F.round("train_loss", 6).alias("train_loss"), "n_rows")
+
+
+# ---------------------------------------------------------------- W5
+
+@register("corpus_preview", with_views("macro_posts") + """
+SELECT doc_id, macrolabel, microlabel FROM macro_posts ORDER BY doc_id LIMIT 3
+""")
+def corpus_preview(spark, sf_dir):
+    return L.preview(B.macro_posts(spark, sf_dir), "doc_id", 3).select("doc_id", "macrolabel", "microlabel")

@@ -314,3 +314,21 @@ def model_comparison(spark, sf_dir):
     cmp_ = S.compare_predictions(a, b, on="id")
     return cmp_.select("id", "pred_a", "pred_b", "agree", F.array_join("only_a", "|").alias("only_a"),
                        F.array_join("only_b", "|").alias("only_b"))
+
+
+# ---------------------------------------------------------------- A8 (pivoted)
+
+_PIVOT_SQL = with_views("scored") + f""",
+r AS (SELECT CAST(y_coarse AS INTEGER) AS y, list_position({_softmax_sql('logits_coarse')},
+        list_max({_softmax_sql('logits_coarse')})) - 1 AS pred FROM scored)
+SELECT y, count(*) FILTER (WHERE pred = 0) AS "0", count(*) FILTER (WHERE pred = 1) AS "1",
+  count(*) FILTER (WHERE pred = 2) AS "2"
+FROM r GROUP BY y
+"""
+
+
+@register("confusion_pivot", _PIVOT_SQL)
+def confusion_pivot(spark, sf_dir):
+    from ..functions.scores import argmax, softmax
+    sc = B.scored(spark, sf_dir)
+    return M.confusion_matrix(sc, "y_coarse", argmax(softmax("logits_coarse")), [0, 1, 2])
