@@ -40,3 +40,19 @@ def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable
     (keeps the optimizer from copying a costly expression into each use)."""
     return F.transform(F.array(value), fn)[0]
+
+
+def explode_kept(col: Column) -> Column:
+    """``explode`` written as ``explode_outer``; callers drop the null row of
+    empty arrays with a filter on the output.
+
+    A plain explode makes the optimizer infer ``size(array) > 0`` and push it
+    below joins and projections, which evaluates a costly array expression
+    (lexicon matching, rewriting) on rows the join would have removed, and
+    twice on the rest."""
+    return F.explode_outer(col)
+
+
+def posexplode_kept(col: Column) -> Column:
+    """``posexplode`` counterpart of :func:`explode_kept`."""
+    return F.posexplode_outer(col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_empty
+from ..functions.text import posexplode_kept, text_or_empty
 
 DEFAULT_DIM = 1 << 13
 
@@ -62,9 +62,9 @@ def encode_text(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_co
     """tokens -> ids (vocabulary equi-join), truncate/pad to ``max_len``,
     attention mask. Tokens keep their position through the join, and the ids
     are re-assembled in order per row."""
-    toks = df.select(id_col, F.posexplode(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))),
-                                                                 F.lit(pattern), 0)).alias("pos", "term"))
-    toks = toks.where(F.col("pos") < max_len)
+    toks = df.select(id_col, posexplode_kept(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))),
+                                                                    F.lit(pattern), 0)).alias("pos", "term"))
+    toks = toks.where(F.col("term").isNotNull() & (F.col("pos") < max_len))
     # The vocabulary is bounded by its size parameter, so it is broadcast.
     ids = (toks.join(F.broadcast(vocab.withColumnRenamed(vocab.columns[0], "term")), "term", "left")
            .withColumn("token_id", F.coalesce("token_id", F.lit(unk_id))))

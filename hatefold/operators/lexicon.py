@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let, py_isdigit, py_strip, regex_escape_char, text_or_empty
+from ..functions.text import explode_kept, let, py_isdigit, py_strip, regex_escape_char, text_or_empty
 from ..plans import fixed_values as FV
 
 LEXICON_SCHEMA = T.StructType([
@@ -218,17 +218,18 @@ def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: s
     text = text_or_empty(F.col(text_col))
     grams = (df.select(F.col(id_col).alias("_id"), text.alias("_t"))
              .where(F.length("_t") >= q)
-             .select("_id", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("_t") - q + 1),
-                 lambda i: F.substring(F.col("_t"), i, q)))).alias("gram"))
+             .select("_id", explode_kept(F.array_distinct(F.regexp_extract_all(
+                 F.col("_t"), F.lit("(?s)(?=(" + "." * q + "))"), 1))).alias("gram"))
+             .where(F.col("gram").isNotNull())
              .distinct())
     cands = grams.join(keyed_forms, "gram").drop("gram")
     texts = df.select(F.col(id_col).alias("_id"), text.alias("_t"))
     per_form = (cands.join(texts, "_id")
                 .where(F.col("_t").contains(F.col("form")))
-                .select("_id", F.explode(_match_structs(
+                .select("_id", explode_kept(_match_structs(
                     F.col("_t"), F.col("form"),
-                    F.array(F.struct("seed", "seed_ord", "form_ord", "type")))).alias("m")))
+                    F.array(F.struct("seed", "seed_ord", "form_ord", "type")))).alias("m"))
+                .where(F.col("m").isNotNull()))
     grouped = per_form.groupBy("_id").agg(F.sort_array(F.collect_list("m")).alias(out_col))
     return (df.join(grouped, df[id_col] == grouped["_id"], "left").drop("_id")
             .withColumn(out_col, F.coalesce(F.col(out_col),
@@ -236,7 +237,8 @@ def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: s
 
 
 def explode_matches(df: DataFrame, matches_col: str = "matches", keep=("doc_id",)) -> DataFrame:
-    return df.select(*keep, F.explode(matches_col).alias("m")).select(*keep, "m.*")
+    return (df.select(*keep, explode_kept(F.col(matches_col)).alias("m"))
+            .where(F.col("m").isNotNull()).select(*keep, "m.*"))
 
 
 def count_form(text: Column, form: str) -> Column:
@@ -254,8 +256,9 @@ WORD_PATTERN = r"\p{L}+"
 def mine_terms(df: DataFrame, text_col: str = "text", pattern: str = WORD_PATTERN) -> DataFrame:
     """(term, freq): lower-cased runs of letters. Partial aggregation happens
     map-side, so a term holding a third of all tokens does not skew the shuffle."""
-    words = df.select(F.explode(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))),
-                                                     F.lit(pattern), 0)).alias("term"))
+    words = df.select(explode_kept(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))),
+                                                        F.lit(pattern), 0)).alias("term"))
+    words = words.where(F.col("term").isNotNull())
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
 
