@@ -62,9 +62,10 @@ def encode_text(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_co
     """tokens -> ids (vocabulary equi-join), truncate/pad to ``max_len``,
     attention mask. Tokens keep their position through the join, and the ids
     are re-assembled in order per row."""
-    toks = df.select(id_col, posexplode_kept(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))),
-                                                                    F.lit(pattern), 0)).alias("pos", "term"))
-    toks = toks.where(F.col("term").isNotNull() & (F.col("pos") < max_len))
+    # The whole text is tokenised; truncation to the model length happens on
+    # the token array, so only max_len tokens per row are exploded.
+    tokens = F.slice(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(pattern), 0), 1, max_len)
+    toks = df.select(id_col, posexplode_kept(tokens).alias("pos", "term")).where(F.col("term").isNotNull())
     # The vocabulary is bounded by its size parameter, so it is broadcast.
     ids = (toks.join(F.broadcast(vocab.withColumnRenamed(vocab.columns[0], "term")), "term", "left")
            .withColumn("token_id", F.coalesce("token_id", F.lit(unk_id))))

@@ -120,11 +120,19 @@ def head_gradients(zc, zf, y, Y, cw, pw, n_total, w_total, lambda_fine, lambda_h
 def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0,
                  lambda_hier: float = 0.0, weighted: bool = True, iterations: int = 30,
                  lr: float = 0.05, feat_col: str = "features",
-                 y_col: str = "y_coarse", yf_col: str = "y_fine") -> TwoHeadModel:
+                 y_col: str = "y_coarse", yf_col: str = "y_fine", checkpoint: bool = True) -> TwoHeadModel:
     """M2 (``lambda_hier=0``, class / positive weights from A2 / A3) and M3
-    (``lambda_hier>0``, unweighted, as the hierarchical objective)."""
+    (``lambda_hier>0``, unweighted, as the hierarchical objective).
+
+    The feature table is written once to the shared checkpoint folder (lineage
+    cut, so a lost executor does not recompute features mid-training) and
+    kept in memory for the iterations."""
+    from ..session import checkpoint_root
     spark = train.sparkSession
     data = train.select(feat_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
+    if checkpoint:
+        checkpoint_root(spark)
+        data = data.checkpoint(eager=True)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     if weighted and not lambda_hier:
         cw = np.array(_collect_weights(class_weights(data, "y", list(range(N_COARSE))), "class_ord", N_COARSE))
