@@ -56,3 +56,30 @@ def explode_kept(col: Column) -> Column:
 def posexplode_kept(col: Column) -> Column:
     """``posexplode`` counterpart of :func:`explode_kept`."""
     return F.posexplode_outer(col)
+
+
+SCAN_LEVELS = 20
+SHORT_ARRAY = 32
+
+
+def prefix_sum(arr: Column, levels: int = SCAN_LEVELS) -> Column:
+    """Inclusive running sum of an int array.
+
+    Short arrays (the common case) take the direct sum. Up to 2^levels
+    elements: a Hillis-Steele scan unrolled over ``levels`` doublings,
+    O(n log n). (The depth is bounded by the analyzer: each level is a nested
+    higher-order function.) Longer arrays take the direct O(n^2) sum, slower
+    but still exact."""
+    def level(d):
+        # One-argument lambda: PySpark reads a second parameter as the index.
+        return lambda a: F.when(F.size(a) <= d, a).otherwise(F.transform(
+            a, lambda x, i: F.when(i >= d, x + F.coalesce(F.get(a, i - d), F.lit(0))).otherwise(x)))
+
+    def scan(a):
+        out = a
+        for k in range(levels):
+            out = let(out, level(1 << k))
+        direct = F.transform(a, lambda x, i: F.aggregate(F.slice(a, 1, i + 1), F.lit(0), lambda s, v: s + v))
+        n = F.size(a)
+        return F.when((n <= SHORT_ARRAY) | (n > (1 << levels)), direct).otherwise(out)
+    return let(arr, scan)

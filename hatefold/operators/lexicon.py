@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import explode_kept, let, py_isdigit, py_strip, regex_escape_char, text_or_empty
+from ..functions.text import (explode_kept, let, prefix_sum, py_isdigit, py_strip, regex_escape_char,
+                              text_or_empty)
 from ..plans import fixed_values as FV
 
 LEXICON_SCHEMA = T.StructType([
@@ -121,14 +122,18 @@ def _quote_regex(form: Column) -> Column:
 
 
 def _starts(text: Column, form: Column) -> Column:
-    """0-based start offsets of the non-overlapping occurrences of ``form``."""
-    def from_lens(lens):
-        n = F.size(lens) - 1
-        return F.when(n <= 0, F.array().cast("array<int>")).otherwise(
-            F.transform(F.sequence(F.lit(1), n),
-                        lambda i: (F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
-                                   + (i - 1) * F.length(form)).cast("int")))
-    return let(F.transform(F.split(text, _quote_regex(form), -1), lambda p: F.length(p)), from_lens)
+    """0-based start offsets of the non-overlapping occurrences of ``form``:
+    one literal split, then start_i = (length of parts before i) + i * |form|
+    from a log-depth prefix sum (a text repeating a form k times costs
+    O(k log k), not O(k^2))."""
+    lens = F.transform(F.split(text, _quote_regex(form), -1), lambda p: F.length(p))
+
+    def from_prefix(pre):
+        k = F.size(pre) - 1
+        return F.when(k <= 0, F.array().cast("array<int>")).otherwise(
+            F.transform(F.slice(pre, 1, F.greatest(k, F.lit(1))),
+                        lambda p, i: (p + i * F.length(form)).cast("int")))
+    return let(prefix_sum(lens), from_prefix)
 
 
 def _match_structs(text: Column, form: Column, entries: Column) -> Column:

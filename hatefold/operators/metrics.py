@@ -208,21 +208,38 @@ def consistency_penalty(zc: Column, zf: Column) -> Column:
 
 def losses(scored: DataFrame, lambda_fine: float = 1.0, lambda_hier: float = 1.0,
            n_classes: int = 3, n_labels: int = 8) -> DataFrame:
-    """A17-A20 over a scored table; weights (A2/A3) are computed on the same table."""
-    cw = _collect_weights(class_weights(scored, "y_coarse", list(range(n_classes))), "class_ord", n_classes)
-    yf = scored.select([F.col("y_fine")[j].alias(f"f{j}") for j in range(n_labels)])
-    pw = _collect_weights(pos_weights(yf, [f"f{j}" for j in range(n_labels)]), "label_ord", n_labels)
-    weighted = row_losses(scored, cw, pw)
-    plain_bce = row_losses(scored, None, None).select("bce_sum")
-    s = weighted.agg(F.sum("w_nll").alias("wn"), F.sum("w").alias("w"), F.avg("nll").alias("ce"),
-                     F.sum("bce_sum").alias("bce_w"), F.count(F.lit(1)).alias("n"),
-                     F.avg("penalty").alias("penalty"))
-    sp = plain_bce.agg(F.sum("bce_sum").alias("bce_p"))
-    s = s.withColumn("_k", F.lit(1)).join(sp.withColumn("_k", F.lit(1)), "_k")
-    ce_w = F.col("wn") / F.col("w")
-    bce_w = F.col("bce_w") / (F.col("n") * n_labels)
-    bce_p = F.col("bce_p") / (F.col("n") * n_labels)
-    return s.select(_r(ce_w, "ce_weighted"), _r(F.col("ce"), "ce"), _r(bce_w, "bce_pos_weighted"),
-                    _r(bce_p, "bce"), _r(F.col("penalty"), "penalty"),
+    """A17-A20 in one pass over the scored table.
+
+    The class weights (A2) and positive weights (A3) depend on counts of the
+    same table, but they factor out of the sums: per class c the count n_c and
+    the NLL sum S_c, per label j the positives P_j and the two BCE halves
+    A_j = sum y softplus(-z), B_j = sum (1 - y) softplus(z). The weighted
+    losses are then sum_c w_c S_c / sum_c w_c n_c and
+    sum_j (pw_j A_j + B_j) / (N L), computed from one row of partial sums."""
+    zc, zf, yf = F.col("logits_coarse"), F.col("logits_fine"), F.col("y_fine")
+    y = F.col("y_coarse").cast("int")
+    nll = logsumexp(zc) - F.element_at(zc, y + 1)
+    rows = scored.select(y.alias("y"), nll.alias("nll"), yf.alias("yf"), zf.alias("zf"),
+                         consistency_penalty(zc, zf).alias("pen"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("nll").alias("s_all"), F.sum("pen").alias("pen")]
+    for c in range(n_classes):
+        aggs += [F.sum((F.col("y") == c).cast("long")).alias(f"n{c}"),
+                 F.sum(F.when(F.col("y") == c, F.col("nll")).otherwise(0.0)).alias(f"s{c}")]
+    for j in range(n_labels):
+        yj, zj = F.col("yf")[j].cast("double"), F.col("zf")[j]
+        aggs += [F.sum(yj).alias(f"p{j}"), F.sum(yj * softplus(-zj)).alias(f"a{j}"),
+                 F.sum((1 - yj) * softplus(zj)).alias(f"b{j}")]
+    s = rows.agg(*aggs)
+    n = F.col("n")
+    w = [n / (F.lit(n_classes) * F.when(F.col(f"n{c}") == 0, F.lit(1.0)).otherwise(F.col(f"n{c}")))
+         for c in range(n_classes)]
+    ce_w = sum(w[c] * F.col(f"s{c}") for c in range(n_classes)) / sum(w[c] * F.col(f"n{c}") for c in range(n_classes))
+    pw = [(n - F.col(f"p{j}")) / (F.col(f"p{j}") + F.lit(1e-6)) for j in range(n_labels)]
+    bce_w = sum(pw[j] * F.col(f"a{j}") + F.col(f"b{j}") for j in range(n_labels)) / (n * n_labels)
+    bce_p = sum(F.col(f"a{j}") + F.col(f"b{j}") for j in range(n_labels)) / (n * n_labels)
+    ce = F.col("s_all") / n
+    pen = F.col("pen") / n
+    return s.select(_r(ce_w, "ce_weighted"), _r(ce, "ce"), _r(bce_w, "bce_pos_weighted"),
+                    _r(bce_p, "bce"), _r(pen, "penalty"),
                     _r(ce_w + lambda_fine * bce_w, "loss_flat"),
-                    _r(F.col("ce") + lambda_fine * bce_p + lambda_hier * F.col("penalty"), "loss_hier"))
+                    _r(ce + lambda_fine * bce_p + lambda_hier * pen, "loss_hier"))

@@ -61,7 +61,9 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str,
               .withColumn("_p_last", _part_of(F.col("_before") + F.col("_cnt") - 1, cuts))
               .select(F.col("_cls").alias("_bc_cls"), F.col("_b").alias("_bc_b"),
                       "_before", "_n", "_p_first", "_p_last"))
-    # Bounded by (#classes x 65,536); checked before hinting a broadcast.
+    # Bounded by (#classes x 65,536). Cached so the size check and the join
+    # share one aggregation pass; broadcast only under the checked bound.
+    counts = counts.cache()
     if counts.count() <= MAX_BROADCAST_BUCKET_ROWS:
         counts = F.broadcast(counts)
     j = keyed.join(counts, keyed["_cls"].eqNullSafe(counts["_bc_cls"]) & (keyed["_b"] == counts["_bc_b"]))

@@ -137,3 +137,20 @@ def test_mine_terms(spark):
     df = spark.createDataFrame([(1, "Ab ab, c1c! é"), (2, None)], "doc_id long, text string")
     got = {r["term"]: r["freq"] for r in LX.mine_terms(df).collect()}
     assert got == {"ab": 2, "c": 2, "é": 1}
+
+
+def test_prefix_sum(spark):
+    from hatefold.functions.text import prefix_sum
+    import itertools
+    arrs = [[], [5], [1, 2, 3], list(range(1, 40)), [0] * 7]
+    df = spark.createDataFrame([(a,) for a in arrs], "a array<int>")
+    got = [r[0] for r in df.select(prefix_sum(F.col("a"))).collect()]
+    assert got == [list(itertools.accumulate(a)) for a in arrs]
+
+
+def test_many_repeats_of_one_form(spark):
+    text = "ab" * 20000 + "x"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    lex = _lexicon(spark, [("s", ["ab", "ba"])])
+    m = LX.explode_matches(LX.match_lexicon(df, lex)).select("doc_id", "seed", "form", "form_ord", "start", "end")
+    assert _actual(m) == _expected([(1, text)], [("s", ["ab", "ba"])])

@@ -12,7 +12,7 @@ def test_stream_equals_batch(spark):
     spark.createDataFrame(rows, MESSAGE_SCHEMA).repartition(3).write.parquet(f"{d}/src")
     lex = spark.createDataFrame([("trash", 0, ["trash", "trashs"], [], "profanity", []),
                                  ("clown", 1, ["clown"], [], "slur_a", [])], LX.LEXICON_SCHEMA)
-    run_chat_filter(spark, f"{d}/src", lex, f"{d}/out", f"{d}/ckpt")
+    run_chat_filter(spark, f"{d}/src", lex, f"{d}/out", f"{d}/ckpt", max_files_per_trigger=1)
     cols = ["conv_id", "turn", "role", "n_chars", "n_matches", "flagged", "terms"]
     streamed = sorted(tuple(r) for r in spark.read.parquet(f"{d}/out").select(*cols).collect())
     batch = filter_messages(spark.read.parquet(f"{d}/src"), prepare_matcher(lex))
