@@ -154,3 +154,23 @@ def test_many_repeats_of_one_form(spark):
     lex = _lexicon(spark, [("s", ["ab", "ba"])])
     m = LX.explode_matches(LX.match_lexicon(df, lex)).select("doc_id", "seed", "form", "form_ord", "start", "end")
     assert _actual(m) == _expected([(1, text)], [("s", ["ab", "ba"])])
+
+
+def test_matches_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    alphabet = st.sampled_from(list("ab.*\n"))
+    texts_st = st.lists(st.text(alphabet, max_size=20), min_size=1, max_size=12)
+    forms_st = st.lists(st.text(alphabet, min_size=1, max_size=3), min_size=1, max_size=4, unique=True)
+
+    @settings(max_examples=12, deadline=None)
+    @given(texts_st, forms_st)
+    def check(texts, forms):
+        rows = list(enumerate(texts))
+        forms_by_seed = [("s", forms)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        m = LX.match_lexicon(df, _lexicon(spark, forms_by_seed))
+        got = _actual(LX.explode_matches(m).select("doc_id", "seed", "form", "form_ord", "start", "end"))
+        assert got == _expected(rows, forms_by_seed)
+
+    check()
