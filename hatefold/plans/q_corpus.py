@@ -155,7 +155,7 @@ _WS = r"[\s\p{Z}\x{85}]"
 
 
 @register("nonblank_messages", f"""
-SELECT conv_id, turn, role, length(s) AS n_chars FROM (
+SELECT conv_id, turn, role, CAST(length(s) AS INTEGER) AS n_chars FROM (
   SELECT conv_id, turn, role, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS s FROM conversations)
 WHERE length(s) > 0
 """)
