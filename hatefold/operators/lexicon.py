@@ -216,29 +216,31 @@ def _apply_inline(df: DataFrame, compiled, text_col: str, out_col: str) -> DataF
 
 def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: str,
                        out_col: str) -> DataFrame:
-    """Candidate forms per text by a q-gram equi-join, verified row-locally."""
+    """Candidate forms per text by a q-gram equi-join, verified row-locally.
+
+    Each text contributes its distinct q-grams (no text travels); the grams
+    join the forms keyed by their first q-gram (AQE splits a hot gram); the
+    candidates are collected per text id and joined back to the texts once,
+    so a text is never copied per candidate. Matching then runs in the row
+    exactly as on the inline path."""
     min_len = forms.agg(F.min(F.length("form"))).first()[0]
     q = max(1, min(4, int(min_len)))
-    keyed_forms = forms.withColumn("gram", F.substring("form", 1, q))
+    entry = F.struct("seed", "seed_ord", "form_ord", "type")
+    keyed_forms = forms.select(F.substring("form", 1, q).alias("gram"), "form", entry.alias("e"))
     text = text_or_empty(F.col(text_col))
-    grams = (df.select(F.col(id_col).alias("_id"), text.alias("_t"))
-             .where(F.length("_t") >= q)
-             .select("_id", explode_kept(F.array_distinct(F.regexp_extract_all(
-                 F.col("_t"), F.lit("(?s)(?=(" + "." * q + "))"), 1))).alias("gram"))
-             .where(F.col("gram").isNotNull())
-             .distinct())
-    cands = grams.join(keyed_forms, "gram").drop("gram")
-    texts = df.select(F.col(id_col).alias("_id"), text.alias("_t"))
-    per_form = (cands.join(texts, "_id")
-                .where(F.col("_t").contains(F.col("form")))
-                .select("_id", explode_kept(_match_structs(
-                    F.col("_t"), F.col("form"),
-                    F.array(F.struct("seed", "seed_ord", "form_ord", "type")))).alias("m"))
-                .where(F.col("m").isNotNull()))
-    grouped = per_form.groupBy("_id").agg(F.sort_array(F.collect_list("m")).alias(out_col))
-    return (df.join(grouped, df[id_col] == grouped["_id"], "left").drop("_id")
-            .withColumn(out_col, F.coalesce(F.col(out_col),
-                                            F.array().cast(T.ArrayType(MATCH_TYPE)))))
+    grams = (df.select(F.col(id_col).alias("_id"),
+                       explode_kept(F.array_distinct(F.regexp_extract_all(
+                           text, F.lit("(?s)(?=(" + "." * q + "))"), 1))).alias("gram"))
+             .where(F.col("gram").isNotNull()))
+    cands = (grams.join(keyed_forms, "gram")
+             .groupBy("_id").agg(F.collect_list(F.struct("form", F.array("e").alias("entries"))).alias("_cands")))
+    j = df.join(cands, df[id_col] == cands["_id"], "left").drop("_id")
+    t = text_or_empty(F.col(text_col))
+    hits = F.filter(F.coalesce(F.col("_cands"), F.array().cast(
+        "array<struct<form:string,entries:array<struct<seed:string,seed_ord:bigint,form_ord:int,type:string>>>>")),
+        lambda c: t.contains(c["form"]))
+    matches = F.flatten(F.transform(hits, lambda c: _match_structs(t, c["form"], c["entries"])))
+    return j.withColumn(out_col, F.sort_array(matches)).drop("_cands")
 
 
 def explode_matches(df: DataFrame, matches_col: str = "matches", keep=("doc_id",)) -> DataFrame:

@@ -47,7 +47,7 @@ def test_matches_equal_finditer_with_overlaps(spark):
 
 def test_distributed_path_equals_inline_path(spark):
     texts = _random_texts(120, seed=3)
-    forms_by_seed = [("s0", ["ab", "aba"]), ("s1", ["aa"]), ("s2", ["c.", "*a"])]
+    forms_by_seed = [("s0", ["ab", "aba"]), ("s1", ["aa"]), ("s2", ["c.", "*a"]), ("s3", ["aba"])]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     lex = _lexicon(spark, forms_by_seed)
     a = LX.match_lexicon(df, lex)
@@ -55,6 +55,8 @@ def test_distributed_path_equals_inline_path(spark):
     ea = {(r["doc_id"], tuple(tuple(x) for x in r["matches"])) for r in a.collect()}
     eb = {(r["doc_id"], tuple(tuple(x) for x in r["matches"])) for r in b.collect()}
     assert ea == eb
+    got = _actual(LX.explode_matches(b).select("doc_id", "seed", "form", "form_ord", "start", "end"))
+    assert got == _expected(texts, forms_by_seed)
 
 
 def test_regex_metacharacters_and_null_text(spark):
