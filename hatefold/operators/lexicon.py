@@ -167,17 +167,20 @@ def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS
 
     Reused across micro-batches of a stream so the lexicon is read once."""
     forms = lexicon_forms(lexicon)
-    n_forms, n_chars = forms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("form")), F.lit(0))).first()
-    if n_forms <= max_inline_forms and n_chars <= max_inline_chars:
-        compiled = _compile_inline(forms)
+    # One bounded fetch is both the size check and the compile input: at most
+    # max_inline_forms + 1 rows ever reach the driver.
+    rows = forms.limit(max_inline_forms + 1).collect() if max_inline_forms > 0 else [None]
+    if len(rows) <= max_inline_forms and sum(len(r["form"]) for r in rows) <= max_inline_chars:
+        compiled = _compile_inline(rows)
         return lambda df, text_col="text", id_col="doc_id", out_col="matches": _apply_inline(
             df, compiled, text_col, out_col)
     return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
         df, forms, text_col, id_col, out_col)
 
 
-def _compile_inline(forms: DataFrame):
-    rows = forms.collect()  # bounded by the size check in prepare_matcher
+def _compile_inline(rows):
+    """Trie pattern, prefix-closure map and form -> entries map (driver side,
+    from the size-checked rows)."""
     if not rows:
         return None
     by_form: dict[str, list] = {}

@@ -122,8 +122,9 @@ FROM variants v JOIN targets t ON v.doc_id = t.doc_id
 @register("augmented_variants", _VARIANTS_SQL)
 def augmented_variants(spark, sf_dir):
     """G1 + G2 over the hate and offensive posts (offline setting, 3 variants)."""
-    posts = B.posts(spark, sf_dir)
-    aug, _ = AU.augment_corpus(posts, B.lexicon(spark))
+    from ..operators.labels import class_filter
+    targets = class_filter(B.posts(spark, sf_dir), FV.OFFLINE_TARGET_CLASSES)
+    aug = AU.augment(targets, B.lexicon(spark), max_new=FV.MAX_NEW_OFFLINE, seed=SEED)
     return aug.select("parent_id", "text", "hate_label")
 
 
