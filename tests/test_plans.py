@@ -59,3 +59,16 @@ def test_column_pruning_reaches_the_scan(spark):
     df = E.queries()["fine_metrics"](spark, SF_MID)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<embedding:array<float>>" in plan or "struct<embedding:array<float>" in plan
+
+
+def test_training_source_prunes_partitions(spark):
+    import tempfile
+    from hatefold.operators import labels as L
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    df = spark.createDataFrame([(1, "a", "main"), (2, "b", "aux"), (3, "c", "main")],
+                               "doc_id long, text string, source string")
+    df.write.partitionBy("source").parquet(d + "/corpus")
+    sel = L.training_source(spark.read.parquet(d + "/corpus"), "main_only")
+    plan = _plan(sel)
+    assert "PartitionFilters: [isnotnull(source" in plan and "main" in plan.split("PartitionFilters")[1]
+    assert sorted(r["doc_id"] for r in sel.collect()) == [1, 3]
