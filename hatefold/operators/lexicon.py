@@ -251,6 +251,26 @@ def explode_matches(df: DataFrame, matches_col: str = "matches", keep=("doc_id",
             .where(F.col("m").isNotNull()).select(*keep, "m.*"))
 
 
+def form_counts(matches: Column) -> Column:
+    """Per text: array of (seed, form, n) with n = matches of that form, from
+    one native sort of the match keys and a run-length pass, O(k log k)."""
+    keys = F.sort_array(F.transform(matches, lambda m: F.struct(
+        m["seed_ord"].alias("seed_ord"), m["form_ord"].alias("form_ord"),
+        m["seed"].alias("seed"), m["form"].alias("form"))))
+
+    def runs(k):
+        n = F.size(k)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda i: (n > 0) & ((i == 1) | (F.element_at(k, i) != F.element_at(
+                              k, F.greatest(i - 1, F.lit(1))))))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))),
+                        F.when(F.size(starts) > 0, F.array(n + 1)).otherwise(F.array().cast("array<int>")))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(
+            F.element_at(k, a)["seed"].alias("seed"), F.element_at(k, a)["form"].alias("form"),
+            (b - a).alias("n")))
+    return let(keys, runs)
+
+
 def count_form(text: Column, form: str) -> Column:
     """Non-overlapping occurrences of one literal form."""
     return F.size(F.split(text_or_empty(text), _quote_regex(F.lit(form)), -1)) - 1

@@ -38,12 +38,8 @@ FROM counts WHERE n > 0 GROUP BY 1, 2, 3
 def lexicon_hits_by_class(spark, sf_dir):
     """Per coarse class and lexicon form: documents hit and total matches."""
     matched = LX.match_lexicon(B.posts(spark, sf_dir), B.lexicon(spark))
-    pairs = F.array_distinct(F.transform("matches", lambda m: F.struct(m["seed"].alias("seed"),
-                                                                       m["form"].alias("form"))))
-    per_doc = matched.select("hate_label", explode_kept(F.transform(pairs, lambda p: F.struct(
-        p["seed"].alias("seed"), p["form"].alias("form"),
-        F.size(F.filter("matches", lambda m: (m["seed"] == p["seed"]) & (m["form"] == p["form"])))
-        .alias("n")))).alias("h")).where(F.col("h").isNotNull())
+    per_doc = (matched.select("hate_label", explode_kept(LX.form_counts(F.col("matches"))).alias("h"))
+               .where(F.col("h").isNotNull()))
     return (per_doc.groupBy("hate_label", F.col("h.seed").alias("seed"), F.col("h.form").alias("form"))
             .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("h.n").cast("long")).alias("n_matches")))
 

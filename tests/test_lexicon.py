@@ -176,3 +176,18 @@ def test_matches_property(spark):
         assert got == _expected(rows, forms_by_seed)
 
     check()
+
+
+def test_form_counts(spark):
+    texts = _random_texts(80, seed=11) + [(999, "")]
+    forms_by_seed = [("s0", ["ab", "aba"]), ("s1", ["aa"]), ("s3", ["aba"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    m = LX.match_lexicon(df, _lexicon(spark, forms_by_seed))
+    got = {}
+    for r in m.select("doc_id", LX.form_counts(F.col("matches")).alias("c")).collect():
+        for c in r["c"]:
+            got[(r["doc_id"], c["seed"], c["form"])] = c["n"]
+    want = {}
+    for doc_id, seed, form, _, _, _ in _expected(texts, forms_by_seed):
+        want[(doc_id, seed, form)] = want.get((doc_id, seed, form), 0) + 1
+    assert got == want
