@@ -118,8 +118,8 @@ def head_gradients(zc, zf, y, Y, cw, pw, n_total, w_total, lambda_fine, lambda_h
 
 
 def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0,
-                 lambda_hier: float = 0.0, weighted: bool = True, iterations: int = 30,
-                 lr: float = 0.05, feat_col: str = "features",
+                 lambda_hier: float = 0.0, weighted: bool = True, iterations: int = 60,
+                 lr: float = 0.2, feat_col: str = "features",
                  y_col: str = "y_coarse", yf_col: str = "y_fine", checkpoint: bool = True) -> TwoHeadModel:
     """M2 (``lambda_hier=0``, class / positive weights from A2 / A3) and M3
     (``lambda_hier>0``, unweighted, as the hierarchical objective).

@@ -22,7 +22,8 @@ QUERIES = {}
 ORACLE = {}
 SEED = 42
 DIM = 1 << 12
-ITERATIONS = 25
+ITERATIONS = 60
+LEARNING_RATE = 0.2
 
 
 def register(name, sql=None):
@@ -88,7 +89,7 @@ def _fit_eval(spark, sf_dir, hierarchical: bool, augment: bool, eval_split: str
     data = _two_head_input(ts)
     train = data.where(F.col("split") == "train")
     model = TR.fit_two_head(train, dim=DIM, lambda_hier=1.0 if hierarchical else 0.0,
-                            weighted=not hierarchical, iterations=ITERATIONS)
+                            weighted=not hierarchical, iterations=ITERATIONS, lr=LEARNING_RATE)
     ev = data.where(F.col("split") == eval_split).where(
         F.col("origin") == "original" if "origin" in data.columns else F.lit(True))
     scored = TR.score_two_head(ev, model, keep=("doc_id", "y_coarse", "y_fine"))
@@ -128,7 +129,8 @@ def batch_scoring(spark, sf_dir):
     posts = B.posts(spark, sf_dir)
     ts = SP.stratified_split(posts, "hate_label", "doc_id", seed=SEED)
     data = _two_head_input(ts)
-    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, iterations=ITERATIONS)
+    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, iterations=ITERATIONS,
+                            lr=LEARNING_RATE)
     scored = TR.score_two_head(data, model, keep=("doc_id",))
     rec = S.two_head_record(scored, keep=("doc_id",))
     return rec.select("doc_id", "coarse_pred", F.round("coarse_confidence", 6).alias("coarse_confidence"),
