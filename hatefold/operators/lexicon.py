@@ -271,11 +271,6 @@ def form_counts(matches: Column) -> Column:
     return let(keys, runs)
 
 
-def count_form(text: Column, form: str) -> Column:
-    """Non-overlapping occurrences of one literal form."""
-    return F.size(F.split(text_or_empty(text), _quote_regex(F.lit(form)), -1)) - 1
-
-
 # --------------------------------------------------------------------------
 # A4: term mining
 # --------------------------------------------------------------------------

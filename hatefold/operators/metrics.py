@@ -173,29 +173,6 @@ def _collect_weights(wdf: DataFrame, ord_col: str, n: int) -> list[float]:
 
 # ---------------------------------------------------------------- losses
 
-def row_losses(scored: DataFrame, class_w: list[float] | None, pos_w: list[float] | None,
-               y_col: str = "y_coarse", yf_col: str = "y_fine",
-               zc_col: str = "logits_coarse", zf_col: str = "logits_fine") -> DataFrame:
-    """Per-row weighted NLL, weight, summed BCE and the consistency penalty."""
-    zc, zf = F.col(zc_col), F.col(zf_col)
-    y = F.col(y_col).cast("int")
-    nll = logsumexp(zc) - F.element_at(zc, y + 1)
-    w = F.element_at(F.array(*[F.lit(float(v)) for v in class_w]), y + 1) if class_w else F.lit(1.0)
-    pw = F.array(*[F.lit(float(v)) for v in pos_w]) if pos_w else None
-    yf = F.col(yf_col)
-
-    def bce_elem(yy, z, i):
-        weight = pw[i] if pw is not None else F.lit(1.0)
-        return weight * yy * softplus(-z) + (1 - yy) * softplus(z)
-
-    bce = F.aggregate(F.zip_with(yf, zf, lambda a, b: F.struct(a.alias("y"), b.alias("z"))),
-                      F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")),
-                      lambda acc, e: F.struct((acc["s"] + bce_elem(e["y"], e["z"], acc["i"])).alias("s"),
-                                              (acc["i"] + 1).alias("i")))["s"]
-    return scored.select("*", (w * nll).alias("w_nll"), w.alias("w"), nll.alias("nll"),
-                         bce.alias("bce_sum"), consistency_penalty(zc, zf).alias("penalty"))
-
-
 def consistency_penalty(zc: Column, zf: Column) -> Column:
     """clean * P(any fine) + toxic * P(no fine), per row."""
     p = softmax(zc)
