@@ -3,7 +3,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 ROWS_ONLY = {"two_head_flat", "two_head_hierarchical", "experiment_matrix", "batch_scoring",
-             "baseline_classifier", "hyperparameter_sweep", "data_ablation"}
+             "baseline_classifier", "hyperparameter_sweep", "data_ablation", "chat_filter_stream_scored"}
 
 
 def test_entry_smoke(spark):

@@ -23,3 +23,22 @@ def test_stream_equals_batch(spark):
     # re-running the finished query processes nothing new and leaves the output unchanged
     run_chat_filter(spark, f"{d}/src", lex, f"{d}/out", f"{d}/ckpt")
     assert spark.read.parquet(f"{d}/out").count() == len(streamed)
+
+
+def test_scored_stream_equals_batch(spark):
+    from pyspark.sql import functions as F
+    from hatefold.operators import features as FE
+    from hatefold.operators import train as TR
+    rows = [(1, i, "user", t) for i, t in enumerate(["trash talk", "fine day", "you trash", "hello", "  "])]
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.createDataFrame(rows, MESSAGE_SCHEMA).repartition(2).write.parquet(f"{d}/src")
+    train = spark.createDataFrame([(i, "trash " * (i % 2) + "word", i % 2 * 2, [i % 2] + [0] * 7) for i in range(20)],
+                                  "doc_id long, text string, y_coarse int, y_fine array<int>")
+    model = TR.fit_two_head(FE.hashed_features(train, dim=256), dim=256, iterations=5, checkpoint=False)
+    lex = spark.createDataFrame([("trash", 0, ["trash"], [], "profanity", [])], LX.LEXICON_SCHEMA)
+    run_chat_filter(spark, f"{d}/src", lex, f"{d}/out", f"{d}/ckpt", model=model)
+    cols = ["conv_id", "turn", "n_matches", "terms", "coarse_pred", "fine_pred"]
+    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{d}/out").select(*cols).collect())
+    batch = filter_messages(spark.read.parquet(f"{d}/src"), prepare_matcher(lex), model=model)
+    assert streamed == sorted(tuple(r) for r in batch.select(*cols).collect())
+    assert len(streamed) == 4 and all(r[4] in ("clean", "offensive", "hate") for r in streamed)
