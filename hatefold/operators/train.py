@@ -33,7 +33,10 @@ class TwoHeadModel:
     weights: np.ndarray  # 11 x (dim + 1), last column is the bias
     dim: int
     hierarchical: bool
-    history: list
+    history: list        # (step, train loss)
+    records: list | None = None   # validation records (epoch, head, metric, value)
+    best_epoch: int | None = None
+    stop_epoch: int | None = None
 
     def to_frame(self, spark) -> DataFrame:
         """Weights as a table (feature row, 11 weights)."""
@@ -120,10 +123,17 @@ def head_gradients(zc, zf, y, Y, cw, pw, n_total, w_total, lambda_fine, lambda_h
 def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0,
                  lambda_hier: float = 0.0, weighted: bool = True, iterations: int = 60,
                  lr: float = 0.2, feat_col: str = "features",
-                 y_col: str = "y_coarse", yf_col: str = "y_fine", checkpoint: bool = True) -> TwoHeadModel:
+                 y_col: str = "y_coarse", yf_col: str = "y_fine", checkpoint: bool = True,
+                 valid: DataFrame | None = None, steps_per_epoch: int = 10,
+                 monitor: str = "fine_macro_f1", patience: int = FV.PATIENCE) -> TwoHeadModel:
     """M2 (``lambda_hier=0``, class / positive weights from A2 / A3) and M3
     (``lambda_hier>0``, unweighted, as the hierarchical objective).
 
+    With ``valid``, every ``steps_per_epoch`` steps form an epoch: the valid
+    split is scored (M6), its 11 metrics are recorded, the weights with the
+    best ``monitor`` value are kept (strictly greater wins, W1), and training
+    stops after ``patience`` epochs without improvement (W2).
+
     The feature table is written once to the shared checkpoint folder (lineage
     cut, so a lost executor does not recompute features mid-training) and
     kept in memory for the iterations."""
@@ -146,6 +156,12 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
     W = np.zeros((N_OUT, dim + 1))
     m1, m2 = np.zeros_like(W), np.zeros_like(W)
     history = []
+    records, best_val, best_W, best_ep, stale, stop_ep = [], float("-inf"), None, None, 0, None
+    head_metric = None
+    if valid is not None:
+        from .history import check_monitor
+        head, _, metric = check_monitor(monitor).partition("_")
+        head_metric = (head, metric)
     for it in range(1, iterations + 1):
         bw = spark.sparkContext.broadcast(W)
 
@@ -181,7 +197,26 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
         W = W - lr * (m1 / (1 - 0.9 ** it)) / (np.sqrt(m2 / (1 - 0.999 ** it)) + 1e-8)
         history.append((it, float(loss)))
         bw.unpersist()
+        if valid is not None and it % steps_per_epoch == 0:
+            epoch = it // steps_per_epoch
+            probe = TwoHeadModel(W, dim, bool(lambda_hier), history)
+            scored = score_two_head(valid, probe, feat_col=feat_col, keep=(y_col, yf_col))
+            ev = {(r["head"], r["metric"]): r["value"] for r in evaluate_two_head(
+                scored.withColumnRenamed(y_col, "y_coarse").withColumnRenamed(yf_col, "y_fine")).collect()}
+            records += [(epoch, h, m, v) for (h, m), v in sorted(ev.items())]
+            current = ev[head_metric]
+            if current is not None and current > best_val:
+                best_val, best_W, best_ep, stale = current, W.copy(), epoch, 0
+            else:
+                stale += 1
+                if stale >= patience:
+                    stop_ep = epoch
+                    break
     data.unpersist()
+    if valid is not None:
+        final = best_W if best_W is not None else W
+        return TwoHeadModel(final, dim, bool(lambda_hier), history, records, best_ep,
+                            stop_ep or (len(history) // steps_per_epoch))
     return TwoHeadModel(W, dim, bool(lambda_hier), history)
 
 

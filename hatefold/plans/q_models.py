@@ -198,3 +198,32 @@ def data_ablation(spark, sf_dir):
     cmp_ = S.compare_predictions(out[0], out[1], on="id")
     return cmp_.select("id", "pred_a", "pred_b", "agree", F.array_join("only_a", "|").alias("only_a"),
                        F.array_join("only_b", "|").alias("only_b"))
+
+
+# ---------------------------------------------------------------- M2 + M6 + W1 + W2 + IO9 + IO10
+
+@register("training_history")
+def training_history(spark, sf_dir):
+    """The original training loop as a job: flat two-head fit with per-epoch
+    validation (M6), early stopping on fine macro F1 with patience (W1, W2),
+    epoch records appended to a metrics table partitioned by run (IO9), and
+    the test metrics of the best weights appended as split 'test' (IO10)."""
+    from ..session import scratch_path
+    ts = SP.stratified_split(B.posts(spark, sf_dir), "hate_label", "doc_id", seed=SEED)
+    data = _two_head_input(ts).cache()
+    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, iterations=ITERATIONS,
+                            lr=LEARNING_RATE, valid=data.where(F.col("split") == "valid"),
+                            steps_per_epoch=10, monitor="fine_macro_f1")
+    path = scratch_path(spark, "train-history")
+    rec = spark.createDataFrame([("flat", e, "valid", h, m, float(v) if v is not None else None)
+                                 for e, h, m, v in model.records],
+                                "run_id string, epoch int, split string, head string, metric string, value double")
+    H.append_metrics(rec, path)
+    test = TR.evaluate_two_head(TR.score_two_head(data.where(F.col("split") == "test"), model,
+                                                  keep=("y_coarse", "y_fine")))
+    H.append_metrics(test.select(F.lit("flat").alias("run_id"), F.lit(model.best_epoch).cast("int").alias("epoch"),
+                                 F.lit("test").alias("split"), "head", "metric", "value"), path)
+    out = spark.read.parquet(path)
+    return out.select("run_id", "epoch", "split", "head", "metric", "value",
+                      (F.col("epoch") == F.lit(model.best_epoch)).alias("is_best_epoch"),
+                      F.lit(model.stop_epoch).cast("int").alias("stop_epoch"))

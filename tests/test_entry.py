@@ -3,7 +3,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 ROWS_ONLY = {"two_head_flat", "two_head_hierarchical", "experiment_matrix", "batch_scoring",
-             "baseline_classifier", "hyperparameter_sweep", "data_ablation", "chat_filter_stream_scored"}
+             "baseline_classifier", "hyperparameter_sweep", "data_ablation", "chat_filter_stream_scored",
+             "training_history"}
 
 
 def test_entry_smoke(spark):

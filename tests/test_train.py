@@ -33,3 +33,22 @@ def test_flat_gradient_finite_differences():
 
 def test_hier_gradient_finite_differences():
     _check(1.0, False)
+
+
+def test_fit_with_validation_keeps_first_best_epoch(spark):
+    from hatefold.operators import features as FE
+    from hatefold.operators import train as TR
+    rows = [(i, ("trash " if i % 2 else "") + f"word{i % 5}", (i % 2) * 2, [i % 2] + [0] * 7) for i in range(40)]
+    df = FE.hashed_features(spark.createDataFrame(rows, "doc_id long, text string, y_coarse int, y_fine array<int>"),
+                            dim=128)
+    m = TR.fit_two_head(df, dim=128, iterations=30, lr=0.2, valid=df, steps_per_epoch=3,
+                        patience=2, checkpoint=False)
+    fine = [(e, v) for e, h, k, v in m.records if (h, k) == ("fine", "macro_f1")]
+    assert len(m.records) == 11 * len(fine)
+    best = max(v for _, v in fine)
+    assert m.best_epoch == min(e for e, v in fine if v == best)
+    # stopped by patience or ran to the end
+    last = fine[-1][0]
+    assert m.stop_epoch == last
+    after = [v for e, v in fine if e > m.best_epoch]
+    assert len(after) <= 2
