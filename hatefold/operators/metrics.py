@@ -2,7 +2,8 @@
 
 Every bundle is one partial + final aggregation over the scored table (the
 shuffle carries one small row per task) or a second tiny aggregation over a
-K x K confusion table. Nothing is collected except bounded per-label weights.
+K x K confusion table. Nothing is collected; ``_collect_weights`` (used by the
+trainer) fetches only per-class / per-label weights, bounded by the schema.
 """
 
 from __future__ import annotations

@@ -282,3 +282,28 @@ def baseline_logits(model, df: DataFrame, keep: tuple = ("row_key", "labels"),
         pad = F.array_repeat(F.lit(float("-inf")), n_classes - model.numClasses)
         logits = F.concat(logits, pad)
     return pred.select(*keep, logits.alias("logits"))
+
+
+def sweep_baseline(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1), max_iters=(10, 30),
+                   label_col: str = "labels", features_col: str = "features", n_classes: int | None = None,
+                   parallelism: int = 3, keep: tuple = ("row_key", "labels")):
+    """M5: one fit per grid point (ParamGridBuilder) over a cached feature
+    table, fitted concurrently with ``fitMultiple`` (as MLlib's tuning does);
+    returns [(param dict, valid logits DataFrame)] in grid order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import ParamGridBuilder
+    lr = LogisticRegression(family="multinomial", labelCol=label_col, featuresCol=features_col)
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters)).build()
+    train = train.cache()
+    fits = lr.fitMultiple(train, grid)
+    models = [None] * len(grid)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for idx, model in pool.map(lambda _: next(fits), range(len(grid))):
+            models[idx] = model
+    out = []
+    for pm, model in zip(grid, models):
+        params = {p.name: v for p, v in pm.items()}
+        out.append((params, baseline_logits(model, valid, keep=keep, n_classes=n_classes)))
+    return out

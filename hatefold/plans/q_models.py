@@ -161,20 +161,17 @@ def baseline_classifier(spark, sf_dir):
 
 @register("hyperparameter_sweep")
 def hyperparameter_sweep(spark, sf_dir):
-    """M5 + W3: one metrics row per grid point on a cached feature table, best run flagged."""
+    """M5 + W3: one metrics row per grid point (fitted concurrently over a
+    cached feature table), best run by LRAP flagged."""
     train, valid = _baseline_frames(spark, sf_dir)
-    train = train.cache()
+    n_cls = len(B.AUX_ID2LABEL)
     rows = None
-    run = 0
-    for reg in (0.0, 0.01, 0.1):
-        for iters in (10, 30):
-            model = TR.fit_baseline(train, reg_param=reg, max_iter=iters)
-            lg = TR.baseline_logits(model, valid, n_classes=len(B.AUX_ID2LABEL))
-            m = M.single_label_metrics(lg, y_col="labels", n_classes=len(B.AUX_ID2LABEL))
-            m = m.select(F.lit(run).alias("run_id"), F.lit(reg).alias("reg_param"), F.lit(iters).alias("max_iter"),
-                         F.lit("combined").alias("corpus"), "accuracy", "macro_f1", "lrap")
-            rows = m if rows is None else rows.unionByName(m)
-            run += 1
+    for run, (params, lg) in enumerate(TR.sweep_baseline(train, valid, n_classes=n_cls)):
+        m = M.single_label_metrics(lg, y_col="labels", n_classes=n_cls)
+        m = m.select(F.lit(run).alias("run_id"), F.lit(float(params["regParam"])).alias("reg_param"),
+                     F.lit(int(params["maxIter"])).alias("max_iter"), F.lit("combined").alias("corpus"),
+                     "accuracy", "macro_f1", "lrap")
+        rows = m if rows is None else rows.unionByName(m)
     rows = rows.cache()
     best = H.best_run(rows, "corpus", "run_id", "lrap").select("corpus", "best_run")
     return rows.join(best, "corpus").select(
