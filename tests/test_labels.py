@@ -33,8 +33,8 @@ def test_collapse_priority_missing_and_existing(spark):
 def test_harmonize_add_missing_project(spark):
     df = spark.createDataFrame([("t", 1)], "`문장` string, `기타 혐오` int")
     df = L.add_missing_labels(L.harmonize_columns(df), FV.MULTI_HOT_LABELS)
-    out = L.project_corpus(df, "문장", FV.MULTI_HOT_LABELS, "unsmile_train").first()
-    assert out["기타혐오"] == 1 and out["clean"] == 0 and out["source"] == "unsmile_train"
+    out = L.project_corpus(df, "문장", FV.MULTI_HOT_LABELS, "main_train").first()
+    assert out["기타혐오"] == 1 and out["clean"] == 0 and out["source"] == "main_train"
 
 
 def test_coarse_encode_strict_and_pack(spark):
