@@ -97,15 +97,17 @@ def test_looks_like_insult_default_rules(spark):
 
 
 def _python_insult(token):
+    """Independent statement of the heuristic: ordered reject rules, then the
+    first matching banned prefix decides, then fragments."""
     t = token.strip()
-    if len(t) < 2 or t in FV.SAFE_WORDS or re.search(FV.YEAR_PATTERN, t) or t.isdigit():
+    rejects = (len(t) < 2, t in FV.SAFE_WORDS, re.search(FV.YEAR_PATTERN, t) is not None, t.isdigit())
+    if any(rejects):
         return False
-    for p in FV.BAN_PREFIX:
-        if t.startswith(p):
-            return not (p == FV.EXCEPTION_PREFIX and t[1] in FV.SAFE_AFTER_EXCEPTION_PREFIX)
-    if any(f in t for f in FV.FRAGMENTS):
-        return not re.match(FV.YEAR_PREFIX_PATTERN, t)
-    return False
+    prefix = next((p for p in FV.BAN_PREFIX if t.startswith(p)), None)
+    if prefix is not None:
+        follower = t[len(prefix):len(prefix) + 1]
+        return not (prefix == FV.EXCEPTION_PREFIX and follower in FV.SAFE_AFTER_EXCEPTION_PREFIX)
+    return any(f in t for f in FV.FRAGMENTS) and re.match(FV.YEAR_PREFIX_PATTERN, t) is None
 
 
 def test_clean_terms_last_duplicate_wins(spark):
