@@ -3,6 +3,17 @@
 The operators take and return DataFrames; see README.md for the coverage map.
 """
 
+import sys as _sys
+
+# Worker-side Python (the trainer's mapInPandas, the Arrow scoring step) ships
+# with its closures: functions of this package are pickled by value, so the
+# executors need no installed copy of it (on a cluster, --py-files also works).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to shipping the package
+    pass
+
 from .operators.augment import augment, augment_corpus, build_training_set, with_variants
 from .operators.features import char_ngrams, encode_text, hashed_features, term_vocabulary
 from .operators.history import best_epoch, best_run, early_stop, epoch_train_loss
