@@ -14,11 +14,14 @@ def char_ngrams(col: Column, sizes=(2, 3)) -> Column:
     """All character n-grams of the whole text for each n in ``sizes``.
 
     One regex pass per size: a lookahead capture of n code points at every
-    offset (``(?s)`` so newlines count as characters). This stays inside one
+    code-point offset (``(?s)`` so newlines count as characters). This stays inside one
     JVM expression; building grams by substring at an offset would rescan the
     UTF-8 string and make long texts quadratic."""
     t = text_or_empty(col)
-    return F.concat(*[F.regexp_extract_all(t, F.lit("(?s)(?=(" + "." * n + "))"), 1) for n in sizes])
+    # \P{Cs}: the match loop steps one UTF-16 unit past an empty match, so a
+    # gram must not start on the low half of a surrogate pair (emoji etc.).
+    return F.concat(*[F.regexp_extract_all(t, F.lit("(?s)(?=(\\P{Cs}" + "." * (n - 1) + "))"), 1)
+                      for n in sizes])
 
 
 def hashed_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM, idf: bool = False,

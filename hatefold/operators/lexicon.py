@@ -233,7 +233,7 @@ def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: s
     text = text_or_empty(F.col(text_col))
     grams = (df.select(F.col(id_col).alias("_id"),
                        explode_kept(F.array_distinct(F.regexp_extract_all(
-                           text, F.lit("(?s)(?=(" + "." * q + "))"), 1))).alias("gram"))
+                           text, F.lit("(?s)(?=(\\P{Cs}" + "." * (q - 1) + "))"), 1))).alias("gram"))
              .where(F.col("gram").isNotNull()))
     cands = (grams.join(keyed_forms, "gram")
              .groupBy("_id").agg(F.collect_list(F.struct("form", F.array("e").alias("entries"))).alias("_cands")))
