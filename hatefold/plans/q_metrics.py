@@ -332,3 +332,32 @@ def confusion_pivot(spark, sf_dir):
     from ..functions.scores import argmax, softmax
     sc = B.scored(spark, sf_dir)
     return M.confusion_matrix(sc, "y_coarse", argmax(softmax("logits_coarse")), [0, 1, 2])
+
+
+# ---------------------------------------------------------------- J3 on the two-head models
+
+def _record_sql(view: str, alias: str) -> str:
+    fine = "['" + "', '".join(FV.FINE_COLS) + "']"
+    return f"""{alias} AS (
+  SELECT id, ['clean', 'offensive', 'hate'][list_position(pc, list_max(pc))] AS pred,
+    list_filter({fine}, lambda n, i: pf[i] >= 0.5) AS labs
+  FROM (SELECT id, {_softmax_sql('logits_coarse')} AS pc, {_sigmoid_sql('logits_fine')} AS pf FROM {view}))"""
+
+
+_TWO_HEAD_CMP_SQL = ("WITH " + with_views("scored", "scored_b")[5:].rstrip() + ",\n" + _record_sql("scored", "ra")
+                     + ",\n" + _record_sql("scored_b", "rb") + """
+SELECT a.id, a.pred AS pred_a, b.pred AS pred_b, a.pred = b.pred AS agree,
+  array_to_string(list_filter(a.labs, lambda x: NOT list_contains(b.labs, x)), '|') AS only_a,
+  array_to_string(list_filter(b.labs, lambda x: NOT list_contains(a.labs, x)), '|') AS only_b
+FROM ra a JOIN rb b ON a.id = b.id
+""")
+
+
+@register("two_head_comparison", _TWO_HEAD_CMP_SQL)
+def two_head_comparison(spark, sf_dir):
+    """J3 on the two two-head models of FIXTURES (scored vs scored_b)."""
+    a = S.two_head_record(B.scored(spark, sf_dir))
+    b = S.two_head_record(B.scored_b(spark, sf_dir))
+    c = S.compare_predictions(a, b, on="id", pred_col="coarse_pred", labels_col="fine_pred")
+    return c.select("id", "pred_a", "pred_b", "agree", F.array_join("only_a", "|").alias("only_a"),
+                    F.array_join("only_b", "|").alias("only_b"))
