@@ -162,10 +162,12 @@ def match_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "text",
 
 
 def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS,
-                    max_inline_chars: int = MAX_INLINE_CHARS):
+                    max_inline_chars: int = MAX_INLINE_CHARS, counts_only: bool = False):
     """Compile the lexicon once; returns ``f(df, text_col, id_col, out_col)``.
 
-    Reused across micro-batches of a stream so the lexicon is read once."""
+    Reused across micro-batches of a stream so the lexicon is read once. With
+    ``counts_only`` the output is ``array<struct<seed, form, n>>`` (matches per
+    occurring form) and no offsets are computed."""
     forms = lexicon_forms(lexicon)
     # One bounded fetch is both the size check and the compile input: at most
     # max_inline_forms + 1 rows ever reach the driver.
@@ -173,7 +175,10 @@ def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS
     if len(rows) <= max_inline_forms and sum(len(r["form"]) for r in rows) <= max_inline_chars:
         compiled = _compile_inline(rows)
         return lambda df, text_col="text", id_col="doc_id", out_col="matches": _apply_inline(
-            df, compiled, text_col, out_col)
+            df, compiled, text_col, out_col, counts_only)
+    if counts_only:
+        return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
+            df, forms, text_col, id_col, out_col).withColumn(out_col, form_counts(F.col(out_col)))
     return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
         df, forms, text_col, id_col, out_col)
 
@@ -203,15 +208,32 @@ def _compile_inline(rows):
     return pattern, closure_map, entries_map
 
 
-def _apply_inline(df: DataFrame, compiled, text_col: str, out_col: str) -> DataFrame:
+COUNT_TYPE = T.ArrayType(T.StructType([T.StructField("seed", T.StringType()),
+                                       T.StructField("form", T.StringType()),
+                                       T.StructField("n", T.IntegerType())]))
+
+
+def _count_structs(text: Column, form: Column, entries: Column) -> Column:
+    """(seed, form, n) per lexicon entry of an occurring form; n is the
+    non-overlapping occurrence count (literal split)."""
+    n = (F.size(F.split(text, _quote_regex(form), -1)) - 1).cast("int")
+    return let(n, lambda k: F.transform(entries, lambda e: F.struct(
+        e["seed"].alias("seed"), form.alias("form"), k.alias("n"))))
+
+
+def _apply_inline(df: DataFrame, compiled, text_col: str, out_col: str, counts_only: bool = False) -> DataFrame:
     if compiled is None:
-        return df.withColumn(out_col, F.array().cast(T.ArrayType(MATCH_TYPE)))
+        return df.withColumn(out_col, F.array().cast(COUNT_TYPE if counts_only else T.ArrayType(MATCH_TYPE)))
     pattern, closure_map, entries_map = compiled
     text = text_or_empty(F.col(text_col))
     tmp = f"__{out_col}_forms"
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
     occurring = F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(closure_map, k))))
     out = df.withColumn(tmp, occurring)
+    if counts_only:
+        counts = F.flatten(F.transform(F.col(tmp), lambda f: _count_structs(
+            text, f, F.element_at(entries_map, f))))
+        return out.withColumn(out_col, F.sort_array(counts)).drop(tmp)
     matches = F.flatten(F.transform(F.col(tmp), lambda f: _match_structs(
         text, f, F.element_at(entries_map, f))))
     return out.withColumn(out_col, F.sort_array(matches)).drop(tmp)
@@ -251,6 +273,13 @@ def explode_matches(df: DataFrame, matches_col: str = "matches", keep=("doc_id",
             .where(F.col("m").isNotNull()).select(*keep, "m.*"))
 
 
+def count_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                  out_col: str = "counts") -> DataFrame:
+    """J2 when only counts are needed: ``out_col`` = array of (seed, form, n)
+    for every form occurring in the text, n = non-overlapping matches."""
+    return prepare_matcher(lexicon, counts_only=True)(df, text_col, id_col, out_col)
+
+
 def form_counts(matches: Column) -> Column:
     """Per text: array of (seed, form, n) with n = matches of that form, from
     one native sort of the match keys and a run-length pass, O(k log k)."""

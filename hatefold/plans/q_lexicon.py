@@ -37,8 +37,8 @@ FROM counts WHERE n > 0 GROUP BY 1, 2, 3
 @register("lexicon_hits_by_class", _HITS_SQL)
 def lexicon_hits_by_class(spark, sf_dir):
     """Per coarse class and lexicon form: documents hit and total matches."""
-    matched = LX.match_lexicon(B.posts(spark, sf_dir), B.lexicon(spark))
-    per_doc = (matched.select("hate_label", explode_kept(LX.form_counts(F.col("matches"))).alias("h"))
+    counted = LX.count_lexicon(B.posts(spark, sf_dir), B.lexicon(spark))
+    per_doc = (counted.select("hate_label", explode_kept(F.col("counts")).alias("h"))
                .where(F.col("h").isNotNull()))
     return (per_doc.groupBy("hate_label", F.col("h.seed").alias("seed"), F.col("h.form").alias("form"))
             .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("h.n").cast("long")).alias("n_matches")))

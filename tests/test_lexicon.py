@@ -193,3 +193,17 @@ def test_form_counts(spark):
     for doc_id, seed, form, _, _, _ in _expected(texts, forms_by_seed):
         want[(doc_id, seed, form)] = want.get((doc_id, seed, form), 0) + 1
     assert got == want
+
+
+def test_count_lexicon_inline_and_distributed(spark):
+    texts = _random_texts(100, seed=21)
+    forms_by_seed = [("s0", ["ab", "aba"]), ("s1", ["aa"]), ("s3", ["aba"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    lex = _lexicon(spark, forms_by_seed)
+    want = {}
+    for doc_id, seed, form, _, _, _ in _expected(texts, forms_by_seed):
+        want[(doc_id, seed, form)] = want.get((doc_id, seed, form), 0) + 1
+    for limit in (LX.MAX_INLINE_FORMS, 0):
+        out = LX.prepare_matcher(lex, max_inline_forms=limit, counts_only=True)(df, "text", "doc_id", "counts")
+        got = {(r["doc_id"], c["seed"], c["form"]): c["n"] for r in out.collect() for c in r["counts"]}
+        assert got == want, limit
