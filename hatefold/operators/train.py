@@ -53,11 +53,16 @@ def _rows_matrix(features: pd.Series):
         if v is None:
             ind.append(np.zeros(0, dtype=np.int64))
             vals.append(np.zeros(0))
-        elif v.get("indices") is not None:
-            ind.append(np.asarray(v["indices"], dtype=np.int64))
-            vals.append(np.asarray(v["values"], dtype=np.float64))
+            continue
+        # Arrow batches carry {type, size, indices, values}; pandas conversions
+        # of collected rows carry SparseVector / DenseVector objects.
+        indices = v.get("indices") if isinstance(v, dict) else getattr(v, "indices", None)
+        values = v["values"] if isinstance(v, dict) else v.values
+        if indices is not None:
+            ind.append(np.asarray(indices, dtype=np.int64))
+            vals.append(np.asarray(values, dtype=np.float64))
         else:  # dense vector
-            d = np.asarray(v["values"], dtype=np.float64)
+            d = np.asarray(values, dtype=np.float64)
             nz = np.nonzero(d)[0]
             ind.append(nz.astype(np.int64))
             vals.append(d[nz])
@@ -140,6 +145,11 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
     from ..session import checkpoint_root
     spark = train.sparkSession
     data = train.select(feat_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
+    # Every step is one pass over this table: spread it over at least one
+    # partition per core (a small input file can arrive as one partition).
+    parallelism = spark.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < parallelism:
+        data = data.repartition(parallelism)
     if checkpoint:
         checkpoint_root(spark)
         data = data.checkpoint(eager=True)
@@ -153,6 +163,9 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
     counts = {r["y"]: r["n"] for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_total = float(sum(counts.values()))
     w_total = float(sum(cw[k] * v for k, v in counts.items()))
+    # Partial gradients are merged on executors in a tree once there are many
+    # partitions; with few, one reduce level avoids an extra stage per step.
+    depth = 2 if data.rdd.getNumPartitions() > 32 else 1
     W = np.zeros((N_OUT, dim + 1))
     m1, m2 = np.zeros_like(W), np.zeros_like(W)
     history = []
@@ -189,7 +202,7 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
 
         parts = data.mapInPandas(partial, "g array<double>, loss double")
         G, loss = parts.rdd.map(lambda r: (np.asarray(r["g"]), r["loss"])).treeReduce(
-            lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
+            lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=depth)
         G = G.reshape(W.shape)
         # Adam step on the driver (weights are bounded by dim).
         m1 = 0.9 * m1 + 0.1 * G
