@@ -26,6 +26,7 @@ from .metrics import class_weights, coarse_metrics, fine_metrics, pos_weights, _
 N_COARSE = 3
 N_FINE = 8
 N_OUT = N_COARSE + N_FINE
+ROWS_PER_TASK = 256
 
 
 @dataclass
@@ -145,15 +146,20 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
     from ..session import checkpoint_root
     spark = train.sparkSession
     data = train.select(feat_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
-    # Every step is one pass over this table: spread it over at least one
-    # partition per core (a small input file can arrive as one partition).
-    parallelism = spark.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < parallelism:
-        data = data.repartition(parallelism)
     if checkpoint:
         checkpoint_root(spark)
         data = data.checkpoint(eager=True)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # Every step is one pass over this table: spread it over the cores when it
+    # arrives in fewer partitions (a small input file is one partition), at
+    # about ROWS_PER_TASK rows per partition so tiny tables stay in one task.
+    n_rows = data.count()
+    target = min(spark.sparkContext.defaultParallelism, max(1, n_rows // ROWS_PER_TASK))
+    if data.rdd.getNumPartitions() < target:
+        spread = data.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+        spread.count()
+        data.unpersist()
+        data = spread
     if weighted and not lambda_hier:
         cw = np.array(_collect_weights(class_weights(data, "y", list(range(N_COARSE))), "class_ord", N_COARSE))
         yf = data.select([F.col("yf")[j].alias(f"f{j}") for j in range(N_FINE)])
