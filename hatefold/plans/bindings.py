@@ -97,7 +97,9 @@ def logits10(spark: SparkSession, sf_dir: str, first_dim: int = 1) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX11 stand-in over the whole events table: run = user, epoch = day
-    index (1-based), metric = best value of the day."""
+    index (1-based), metric = best value of the day. (FIXTURES.md binds an id
+    subset of events; registered queries must read whole tables, so the
+    binding is re-aimed, and grows with the data.)"""
     ev = table(spark, sf_dir, "events")
     epoch = (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).cast("int")
     return (ev.groupBy(F.col("user_id").alias("run_id"), epoch.alias("epoch"))
