@@ -85,12 +85,12 @@ def lexicon_json_roundtrip(spark, sf_dir):
 
 
 def _records_sql() -> str:
-    a = _fine_sql("scored").split("\n", 1)
-    b = _fine_sql("scored_b").split("\n", 1)
-    cols = M.FINE_METRICS
-    unp = lambda run, q: (f"SELECT '{run}' AS run_id, metric, value FROM ({q}) "
-                          f"UNPIVOT (value FOR metric IN ({', '.join(cols)}))")
-    return unp("a", a[0] + "\n" + a[1]) + "\nUNION ALL\n" + unp("b", b[0] + "\n" + b[1])
+    cols = ", ".join(M.FINE_METRICS)
+
+    def unpivot(run: str, view: str) -> str:
+        return (f"SELECT '{run}' AS run_id, metric, value FROM ({_fine_sql(view)}) "
+                f"UNPIVOT (value FOR metric IN ({cols}))")
+    return unpivot("a", "scored") + "\nUNION ALL\n" + unpivot("b", "scored_b")
 
 
 @register("metric_records", _records_sql())
