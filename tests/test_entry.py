@@ -1,6 +1,7 @@
 import __spark_entry__ as E
 
 from conftest import SF_SMALL
+from hatefold.plans.registry import all_oracle_sql, all_queries
 
 ROWS_ONLY = {"two_head_flat", "two_head_hierarchical", "experiment_matrix", "batch_scoring",
              "baseline_classifier", "hyperparameter_sweep", "data_ablation", "chat_filter_stream_scored",
@@ -14,8 +15,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
+    assert set(E.oracle_sql()) <= set(E.queries())
+    qs, sql = all_queries(), all_oracle_sql()
     assert set(qs) - set(sql) == ROWS_ONLY
 
 
