@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, packing, token_counts
+from . import bpe_codec, exact_dedup, html_extract, language_id, packing, token_counts
 from .common import table
 
 QUERIES = {}
@@ -20,6 +21,11 @@ def register(name, sql=None):
     return deco
 
 
+@register("op2_html_extraction")
+def op2(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @register("op3_cost_balanced_packing")
 def op3(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -30,6 +36,23 @@ def op4(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op5_language_id")
+def op5(spark, sf_dir):
+    """Documents declare their language in ``lang``; their host is ``source``."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs), declared_col="lang", host_col="source", suffix=False)
+
+
+@register("page_language")
+def page_language(spark, sf_dir):
+    """The same over pages: markup language, address suffix, host and main text."""
+    pages = table(spark, sf_dir, "pages")
+    hosts = language_id.page_evidence(pages).select(F.col("page_id").alias("__id"), "__declared", "__host")
+    text = html_extract.extract(pages).join(hosts, F.col("page_id") == F.col("__id"))
+    return (language_id.identify(text, language_id.fit(table(spark, sf_dir, "documents")), id_col="page_id",
+                                 declared_col="__declared", host_col="__host").withColumnRenamed("doc_id", "page_id"))
+
+
 @register("op6_bpe_codec")
 def op6(spark, sf_dir):
     return bpe_codec.codec_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
