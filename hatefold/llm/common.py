@@ -70,6 +70,7 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES):
 
 _MULT = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 _INV = pow(_MULT, -1, 1 << 64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -100,9 +101,12 @@ class SpanHash:
     def __init__(self, codes: np.ndarray):
         n = len(codes)
         up, self.down = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[:n], out=sums[1:])
-        self.sums = sums
+        self.sums = np.zeros(n + 1, np.uint64)
+        if codes.dtype == np.uint8:
+            mixed = worker_cache("mixed-bytes", lambda: mix64(np.arange(256, dtype=np.uint64) + _GOLD))[codes]
+        else:
+            mixed = mix64(codes.astype(np.uint64) + _GOLD)
+        np.cumsum(mixed * up[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, html_extract, language_id, packing, token_counts, topk
+from . import bpe_codec, exact_dedup, html_extract, language_id, packing, suffix_dedup, token_counts, topk
 from .common import table
 
 QUERIES = {}
@@ -74,6 +74,11 @@ def op7(spark, sf_dir):
     return topk.topk(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+@register("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 @register("op9_exact_dedup", """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents)

@@ -16,6 +16,7 @@ import json
 import pyarrow as pa
 
 from .common import worker_cache
+from .pair_merge import merge_count
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -55,7 +56,7 @@ class Counter:
         self.words: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
-        return merge_count_bytes(piece, self.symbol, self.ranks)
+        return merge_count([self.symbol[b] for b in piece.encode()], self.ranks)
 
     def plain(self, text: str) -> int:
         return sum(map(self.piece, self.findall(text)))
@@ -88,12 +89,6 @@ class Counter:
         return self.stretch(text)
 
 
-def merge_count_bytes(piece: str, symbol: list[int], ranks: dict) -> int:
-    from .pair_merge import merge_count
-
-    return merge_count([symbol[b] for b in piece.encode()], ranks)
-
-
 def token_counts(docs, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text"):
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text.
 
