@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, html_extract, language_id, packing, suffix_dedup, token_counts, topk
+from . import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, packing, suffix_dedup, token_counts, topk
 from .common import table
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def register(name, sql=None):
     return deco
 
 
+@register("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 @register("op2_html_extraction")
 def op2(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))

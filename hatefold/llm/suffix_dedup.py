@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, SpanHash, mix64, packed, same_runs, slices, text_buffer, written
+from .shared import arrow, bucket_of, by_bucket, is_shared, shared_prints, twice_at_most
 
 WIDTH = 50
 GRAM = 20
@@ -161,50 +162,12 @@ def _n_buckets(docs, text_col: str) -> int:
     return max(64, -(-total // BUCKET_BYTES))
 
 
-def _by_bucket(bucket: np.ndarray):
-    """(bucket, places) of each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    runs = same_runs(bucket[order])
-    for a, z in zip(runs[:-1], runs[1:]):
-        yield int(bucket[order[a]]), order[a:z]
-
-
-def _batch(rows, types, names):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
-
-
-def _send_anchors(width, gram, n_buckets):
-    def run(batches):
-        for b in batches:
-            for block, ids, known, sizes, text in zip(*(b.column(k).to_pylist() for k in range(5))):
-                x = Block(ids, known, sizes, text, width, gram)
-                # one entry per (anchor, document), two at most: two mean that documents share it
-                order = np.lexsort((x.doc, x.anchor))
-                a, d = x.anchor[order], x.doc[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-                a = a[new]
-                third = np.zeros(len(a), bool)
-                third[2:] = (a[2:] == a[1:-1]) & (a[2:] == a[:-2])
-                a = a[~third]
-                rows = [(k, block, packed((a[at] >> np.uint64(32)).astype(np.uint32)))
-                        for k, at in _by_bucket((a & np.uint64(0xFFFFFFFF)).astype(np.int64) % n_buckets)]
-                yield _batch(rows, [pa.int64(), pa.int64(), pa.binary()], ["bucket", "block", "prints"])
-
-    return run
-
+def _anchor_prints(width, gram):
+    def prints_of(row):
+        x = Block(row["ids"], row["known"], row["sizes"], row["text"], width, gram)
+        return row["block"], twice_at_most(x.anchor, x.doc)
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """The fingerprints of a bucket that occur twice, for each block that has them."""
-    prints = [np.frombuffer(p, np.uint32) for p in table.column("prints").to_pylist()]
-    every = np.sort(np.concatenate(prints))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for bucket, block, p in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), prints):
-        hit = np.unique(p[twice[np.minimum(np.searchsorted(twice, p), len(twice) - 1)] == p]) if len(twice) else twice
-        if len(hit):
-            out.append((block, bucket, packed(hit)))
-    return pa.Table.from_batches([_batch(out, [pa.int64(), pa.int64(), pa.binary()], ["block", "bucket", "prints"])])
+    return prints_of
 
 
 def _contexts(width, gram, n_buckets):
@@ -214,21 +177,17 @@ def _contexts(width, gram, n_buckets):
         if block.num_rows and shared.num_rows:
             row = block.to_pylist()[0]
             x = Block(row["ids"], row["known"], row["sizes"], row["text"], width, gram)
-            wanted = np.sort(np.concatenate([
-                np.frombuffer(p, np.uint32).astype(np.uint64) << np.uint64(32) | np.uint64(k)
-                for k, p in zip(shared.column("bucket").to_pylist(), shared.column("prints").to_pylist())]))
-            bucket = (x.anchor & np.uint64(0xFFFFFFFF)) % np.uint64(n_buckets)
-            mine = (x.anchor >> np.uint64(32) << np.uint64(32)) | bucket
-            hit = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+            bucket = bucket_of(x.anchor, n_buckets)
+            hit = is_shared(shared, x.anchor, n_buckets)
             # each context once; which of its equal copies is sent does not matter
             at = np.flatnonzero(hit)
             at = at[np.unique(x.context[at], return_index=True)[1]]
-            for k, part in _by_bucket(bucket[at].astype(np.int64)):
+            for k, part in by_bucket(bucket[at]):
                 g = at[part]
                 low, high = x.low[g], x.high[g] + width
                 rows.append((k, row["block"], packed(x.context[g]), packed(x.first[g]), packed((high - low).astype(np.uint16)),
                              _zip(b"".join([x.raw[a:z] for a, z in zip(low.tolist(), high.tolist())]))))
-        return pa.Table.from_batches([_batch(rows, types, names)])
+        return arrow(rows, types, names)
 
     return run
 
@@ -304,7 +263,7 @@ def _earlier(width):
                 at = a + np.flatnonzero(mask[a:z])
             if len(at):
                 out.append((r["block"], packed(keys[at]), packed(mask[at])))
-        return pa.Table.from_batches([_batch(out, [pa.int64(), pa.binary(), pa.binary()], ["block", "keys", "masks"])])
+        return arrow(out, [pa.int64(), pa.binary(), pa.binary()], ["block", "keys", "masks"])
 
     return run
 
@@ -341,8 +300,7 @@ def _pipeline(docs, id_col, text_col, width, gram, finish, schema):
     n_buckets = _n_buckets(docs, text_col)
     held = written(blocks(docs, id_col, text_col), "blocks")
     of_block = held.groupBy("block")
-    shared = (held.mapInArrow(_send_anchors(width, gram, n_buckets), "bucket long, block long, prints binary")
-              .groupBy("bucket").applyInArrow(_shared_anchors, "block long, bucket long, prints binary"))
+    shared = shared_prints(held.drop("extra"), _anchor_prints(width, gram), n_buckets)
     contexts = of_block.cogroup(shared.groupBy("block")).applyInArrow(
         _contexts(width, gram, n_buckets), "bucket long, block long, keys binary, firsts binary, sizes binary, text binary")
     answers = contexts.groupBy("bucket").applyInArrow(_earlier(width), "block long, keys binary, masks binary")
@@ -364,7 +322,7 @@ def repeat_digest(docs, id_col: str = "doc_id", text_col: str = "text", width: i
                 spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if n else 0
                 kept = raw[a:z][~c].tobytes() if n else x.raw[a:z]
                 rows.append((int(x.ids[k]) if x.known[k] else None, z - a, n, spans, hashlib.sha256(kept).hexdigest()))
-        return pa.Table.from_batches([_batch(rows, types, names)])
+        return arrow(rows, types, names)
 
     return _pipeline(docs.select(id_col, text_col), id_col, text_col, width, gram, finish,
                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
