@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, packing, suffix_dedup, token_counts, topk
+from . import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, suffix_dedup, token_counts, topk
 from .common import table
 
 QUERIES = {}
@@ -93,3 +93,8 @@ FROM n WINDOW w AS (PARTITION BY t)
 """)
 def op9(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op10_line_dedup")
+def op10(spark, sf_dir):
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
