@@ -296,7 +296,10 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                 .filter((F.col("p.part") != F.col("q.part")) & ((F.col("g") != F.col("h")) | (F.col("p.rep") < F.col("q.rep"))))
                 .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")))
     links = links.union(_verified(expanded, texts, k, percent))
-    part = components(links)
+    # rows that share an id but not the set: one node
+    several = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("l"), F.max("sig").alias("h")).filter("l <> h")
+    same_id = rows.join(several, "doc_id").join(classes.select("n", "sig", "rep"), ["n", "sig"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    part = components(links.union(same_id))
 
     named = classes.select("n", "sig", "rep").join(part, F.col("rep") == F.col("node"), "left").select(
         "n", "sig", F.coalesce("component", "rep").alias("component"))
