@@ -1,44 +1,52 @@
-"""Stratified, leak-free splits (S5, S6) that stay balanced under class skew.
+"""Stratified, leak-free splits (S5, S6) with exact part sizes.
 
-Rows are ordered inside their class by a keyed hash (md5 of seed:id) and cut
-at per-class boundaries B_k = round(n_c * cum_k / total) (half up, integer
-arithmetic), so every part is within one row of its exact quota and the result
-does not depend on partitioning.
+Part sizes are the largest-remainder share of all rows. As in a chain of two-way
+splits, each part in turn takes its seats from the classes in proportion to what
+they have left, again by largest remainder (ties by class), so every part gets its
+size even when classes are too small to be divided one by one.
 
-No window ranks a whole class (a class may hold a third of all rows): a first
-aggregation counts rows per (class, hash bucket) — 65,536 buckets from four hex
-digits — which locates each cut in one bucket. Rows of buckets that fall
-entirely inside a part are assigned by comparison; only the rows of the few
-buckets that straddle a cut are ranked, inside their bucket.
+Inside a class, rows are ordered by a keyed hash (md5 of seed:id) and then by id,
+and the parts are stretches of that order: the result does not depend on
+partitioning. No window ranks a whole class. A first aggregation counts rows per
+(class, hash bucket), which locates each cut in one bucket; a second reads the rows
+of those few buckets and finds the cut rows themselves. Both read only class and
+id. The rows are then assigned in one pass, by comparison with their class's cuts
+(one row per class, broadcast). Ids are expected to be unique.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keyed import hash_order_key
 from ..plans import fixed_values as FV
 
 BUCKET_HEX = 4
-MAX_BROADCAST_BUCKET_ROWS = 2_000_000
 
 
-def _cuts(n: Column, ratios) -> list[Column]:
-    total = sum(ratios)
-    cum, out = 0, []
-    for r in ratios[:-1]:
-        cum += r
-        out.append(F.floor((n * (2 * cum) + total) / (2 * total)))
-    return out
+def largest_remainder(total: int, weights: list[int]) -> list[int]:
+    """``total`` seats in proportion to ``weights``; seats left over go to the
+    largest remainders, ties to the first."""
+    whole = sum(weights)
+    if not whole:
+        return [0] * len(weights)
+    seats = [total * w // whole for w in weights]
+    by_rest = sorted(range(len(weights)), key=lambda k: (-(total * weights[k] % whole), k))
+    for k in by_rest[:total - sum(seats)]:
+        seats[k] += 1
+    return seats
 
 
-def _part_of(rank: Column, cuts: list[Column]) -> Column:
-    """0-based part index of a 0-based rank."""
-    idx = F.lit(0)
-    for c in cuts:
-        idx = idx + (rank >= c).cast("int")
-    return idx
+def class_cuts(counts: list[int], ratios: list[int]) -> list[list[int]]:
+    """Per class (in class order): the ranks at which its second, third, ... part begins."""
+    left, cuts = list(counts), [[] for _ in counts]
+    for size in largest_remainder(sum(counts), ratios)[:-1]:
+        for k, seats in enumerate(largest_remainder(size, left)):
+            left[k] -= seats
+            cuts[k].append(counts[k] - left[k])
+    return cuts
 
 
 def stratified_split(df: DataFrame, class_col: str, id_col: str,
@@ -47,48 +55,63 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str,
     ratios, names = list(ratios), list(names)
     if len(ratios) != len(names):
         raise ValueError("ratios and names differ in length")
-    keyed = (df.withColumn("_h", hash_order_key(F.lit(seed), F.col(id_col)))
-             .withColumn("_b", F.substring("_h", 1, bucket_hex))
-             .withColumn("_cls", F.col(class_col)))
-    counts = keyed.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy("_cls").orderBy("_b")
-    counts = (counts
-              .withColumn("_before", F.coalesce(F.sum("_cnt").over(
-                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(Window.partitionBy("_cls"))))
-    cuts = _cuts(F.col("_n"), ratios)
-    counts = (counts.withColumn("_p_first", _part_of(F.col("_before"), cuts))
-              .withColumn("_p_last", _part_of(F.col("_before") + F.col("_cnt") - 1, cuts))
-              .select(F.col("_cls").alias("_bc_cls"), F.col("_b").alias("_bc_b"),
-                      "_before", "_n", "_p_first", "_p_last"))
-    # Bounded by (#classes x 65,536). Cached so the size check and the join
-    # share one aggregation pass; broadcast only under the checked bound.
-    counts = counts.cache()
-    if counts.count() <= MAX_BROADCAST_BUCKET_ROWS:
-        counts = F.broadcast(counts)
-    j = keyed.join(counts, keyed["_cls"].eqNullSafe(counts["_bc_cls"]) & (keyed["_b"] == counts["_bc_b"]))
+    spark = df.sparkSession
+    order = hash_order_key(F.lit(seed), F.col(id_col))
+    keyed = df.select(F.col(class_col).alias("cls"), order.alias("h"), F.col(id_col).alias("id"))
+    bucket = F.substring("h", 1, bucket_hex)
+    counts = keyed.groupBy("cls", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(
+        Window.partitionBy("cls").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cache()
+    # One row per class: bounded by the label scheme.
+    sizes = [(r.cls, r.n) for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()]
+    sizes.sort(key=lambda x: (x[0] is None, x[0]))
+    ranks = [(c, k, at) for (c, n), cuts in zip(sizes, class_cuts([n for _, n in sizes], ratios))
+             for k, at in enumerate(cuts) if at < n]
+    cls_type = df.schema[class_col].dataType
+    wanted = spark.createDataFrame(ranks, T.StructType([T.StructField("c", cls_type), T.StructField("k", T.IntegerType()),
+                                                        T.StructField("at", T.LongType())]))
+    places = (counts.join(F.broadcast(wanted), F.col("cls").eqNullSafe(F.col("c")))
+              .filter((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n")))
+              .select("c", "k", (F.col("at") - F.col("before") + 1).alias("rank"), F.col("b").alias("in_b")).collect())
+    counts.unpersist()
+    places = spark.createDataFrame(places, T.StructType([*wanted.schema.fields[:2], T.StructField("rank", T.LongType()),
+                                                         T.StructField("in_b", T.StringType())]))
+    found = (keyed.withColumn("b", bucket)
+             .join(F.broadcast(places.select("c", "in_b").distinct()), F.col("cls").eqNullSafe(F.col("c")) & (F.col("b") == F.col("in_b")))
+             .select("cls", "b", "h", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls", "b").orderBy("h", "id")))
+             .join(F.broadcast(places), F.col("cls").eqNullSafe(F.col("c")) & (F.col("b") == F.col("in_b")) & (F.col("r") == F.col("rank")))
+             .select("cls", "k", "h", "id").collect())
+    at = {(r.cls, r.k): (r.h, r.id) for r in found}
+    # A part that begins at the class's end has the cut "~", after every hash.
+    rows = [(c, [at.get((c, k), ("~", None)) for k in range(len(names) - 1)]) for c, _ in sizes]
+    cut = T.StructType([T.StructField("h", T.StringType()), T.StructField("id", df.schema[id_col].dataType)])
+    cuts = spark.createDataFrame(rows, T.StructType([T.StructField("_cut_cls", cls_type), T.StructField("_cuts", T.ArrayType(cut))]))
+    me = F.struct(order.alias("h"), F.col(id_col).alias("id"))
+    part = F.aggregate("_cuts", F.lit(0), lambda s, x: s + (me >= x).cast("int"))
     name_arr = F.array(*[F.lit(n) for n in names])
-    direct = j.where(F.col("_p_first") == F.col("_p_last")).withColumn(
-        out_col, F.element_at(name_arr, F.col("_p_first") + 1))
-    rw = Window.partitionBy("_cls", "_b").orderBy("_h", id_col)
-    straddle = (j.where(F.col("_p_first") != F.col("_p_last"))
-                .withColumn("_rank", F.col("_before") + F.row_number().over(rw) - 1)
-                .withColumn(out_col, F.element_at(name_arr, _part_of(F.col("_rank"), _cuts(F.col("_n"), ratios)) + 1))
-                .drop("_rank"))
-    drop = ["_h", "_b", "_cls", "_bc_cls", "_bc_b", "_before", "_n", "_p_first", "_p_last"]
-    return direct.unionByName(straddle).drop(*drop)
+    return (df.join(F.broadcast(cuts), F.col(class_col).eqNullSafe(F.col("_cut_cls")))
+            .withColumn(out_col, F.element_at(name_arr, part + 1)).drop("_cut_cls", "_cuts"))
 
 
 def split_oracle_sql(view: str, class_col: str, id_col: str, ratios, names, seed: int = 42) -> str:
-    """DuckDB twin (plain row_number per class), for the correctness oracle."""
-    total = sum(ratios)
-    cum, cuts = 0, []
-    for r in ratios[:-1]:
-        cum += r
-        cuts.append(f"floor((n * {2 * cum} + {total}) / {2 * total})")
-    part = " + ".join([f"CAST(rk >= {c} AS INTEGER)" for c in cuts]) or "0"
+    """DuckDB twin: seats by ranking remainders, rows by a plain row_number per class."""
+    values = ", ".join(f"({k}, {r})" for k, r in enumerate(ratios))
+    steps, left = [], "n"
+    for k in range(len(ratios) - 1):
+        steps.append(f"""f{k} AS (SELECT *, {left} AS m{k}, size{k} * {left} // greatest(sum({left}) OVER (), 1) AS fl{k},
+    size{k} * {left} % greatest(sum({left}) OVER (), 1) AS rem{k} FROM {'s0' if k == 0 else f'g{k - 1}, (SELECT size AS size{k} FROM parts WHERE k = {k})'}),
+  g{k} AS (SELECT *, fl{k} + CAST(row_number() OVER (ORDER BY rem{k} DESC, _cls) <= size{k} - sum(fl{k}) OVER () AS INTEGER) AS q{k} FROM f{k})""")
+        left = f"(m{k} - q{k})"
+    cuts = [" + ".join(f"q{j}" for j in range(k + 1)) for k in range(len(ratios) - 1)]
+    part = " + ".join(f"CAST(rk >= {c} AS INTEGER)" for c in cuts) or "0"
     name_list = "[" + ", ".join(f"'{n}'" for n in names) + "]"
-    return f"""(SELECT *, {name_list}[{part} + 1] AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY {class_col} ORDER BY md5(concat_ws(':', {seed}, {id_col})), {id_col}) - 1 AS rk,
-    count(*) OVER (PARTITION BY {class_col}) AS n
-  FROM {view}))"""
+    return f"""(WITH c AS (SELECT {class_col} AS _cls, count(*) AS n FROM {view} GROUP BY 1),
+  ratio AS (SELECT * FROM (VALUES {values}) v(k, r)),
+  share AS (SELECT k, total * r // whole AS fl, total * r % whole AS rem, total
+            FROM ratio, (SELECT CAST(sum(n) AS BIGINT) AS total FROM c), (SELECT sum(r) AS whole FROM ratio)),
+  parts AS (SELECT k, fl + CAST(row_number() OVER (ORDER BY rem DESC, k) <= total - sum(fl) OVER () AS INTEGER) AS size FROM share),
+  s0 AS (SELECT c.*, size AS size0 FROM c, parts WHERE k = 0),
+  {', '.join(steps)},
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY {class_col} ORDER BY md5(concat_ws(':', {seed}, {id_col})), {id_col}) - 1 AS rk FROM {view})
+SELECT ranked.*, {name_list}[CAST({part} AS INTEGER) + 1] AS split
+FROM ranked JOIN g{len(ratios) - 2} ON ranked.{class_col} IS NOT DISTINCT FROM _cls)"""
