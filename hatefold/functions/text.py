@@ -58,28 +58,27 @@ def posexplode_kept(col: Column) -> Column:
     return F.posexplode_outer(col)
 
 
-SCAN_LEVELS = 20
-SHORT_ARRAY = 32
-
-
-def prefix_sum(arr: Column, levels: int = SCAN_LEVELS) -> Column:
-    """Inclusive running sum of an int array.
-
-    Short arrays (the common case) take the direct sum. Up to 2^levels
-    elements: a Hillis-Steele scan unrolled over ``levels`` doublings,
-    O(n log n). (The depth is bounded by the analyzer: each level is a nested
-    higher-order function.) Longer arrays take the direct O(n^2) sum, slower
-    but still exact."""
-    def level(d):
-        # One-argument lambda: PySpark reads a second parameter as the index.
-        return lambda a: F.when(F.size(a) <= d, a).otherwise(F.transform(
-            a, lambda x, i: F.when(i >= d, x + F.coalesce(F.get(a, i - d), F.lit(0))).otherwise(x)))
-
-    def scan(a):
-        out = a
-        for k in range(levels):
-            out = let(out, level(1 << k))
-        direct = F.transform(a, lambda x, i: F.aggregate(F.slice(a, 1, i + 1), F.lit(0), lambda s, v: s + v))
+def running(arr: Column, op, start) -> Column:
+    """Inclusive running ``op`` (associative, ``start`` neutral) of an array.
+
+    Two levels: blocks of about sqrt(n) elements are folded first, then each
+    element folds its block's start with its own part of the block, so an
+    element touches about sqrt(n) values."""
+    def of(a):
         n = F.size(a)
-        return F.when((n <= SHORT_ARRAY) | (n > (1 << levels)), direct).otherwise(out)
-    return let(arr, scan)
+        size = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, size)).otherwise(F.array().cast("array<int>"))
+        fold = lambda x, s: F.aggregate(x, s, op)
+        blocks = F.transform(starts, lambda at: F.slice(a, at + 1, size))
+
+        def scan(bs):
+            folds = F.transform(bs, lambda b: fold(b, F.lit(start)))
+            return F.flatten(F.transform(bs, lambda b, i: let(fold(F.slice(folds, F.lit(1), i), F.lit(start)), lambda before: F.transform(
+                b, lambda x, j: fold(F.slice(b, F.lit(1), j + 1), before)))))
+        return let(blocks, scan)
+    return let(arr, of)
+
+
+def prefix_sum(arr: Column) -> Column:
+    """Inclusive running sum of an int array."""
+    return running(arr, lambda s, v: s + v, 0)

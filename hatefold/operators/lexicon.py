@@ -8,14 +8,16 @@ offset. Each occurring form is located with one ``split`` per text, which gives
 Python ``re.finditer``'s left-to-right non-overlapping matches. No shuffle and
 no text x lexicon nested loop.
 
-The compiled trie is inlined in the plan only behind a size check of the
-lexicon (form count and total characters). Above it, a distributed q-gram
+The compiled lexicon is inlined in the plan, as one constant, only behind a
+size check (form count and total characters). Above it, a distributed q-gram
 candidate join finds the forms per text instead, so an unbounded mined lexicon
-never passes through the driver.
+never passes through the driver. Both paths give the same matches for every row.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -145,10 +147,6 @@ def _match_structs(text: Column, form: Column, entries: Column) -> Column:
             e["type"].alias("type"))))))
 
 
-def _lit_str_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
 def match_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "text",
                   id_col: str = "doc_id", out_col: str = "matches",
                   max_inline_forms: int = MAX_INLINE_FORMS,
@@ -169,23 +167,26 @@ def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS
     ``counts_only`` the output is ``array<struct<seed, form, n>>`` (matches per
     occurring form) and no offsets are computed."""
     forms = lexicon_forms(lexicon)
-    # One bounded fetch is both the size check and the compile input: at most
-    # max_inline_forms + 1 rows ever reach the driver.
-    rows = forms.limit(max_inline_forms + 1).collect() if max_inline_forms > 0 else [None]
-    if len(rows) <= max_inline_forms and sum(len(r["form"]) for r in rows) <= max_inline_chars:
-        compiled = _compile_inline(rows)
+    # Both sizes are checked before anything is fetched.
+    n, n_chars = forms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("form")), F.lit(0))).first()
+    if n <= max_inline_forms and n_chars <= max_inline_chars:
+        compiled = _compile_inline(forms.collect())
         return lambda df, text_col="text", id_col="doc_id", out_col="matches": _apply_inline(
             df, compiled, text_col, out_col, counts_only)
     if counts_only:
         return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
-            df, forms, text_col, id_col, out_col).withColumn(out_col, form_counts(F.col(out_col)))
+            df, forms, text_col, out_col).withColumn(out_col, form_counts(F.col(out_col)))
     return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
-        df, forms, text_col, id_col, out_col)
+        df, forms, text_col, out_col)
 
 
 def _compile_inline(rows):
-    """Trie pattern, prefix-closure map and form -> entries map (driver side,
-    from the size-checked rows)."""
+    """Trie pattern and form -> (prefix forms, entries), driver side, from the
+    size-checked rows.
+
+    The table is one JSON literal that ``from_json`` turns into a constant: an
+    array of small maps, indexed by the CRC of the form, so a lookup does not
+    scan the lexicon and thousands of forms cost one expression to build."""
     if not rows:
         return None
     by_form: dict[str, list] = {}
@@ -195,19 +196,17 @@ def _compile_inline(rows):
     first_chars = "".join(regex_escape_char(c) for c in sorted({f[0] for f in names}))
     pattern = "(?=[" + first_chars + "])(?=(" + trie_pattern(names) + "))"
     clo = prefix_closure(names)
-    closure_map = F.map_from_arrays(_lit_str_array(names),
-                                    F.array(*[_lit_str_array(clo[f]) for f in names]))
-    entry_type = "array<struct<seed:string,seed_ord:bigint,form_ord:int,type:string>>"
-    entries_map = F.map_from_arrays(
-        _lit_str_array(names),
-        F.array(*[F.array(*[F.struct(F.lit(r["seed"]).alias("seed"),
-                                     F.lit(int(r["seed_ord"])).cast("bigint").alias("seed_ord"),
-                                     F.lit(int(r["form_ord"])).cast("int").alias("form_ord"),
-                                     F.lit(r["type"]).cast("string").alias("type"))
-                            for r in by_form[f]]).cast(entry_type) for f in names]))
-    return pattern, closure_map, entries_map
+    buckets = [{} for _ in range(len(names))]
+    for f in names:
+        entries = [{"seed": r["seed"], "seed_ord": r["seed_ord"], "form_ord": r["form_ord"], "type": r["type"]} for r in by_form[f]]
+        buckets[zlib.crc32(f.encode()) % len(buckets)][f] = {"prefixes": clo[f], "entries": entries}
+    table = F.from_json(F.lit(json.dumps(buckets)), _TABLE_TYPE)
+    return pattern, lambda form: F.element_at(F.get(table, F.pmod(F.crc32(form), F.lit(len(buckets))).cast("int")), form)
 
 
+_ENTRY_TYPE = "struct<seed:string,seed_ord:bigint,form_ord:int,type:string>"
+_TABLE_TYPE = f"array<map<string,struct<prefixes:array<string>,entries:array<{_ENTRY_TYPE}>>>>"
+
 COUNT_TYPE = T.ArrayType(T.StructType([T.StructField("seed", T.StringType()),
                                        T.StructField("form", T.StringType()),
                                        T.StructField("n", T.IntegerType())]))
@@ -224,47 +223,45 @@ def _count_structs(text: Column, form: Column, entries: Column) -> Column:
 def _apply_inline(df: DataFrame, compiled, text_col: str, out_col: str, counts_only: bool = False) -> DataFrame:
     if compiled is None:
         return df.withColumn(out_col, F.array().cast(COUNT_TYPE if counts_only else T.ArrayType(MATCH_TYPE)))
-    pattern, closure_map, entries_map = compiled
+    pattern, lookup = compiled
     text = text_or_empty(F.col(text_col))
     tmp = f"__{out_col}_forms"
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
-    occurring = F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(closure_map, k))))
+    occurring = F.array_distinct(F.flatten(F.transform(found, lambda k: lookup(k)["prefixes"])))
     out = df.withColumn(tmp, occurring)
-    if counts_only:
-        counts = F.flatten(F.transform(F.col(tmp), lambda f: _count_structs(
-            text, f, F.element_at(entries_map, f))))
-        return out.withColumn(out_col, F.sort_array(counts)).drop(tmp)
-    matches = F.flatten(F.transform(F.col(tmp), lambda f: _match_structs(
-        text, f, F.element_at(entries_map, f))))
-    return out.withColumn(out_col, F.sort_array(matches)).drop(tmp)
+    structs = _count_structs if counts_only else _match_structs
+    hits = F.flatten(F.transform(F.col(tmp), lambda f: structs(text, f, lookup(f)["entries"])))
+    return out.withColumn(out_col, F.sort_array(hits)).drop(tmp)
 
 
-def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, id_col: str,
-                       out_col: str) -> DataFrame:
+MAX_GRAM = 4
+
+
+def _match_distributed(df: DataFrame, forms: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """Candidate forms per text by a q-gram equi-join, verified row-locally.
 
-    Each text contributes its distinct q-grams (no text travels); the grams
-    join the forms keyed by their first q-gram (AQE splits a hot gram); the
-    candidates are collected per text id and joined back to the texts once,
-    so a text is never copied per candidate. Matching then runs in the row
-    exactly as on the inline path."""
-    min_len = forms.agg(F.min(F.length("form"))).first()[0]
-    q = max(1, min(4, int(min_len)))
-    entry = F.struct("seed", "seed_ord", "form_ord", "type")
-    keyed_forms = forms.select(F.substring("form", 1, q).alias("gram"), "form", entry.alias("e"))
+    A form is keyed by its first MAX_GRAM characters, a shorter one by all of
+    them, so short forms do not blunt the keys of long ones. Each text
+    contributes its distinct grams of the lengths that occur (no text travels)
+    under the digest of the text: rows with equal texts share candidates, and
+    ids need be neither unique nor present. The candidates are collected per
+    digest and joined back to the texts once, so a text is never copied per
+    candidate. Matching then runs in the row exactly as on the inline path."""
+    by_form = forms.groupBy("form").agg(F.collect_list(F.struct("seed", "seed_ord", "form_ord", "type")).alias("entries"))
+    gram = F.substring("form", 1, MAX_GRAM)
+    keyed_forms = by_form.select(gram.alias("gram"), "form", "entries")
+    lengths = sorted(r[0] for r in forms.select(F.length(gram)).distinct().collect())  # MAX_GRAM rows at most
     text = text_or_empty(F.col(text_col))
-    grams = (df.select(F.col(id_col).alias("_id"),
-                       explode_kept(F.array_distinct(F.regexp_extract_all(
-                           text, F.lit("(?s)(?=(\\P{Cs}" + "." * (q - 1) + "))"), 1))).alias("gram"))
-             .where(F.col("gram").isNotNull()))
-    cands = (grams.join(keyed_forms, "gram")
-             .groupBy("_id").agg(F.collect_list(F.struct("form", F.array("e").alias("entries"))).alias("_cands")))
-    j = df.join(cands, df[id_col] == cands["_id"], "left").drop("_id")
-    t = text_or_empty(F.col(text_col))
-    hits = F.filter(F.coalesce(F.col("_cands"), F.array().cast(
-        "array<struct<form:string,entries:array<struct<seed:string,seed_ord:bigint,form_ord:int,type:string>>>>")),
-        lambda c: t.contains(c["form"]))
-    matches = F.flatten(F.transform(hits, lambda c: _match_structs(t, c["form"], c["entries"])))
+    digest = F.sha2(text, 256)
+    grams = F.concat(*[F.regexp_extract_all(text, F.lit("(?s)(?=(\\P{Cs}" + "." * (q - 1) + "))"), 1) for q in lengths])
+    pairs = (df.select(digest.alias("_text_key"), explode_kept(F.array_distinct(grams)).alias("gram"))
+             .where(F.col("gram").isNotNull()).distinct())
+    cands = (pairs.join(keyed_forms, "gram")
+             .groupBy("_text_key").agg(F.collect_list(F.struct("form", "entries")).alias("_cands")))
+    j = df.withColumn("_text_key", digest).join(cands, "_text_key", "left").drop("_text_key")
+    none = F.array().cast(f"array<struct<form:string,entries:array<{_ENTRY_TYPE}>>>")
+    hits = F.filter(F.coalesce(F.col("_cands"), none), lambda c: text.contains(c["form"]))
+    matches = F.flatten(F.transform(hits, lambda c: _match_structs(text, c["form"], c["entries"])))
     return j.withColumn(out_col, F.sort_array(matches)).drop("_cands")
 
 
@@ -385,26 +382,26 @@ def clean_terms(terms: DataFrame, min_freq: int = FV.MIN_FREQ, rules: InsultRule
 # Merging mined terms into the manual lexicon
 # --------------------------------------------------------------------------
 
-MAX_BROADCAST_FORMS = 1_000_000
-
-
 def merge_lexicon(manual: DataFrame, mined: DataFrame, auto_type: str = FV.AUTO_TYPE) -> DataFrame:
     """Keep every manual seed; add a mined term only when it is neither a seed
-    nor any canonical / jamo form of the manual lexicon. New seeds are ordered
-    after the manual ones, by their position in the mined table."""
+    nor any canonical / jamo form of the manual lexicon.
+
+    Added seeds follow the manual ones with an ordinal each, by their position
+    in the mined table, else by descending frequency, then by term. The result
+    is one plan: write it (``write_lexicon``) before using it more than once."""
     existing = (manual.select(F.explode(F.array_union(
         F.array(F.col("seed")),
         F.array_union(F.coalesce("canonical", F.array().cast("array<string>")),
                       F.coalesce("jamo", F.array().cast("array<string>"))))).alias("term"))
         .distinct())
-    n_manual, max_ord = manual.agg(F.count(F.lit(1)), F.max("seed_ord")).first()
-    n_existing = existing.count()
-    if n_existing <= MAX_BROADCAST_FORMS:
-        existing = F.broadcast(existing)
+    max_ord = manual.agg(F.max("seed_ord")).first()[0]
     base = (max_ord + 1) if max_ord is not None else 0
-    added = (mined.join(existing, "term", "left_anti")
-             .select(F.col("term").alias("seed"),
-                     (F.lit(base).cast("long") + F.coalesce(F.col("pos"), F.lit(0)).cast("long")).alias("seed_ord"),
+    # The side is broadcast if its measured size allows it; no hint.
+    added = (mined.join(existing, "term", "left_anti").select("term", "pos", "freq")
+             .orderBy(F.asc_nulls_last("pos"), F.desc("freq"), "term"))
+    numbered = added.select("term").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    added = (mined.sparkSession.createDataFrame(numbered, "term string, rank long")
+             .select(F.col("term").alias("seed"), (F.lit(base).cast("long") + F.col("rank")).alias("seed_ord"),
                      F.array(F.col("term")).alias("canonical"),
                      F.array().cast("array<string>").alias("jamo"),
                      F.lit(auto_type).alias("type"),

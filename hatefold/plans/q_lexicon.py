@@ -82,9 +82,13 @@ def term_frequencies(spark, sf_dir):
 
 # ---------------------------------------------------------------- P9 + A5 + J1
 
+PREFIXES = [*B.WORDS, "thwh", "erwh", "ered"]
+
+
 def _data_rules():
-    """Insult rules bound to the fixture: the word list as banned prefixes."""
-    return LX.InsultRules(safe_words=[], ban_prefix=list(B.WORDS), exception_prefix=None,
+    """Insult rules bound to the fixture: its word list, and prefixes of invented
+    words that the lexicon does not hold yet, as banned prefixes."""
+    return LX.InsultRules(safe_words=[], ban_prefix=PREFIXES, exception_prefix=None,
                           safe_after_exception=[], fragments=[])
 
 
@@ -100,7 +104,7 @@ terms AS (
   GROUP BY term)
 SELECT term, freq FROM terms
 WHERE freq >= 3 AND length(term) >= 2 AND NOT regexp_matches(term, '^[0-9]+$')
-  AND (""" + " OR ".join(f"starts_with(term, '{w}')" for w in B.WORDS) + """)
+  AND (""" + " OR ".join(f"starts_with(term, '{w}')" for w in PREFIXES) + """)
 """
 
 
@@ -110,27 +114,56 @@ def clean_mined_terms(spark, sf_dir):
     return LX.clean_terms(_toxic_terms(spark, sf_dir), rules=_data_rules()).select("term", "freq")
 
 
-_MERGE_SQL = with_views("posts", "lexicon") + """,
+MERGED_CTE = with_views("posts", "lexicon") + """,
 terms AS (
   SELECT term, count(*) AS freq
   FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM posts WHERE hate_label <> 'clean')
   GROUP BY term),
 mined AS (
-  SELECT term FROM terms
+  SELECT term, freq FROM terms
   WHERE freq >= 3 AND length(term) >= 2 AND NOT regexp_matches(term, '^[0-9]+$')
-    AND (""" + " OR ".join(f"starts_with(term, '{w}')" for w in B.WORDS) + """)),
+    AND (""" + " OR ".join(f"starts_with(term, '{w}')" for w in PREFIXES) + """)),
 existing AS (
   SELECT seed AS term FROM lexicon UNION SELECT unnest(canonical) FROM lexicon
-  UNION SELECT unnest(jamo) FROM lexicon)
-SELECT seed, type, array_to_string(canonical, '|') AS canonical FROM lexicon
-UNION ALL
-SELECT term AS seed, 'auto_profanity' AS type, term AS canonical
-FROM mined WHERE term NOT IN (SELECT term FROM existing WHERE term IS NOT NULL)
+  UNION SELECT unnest(jamo) FROM lexicon),
+merged AS (
+  SELECT seed, seed_ord, type, array_to_string(canonical, '|') AS canonical FROM lexicon
+  UNION ALL
+  SELECT term AS seed, row_number() OVER (ORDER BY freq DESC, term) - 1 + (SELECT max(seed_ord) + 1 FROM lexicon) AS seed_ord,
+    'auto_profanity' AS type, term AS canonical
+  FROM mined WHERE term NOT IN (SELECT term FROM existing WHERE term IS NOT NULL))
 """
+_MERGE_SQL = MERGED_CTE + "SELECT seed, seed_ord, type, canonical FROM merged"
 
 
 @register("merged_lexicon", _MERGE_SQL)
 def merged_lexicon(spark, sf_dir):
     mined = LX.clean_terms(_toxic_terms(spark, sf_dir), rules=_data_rules())
     merged = LX.merge_lexicon(B.lexicon(spark), mined)
-    return merged.select("seed", "type", F.array_join("canonical", "|").alias("canonical"))
+    return merged.select("seed", "seed_ord", "type", F.array_join("canonical", "|").alias("canonical"))
+
+
+# ---------------------------------------------------------------- J2, both paths
+
+_PATHS_SQL = with_views("lexicon_forms") + """,
+hits AS (
+  SELECT c.conv_id, c.turn, f.form,
+    CAST((length(c.text) - length(replace(c.text, f.form, ''))) / length(f.form) AS INTEGER) AS n
+  FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations) c, lexicon_forms f)
+SELECT p.path, conv_id, turn, form, n FROM hits, (VALUES ('inline'), ('distributed')) p(path) WHERE n > 0
+"""
+
+
+@register("matcher_paths", _PATHS_SQL)
+def matcher_paths(spark, sf_dir):
+    """The same lexicon through the inlined and the distributed matcher, over
+    messages whose conv_id repeats."""
+    conv = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    out = None
+    for path, limit in (("inline", LX.MAX_INLINE_FORMS), ("distributed", 0)):
+        matcher = LX.prepare_matcher(B.lexicon(spark), max_inline_forms=limit, counts_only=True)
+        rows = (matcher(conv, "text", "conv_id", "counts").select("conv_id", "turn", explode_kept(F.col("counts")).alias("c"))
+                .where(F.col("c").isNotNull())
+                .select(F.lit(path).alias("path"), "conv_id", "turn", "c.form", "c.n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

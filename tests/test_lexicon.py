@@ -207,3 +207,32 @@ def test_count_lexicon_inline_and_distributed(spark):
         out = LX.prepare_matcher(lex, max_inline_forms=limit, counts_only=True)(df, "text", "doc_id", "counts")
         got = {(r["doc_id"], c["seed"], c["form"]): c["n"] for r in out.collect() for c in r["counts"]}
         assert got == want, limit
+
+
+def test_both_paths_agree_on_repeated_and_null_ids(spark):
+    texts = [(7, "ab aba"), (7, "ab"), (None, "aa c."), (8, None), (7, "ab aba"), (None, "z")]
+    forms = [("s0", ["ab", "aba"]), ("s1", ["a"]), ("s2", ["c.", "*a"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    lex = _lexicon(spark, forms)
+    for counts_only in (False, True):
+        a, b = ([(str(r["doc_id"]), r["text"], [tuple(x) for x in r["m"]]) for r in LX.prepare_matcher(
+            lex, max_inline_forms=n, counts_only=counts_only)(df, "text", "doc_id", "m").collect()] for n in (LX.MAX_INLINE_FORMS, 0))
+        assert sorted(a, key=str) == sorted(b, key=str) and sum(len(x[2]) for x in a) > 0
+
+
+def test_large_lexicon_compiles_in_seconds(spark):
+    import time
+    forms = [f"w{i}x" for i in range(5000)]
+    lex = spark.createDataFrame([(f, i, [f], [], "profanity", []) for i, f in enumerate(forms)], LX.LEXICON_SCHEMA)
+    df = spark.createDataFrame([(i, f"a w{i}x w{i * 7 % 5000}x b") for i in range(200)], "doc_id long, text string")
+    t = time.time()
+    rows = LX.match_lexicon(df, lex).collect()
+    assert time.time() - t < 60  # 5,000 column expressions per lookup table took minutes
+    assert all({m["form"] for m in r["matches"]} == {f"w{r['doc_id']}x", f"w{r['doc_id'] * 7 % 5000}x"} for r in rows)
+
+
+def test_added_seeds_have_an_ordinal_each(spark):
+    manual = _lexicon(spark, [("s0", ["ab"]), ("s1", ["aa"])])
+    mined = spark.createDataFrame([("zz", 5, None), ("aab", 3, None), ("aaa", 5, None), ("ab", 9, None)], "term string, freq long, pos long")
+    got = {r["seed"]: r["seed_ord"] for r in LX.merge_lexicon(manual, mined).collect()}
+    assert got == {"s0": 0, "s1": 1, "aaa": 2, "zz": 3, "aab": 4}
