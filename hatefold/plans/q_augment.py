@@ -165,6 +165,36 @@ def training_set_counts(spark, sf_dir):
     return ts.groupBy("split", "origin", "hate_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- offline pipeline
+
+def _offline_sql() -> str:
+    from .q_lexicon import MERGED_CTE
+    return (MERGED_CTE + """,
+lexicon_forms AS (
+  SELECT seed, seed_ord, type, CAST(i - 1 AS INTEGER) AS form_ord, forms[i] AS form
+  FROM (SELECT *, string_split(canonical, '|') AS forms FROM merged), range(1, len(forms) + 1) r(i))"""
+            + _TARGETS + _variants_sql("targets", FV.MAX_NEW_OFFLINE) + """
+SELECT t.doc_id AS parent_id, v.v AS text, t.hate_label FROM variants v JOIN targets t ON v.doc_id = t.doc_id
+""")
+
+
+@register("offline_pipeline", _offline_sql())
+def offline_pipeline(spark, sf_dir):
+    """Mine -> clean -> merge -> write -> read back -> augment: the lexicon grown
+    from the corpus is written once, and rewrites the corpus it came from."""
+    from ..operators import lexicon as LX
+    from ..operators.labels import class_filter
+    from ..session import scratch_path
+    from ..sources import io as IO
+    from .q_lexicon import _data_rules, _toxic_terms
+    path = scratch_path(spark, "lexicon")
+    mined = LX.clean_terms(_toxic_terms(spark, sf_dir), rules=_data_rules())
+    IO.write_lexicon(LX.merge_lexicon(B.lexicon(spark), mined), path)
+    targets = class_filter(B.posts(spark, sf_dir), FV.OFFLINE_TARGET_CLASSES)
+    aug = AU.augment(targets, IO.read_lexicon(spark, path), max_new=FV.MAX_NEW_OFFLINE, seed=SEED)
+    return aug.select("parent_id", "text", "hate_label")
+
+
 # ---------------------------------------------------------------- F5
 
 def _jamo_sql(col: str) -> str:
