@@ -16,10 +16,6 @@ from ..functions.scores import (argmax, binarize, logsumexp, lrap_row, one_hot,
 from ..plans import fixed_values as FV
 
 
-def _r(c: Column, name: str, digits: int = 6) -> Column:
-    return F.round(c, digits).alias(name)
-
-
 def _div0(num: Column, den: Column) -> Column:
     """num / den with 0/0 -> 0 (zero_division=0)."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
@@ -63,36 +59,38 @@ def single_label_scores(conf: DataFrame) -> DataFrame:
         F.avg(f1).alias("macro_f1"))
 
 
+def _single_label_bundle(rows: DataFrame, n_classes: int) -> DataFrame:
+    """accuracy, micro F1, macro F1 over the classes seen, mean LRAP, from rows
+    (y, pred, lrap): one aggregation with conditional counts per class."""
+    y, pred = F.col("y"), F.col("pred")
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(F.when(y == pred, 1)).alias("hit"), F.sum("lrap").alias("lrap_sum")]
+    for c in range(n_classes):
+        aggs += [F.count(F.when((y == c) & (pred == c), 1)).alias(f"tp{c}"),
+                 F.count(F.when((y == c) | (pred == c), 1)).alias(f"any{c}")]
+    s = rows.agg(*aggs)
+    # 2 tp + fp + fn = tp + (rows that have the class on either side)
+    f1 = [_div0(2 * F.col(f"tp{c}"), F.col(f"tp{c}") + F.col(f"any{c}")) for c in range(n_classes)]
+    seen = sum((F.col(f"any{c}") > 0).cast("int") for c in range(n_classes))
+    return s.select((F.col("hit") / F.col("n")).alias("accuracy"), (F.col("hit") / F.col("n")).alias("micro_f1"),
+                    (sum(f1) / F.when(seen > 0, seen)).alias("macro_f1"), (F.col("lrap_sum") / F.col("n")).alias("lrap"))
+
+
 def coarse_metrics(scored: DataFrame, y_col: str = "y_coarse", logits_col: str = "logits_coarse",
                    n_classes: int = 3) -> DataFrame:
-    """Accuracy, micro F1, macro F1, LRAP (one row)."""
+    """Accuracy, micro F1, macro F1, LRAP (one row, one pass)."""
     probs = scored.select(F.col(y_col).cast("int").alias("y"), softmax(logits_col).alias("p"))
-    probs = probs.select("y", "p", argmax("p").alias("pred"),
-                         lrap_row(one_hot(F.col("y"), n_classes), F.col("p")).alias("lrap"))
-    conf = probs.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"),
-                                          F.sum("lrap").alias("lrap_sum"))
-    lr = conf.agg((F.sum("lrap_sum") / F.sum("n")).alias("lrap"))
-    s = single_label_scores(conf.select("y", "pred", "n"))
-    # Both sides are one-row aggregates; union + max avoids a cross join.
-    both = (s.select("accuracy", "micro_f1", "macro_f1", F.lit(None).cast("double").alias("lrap"))
-            .unionByName(lr.select(*[F.lit(None).cast("double").alias(c)
-                                     for c in ("accuracy", "micro_f1", "macro_f1")], "lrap")))
-    return both.agg(*[_r(F.max(c), c) for c in ("accuracy", "micro_f1", "macro_f1", "lrap")])
+    return _single_label_bundle(probs.select("y", argmax("p").alias("pred"),
+                                             lrap_row(one_hot(F.col("y"), n_classes), F.col("p")).alias("lrap")), n_classes)
 
 
 def single_label_metrics(scored: DataFrame, y_col: str = "y", logits_col: str = "logits",
                          n_classes: int = 10) -> DataFrame:
-    """A16 baseline bundle from logits: accuracy, macro F1, LRAP (ranking on logits)."""
+    """A16 baseline bundle from logits: accuracy, macro F1, LRAP (ranking on
+    logits), in one pass."""
     rows = scored.select(F.col(y_col).cast("int").alias("y"), F.col(logits_col).alias("z"))
-    rows = rows.select("y", argmax("z").alias("pred"),
-                       lrap_row(one_hot(F.col("y"), n_classes), F.col("z")).alias("lrap"))
-    conf = rows.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("lrap").alias("lrap_sum"))
-    lr = conf.agg((F.sum("lrap_sum") / F.sum("n")).alias("lrap"))
-    s = single_label_scores(conf.select("y", "pred", "n"))
-    both = (s.select("accuracy", "macro_f1", F.lit(None).cast("double").alias("lrap"))
-            .unionByName(lr.select(F.lit(None).cast("double").alias("accuracy"),
-                                   F.lit(None).cast("double").alias("macro_f1"), "lrap")))
-    return both.agg(*[_r(F.max(c), c) for c in ("accuracy", "macro_f1", "lrap")])
+    return _single_label_bundle(rows.select("y", argmax("z").alias("pred"),
+                                            lrap_row(one_hot(F.col("y"), n_classes), F.col("z")).alias("lrap")),
+                                n_classes).drop("micro_f1")
 
 
 # ---------------------------------------------------------------- multi-label
@@ -126,13 +124,13 @@ def fine_metrics(scored: DataFrame, y_col: str = "y_fine", logits_col: str = "lo
     jac = [_div0(F.col(f"tp{j}"), F.col(f"tp{j}") + F.col(f"fp{j}") + F.col(f"fn{j}"))
            for j in range(n_labels)]
     return s.select(
-        _r(_div0(2 * tp, 2 * tp + fp + fn), "micro_f1"),
-        _r(sum(f1s) / n_labels, "macro_f1"),
-        _r(F.col("mism") / (F.col("n") * n_labels), "hamming_loss"),
-        _r(F.col("exact") / F.col("n"), "subset_accuracy"),
-        _r(_div0(tp, tp + fp + fn), "jaccard_micro"),
-        _r(sum(jac) / n_labels, "jaccard_macro"),
-        _r(F.col("lrap_sum") / F.col("n"), "lrap"))
+        _div0(2 * tp, 2 * tp + fp + fn).alias("micro_f1"),
+        (sum(f1s) / n_labels).alias("macro_f1"),
+        (F.col("mism") / (F.col("n") * n_labels)).alias("hamming_loss"),
+        (F.col("exact") / F.col("n")).alias("subset_accuracy"),
+        _div0(tp, tp + fp + fn).alias("jaccard_micro"),
+        (sum(jac) / n_labels).alias("jaccard_macro"),
+        (F.col("lrap_sum") / F.col("n")).alias("lrap"))
 
 
 # ---------------------------------------------------------------- weights (A2, A3)
@@ -179,7 +177,7 @@ def consistency_penalty(zc: Column, zf: Column) -> Column:
     p = softmax(zc)
     f = sigmoid(zf)
     clean = p[0]
-    toxic = F.aggregate(F.slice(p, 2, 1 << 20), F.lit(0.0), lambda a, x: a + x)
+    toxic = F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.lit(0.0), lambda a, x: a + x)
     no_fine = F.aggregate(f, F.lit(1.0), lambda a, x: a * (F.lit(1.0) - x))
     return clean * (F.lit(1.0) - no_fine) + toxic * no_fine
 
@@ -217,7 +215,7 @@ def losses(scored: DataFrame, lambda_fine: float = 1.0, lambda_hier: float = 1.0
     bce_p = sum(F.col(f"a{j}") + F.col(f"b{j}") for j in range(n_labels)) / (n * n_labels)
     ce = F.col("s_all") / n
     pen = F.col("pen") / n
-    return s.select(_r(ce_w, "ce_weighted"), _r(ce, "ce"), _r(bce_w, "bce_pos_weighted"),
-                    _r(bce_p, "bce"), _r(pen, "penalty"),
-                    _r(ce_w + lambda_fine * bce_w, "loss_flat"),
-                    _r(ce + lambda_fine * bce_p + lambda_hier * pen, "loss_hier"))
+    return s.select(ce_w.alias("ce_weighted"), ce.alias("ce"), bce_w.alias("bce_pos_weighted"),
+                    bce_p.alias("bce"), pen.alias("penalty"),
+                    (ce_w + lambda_fine * bce_w).alias("loss_flat"),
+                    (ce + lambda_fine * bce_p + lambda_hier * pen).alias("loss_hier"))

@@ -114,3 +114,8 @@ def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("run_id"), epoch.alias("epoch"),
                      F.col("value").alias("loss"),
                      F.get_json_object("props", "$.k").cast("long").alias("n_rows"))
+
+
+def rounded(df, digits: int = 6):
+    """Doubles at the precision that the oracles compare."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

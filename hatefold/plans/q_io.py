@@ -81,7 +81,7 @@ def lexicon_json_roundtrip(spark, sf_dir):
     mined = LX.clean_terms(LX.mine_terms(posts.where(F.col("hate_label") != "clean")), rules=_data_rules())
     IO.write_lexicon(LX.merge_lexicon(B.lexicon(spark), mined), path)
     back = IO.read_lexicon(spark, path)
-    return back.select("seed", "type", F.array_join("canonical", "|").alias("canonical"))
+    return back.select("seed", "seed_ord", "type", F.array_join("canonical", "|").alias("canonical"))
 
 
 def _records_sql() -> str:
@@ -100,7 +100,7 @@ def metric_records(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     stack = ", ".join(f"'{c}', {c}" for c in M.FINE_METRICS)
     for run, sc in (("a", B.scored(spark, sf_dir)), ("b", B.scored_b(spark, sf_dir))):
-        bundle = M.fine_metrics(sc)
+        bundle = B.rounded(M.fine_metrics(sc))
         rec = bundle.selectExpr(f"stack({len(M.FINE_METRICS)}, {stack}) as (metric, value)").select(
             F.lit(run).alias("run_id"), F.lit(1).alias("epoch"), F.lit("valid").alias("split"),
             F.lit("fine").alias("head"), "metric", "value")

@@ -72,7 +72,7 @@ r AS (SELECT y, list_position(p, list_max(p)) - 1 AS pred,
 
 @register("coarse_metrics", _COARSE_SQL)
 def coarse_metrics(spark, sf_dir):
-    return M.coarse_metrics(B.scored(spark, sf_dir))
+    return B.rounded(M.coarse_metrics(B.scored(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- A8
@@ -103,7 +103,7 @@ r AS (SELECT y, list_position(logits, list_max(logits)) - 1 AS pred,
 
 @register("baseline_metrics", _SINGLE_SQL)
 def baseline_metrics(spark, sf_dir):
-    return M.single_label_metrics(B.logits10(spark, sf_dir))
+    return B.rounded(M.single_label_metrics(B.logits10(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- A9-A13, A15
@@ -141,12 +141,12 @@ FROM s
 
 @register("fine_metrics", _fine_sql("scored"))
 def fine_metrics(spark, sf_dir):
-    return M.fine_metrics(B.scored(spark, sf_dir))
+    return B.rounded(M.fine_metrics(B.scored(spark, sf_dir)))
 
 
 @register("fine_metrics_model_b", _fine_sql("scored_b"))
 def fine_metrics_model_b(spark, sf_dir):
-    return M.fine_metrics(B.scored_b(spark, sf_dir))
+    return B.rounded(M.fine_metrics(B.scored_b(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- A17-A20
@@ -193,7 +193,7 @@ FROM agg
 
 @register("losses", _losses_sql())
 def losses(spark, sf_dir):
-    return M.losses(B.scored(spark, sf_dir))
+    return B.rounded(M.losses(B.scored(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- A19 per row

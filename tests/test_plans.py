@@ -41,18 +41,27 @@ def test_fine_metrics_single_aggregation(spark):
     assert plan.count("Exchange") == 1  # one single-partition exchange of partial sums
 
 
-def test_split_has_no_class_wide_window(spark):
-    df = E.queries()["split_assignment"](spark, SF_MID)
-    windows = [ln for ln in _plan(df).split("\n") if "Window [" in ln]
-    assert windows
-    for w in windows:
-        part = re.search(r"\], \[([^\]]*)\]", w).group(1)
-        if "row_number()" in w:
-            # row-level ranks run only inside (class, hash bucket)
-            assert "_cls" in part and "_b" in part, w
-        else:
-            # class-wide windows only over the bounded (class, bucket) count table
-            assert "sum(_cnt" in w, w
+def _final_plan(df):
+    df.collect()
+    return _plan(df).split("== Initial Plan ==")[0]
+
+
+def test_split_is_one_pass_with_a_broadcast_of_cuts(spark):
+    plan = _final_plan(E.queries()["split_assignment"](spark, SF_MID))
+    # labels and cuts are broadcast; rows are neither ranked nor shuffled
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan and "Union" not in plan
+
+
+def test_early_stopping_is_one_shuffle_of_the_history(spark):
+    plan = _final_plan(E.queries()["early_stopping"](spark, SF_MID))
+    assert plan.count("Window [") == 2 and plan.count("Scan parquet") == 1
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_metric_bundles_read_the_scores_once(spark):
+    for name in ("coarse_metrics", "baseline_metrics"):
+        plan = _final_plan(E.queries()[name](spark, SF_MID))
+        assert plan.count("Scan parquet") == 1, name
 
 
 def test_column_pruning_reaches_the_scan(spark):
