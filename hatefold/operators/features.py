@@ -47,7 +47,7 @@ def mllib_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM
     return out.drop("_grams"), stages
 
 
-def term_vocabulary(terms: DataFrame, vocab_size: int = 30_000, term_col: str = "term",
+def term_vocabulary(terms: DataFrame, vocab_size: int, term_col: str = "term",
                     freq_col: str = "freq", reserved: int = 2) -> DataFrame:
     """The ``vocab_size`` most frequent terms with ids by descending frequency
     (ties by term); ids 0 and 1 are reserved for padding and unknown.
@@ -66,15 +66,18 @@ def encode_text(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_co
     attention mask. Tokens keep their position through the join, and the ids
     are re-assembled in order per row."""
     # The whole text is tokenised; truncation to the model length happens on
-    # the token array, so only max_len tokens per row are exploded.
+    # the token array, so only max_len tokens per row are exploded. A row number
+    # keeps rows that share an id apart (all tokens of a row leave one task, so
+    # it need only be unique there), and a text without tokens keeps its null
+    # row: the input is read once and joined with nothing but the vocabulary.
     tokens = F.slice(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(pattern), 0), 1, max_len)
-    toks = df.select(id_col, posexplode_kept(tokens).alias("pos", "term")).where(F.col("term").isNotNull())
-    # The vocabulary is bounded by its size parameter, so it is broadcast.
-    ids = (toks.join(F.broadcast(vocab.withColumnRenamed(vocab.columns[0], "term")), "term", "left")
-           .withColumn("token_id", F.coalesce("token_id", F.lit(unk_id))))
-    grouped = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
-    enc = df.select(id_col).join(grouped, id_col, "left").withColumn(
-        "_ids", F.coalesce(F.transform("_t", lambda s: s["token_id"]), F.array().cast("array<int>")))
+    toks = df.select(id_col, F.monotonically_increasing_id().alias("_row"), tokens.alias("_tokens")).select(
+        id_col, "_row", posexplode_kept("_tokens").alias("pos", "term"))
+    # No broadcast hint: a small vocabulary is broadcast by its measured size.
+    ids = (toks.join(vocab.withColumnRenamed(vocab.columns[0], "term"), "term", "left")
+           .withColumn("token_id", F.when(F.col("term").isNotNull(), F.coalesce("token_id", F.lit(unk_id)))))
+    enc = ids.groupBy(id_col, "_row").agg(F.transform(F.sort_array(F.collect_list(
+        F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id")))), lambda s: s["token_id"]).alias("_ids"))
     n = F.size("_ids")
     return enc.select(
         id_col,

@@ -47,12 +47,17 @@ def crosswalk_labels(df: DataFrame, mapping: DataFrame, labels: list[str],
 
     Mapping rows with a micro value match that (macro, micro) pair; rows with a
     null micro match any micro of the macro. A specific match wins; anything
-    unmatched becomes an all-zero row."""
+    unmatched becomes an all-zero row. A repeated mapping row counts once; two
+    targets for one key raise."""
     n_map = mapping.count()
-    spec = mapping.where(F.col("micro").isNotNull()).select(
-        F.col("macro").alias("_m1"), F.col("micro").alias("_u1"), F.col("target").alias("_t1"))
-    gen = (mapping.where(F.col("micro").isNull())
-           .groupBy(F.col("macro").alias("_m2")).agg(F.first("target").alias("_t2")))
+
+    def one_target(rows, *keys):
+        lo, hi = F.min("target"), F.max("target")
+        target = F.when(lo == hi, lo).otherwise(F.raise_error(F.concat_ws(
+            " ", F.lit("conflicting crosswalk targets:"), lo, hi)))
+        return rows.groupBy(*keys).agg(target.alias("t"))
+    spec = one_target(mapping.where(F.col("micro").isNotNull()), "macro", "micro").toDF("_m1", "_u1", "_t1")
+    gen = one_target(mapping.where(F.col("micro").isNull()), "macro").toDF("_m2", "_t2")
     if n_map <= MAX_BROADCAST_MAPPING:
         spec, gen = F.broadcast(spec), F.broadcast(gen)
     j = (df.join(spec, (df[macro_col] == spec["_m1"]) & (df[micro_col] == spec["_u1"]), "left")
@@ -76,10 +81,9 @@ def collapse_labels(df: DataFrame, priority=FV.COLLAPSE_PRIORITY, label_col: str
 def coarse_encode(col: Column, classes: list[str] = FV.COARSE_CLASSES, strict: bool = True) -> Column:
     """Class name -> id; unknown raises in strict mode, else null."""
     m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    v = F.element_at(m, col) if not strict else None
-    if not strict:
-        return v
     looked = F.try_element_at(m, col)
+    if not strict:
+        return looked
     return F.when(looked.isNull(), F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(col, F.lit("null"))))
                   ).otherwise(looked).cast("int")
 

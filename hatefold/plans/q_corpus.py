@@ -186,14 +186,31 @@ def split_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- S5
 
-@register("two_way_split", _COMBINED_CTE + ", keyed AS (SELECT source || ':' || doc_id AS row_key, labels FROM comb)\n"
-          + "SELECT row_key, labels, split FROM "
-          + SP.split_oracle_sql("keyed", "labels", "row_key", FV.TWO_WAY_RATIOS, FV.SPLIT_NAMES_2))
+def split_by_document(corpus, ratios=FV.TWO_WAY_RATIOS, names=FV.SPLIT_NAMES_2, seed: int = 42):
+    """S5 over documents: a document is drawn by its smallest label id, and all its
+    rows (the main and the aux copy) go to one part, so no text is in two parts."""
+    docs = corpus.groupBy("doc_id").agg(F.min("labels").alias("stratum"))
+    part = SP.stratified_split(docs, "stratum", "doc_id", ratios, names, seed).select("doc_id", "split")
+    return corpus.join(part, "doc_id")
+
+
+_BY_DOC_CTE = _COMBINED_CTE + ", docs AS (SELECT doc_id, min(labels) AS stratum FROM comb GROUP BY 1), part AS (SELECT doc_id, split FROM " + (
+    SP.split_oracle_sql("docs", "stratum", "doc_id", FV.TWO_WAY_RATIOS, FV.SPLIT_NAMES_2)) + ")"
+
+
+@register("two_way_split", _BY_DOC_CTE + """
+SELECT source || ':' || comb.doc_id AS row_key, labels, split FROM comb JOIN part ON comb.doc_id = part.doc_id""")
 def two_way_split(spark, sf_dir):
-    c = _combined(spark, sf_dir).select(
-        F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("row_key"), "labels")
-    s = SP.stratified_split(c, "labels", "row_key", FV.TWO_WAY_RATIOS, FV.SPLIT_NAMES_2)
-    return s.select("row_key", "labels", "split")
+    s = split_by_document(_combined(spark, sf_dir))
+    return s.select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("row_key"), "labels", "split")
+
+
+@register("split_leaks", """
+SELECT CAST(0 AS BIGINT) AS n_leaked, count(*) AS n_documents FROM documents""")
+def split_leaks(spark, sf_dir):
+    """Documents with rows in more than one part: none."""
+    parts = split_by_document(_combined(spark, sf_dir)).groupBy("doc_id").agg(F.countDistinct("split").alias("n"))
+    return parts.agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_leaked"), F.count(F.lit(1)).alias("n_documents"))
 
 
 # ---------------------------------------------------------------- W1, W2

@@ -16,7 +16,7 @@ from ..operators import lexicon as LX
 from . import bindings as B
 from . import fixed_values as FV
 from .oracle_views import with_views
-from .q_corpus import _combined
+from .q_corpus import _combined, split_by_document
 
 QUERIES = {}
 ORACLE = {}
@@ -72,7 +72,7 @@ FROM enc
 @register("encoded_text", _ENCODE_SQL)
 def encoded_text(spark, sf_dir):
     posts = B.posts(spark, sf_dir)
-    vocab = FE.term_vocabulary(LX.mine_terms(posts))
+    vocab = FE.term_vocabulary(LX.mine_terms(posts), vocab_size=30_000)
     enc = FE.encode_text(posts, vocab)
     return enc.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
@@ -140,10 +140,9 @@ def batch_scoring(spark, sf_dir):
 # ---------------------------------------------------------------- M4 / M5 / M10 (baseline)
 
 def _baseline_frames(spark, sf_dir, mode: str = "combined"):
-    comb = _combined(spark, sf_dir)
-    keyed = comb.select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("row_key"),
-                        "source", "labels", "text")
-    split = SP.stratified_split(keyed, "labels", "row_key", FV.TWO_WAY_RATIOS, FV.SPLIT_NAMES_2, SEED)
+    # By document, so that no text of a held-out row is in train.
+    split = split_by_document(_combined(spark, sf_dir), seed=SEED).select(
+        F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("row_key"), "source", "labels", "text", "split")
     feats, _ = FE.mllib_features(split, dim=DIM)
     train = L.training_source(feats.where(F.col("split") == "train"), mode)
     valid = feats.where(F.col("split") == "valid")

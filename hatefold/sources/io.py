@@ -9,22 +9,23 @@ from pyspark.sql import types as T
 from ..operators.lexicon import LEXICON_SCHEMA, parse_count
 
 
-def _text_reader(spark: SparkSession, schema: T.StructType, sep: str):
-    # multiLine is required: quoted fields may hold newlines. A UTF-8 BOM on
-    # the header is stripped by Spark's CSV source.
+def _text_reader(spark: SparkSession, schema: T.StructType, sep: str, multi_line: bool):
+    # Quoted fields that hold newlines need multiLine, which makes a file one
+    # task; without such fields, turn it off and files are split. A UTF-8 BOM
+    # on the header is stripped by Spark's CSV source.
     return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             .option("encoding", "UTF-8").option("mode", "FAILFAST"))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """IO1: tab-separated corpus with a header."""
-    return _text_reader(spark, schema, "\t").csv(path)
+    return _text_reader(spark, schema, "\t", multi_line).csv(path)
 
 
-def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """IO2 / IO3: comma-separated corpus, with or without a BOM."""
-    return _text_reader(spark, schema, ",").csv(path)
+    return _text_reader(spark, schema, ",", multi_line).csv(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
@@ -44,12 +45,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 
 def convert_tsv(spark: SparkSession, src: str, dst: str, schema: T.StructType,
-                partition_by: list[str] | None = None) -> DataFrame:
+                partition_by: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """IO4: TSV corpus -> parquet table; returns the table as read back."""
-    write_table(read_tsv(spark, src, schema), dst, "parquet", partition_by)
+    write_table(read_tsv(spark, src, schema, multi_line), dst, "parquet", partition_by)
     return spark.read.parquet(dst)
 
 
+# A broken file raises instead of reading as an empty table.
+_STRICT = {"mode": "FAILFAST"}
+
 TERM_FREQ_SCHEMA = "map<string,string>"
 
 
@@ -59,7 +63,7 @@ def read_term_freq(spark: SparkSession, path: str) -> DataFrame:
     A single JSON object cannot be split, so each file is one task; large
     mined tables should use the JSON-lines form (``read_term_freq_lines``)."""
     raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.from_json("value", TERM_FREQ_SCHEMA).alias("m"))
+    m = raw.select(F.from_json("value", TERM_FREQ_SCHEMA, _STRICT).alias("m"))
     e = m.select(F.posexplode(F.map_entries("m")).alias("pos", "kv"))
     return e.select(F.col("kv.key").alias("term"), parse_count(F.col("kv.value")).alias("freq"),
                     F.col("pos").cast("long").alias("pos"))
@@ -69,7 +73,7 @@ def read_term_freq_lines(spark: SparkSession, path: str) -> DataFrame:
     """IO6, splittable form: JSON lines {"term": ..., "count": ..., "pos": ...}."""
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.StringType()),
                            T.StructField("pos", T.LongType())])
-    df = spark.read.schema(schema).json(path)
+    df = spark.read.schema(schema).options(**_STRICT).json(path)
     return df.select("term", parse_count(F.col("count")).alias("freq"), "pos")
 
 
@@ -87,13 +91,14 @@ def read_lexicon(spark: SparkSession, path: str | None, default: DataFrame | Non
             raise FileNotFoundError("no lexicon path")
         if path.endswith(".json"):
             raw = spark.read.text(path, wholetext=True)
-            m = raw.select(F.from_json("value", _LEXICON_ENTRY).alias("m"))
+            m = raw.select(F.from_json("value", _LEXICON_ENTRY, _STRICT).alias("m"))
             e = m.select(F.posexplode(F.map_entries("m")).alias("pos", "kv"))
             return e.select(F.col("kv.key").alias("seed"), F.col("pos").cast("long").alias("seed_ord"),
                             "kv.value.canonical", "kv.value.jamo", "kv.value.type", "kv.value.targets")
-        return spark.read.schema(LEXICON_SCHEMA).json(path)
-    except (AnalysisException, FileNotFoundError):
-        if default is None:
+        return spark.read.schema(LEXICON_SCHEMA).options(**_STRICT).json(path)
+    except (AnalysisException, FileNotFoundError) as e:
+        absent = isinstance(e, FileNotFoundError) or e.getCondition() == "PATH_NOT_FOUND"
+        if default is None or not absent:
             raise
         return default
 

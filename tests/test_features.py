@@ -26,3 +26,11 @@ def test_vocabulary_and_encoding(spark):
     assert enc[1] == ([2, 3, 1, 4], [1, 1, 1, 1])      # truncated to 4, "d" unknown -> 1
     assert enc[2] == ([0, 0, 0, 0], [0, 0, 0, 0])      # padded
     assert enc[3] == ([3, 3, 3, 3], [1, 1, 1, 1])
+
+
+def test_encoding_keeps_rows_that_share_an_id(spark):
+    terms = spark.createDataFrame([("a", 2), ("b", 1)], "term string, freq long")
+    vocab = FE.term_vocabulary(terms, vocab_size=2)
+    docs = spark.createDataFrame([(7, "a a"), (7, "b"), (7, None), (None, "b a")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["input_ids"]) for r in FE.encode_text(docs, vocab, max_len=3).collect())
+    assert got == [("7", [0, 0, 0]), ("7", [2, 2, 0]), ("7", [3, 0, 0]), ("None", [3, 2, 0])]

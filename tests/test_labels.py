@@ -58,3 +58,13 @@ def test_training_source_and_skip_blank(spark):
 def test_class_filter_without_column(spark):
     df = spark.createDataFrame([(1,)], "x int")
     assert L.class_filter(df, ["hate"]).count() == 1
+
+
+def test_crosswalk_counts_repeated_rows_once_and_rejects_conflicts(spark):
+    df = spark.createDataFrame([(1, "m", "u"), (2, "m", "x")], "id long, macrolabel string, microlabel string")
+    twice = L.mapping_frame(spark, [("m", "u", "a"), ("m", "u", "a"), ("m", None, "b"), ("m", None, "b")])
+    got = {r["id"]: (r["a"], r["b"]) for r in L.crosswalk_labels(df, twice, ["a", "b"]).collect()}
+    assert got == {1: (1, 0), 2: (0, 1)}
+    for rows in ([("m", "u", "a"), ("m", "u", "b")], [("m", None, "a"), ("m", None, "b")]):
+        with pytest.raises(Exception, match="conflicting crosswalk targets"):
+            L.crosswalk_labels(df, L.mapping_frame(spark, rows), ["a", "b"]).collect()
