@@ -3,7 +3,7 @@
 On a cluster the caller owns the session; nothing here overrides settings that
 are already present. Scratch output always goes under ``spark.checkpoint.dir``
 (a shared folder on a cluster); a private temporary folder is only created when
-that setting is absent, as in local tests.
+that setting is absent and the session is a local one, as in tests.
 """
 
 from __future__ import annotations
@@ -42,16 +42,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster, or a private one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder named by the cluster, or a private one of a
+    local session. A cluster without the setting is an error: a folder of the
+    driver's own disk would not reach the executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        try:
-            spark.conf.set("spark.checkpoint.dir", root)
-        except Exception:  # noqa: BLE001 - some sessions refuse core settings at runtime
-            pass
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
