@@ -75,12 +75,19 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the word."""
-    x = x.astype(np.uint64)
-    x ^= x >> np.uint64(30)
+    return _mix(x.astype(np.uint64))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    t = x >> np.uint64(30)
+    x ^= t
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
     return x
 
 
@@ -106,16 +113,31 @@ class SpanHash:
             mixed = worker_cache("mixed-bytes", lambda: mix64(np.arange(256, dtype=np.uint64) + _GOLD))[codes]
         else:
             mixed = mix64(codes.astype(np.uint64) + _GOLD)
-        np.cumsum(mixed * up[:n], out=self.sums[1:])
+        mixed *= up[:n]
+        np.cumsum(mixed, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def windows(self, w: int) -> np.ndarray:
+        """The hashes of all spans of ``w`` codes, by start."""
+        out = self.sums[w:] - self.sums[:-w]
+        out *= self.down[:len(out)]
+        out += np.uint64(w)
+        return _mix(out)
 
 
 def packed(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def lowest(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, starts of the runs of equal keys and the end, lowest value of each run)."""
+    order = np.argsort(key)
+    runs = same_runs(key[order])
+    return order, runs, np.minimum.reduceat(value[order], runs[:-1]) if len(order) else value
+
+
 def same_runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys, and the end: [s0, s1, ..., n]."""
     if not len(sorted_keys):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import packed, same_runs
+from .common import lowest, packed, same_runs
 
 SHARED = "block long, bucket long, prints binary"
 _LOW = np.uint64(0xFFFFFFFF)
@@ -33,6 +33,8 @@ def bucket_of(prints: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray):
     """(bucket, places) of each bucket that occurs."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
     runs = same_runs(bucket[order])
     for a, z in zip(runs[:-1], runs[1:]):
@@ -41,14 +43,11 @@ def by_bucket(bucket: np.ndarray):
 
 def twice_at_most(prints: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """One entry per (print, owner), but two per print at most."""
-    order = np.lexsort((owner, prints))
-    p, o = prints[order], owner[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
-    p = p[new]
-    third = np.zeros(len(p), bool)
-    third[2:] = (p[2:] == p[1:-1]) & (p[2:] == p[:-2])
-    return p[~third]
+    order, runs, low = lowest(prints, owner)
+    if not len(order):
+        return prints
+    p = prints[order[runs[:-1]]]
+    return np.concatenate([p, p[np.maximum.reduceat(owner[order], runs[:-1]) != low]])
 
 
 def _twice(table: pa.Table) -> pa.Table:

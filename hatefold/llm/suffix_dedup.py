@@ -14,7 +14,7 @@ A suffix array over a whole corpus fits no task, so the work is dealt by content
 3. A block sends, for each shared anchor, the context: the bytes of all windows that
    have that anchor. Equal contexts of one block are sent once, with the smallest id,
    so a passage that a third of all documents hold costs one row per block.
-4. Per hash bucket the distinct contexts form one text. Its suffix order is built by
+4. Per part of a hash bucket the distinct contexts form one text. Its suffix order is built by
    rank doubling (8, 16, 32, width bytes). Where neighbours in suffix order share
    ``width`` bytes, LCP values reach ``width``, and the previous and next smaller
    document of a suffix within that stretch are its earlier matches: its longest
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, SpanHash, mix64, packed, same_runs, slices, text_buffer, written
+from .common import SLICE_BYTES, SpanHash, lowest, mix64, packed, slices, text_buffer, written
 from .shared import arrow, bucket_of, by_bucket, is_shared, shared_prints, twice_at_most
 
 WIDTH = 50
@@ -122,29 +122,31 @@ class Block:
         if n < width:
             return
         spans = SpanHash(np.frombuffer(self.raw, np.uint8))
-        start = np.arange(n - gram + 1)
-        grams = spans(start, start + gram)
-        key = (grams & np.uint64(0xFFFFFFFF00000000)) | start.astype(np.uint64)
-        low = _sliding_min(key, width - gram + 1)  # of each window: hash and place of its anchor
-        place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        grams = spans.windows(gram)
+        key = grams & np.uint64(0xFFFFFFFF00000000)
+        key |= np.arange(len(key), dtype=np.uint64)
+        place = _sliding_min(key, width - gram + 1)  # of each window: hash and place of its anchor
+        place &= np.uint64(0xFFFFFFFF)
         room = np.where(self.known, np.diff(self.off) - width + 1, 0)
         room = np.maximum(room, 0)
         if not room.sum():
             return
         window = np.arange(room.sum()) + np.repeat(self.off[:-1] - (np.cumsum(room) - room), room)
         doc = np.repeat(np.arange(len(room)), room)
-        at = place[window]
+        at = place[window].astype(np.int64)
         begins = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
         ends = np.r_[begins[1:], len(window)] - 1
         self.doc, self.low, self.high, self.at = doc[begins], window[begins], window[ends], at[begins]
         self.anchor = grams[self.at]
         self.context = spans(self.low, self.high + width) ^ mix64((self.at - self.low).astype(np.uint64))
-        #: the id of each group's document, and the smallest id with the same context
-        self.owner = self.ids[self.doc]
-        order = np.lexsort((self.owner, self.context))
-        runs = same_runs(self.context[order])
-        self.first = np.empty(len(order), np.int64)
-        self.first[order] = np.repeat(self.owner[order][runs[:-1]], np.diff(runs))
+
+    def owners(self):
+        """The id of each group's document, and the smallest id with the same context."""
+        owner = self.ids[self.doc]
+        first = np.empty(len(owner), np.int64)
+        order, runs, low = lowest(self.context, owner)
+        first[order] = np.repeat(low, np.diff(runs))
+        return owner, first
 
 
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -172,7 +174,7 @@ def _anchor_prints(width, gram):
 
 def _contexts(width, gram, n_buckets):
     def run(block: pa.Table, shared: pa.Table) -> pa.Table:
-        types, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "block", "keys", "firsts", "sizes", "text"]
+        types, names = [pa.int64(), pa.int64(), *[pa.binary()] * 5], ["bucket", "block", "keys", "parts", "firsts", "sizes", "text"]
         rows = []
         if block.num_rows and shared.num_rows:
             row = block.to_pylist()[0]
@@ -182,10 +184,12 @@ def _contexts(width, gram, n_buckets):
             # each context once; which of its equal copies is sent does not matter
             at = np.flatnonzero(hit)
             at = at[np.unique(x.context[at], return_index=True)[1]]
+            _, first = x.owners()
+            parts = (x.anchor >> np.uint64(40)).astype(np.uint8)
             for k, part in by_bucket(bucket[at]):
                 g = at[part]
                 low, high = x.low[g], x.high[g] + width
-                rows.append((k, row["block"], packed(x.context[g]), packed(x.first[g]), packed((high - low).astype(np.uint16)),
+                rows.append((k, row["block"], packed(x.context[g]), packed(parts[g]), packed(first[g]), packed((high - low).astype(np.uint16)),
                              _zip(b"".join([x.raw[a:z] for a, z in zip(low.tolist(), high.tolist())]))))
         return arrow(rows, types, names)
 
@@ -196,71 +200,78 @@ def suffix_ranks(text: np.ndarray, width: int) -> np.ndarray:
     """Rank of the first ``width`` bytes of every suffix with that many bytes, in
     suffix order, by doubling from 8 bytes; equal prefixes have equal ranks."""
     n = len(text)
-    word = np.zeros(max(n - 7, 0), np.uint64)
-    for k in range(8):
-        word = word << np.uint64(8) | text[k:n - 7 + k]
-    rank, have = _dense(word), 8
-    while have < width:
-        step = min(have, width - have)
-        top = rank[:-step] if step else rank
-        rank = _dense(top.astype(np.uint64) << np.uint64(32) | rank[step:].astype(np.uint64))
+    have = min(5, width)
+    key = np.zeros(max(n - have + 1, 0), np.uint64)
+    for k in range(have):
+        key = key << np.uint64(8) | text[k:n - have + 1 + k]
+    rank = _dense(key, 8 * have)
+    while have < width and len(rank):
+        step, bits = min(have, width - have), int(rank.max()).bit_length()
+        rank = _dense(rank[:-step].astype(np.uint64) << np.uint64(bits) | rank[step:].astype(np.uint64), 2 * bits)
         have += step
     return rank
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    out = np.empty(len(key), np.uint32)
-    out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else 0
+def _dense(key: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks of keys of so many bits. Key and place are sorted as one word if they fit."""
+    low = np.uint64(len(key).bit_length())
+    if bits + int(low) <= 64:
+        s = np.sort(key << low | np.arange(len(key), dtype=np.uint64))
+        order, s = (s & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), s >> low
+    else:
+        order = np.argsort(key)
+        s = key[order]
+    out = np.zeros(len(key), np.uint32)
+    out[order[1:]] = np.cumsum(s[1:] != s[:-1])
     return out
 
 
 def earliest_owner(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each suffix, the smallest owner among those whose LCP with it reaches the
     width: the end of the chain of previous and next smaller owners in suffix order."""
-    order = np.lexsort((owner, rank))
-    runs = same_runs(rank[order])
-    out = np.empty(len(rank), np.int64)
-    out[order] = np.repeat(owner[order][runs[:-1]], np.diff(runs))
-    return out
+    least = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, owner)
+    return least[rank]
+
+
+def _masks(keys, firsts, sizes, begin, text, width):
+    """Bit j of a context: its window j also starts in a smaller document than its ``first``."""
+    # distinct contexts, each with the smallest id of all blocks
+    order, runs, first = lowest(keys, firsts)
+    chosen = order[runs[:-1]]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(chosen)), np.diff(runs))
+    n = sizes[chosen]
+    ends = np.cumsum(n)
+    flat = text[np.arange(ends[-1]) + np.repeat(begin[chosen] - (ends - n), n)]
+    room = n - width + 1
+    head = np.cumsum(room) - room
+    start = np.arange(room.sum()) + np.repeat((ends - n) - head, room)
+    earliest = earliest_owner(suffix_ranks(flat, width)[start], np.repeat(first, room))
+    mask = np.zeros(len(keys), np.uint64)
+    for j in range(int(room.max())):
+        has = room[which] > j
+        mask |= np.where(has & (earliest[np.where(has, head[which] + j, 0)] < firsts), np.uint64(1 << j), np.uint64(0))
+    return mask
 
 
 def _earlier(width):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        parts = np.concatenate([np.frombuffer(r["parts"], np.uint8) for r in rows])
         firsts = np.concatenate([np.frombuffer(r["firsts"], np.int64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint16) for r in rows]).astype(np.int64)
-        source = np.repeat(np.arange(len(rows)), [len(r["keys"]) // 8 for r in rows])
+        counts = np.array([len(r["keys"]) // 8 for r in rows])
         text = np.frombuffer(b"".join(_unzip(r["text"]) for r in rows), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        # distinct contexts, each with the smallest id of all blocks
-        order = np.lexsort((firsts, keys))
-        runs = same_runs(keys[order])
-        chosen = order[runs[:-1]]
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.repeat(np.arange(len(chosen)), np.diff(runs))
-        n = sizes[chosen]
-        ends = np.cumsum(n)
-        flat = text[np.arange(ends[-1]) + np.repeat(begin[chosen] - (ends - n), n)]
-        room = n - width + 1
-        start = np.arange(room.sum()) + np.repeat((ends - n) - (np.cumsum(room) - room), room)
-        rank = suffix_ranks(flat, width)[start]
-        earliest = earliest_owner(rank, np.repeat(firsts[chosen], room))
-        head = np.cumsum(room) - room
-        # bit j of a context: its window j also starts in a smaller document than ``first``
         mask = np.zeros(len(keys), np.uint64)
-        for j in range(int(room.max())):
-            has = room[which] > j
-            at = np.where(has, head[which] + j, 0)
-            mask |= np.where(has & (earliest[at] < firsts), np.uint64(1 << j), np.uint64(0))
-        out = []
-        for k, r in enumerate(rows):
-            at = np.flatnonzero((source == k) & (mask != 0)) if len(rows) < 8 else None
-            if at is None:
-                a, z = np.searchsorted(source, [k, k + 1])
-                at = a + np.flatnonzero(mask[a:z])
+        # equal windows have equal anchors, hence equal parts: each part is a text of its own
+        for _, at in by_bucket(parts):
+            mask[at] = _masks(keys[at], firsts[at], sizes[at], begin[at], text, width)
+        out, ends = [], np.cumsum(counts)
+        for r, a, z in zip(rows, (ends - counts).tolist(), ends.tolist()):
+            at = a + np.flatnonzero(mask[a:z])
             if len(at):
                 out.append((r["block"], packed(keys[at]), packed(mask[at])))
         return arrow(out, [pa.int64(), pa.binary(), pa.binary()], ["block", "keys", "masks"])
@@ -284,7 +295,8 @@ def _cut(width, gram, finish):
                 at = order[np.minimum(np.searchsorted(keys[order], x.context), len(keys) - 1)]
                 mask = np.where(keys[at] == x.context, masks[at], np.uint64(0))
             # a larger id than the block's first with this very context: every window is a repeat
-            mask = np.where(x.owner > x.first, np.uint64(2 ** 64 - 1), mask)
+            owner, first = x.owners()
+            mask = np.where(owner > first, np.uint64(2 ** 64 - 1), mask)
             for j in range(width - gram + 1):
                 s = x.low[(mask >> np.uint64(j) & np.uint64(1) == 1) & (x.low + j <= x.high)] + j
                 cover[s] += 1  # windows are distinct places, so no index repeats
@@ -302,7 +314,7 @@ def _pipeline(docs, id_col, text_col, width, gram, finish, schema):
     of_block = held.groupBy("block")
     shared = shared_prints(held.drop("extra"), _anchor_prints(width, gram), n_buckets)
     contexts = of_block.cogroup(shared.groupBy("block")).applyInArrow(
-        _contexts(width, gram, n_buckets), "bucket long, block long, keys binary, firsts binary, sizes binary, text binary")
+        _contexts(width, gram, n_buckets), "bucket long, block long, keys binary, parts binary, firsts binary, sizes binary, text binary")
     answers = contexts.groupBy("bucket").applyInArrow(_earlier(width), "block long, keys binary, masks binary")
     return of_block.cogroup(answers.groupBy("block")).applyInArrow(_cut(width, gram, finish), schema)
 
