@@ -33,10 +33,10 @@ def hashed_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DI
 
 
 def mllib_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM, idf: bool = False,
-                   out_col: str = "features"):
+                   out_col: str = "features", sizes=(2, 3)):
     """Char n-grams -> pyspark.ml HashingTF (+ IDF). Returns (frame, fitted stages)."""
     from pyspark.ml.feature import IDF, HashingTF
-    tok = df.withColumn("_grams", char_ngrams(F.col(text_col)))
+    tok = df.withColumn("_grams", char_ngrams(F.col(text_col), sizes))
     tf = HashingTF(inputCol="_grams", outputCol=out_col if not idf else "_tf", numFeatures=dim)
     out = tf.transform(tok)
     stages = [tf]

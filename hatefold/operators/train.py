@@ -2,11 +2,13 @@
 
 Two-head model (M2 flat, M3 hierarchical): a linear layer over hashed char
 n-gram features with a 3-way softmax head and 8 sigmoid heads, fitted by
-full-batch gradient steps. Each step is one Spark job: ``mapInPandas`` turns
-every partition into one partial gradient (dense dim x 11 plus loss sums) with
-vectorised numpy, partials are merged with a tree reduction, and the driver
-applies an Adam update to the (dim + 1) x 11 weight matrix and broadcasts it.
-The driver only ever holds the weights (bounded by ``dim``), never rows.
+full-batch gradient steps until the loss stops falling. The rows are packed once
+into sparse blocks (index, row and value arrays of some thousand rows), which stay
+persisted. Each step is one Spark job: every partition turns its blocks into one
+partial gradient (dense dim x 11 plus loss sums) with vectorised numpy, partials
+are merged with a tree reduction, and the driver applies an Adam update to the
+11 x (dim + 1) weight matrix and broadcasts it. The driver only ever holds the
+weights (bounded by ``dim``), never rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ N_COARSE = 3
 N_FINE = 8
 N_OUT = N_COARSE + N_FINE
 ROWS_PER_TASK = 256
+#: A bound far above what the tolerances need.
+MAX_STEPS = 1000
 
 
 @dataclass
@@ -86,6 +90,22 @@ def _forward(Wt: np.ndarray, dim: int, idx, row, val, n: int) -> np.ndarray:
     return Z
 
 
+PACKED = "n int, idx binary, row binary, val binary, y binary, yf binary"
+
+
+def _packed_blocks(data: DataFrame, feat_col: str) -> DataFrame:
+    """Rows (features, y, yf) as blocks of sparse arrays, one per Arrow batch."""
+    def pack(batches):
+        for pdf in batches:
+            if len(pdf):
+                idx, row, val = _rows_matrix(pdf[feat_col])
+                yield pd.DataFrame({"n": [len(pdf)], "idx": [idx.astype(np.int32).tobytes()],
+                                    "row": [row.astype(np.int32).tobytes()], "val": [val.tobytes()],
+                                    "y": [pdf["y"].to_numpy().astype(np.int32).tobytes()],
+                                    "yf": [np.stack(pdf["yf"].to_numpy()).astype(np.int8).tobytes()]})
+    return data.mapInPandas(pack, PACKED)
+
+
 def _softmax(z):
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -127,8 +147,8 @@ def head_gradients(zc, zf, y, Y, cw, pw, n_total, w_total, lambda_fine, lambda_h
 
 
 def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0,
-                 lambda_hier: float = 0.0, weighted: bool = True, iterations: int = 60,
-                 lr: float = 0.2, feat_col: str = "features",
+                 lambda_hier: float = 0.0, weighted: bool = True, iterations: int | None = None,
+                 lr: float = 0.2, tol: float = 1e-3, feat_col: str = "features",
                  y_col: str = "y_coarse", yf_col: str = "y_fine", checkpoint: bool = True,
                  valid: DataFrame | None = None, steps_per_epoch: int = 10,
                  monitor: str = "fine_macro_f1", patience: int = FV.PATIENCE) -> TwoHeadModel:
@@ -140,38 +160,40 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
     best ``monitor`` value are kept (strictly greater wins, W1), and training
     stops after ``patience`` epochs without improvement (W2).
 
-    The feature table is written once to the shared checkpoint folder (lineage
+    Training ends when ``steps_per_epoch`` steps lower the loss by less than the
+    share ``tol`` of the first loss (on separable data the loss falls for ever, but
+    not at that rate); ``iterations`` is an optional budget of steps.
+
+    The packed blocks are written once to the shared checkpoint folder (lineage
     cut, so a lost executor does not recompute features mid-training) and
     kept in memory for the iterations."""
     from ..session import checkpoint_root
     spark = train.sparkSession
     data = train.select(feat_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
-    if checkpoint:
-        checkpoint_root(spark)
-        data = data.checkpoint(eager=True)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    # Every step is one pass over this table: spread it over the cores when it
-    # arrives in fewer partitions (a small input file is one partition), at
-    # about ROWS_PER_TASK rows per partition so tiny tables stay in one task.
+    # Every step is one pass over the blocks: spread small inputs (one file is one
+    # partition) over the cores, at about ROWS_PER_TASK rows per partition.
     n_rows = data.count()
     target = min(spark.sparkContext.defaultParallelism, max(1, n_rows // ROWS_PER_TASK))
+    labels = data.select("y", "yf")
     if data.rdd.getNumPartitions() < target:
-        spread = data.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
-        spread.count()
-        data.unpersist()
-        data = spread
+        data = data.repartition(target)
+    blocks = _packed_blocks(data, feat_col)
+    if checkpoint:
+        checkpoint_root(spark)
+        blocks = blocks.checkpoint(eager=True)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     if weighted and not lambda_hier:
-        cw = np.array(_collect_weights(class_weights(data, "y", list(range(N_COARSE))), "class_ord", N_COARSE))
-        yf = data.select([F.col("yf")[j].alias(f"f{j}") for j in range(N_FINE)])
+        cw = np.array(_collect_weights(class_weights(labels, "y", list(range(N_COARSE))), "class_ord", N_COARSE))
+        yf = labels.select([F.col("yf")[j].alias(f"f{j}") for j in range(N_FINE)])
         pw = np.array(_collect_weights(pos_weights(yf, [f"f{j}" for j in range(N_FINE)]), "label_ord", N_FINE))
     else:
         cw, pw = np.ones(N_COARSE), np.ones(N_FINE)
-    counts = {r["y"]: r["n"] for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_total = float(sum(counts.values()))
     w_total = float(sum(cw[k] * v for k, v in counts.items()))
     # Partial gradients are merged on executors in a tree once there are many
     # partitions; with few, one reduce level avoids an extra stage per step.
-    depth = 2 if data.rdd.getNumPartitions() > 32 else 1
+    depth = 2 if blocks.rdd.getNumPartitions() > 32 else 1
     W = np.zeros((N_OUT, dim + 1))
     m1, m2 = np.zeros_like(W), np.zeros_like(W)
     history = []
@@ -181,7 +203,9 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
         from .history import check_monitor
         head, _, metric = check_monitor(monitor).partition("_")
         head_metric = (head, metric)
-    for it in range(1, iterations + 1):
+    it = 0
+    while iterations is None or it < iterations:
+        it += 1
         bw = spark.sparkContext.broadcast(W)
 
         def partial(batches, _bw=bw):
@@ -189,25 +213,23 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
             G = np.zeros_like(Wl)
             loss = 0.0
             for pdf in batches:
-                n = len(pdf)
-                if n == 0:
-                    continue
-                idx, row, val = _rows_matrix(pdf[feat_col])
-                Z = _forward(Wl, dim, idx, row, val, n)
-                y = pdf["y"].to_numpy().astype(int)
-                Y = np.stack(pdf["yf"].to_numpy()).astype(float)
-                bl, dZ = head_gradients(Z[:, :N_COARSE], Z[:, N_COARSE:], y, Y, cw, pw, n_total, w_total,
-                                        lambda_fine, lambda_hier)
-                loss += bl
-                dZt = np.ascontiguousarray(dZ.T)
-                for k in range(N_OUT):
-                    if len(idx):
-                        G[k, :dim] += np.bincount(idx, weights=dZt[k][row] * val, minlength=dim)
-                    G[k, dim] += dZt[k].sum()
-            yield pd.DataFrame({"g": [G.ravel()], "loss": [loss]})
-
-        parts = data.mapInPandas(partial, "g array<double>, loss double")
-        G, loss = parts.rdd.map(lambda r: (np.asarray(r["g"]), r["loss"])).treeReduce(
+                for b in pdf.itertuples(index=False):
+                    idx, row = np.frombuffer(b.idx, np.int32), np.frombuffer(b.row, np.int32)
+                    val, y = np.frombuffer(b.val), np.frombuffer(b.y, np.int32)
+                    Y = np.frombuffer(b.yf, np.int8).reshape(b.n, N_FINE).astype(float)
+                    Z = _forward(Wl, dim, idx, row, val, b.n)
+                    bl, dZ = head_gradients(Z[:, :N_COARSE], Z[:, N_COARSE:], y, Y, cw, pw, n_total, w_total,
+                                            lambda_fine, lambda_hier)
+                    loss += bl
+                    dZt = np.ascontiguousarray(dZ.T)
+                    for k in range(N_OUT):
+                        if len(idx):
+                            G[k, :dim] += np.bincount(idx, weights=dZt[k][row] * val, minlength=dim)
+                        G[k, dim] += dZt[k].sum()
+            yield pd.DataFrame({"g": [G.tobytes()], "loss": [loss]})
+
+        parts = blocks.mapInPandas(partial, "g binary, loss double")
+        G, loss = parts.rdd.map(lambda r: (np.frombuffer(r["g"]), r["loss"])).treeReduce(
             lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=depth)
         G = G.reshape(W.shape)
         # Adam step on the driver (weights are bounded by dim).
@@ -216,6 +238,7 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
         W = W - lr * (m1 / (1 - 0.9 ** it)) / (np.sqrt(m2 / (1 - 0.999 ** it)) + 1e-8)
         history.append((it, float(loss)))
         bw.unpersist()
+        settled = it > steps_per_epoch and history[-1 - steps_per_epoch][1] - loss < tol * history[0][1]
         if valid is not None and it % steps_per_epoch == 0:
             epoch = it // steps_per_epoch
             probe = TwoHeadModel(W, dim, bool(lambda_hier), history)
@@ -231,7 +254,9 @@ def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float =
                 if stale >= patience:
                     stop_ep = epoch
                     break
-    data.unpersist()
+        if settled and (valid is None or it % steps_per_epoch == 0):
+            break
+    blocks.unpersist()
     if valid is not None:
         final = best_W if best_W is not None else W
         return TwoHeadModel(final, dim, bool(lambda_hier), history, records, best_ep,
@@ -282,11 +307,11 @@ def evaluate_two_head(scored: DataFrame, threshold: float = FV.TWO_HEAD_THRESHOL
 # ---------------------------------------------------------------- M4 / M5: baseline classifier
 
 def fit_baseline(train: DataFrame, label_col: str = "labels", features_col: str = "features",
-                 reg_param: float = 0.0, max_iter: int = 50):
-    """M4: multinomial logistic regression (MLlib, distributed L-BFGS)."""
+                 reg_param: float = 0.0, tol: float = 1e-6):
+    """M4: multinomial logistic regression (MLlib, distributed L-BFGS) down to ``tol``."""
     from pyspark.ml.classification import LogisticRegression
     lr = LogisticRegression(family="multinomial", labelCol=label_col, featuresCol=features_col,
-                            regParam=reg_param, maxIter=max_iter)
+                            regParam=reg_param, maxIter=MAX_STEPS, tol=tol)
     return lr.fit(train)
 
 
@@ -303,24 +328,26 @@ def baseline_logits(model, df: DataFrame, keep: tuple = ("row_key", "labels"),
     return pred.select(*keep, logits.alias("logits"))
 
 
-def sweep_baseline(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1), max_iters=(10, 30),
+def sweep_baseline(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1), tols=(1e-4, 1e-6),
                    label_col: str = "labels", features_col: str = "features", n_classes: int | None = None,
                    parallelism: int = 3, keep: tuple = ("row_key", "labels")):
-    """M5: one fit per grid point (ParamGridBuilder) over a cached feature
-    table, fitted concurrently with ``fitMultiple`` (as MLlib's tuning does);
-    returns [(param dict, valid logits DataFrame)] in grid order."""
+    """M5: one fit per grid point (ParamGridBuilder), fitted concurrently with
+    ``fitMultiple`` (as MLlib's tuning does) over a feature table that is kept in
+    memory for the fits; returns [(param dict, valid logits DataFrame)] in grid
+    order. A fit ends at its tolerance."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.tuning import ParamGridBuilder
-    lr = LogisticRegression(family="multinomial", labelCol=label_col, featuresCol=features_col)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters)).build()
-    train = train.cache()
+    lr = LogisticRegression(family="multinomial", labelCol=label_col, featuresCol=features_col, maxIter=MAX_STEPS)
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.tol, list(tols)).build()
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     fits = lr.fitMultiple(train, grid)
     models = [None] * len(grid)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for idx, model in pool.map(lambda _: next(fits), range(len(grid))):
             models[idx] = model
+    train.unpersist()
     out = []
     for pm, model in zip(grid, models):
         params = {p.name: v for p, v in pm.items()}

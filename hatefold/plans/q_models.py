@@ -22,8 +22,9 @@ QUERIES = {}
 ORACLE = {}
 SEED = 42
 DIM = 1 << 12
-ITERATIONS = 60
 LEARNING_RATE = 0.2
+#: A bound; fits end at their tolerance before it, or by early stopping.
+BUDGET = 200
 
 
 def register(name, sql=None):
@@ -42,6 +43,15 @@ def _two_head_input(df):
                     L.pack_fine().alias("y_fine"), *[c for c in ("split", "origin") if c in df.columns])
 
 
+def _materialised(df, name):
+    """Written once in the shared folder: split and features are not evaluated again
+    by the fit, the validation and the scoring."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---------------------------------------------------------------- M1
 
 @register("text_features", with_views("posts") + """
@@ -86,10 +96,12 @@ def _fit_eval(spark, sf_dir, hierarchical: bool, augment: bool, eval_split: str
         ts = AU.build_training_set(posts, B.lexicon(spark), seed=SEED)
     else:
         ts = SP.stratified_split(posts, "hate_label", "doc_id", seed=SEED)
-    data = _two_head_input(ts)
+    data = _materialised(_two_head_input(ts), "features")
     train = data.where(F.col("split") == "train")
+    # Scores of the test part come from the best epoch on the valid part.
+    valid = data.where(F.col("split") == "valid") if eval_split == "test" else None
     model = TR.fit_two_head(train, dim=DIM, lambda_hier=1.0 if hierarchical else 0.0,
-                            weighted=not hierarchical, iterations=ITERATIONS, lr=LEARNING_RATE)
+                            weighted=not hierarchical, lr=LEARNING_RATE, iterations=BUDGET, valid=valid)
     ev = data.where(F.col("split") == eval_split).where(
         F.col("origin") == "original" if "origin" in data.columns else F.lit(True))
     scored = TR.score_two_head(ev, model, keep=("doc_id", "y_coarse", "y_fine"))
@@ -100,14 +112,14 @@ def _fit_eval(spark, sf_dir, hierarchical: bool, augment: bool, eval_split: str
 def two_head_flat(spark, sf_dir):
     """M2 + M6: flat two-head fit on train, metrics on valid."""
     _, m = _fit_eval(spark, sf_dir, hierarchical=False, augment=False)
-    return m
+    return B.rounded(m)
 
 
 @register("two_head_hierarchical")
 def two_head_hierarchical(spark, sf_dir):
     """M3 + M6: hierarchical objective (consistency penalty), metrics on valid."""
     _, m = _fit_eval(spark, sf_dir, hierarchical=True, augment=False)
-    return m
+    return B.rounded(m)
 
 
 @register("experiment_matrix")
@@ -128,9 +140,8 @@ def batch_scoring(spark, sf_dir):
     """M7: score every post with a fitted flat model; two-head result record."""
     posts = B.posts(spark, sf_dir)
     ts = SP.stratified_split(posts, "hate_label", "doc_id", seed=SEED)
-    data = _two_head_input(ts)
-    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, iterations=ITERATIONS,
-                            lr=LEARNING_RATE)
+    data = _materialised(_two_head_input(ts), "features")
+    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, lr=LEARNING_RATE, iterations=BUDGET)
     scored = TR.score_two_head(data, model, keep=("doc_id",))
     rec = S.two_head_record(scored, keep=("doc_id",))
     return rec.select("doc_id", "coarse_pred", F.round("coarse_confidence", 6).alias("coarse_confidence"),
@@ -139,11 +150,12 @@ def batch_scoring(spark, sf_dir):
 
 # ---------------------------------------------------------------- M4 / M5 / M10 (baseline)
 
-def _baseline_frames(spark, sf_dir, mode: str = "combined"):
+def _baseline_frames(spark, sf_dir, mode: str = "combined", sizes=(2, 3), dim: int = DIM):
     # By document, so that no text of a held-out row is in train.
     split = split_by_document(_combined(spark, sf_dir), seed=SEED).select(
         F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("row_key"), "source", "labels", "text", "split")
-    feats, _ = FE.mllib_features(split, dim=DIM)
+    feats, _ = FE.mllib_features(split, dim=dim, sizes=sizes)
+    feats = _materialised(feats.drop("text"), "features")
     train = L.training_source(feats.where(F.col("split") == "train"), mode)
     valid = feats.where(F.col("split") == "valid")
     return train, valid
@@ -153,28 +165,34 @@ def _baseline_frames(spark, sf_dir, mode: str = "combined"):
 def baseline_classifier(spark, sf_dir):
     """M4 + A16: multinomial logistic regression on the combined corpus."""
     train, valid = _baseline_frames(spark, sf_dir)
-    model = TR.fit_baseline(train, max_iter=30)
+    model = TR.fit_baseline(train, reg_param=1e-3)
     lg = TR.baseline_logits(model, valid, n_classes=len(B.AUX_ID2LABEL))
-    return M.single_label_metrics(lg, y_col="labels", n_classes=len(B.AUX_ID2LABEL))
+    return B.rounded(M.single_label_metrics(lg, y_col="labels", n_classes=len(B.AUX_ID2LABEL)))
+
+
+#: 19 runs: four feature sets in place of four encoders, with 6, 1, 6 and 6 settings
+#: (regularisation in place of learning rate, tolerance in place of epochs).
+SWEEP = [("2-3-grams", (2, 3), DIM, (0.001, 0.01, 0.1), (1e-4, 1e-6)), ("2-grams", (2,), DIM, (0.01,), (1e-6,)),
+         ("3-grams", (3,), DIM, (0.001, 0.01, 0.1), (1e-4, 1e-6)), ("2-3-grams, narrow", (2, 3), DIM // 4, (0.001, 0.01, 0.1), (1e-4, 1e-6))]
 
 
 @register("hyperparameter_sweep")
 def hyperparameter_sweep(spark, sf_dir):
-    """M5 + W3: one metrics row per grid point (fitted concurrently over a
-    cached feature table), best run by LRAP flagged."""
-    train, valid = _baseline_frames(spark, sf_dir)
+    """M5 + W3: one metrics row per grid point, best run by LRAP flagged."""
     n_cls = len(B.AUX_ID2LABEL)
-    rows = None
-    for run, (params, lg) in enumerate(TR.sweep_baseline(train, valid, n_classes=n_cls)):
-        m = M.single_label_metrics(lg, y_col="labels", n_classes=n_cls)
-        m = m.select(F.lit(run).alias("run_id"), F.lit(float(params["regParam"])).alias("reg_param"),
-                     F.lit(int(params["maxIter"])).alias("max_iter"), F.lit("combined").alias("corpus"),
-                     "accuracy", "macro_f1", "lrap")
-        rows = m if rows is None else rows.unionByName(m)
-    rows = rows.cache()
+    rows, run = None, 0
+    for name, sizes, dim, regs, tols in SWEEP:
+        train, valid = _baseline_frames(spark, sf_dir, sizes=sizes, dim=dim)
+        for params, lg in TR.sweep_baseline(train, valid, regs, tols, n_classes=n_cls):
+            m = M.single_label_metrics(lg, y_col="labels", n_classes=n_cls)
+            m = B.rounded(m).select(F.lit(run).alias("run_id"), F.lit(name).alias("features"), F.lit(float(params["regParam"])).alias("reg_param"),
+                                    F.lit(float(params["tol"])).alias("tol"), F.lit("combined").alias("corpus"),
+                                    "accuracy", "macro_f1", "lrap")
+            rows, run = (m if rows is None else rows.unionByName(m)), run + 1
+    rows = _materialised(rows, "sweep")
     best = H.best_run(rows, "corpus", "run_id", "lrap").select("corpus", "best_run")
     return rows.join(best, "corpus").select(
-        "run_id", "reg_param", "max_iter", "accuracy", "macro_f1", "lrap",
+        "run_id", "features", "reg_param", "tol", "accuracy", "macro_f1", "lrap",
         (F.col("run_id") == F.col("best_run")).alias("is_best"))
 
 
@@ -187,7 +205,7 @@ def data_ablation(spark, sf_dir):
     train_m = L.training_source(train_c, "main_only")
     out = []
     for t in (train_m, train_c):
-        model = TR.fit_baseline(t, max_iter=30)
+        model = TR.fit_baseline(t, reg_param=1e-3)
         lg = TR.baseline_logits(model, valid, keep=("row_key",), n_classes=len(names)).withColumnRenamed(
             "row_key", "id")
         out.append(S.suspect(lg, names, FV.BASELINE_THRESHOLD))
@@ -206,9 +224,8 @@ def training_history(spark, sf_dir):
     the test metrics of the best weights appended as split 'test' (IO10)."""
     from ..session import scratch_path
     ts = SP.stratified_split(B.posts(spark, sf_dir), "hate_label", "doc_id", seed=SEED)
-    data = _two_head_input(ts).cache()
-    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, iterations=ITERATIONS,
-                            lr=LEARNING_RATE, valid=data.where(F.col("split") == "valid"),
+    data = _materialised(_two_head_input(ts), "features")
+    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, lr=LEARNING_RATE, iterations=BUDGET, valid=data.where(F.col("split") == "valid"),
                             steps_per_epoch=10, monitor="fine_macro_f1")
     path = scratch_path(spark, "train-history")
     rec = spark.createDataFrame([("flat", e, "valid", h, m, float(v) if v is not None else None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["q_lexicon", "q_metrics", "q_corpus", "q_augment", "q_hangul", "q_io", "q_models", "q_stream"]
+_MODULES = ["q_lexicon", "q_metrics", "q_corpus", "q_augment", "q_hangul", "q_io", "q_models", "q_stream", "q_checks"]
 
 
 def _mods():
