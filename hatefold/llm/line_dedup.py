@@ -14,8 +14,9 @@ are compared for equality only, as short lines resemble each other by chance.
 2. Keys that two lines share are found block by block (``shared``); only lines with
    such keys leave their block.
 3. Candidates are verified by banded bit-parallel edit distance over whole lines:
-   first each key's lines against its smallest one, then those pairs of a segment
-   and a probe whose lines are still in different components.
+   first each key's lines against its most common one (of copies with edits, the
+   original), then those pairs of a segment and a probe whose lines are still in
+   different components and whose 3-grams differ in no more than the edits allow.
 
 Cases: null and empty texts have one empty line, which stays; rows with a null id
 are returned, without part in any comparison; rows that share an id are ordered by
@@ -35,7 +36,8 @@ from .components import components
 from .shared import arrow, batch, is_shared, shared_prints, twice_at_most
 from .suffix_dedup import _n_buckets, _unzip, blocks
 
-POSTING = "token long, key binary, size int, role int, text string"
+POSTING = "token long, key binary, role int, text string, bits array<long>"
+GRAM_BITS = 256
 
 
 class Lines:
@@ -61,19 +63,27 @@ class Lines:
         self.z = np.where(last, off[1:][self.doc], np.r_[self.a[1:], 0] - 1) if len(order) else self.a
         self.number = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else self.a
         self.size = self.z - self.a
-        self.n_lines = np.bincount(self.doc, minlength=len(size))
         use = self.known[self.doc] & (self.size >= min_exact)
         if use.any():  # lines of white space alone stay
             blank = np.concatenate([[0], np.cumsum(~np.isin(cp, [9, 10, 11, 12, 13, 32, 0xA0, 0x3000]))])
             use &= blank[self.z] > blank[self.a]
         self.doc, self.a, self.z, self.number, self.size = (x[use] for x in (self.doc, self.a, self.z, self.number, self.size))
-        self.spans = SpanHash(cp)
-        other = SpanHash(cp.astype(np.uint64) + np.uint64(1 << 40))
-        self.keys = np.stack([self.spans(self.a, self.z), other(self.a, self.z)], 1)
-        self.low = self.keys[:, 0]  # stands for a line within its block
-
-    def key(self, i: int) -> bytes:
-        return self.keys[i].tobytes()
+        self.cp, self.spans = cp, SpanHash(cp)
+        self.low = self.spans(self.a, self.z)  # stands for a line within its block
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """128-bit keys of lines, as two words each."""
+        other = SpanHash(self.cp.astype(np.uint64) + np.uint64(1 << 40))
+        return np.stack([self.low[at], other(self.a[at], self.z[at])], 1)
+
+    def grams(self, at: np.ndarray) -> np.ndarray:
+        """GRAM_BITS parity bits of the 3-grams of lines, as words."""
+        n = np.maximum(self.size[at] - 2, 0)
+        of = np.repeat(np.arange(len(at)), n)
+        start = np.arange(len(of)) + np.repeat(self.a[at] - (np.cumsum(n) - n), n)
+        cell = of * GRAM_BITS + (self.spans(start, start + 3) & np.uint64(GRAM_BITS - 1)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(at) * GRAM_BITS) & 1).astype(np.uint8)
+        return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(at), -1)
 
     def distinct(self, min_size: int) -> np.ndarray:
         """One place for each different line of at least ``min_size`` code points."""
@@ -166,7 +176,7 @@ def _banded(pairs, longest, k):
 
 
 def _postings(held, n_buckets, max_edits, min_exact, min_near):
-    """(token, key, size, role) of the shared keys, and (key, text) of their lines."""
+    """(token, key, role) of the shared keys, and (key, text, bits) of their lines."""
 
     def prints_of(row):
         x = _lines(row, min_exact)
@@ -174,24 +184,29 @@ def _postings(held, n_buckets, max_edits, min_exact, min_near):
         return row["block"], twice_at_most(tokens, x.low[lines])
 
     def expand(block: pa.Table, answer: pa.Table) -> pa.Table:
-        types, names = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string()], ["token", "key", "size", "role", "text"]
-        rows = []
-        if block.num_rows and answer.num_rows:
-            x = _lines(block.to_pylist()[0], min_exact)
-            tokens, lines, roles = x.tokens(x.distinct(min_near), max_edits)
-            hit = np.flatnonzero(is_shared(answer, tokens, n_buckets))
-            rows = [(t, x.key(i), s, r, None) for t, i, s, r in zip(
-                tokens[hit].view(np.int64).tolist(), lines[hit].tolist(), x.size[lines[hit]].tolist(), roles[hit].tolist())]
-            rows += [(None, x.key(i), int(x.size[i]), None, x.text[x.a[i]:x.z[i]]) for i in np.unique(lines[hit]).tolist()]
-        return arrow(rows, types, names)
-
+        if not block.num_rows or not answer.num_rows:
+            return empty
+        x = _lines(block.to_pylist()[0], min_exact)
+        tokens, lines, roles = x.tokens(x.distinct(min_near), max_edits)
+        hit = np.flatnonzero(is_shared(answer, tokens, n_buckets))
+        at, which = np.unique(lines[hit], return_inverse=True)
+        keys = [k.tobytes() for k in x.keys(at)]
+        posts = pa.RecordBatch.from_arrays(
+            [pa.array(tokens[hit].view(np.int64)), pa.array([keys[i] for i in which.tolist()], pa.binary()), pa.array(roles[hit], pa.int32()),
+             pa.nulls(len(hit), pa.string()), pa.nulls(len(hit), pa.list_(pa.int64()))], schema=empty.schema)
+        texts = pa.RecordBatch.from_arrays(
+            [pa.nulls(len(at), pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(at), pa.int32()),
+             pa.array([x.text[a:z] for a, z in zip(x.a[at].tolist(), x.z[at].tolist())], pa.string()),
+             pa.array(x.grams(at).tolist(), pa.list_(pa.int64()))], schema=empty.schema)
+        return pa.Table.from_batches([posts, texts])
+
+    empty = pa.schema([("token", pa.int64()), ("key", pa.binary()), ("role", pa.int32()), ("text", pa.string()), ("bits", pa.list_(pa.int64()))]).empty_table()
     held = held.drop("extra")
     shared = shared_prints(held, prints_of, n_buckets)
     return held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(expand, POSTING)
 
 
 def _verified(pairs, texts, max_edits):
-    pairs = written(pairs.distinct(), "pairs")
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
 
@@ -206,22 +221,26 @@ def _verified(pairs, texts, max_edits):
 def line_classes(held, n_buckets: int, max_edits: int, min_exact: int, min_near: int):
     """(node, component) of the lines that near links join, by key."""
     rows = written(_postings(held, n_buckets, max_edits, min_exact, min_near), "line-postings")
-    texts = written(rows.filter("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text")), "line-texts")
-    posts = rows.filter("text IS NULL").groupBy("token", "key").agg(F.max("role").alias("role"), F.max("size").alias("size"))
-    posts = written(posts, "line-keys")
-
-    # a key's smallest line with that segment against all others that have or probe it
-    least = posts.filter("role = 1").groupBy("token").agg(F.min("key").alias("c"))
-    star = posts.join(least, "token").filter("key <> c").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b"))
-    links = _verified(star, texts, max_edits)
+    texts = written(rows.filter("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("bits").alias("bits")), "line-texts")
+    posts = (rows.filter("text IS NULL").groupBy("token", "key").agg(F.max("role").alias("role"), F.count(F.lit(1)).alias("blocks")))
+    # keys that one line alone has, in several blocks, are of no use
+    many = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    posts = written(posts.join(many, "token"), "line-keys")
+
+    # a key's most common line with that segment against all others that have or probe it
+    centre = posts.filter("role = 1").groupBy("token").agg(F.max(F.struct("blocks", "key"))["key"].alias("c"))
+    star = posts.join(centre, "token").filter("key <> c").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b"))
+    links = _verified(star.distinct(), texts, max_edits)
     part = written(components(links), "line-components")
     named = posts.join(part, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
     mixed = named.groupBy("token").agg(F.min("part").alias("l"), F.max("part").alias("h")).filter("l < h").select("token")
-    named = written(named.join(mixed, "token"), "line-mixed")
+    named = written(named.join(mixed, "token").join(texts.select("key", "bits"), "key"), "line-mixed")
     x, y = named.filter("role = 1").alias("x"), named.alias("y")
-    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")))
+    # an edit changes three 3-grams at most on either side
+    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & (apart <= 6 * max_edits))
              .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")))
-    return components(links.union(_verified(pairs, texts, max_edits)))
+    return components(links.union(_verified(pairs.distinct(), texts, max_edits)))
 
 
 def _occurrences(held, min_exact):
@@ -232,7 +251,7 @@ def _occurrences(held, min_exact):
             for row in b.to_pylist():
                 x = _lines(row, min_exact)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.tobytes() for k in x.keys], pa.binary()), pa.array(x.ids[x.doc]), pa.array(x.number.astype(np.int64))],
+                    [pa.array([k.tobytes() for k in x.keys(np.arange(len(x.doc)))], pa.binary()), pa.array(x.ids[x.doc]), pa.array(x.number.astype(np.int64))],
                     names=["key", "doc_id", "line"])
 
     return held.drop("extra").mapInArrow(run, "key binary, doc_id long, line long")
@@ -262,8 +281,10 @@ def repeated_lines(docs, max_edits: int = 2, min_exact: int = 12, min_near: int
     def counts(batches):
         for b in batches:
             for row in b.to_pylist():
-                x = _lines(row, min_exact)
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids, pa.int64(), mask=~x.known), pa.array(x.n_lines.astype(np.int64))], names=["doc_id", "n_lines"])
+                ids, known, size = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("known", bool), ("sizes", np.int64)))
+                feeds = np.concatenate([[0], np.cumsum(np.frombuffer(_unzip(row["text"]), np.uint8) == 10)])
+                ends = np.cumsum(size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=~known), pa.array(feeds[ends] - feeds[ends - size] + 1)], names=["doc_id", "n_lines"])
 
     every = held.drop("extra").mapInArrow(counts, "doc_id long, n_lines long")
     zero = F.lit(0).cast("long")
