@@ -11,11 +11,13 @@ Two documents link when the Jaccard similarity of their sets of word n-grams
    sets share an n-gram among the first n - ceil(percent * n / 100) + 1 of each.
 3. Classes with identical prefixes and size collapse into one group. Only n-grams
    that stand in the prefixes of two groups are dealt out (``shared``).
-4. Group pairs are filtered by size and by the places of the shared n-gram, expanded
-   to their members, and verified over the whole texts. First each n-gram's groups
-   are compared with its smallest group alone, which is linear and joins most
-   groups of copies; links make components, and only pairs of different
-   components remain to be verified. No link between different components is lost.
+4. Group pairs are filtered by size and by the places of the shared n-gram, and
+   expanded to their members. A parity bitmap of each set bounds the overlap of a
+   pair from above (a differing bit stands for at least one n-gram that only one
+   side has); pairs that can still link are verified over the whole texts. First
+   each n-gram's groups are compared with its smallest group alone, which is linear
+   and joins most groups of copies; links make components, and only pairs of
+   different components remain. No link between different components is lost.
 
 Cases: null and empty texts, and texts without words, have empty sets and link with
 nothing; fewer than n words are one n-gram; a null id links with nothing and has no
@@ -38,6 +40,7 @@ FREQUENT = 1 << 20
 COUNTED = 4 << 20
 BLOCK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1 << 20
+MIN_BITS = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -75,7 +78,8 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int):
     for j in range(k):
         more = size > j
         sets = np.where(more, mix64(sets * np.uint64(0x9E3779B97F4A7C15) + words[np.where(more, at + j, 0)]), sets)
-    order = np.lexsort((sets, of))
+    order = np.argsort(sets)
+    order = order[np.argsort(of[order].astype(np.uint16 if n_docs < 1 << 16 else np.int64), kind="stable")]
     sets, of = sets[order], of[order]
     new = np.ones(len(sets), bool)
     new[1:] = (sets[1:] != sets[:-1]) | (of[1:] != of[:-1])
@@ -130,8 +134,22 @@ class GramOrder:
         return keys
 
 
+def parity_bitmaps(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words, bounds): a bitmap per set; bit h is the parity of the n-grams
+    hashed to it. A set has at least as many bits as n-grams, by powers of two, and
+    the xor of a bitmap's halves is the bitmap of half the size."""
+    n = np.diff(bounds)
+    bits = MIN_BITS << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / MIN_BITS)), 0).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(bits)])
+    of = np.repeat(np.arange(len(n)), n)
+    cell = start[:-1][of] + ((sets >> np.uint64(30)).astype(np.int64) & (bits[of] - 1))
+    odd = (np.bincount(cell, minlength=int(start[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), start // 64
+
+
 def prefixes(docs, frequent, id_col, text_col, k, percent):
-    """(doc_id, n, sig, prefix): size, 128-bit signature and prefix of each set."""
+    """(doc_id, n, sig, prefix, bits): size, 128-bit signature, prefix (as 32-bit
+    hashes, which only steer the search) and parity bitmap of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -148,16 +166,20 @@ def prefixes(docs, frequent, id_col, text_col, k, percent):
                         s[some] = np.add.reduceat(mix64(sets ^ np.uint64(salt)), bounds[:-1][some])
                 keys = order(sets)
                 of = np.repeat(np.arange(j - i), n)
-                # keys are spread once more, so that their upper and lower halves can stand for them
-                keys = mix64(keys[np.lexsort((keys, of))])
+                by_key = np.argsort(keys)
+                by_key = by_key[np.argsort(of[by_key].astype(np.uint16 if j - i < 1 << 16 else np.int64), kind="stable")]
+                keys = (mix64(keys[by_key]) >> np.uint64(32)).astype(np.uint32)
                 length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 rows = [packed(keys[a:a + m]) for a, m in zip(bounds[:-1].tolist(), length.tolist())]
                 sig = np.ascontiguousarray(np.stack(sums, 1))
+                words, at = parity_bitmaps(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).cast(pa.int64()).slice(i, j - i), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary()),
-                     pa.array(rows, pa.binary())], names=["doc_id", "n", "sig", "prefix"])
+                     pa.array(rows, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(words))],
+                    names=["doc_id", "n", "sig", "prefix", "bits"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, sig binary, prefix binary")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, sig binary, prefix binary, bits array<long>")
 
 
 def _blocks_of_groups(groups):
@@ -170,13 +192,13 @@ def _blocks_of_groups(groups):
 
         def out():
             return batch([(serial, packed(np.array([h[0] for h in held], np.int64)), packed(np.array([h[1] for h in held], np.int64)),
-                           packed(np.array([len(h[2]) // 8 for h in held], np.int64)), b"".join(h[2] for h in held))],
+                           packed(np.array([len(h[2]) // 4 for h in held], np.int64)), b"".join(h[2] for h in held))],
                          [pa.int64()] + [pa.binary()] * 4, ["block", "gids", "ns", "sizes", "tokens"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in range(3))):
                 held.append(row)
-                size += len(row[2]) // 8
+                size += len(row[2]) // 4
                 if size >= BLOCK_TOKENS:
                     yield out()
                     serial, held, size = serial + 1, [], 0
@@ -189,33 +211,53 @@ def _blocks_of_groups(groups):
 def _postings(groups):
     """(token, gid, n, place) of the prefix n-grams that two groups share."""
     total = groups.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    n_buckets = max(64, -(-total // 8 // BUCKET_TOKENS))
+    n_buckets = max(64, -(-total // 4 // BUCKET_TOKENS))
     held = written(_blocks_of_groups(groups), "groups")
 
     def prints_of(row):
-        tokens, sizes = np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["sizes"], np.int64)
-        return row["block"], twice_at_most(tokens, np.repeat(np.arange(len(sizes)), sizes))
+        tokens, sizes = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["sizes"], np.int64)
+        return row["block"], twice_at_most(mix64(tokens), np.repeat(np.arange(len(sizes)), sizes))
 
     def expand(block: pa.Table, answer: pa.Table) -> pa.Table:
         types, names = [pa.int64()] * 4, ["token", "gid", "n", "place"]
         if not block.num_rows or not answer.num_rows:
             return arrow([], types, names)
         row = block.to_pylist()[0]
-        tokens, sizes = np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["sizes"], np.int64)
-        at = np.flatnonzero(is_shared(answer, tokens, n_buckets))
+        tokens, sizes = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["sizes"], np.int64)
+        at = np.flatnonzero(is_shared(answer, mix64(tokens), n_buckets))
         of = np.repeat(np.arange(len(sizes)), sizes)[at]
         place = at - (np.cumsum(sizes) - sizes)[of]
-        return pa.Table.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(np.frombuffer(row["gids"], np.int64)[of]),
+        return pa.Table.from_arrays([pa.array(tokens[at].astype(np.int64)), pa.array(np.frombuffer(row["gids"], np.int64)[of]),
                                      pa.array(np.frombuffer(row["ns"], np.int64)[of]), pa.array(place)], names=names)
 
     shared = shared_prints(held, prints_of, n_buckets)
     return held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(expand, "token long, gid long, n long, place long")
 
 
-def _verified(pairs, texts, k, percent):
+def _room(percent):
+    """Whether the sets x and y (columns n, bits) can link by their bitmaps."""
+    xor = lambda u, v: F.zip_with(u, v, lambda p, q: p.bitwiseXOR(q))
+    half = lambda u: xor(F.slice(u, F.lit(1), F.shiftright(F.size(u), 1)), F.slice(u, F.shiftright(F.size(u), 1) + 1, F.shiftright(F.size(u), 1)))
+    x, y = F.col("x.bits"), F.col("y.bits")
+    differ = (F.when(F.size(x) == F.size(y), xor(x, y)).when(F.size(x) == F.size(y) * 2, xor(half(x), y))
+              .when(F.size(x) * 2 == F.size(y), xor(x, half(y))).otherwise(F.array().cast("array<long>")))
+    apart = F.aggregate(differ, F.lit(0), lambda s, c: s + F.bit_count(c))
+    both = F.col("x.n") + F.col("y.n")
+    return (both - apart) * (100 + percent) >= both * 2 * percent
+
+
+def _possible(pairs, bits, percent):
+    """The different pairs (a, b) whose bitmaps leave room for a link."""
+    return (pairs.distinct().join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep"))
+            .filter(_room(percent)).select("a", "b").distinct())
+
+
+def _verified(pairs, bits, all_texts, k, percent):
     """The pairs (a, b) whose texts link. Rows of b meet the text of a in slices of at
     most about 64 pairs per (a, salt), read as a stream, so no node is a hot group."""
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(_possible(pairs, bits, percent), "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = written(all_texts.join(ends, "doc_id", "left_semi"), "texts")
     count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).alias("parts"))
     salted = pairs.join(count, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")))
     right = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
@@ -258,44 +300,48 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     """(doc_id, n_shingles, component_id) of every row."""
     rows = written(prefixes(docs, frequent_order(docs, text_col, k), id_col, text_col, k, percent), "prefixes")
     classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "sig").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
+        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+    bits = classes.select("rep", "n", "bits")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     groups = classes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
     postings = written(_postings(groups), "postings")
     members = written(classes.withColumn("key", F.md5("prefix")).join(
         groups.filter("members > 1").select("n", F.md5("prefix").alias("key"), "gid"), ["n", "key"]).select("rep", "gid"), "members")
-    busy = postings.select(F.col("gid").alias("doc_id")).union(members.select(F.col("rep").alias("doc_id"))).distinct()
-    texts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(busy, "doc_id", "left_semi"), "texts")
 
     # links with each n-gram's smallest group, and of each group with its smallest class
     least = postings.groupBy("token").agg(F.min_by(F.struct("gid", "n"), "gid").alias("c"))
     star = (postings.join(least, "token").select(F.col("c.gid").alias("a"), F.col("c.n").alias("m"), F.col("gid").alias("b"), "n")
             .filter((F.col("a") < F.col("b")) & _size_fits("m", "n", percent)).select("a", "b"))
     inner = members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    links = _verified(star.union(inner), texts, k, percent)
+    links = _verified(star.union(inner), bits, texts, k, percent)
 
     # pairs of different components only
     part = written(components(links), "components")
     named = (classes.select("rep", "n").join(members.select("rep", F.col("gid").alias("g")), "rep", "left")
              .select("rep", F.coalesce("g", "rep").alias("gid"))
              .join(part, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("part")))
-    of_group = named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    of_group = named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
     left = postings.join(of_group, "gid")
     mixed = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-    left = written(left.join(mixed, "token"), "mixed")
+    # the bitmap of a group of one is that of its member
+    alone = bits.select(F.col("rep").alias("gid"), "bits")
+    left = left.join(mixed, "token").join(alone, "gid").withColumn("bits", F.when(F.col("members") == 1, F.col("bits")))
+    left = written(left.drop("members"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     overlap = (F.least("x.place", "y.place") + 1
                + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1)
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid"))
                     & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
                     & _size_fits("x.n", "y.n", percent)
-                    & (overlap * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
+                    & (overlap * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+                    & (F.col("x.bits").isNull() | F.col("y.bits").isNull() | _room(percent)))
              .select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct())
     own = of_group.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     g, h = named.alias("p"), named.alias("q")
     expanded = (pairs.union(own).join(g, F.col("g") == F.col("p.gid")).join(h, F.col("h") == F.col("q.gid"))
                 .filter((F.col("p.part") != F.col("q.part")) & ((F.col("g") != F.col("h")) | (F.col("p.rep") < F.col("q.rep"))))
                 .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")))
-    links = links.union(_verified(expanded, texts, k, percent))
+    links = links.union(_verified(expanded, bits, texts, k, percent))
     # rows that share an id but not the set: one node
     several = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("l"), F.max("sig").alias("h")).filter("l <> h")
     same_id = rows.join(several, "doc_id").join(classes.select("n", "sig", "rep"), ["n", "sig"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -304,6 +350,6 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     named = classes.select("n", "sig", "rep").join(part, F.col("rep") == F.col("node"), "left").select(
         "n", "sig", F.coalesce("component", "rep").alias("component"))
     of_class = named.groupBy("n", "sig").agg(F.min("component").alias("component"))
-    return (rows.drop("prefix").join(of_class, ["n", "sig"], "left")
+    return (rows.drop("prefix", "bits").join(of_class, ["n", "sig"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
