@@ -3,6 +3,8 @@ substring hashes, per-worker caches and tables written to the shared folder."""
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,12 +24,30 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark):
+    """Arrow batches of BATCH_ROWS rows at most while a job runs (a batch of 10,000
+    long documents would be held several times over); the caller's setting returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df, name: str):
     """``df`` as a Parquet table in the cluster's shared folder, read back: cuts
     the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +70,10 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string column as (UTF-8 bytes, offsets); null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col.cast(pa.large_string()), "").cast(pa.large_binary())
+    col = col.cast(pa.large_string())
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    col = col.cast(pa.large_binary())
     _, offsets, data = col.buffers()
     off = np.frombuffer(offsets, np.int64)[col.offset:col.offset + len(col) + 1]
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SpanHash, mix64, packed, same_runs, slices, text_buffer, written
+from .common import SpanHash, mix64, packed, slices, small_batches, text_buffer, written
 from .components import components
 from .shared import arrow, batch, bucket_of, is_shared, shared_prints, twice_at_most
 
@@ -110,7 +110,8 @@ def frequent_order(docs, text_col: str, k: int, min_count: int = 4) -> np.ndarra
             yield out()
 
     counts = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
+    with small_batches(docs.sparkSession):
+        top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
     return top["gram"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 

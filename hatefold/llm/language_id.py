@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, text_buffer, written
+from .common import mix64, slices, small_batches, text_buffer, written
 
 CELLS = 1 << 16
 MAX_LANGUAGES = 64
@@ -100,7 +100,8 @@ def fit(labelled, per_language: int = 400, id_col: str = "doc_id", text_col: str
                 at = np.flatnonzero(total[l])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), l)), pa.array(at), pa.array(total[l, at])], names=["l", "cell", "n"])
 
-        rows = sample.mapInArrow(count, "l long, cell long, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
+        with small_batches(labelled.sparkSession):
+            rows = sample.mapInArrow(count, "l long, cell long, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
         counts[rows["cell"].to_numpy(np.int64), rows["l"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     model = np.empty((CELLS, len(languages) + 1), np.float32)
     model[:, :-1] = np.log((counts + 0.05) / (counts.sum(0) + 0.05 * CELLS))
