@@ -15,7 +15,7 @@ from ..session import scratch_path
 #: Text is handled in slices of about this many bytes, so that the numpy
 #: arrays of one step stay small whatever the size of an Arrow batch. One
 #: longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

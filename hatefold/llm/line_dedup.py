@@ -27,11 +27,13 @@ pass through ``drop_repeated_lines``.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SpanHash, mix64, same_runs, written
+from .common import SpanHash, mix64, written
 from .components import components
 from .shared import arrow, batch, is_shared, shared_prints, twice_at_most
 from .suffix_dedup import _n_buckets, _unzip, blocks
@@ -68,13 +70,12 @@ class Lines:
             blank = np.concatenate([[0], np.cumsum(~np.isin(cp, [9, 10, 11, 12, 13, 32, 0xA0, 0x3000]))])
             use &= blank[self.z] > blank[self.a]
         self.doc, self.a, self.z, self.number, self.size = (x[use] for x in (self.doc, self.a, self.z, self.number, self.size))
-        self.cp, self.spans = cp, SpanHash(cp)
+        self.spans = SpanHash(cp)
         self.low = self.spans(self.a, self.z)  # stands for a line within its block
 
-    def keys(self, at: np.ndarray) -> np.ndarray:
-        """128-bit keys of lines, as two words each."""
-        other = SpanHash(self.cp.astype(np.uint64) + np.uint64(1 << 40))
-        return np.stack([self.low[at], other(self.a[at], self.z[at])], 1)
+    def keys(self, at: np.ndarray) -> list[bytes]:
+        """128-bit keys of lines: digests of their UTF-8 bytes."""
+        return [hashlib.md5(self.text[a:z].encode(), usedforsecurity=False).digest() for a, z in zip(self.a[at].tolist(), self.z[at].tolist())]
 
     def grams(self, at: np.ndarray) -> np.ndarray:
         """GRAM_BITS parity bits of the 3-grams of lines, as words."""
@@ -190,7 +191,7 @@ def _postings(held, n_buckets, max_edits, min_exact, min_near):
         tokens, lines, roles = x.tokens(x.distinct(min_near), max_edits)
         hit = np.flatnonzero(is_shared(answer, tokens, n_buckets))
         at, which = np.unique(lines[hit], return_inverse=True)
-        keys = [k.tobytes() for k in x.keys(at)]
+        keys = x.keys(at)
         posts = pa.RecordBatch.from_arrays(
             [pa.array(tokens[hit].view(np.int64)), pa.array([keys[i] for i in which.tolist()], pa.binary()), pa.array(roles[hit], pa.int32()),
              pa.nulls(len(hit), pa.string()), pa.nulls(len(hit), pa.list_(pa.int64()))], schema=empty.schema)
@@ -251,7 +252,7 @@ def _occurrences(held, min_exact):
             for row in b.to_pylist():
                 x = _lines(row, min_exact)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.tobytes() for k in x.keys(np.arange(len(x.doc)))], pa.binary()), pa.array(x.ids[x.doc]), pa.array(x.number.astype(np.int64))],
+                    [pa.array(x.keys(np.arange(len(x.doc))), pa.binary()), pa.array(x.ids[x.doc]), pa.array(x.number.astype(np.int64))],
                     names=["key", "doc_id", "line"])
 
     return held.drop("extra").mapInArrow(run, "key binary, doc_id long, line long")
