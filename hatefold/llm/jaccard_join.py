@@ -324,8 +324,11 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     of_group = named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
     left = postings.join(of_group, "gid")
     mixed = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-    # the bitmap of a group of one is that of its member
-    alone = bits.select(F.col("rep").alias("gid"), "bits")
+    # the bitmap of a group of one is that of its member, folded to four words, as it
+    # travels with every n-gram; the whole bitmaps follow in _possible
+    fold = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(
+        F.filter("bits", lambda x, k: k % 4 == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+    alone = bits.select(F.col("rep").alias("gid"), fold.alias("bits"))
     left = left.join(mixed, "token").join(alone, "gid").withColumn("bits", F.when(F.col("members") == 1, F.col("bits")))
     left = written(left.drop("members"), "mixed")
     x, y = left.alias("x"), left.alias("y")
