@@ -307,7 +307,7 @@ def evaluate_two_head(scored: DataFrame, threshold: float = FV.TWO_HEAD_THRESHOL
 # ---------------------------------------------------------------- M4 / M5: baseline classifier
 
 def fit_baseline(train: DataFrame, label_col: str = "labels", features_col: str = "features",
-                 reg_param: float = 0.0, tol: float = 1e-6):
+                 reg_param: float = 0.0, tol: float = 1e-4):
     """M4: multinomial logistic regression (MLlib, distributed L-BFGS) down to ``tol``."""
     from pyspark.ml.classification import LogisticRegression
     lr = LogisticRegression(family="multinomial", labelCol=label_col, featuresCol=features_col,
@@ -328,7 +328,7 @@ def baseline_logits(model, df: DataFrame, keep: tuple = ("row_key", "labels"),
     return pred.select(*keep, logits.alias("logits"))
 
 
-def sweep_baseline(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1), tols=(1e-4, 1e-6),
+def sweep_baseline(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.1), tols=(1e-3, 1e-4),
                    label_col: str = "labels", features_col: str = "features", n_classes: int | None = None,
                    parallelism: int = 3, keep: tuple = ("row_key", "labels")):
     """M5: one fit per grid point (ParamGridBuilder), fitted concurrently with

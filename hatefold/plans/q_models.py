@@ -172,8 +172,8 @@ def baseline_classifier(spark, sf_dir):
 
 #: 19 runs: four feature sets in place of four encoders, with 6, 1, 6 and 6 settings
 #: (regularisation in place of learning rate, tolerance in place of epochs).
-SWEEP = [("2-3-grams", (2, 3), DIM, (0.001, 0.01, 0.1), (1e-4, 1e-6)), ("2-grams", (2,), DIM, (0.01,), (1e-6,)),
-         ("3-grams", (3,), DIM, (0.001, 0.01, 0.1), (1e-4, 1e-6)), ("2-3-grams, narrow", (2, 3), DIM // 4, (0.001, 0.01, 0.1), (1e-4, 1e-6))]
+SWEEP = [("2-3-grams", (2, 3), DIM, (0.001, 0.01, 0.1), (1e-3, 1e-4)), ("2-grams", (2,), DIM, (0.01,), (1e-4,)),
+         ("3-grams", (3,), DIM, (0.001, 0.01, 0.1), (1e-3, 1e-4)), ("2-3-grams, narrow", (2, 3), DIM // 4, (0.001, 0.01, 0.1), (1e-3, 1e-4))]
 
 
 @register("hyperparameter_sweep")
