@@ -4,10 +4,12 @@ Lines (between line feeds, compared by code points) are repeats of each other wh
 they are equal, or when links of at most ``max_edits`` insertions, deletions or
 substitutions join them; of each class the first line stays, by document id and line
 number. Lines shorter than ``min_exact`` stay, and lines shorter than ``min_near``
-are compared for equality only, as short lines resemble each other by chance.
+are compared for equality only, as short lines resemble each other by chance. With
+``chars_per_edit`` the edits follow the length: one for each so many code points of
+the shorter line, ``max_edits`` at most.
 
-1. A line is cut into max_edits + 1 segments. A line with at most max_edits edits
-   holds one of them unchanged, near its place: every line probes the segments of
+1. A line is cut into max_edits + 1 segments (by the edits of its length). A line with
+   at most max_edits edits holds one of them unchanged, near its place: every line probes the segments of
    lines of its own and slightly smaller length, at the few places where a match can
    be part of a full alignment. Keys of segments and probes hash (length, segment
    number, substring).
@@ -91,29 +93,36 @@ class Lines:
         at = np.flatnonzero(self.size >= min_size)
         return at[np.unique(self.low[at], return_index=True)[1]]
 
-    def tokens(self, at: np.ndarray, max_edits: int):
+    def tokens(self, at: np.ndarray, max_edits: int, chars_per_edit: int = 0):
         """(hash, line, role) of the segments (role 1) and probes (role 0)."""
-        parts = max_edits + 1
-        out, lines, roles = [], [], []
-        size, start = self.size[at], self.a[at]
+        out, lines, roles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for shorter in range(max_edits + 1):
-            length = size - shorter  # of the lines whose segments are probed
-            base, longer = length // parts, length % parts
-            place = np.zeros(len(at), np.int64)
-            for i in range(parts):  # the last ``longer`` segments have one more
-                width = base + (i >= parts - longer)
-                tag = mix64((length * parts + i).astype(np.uint64))
-                # offsets that leave i edits before the segment and the rest behind it
-                for shift in range(max(-i, shorter - (max_edits - i)), min(i, shorter + (max_edits - i)) + 1):
-                    a = place + shift
-                    ok = (a >= 0) & (a + width <= size) & (length > 0)
-                    out.append(mix64(self.spans(start[ok] + a[ok], start[ok] + a[ok] + width[ok]) ^ tag[ok]))
-                    lines.append(at[ok])
-                    roles.append(np.full(int(ok.sum()), int(shorter == 0 and shift == 0), np.int32))
-                place = place + width
+            edits = allowed_edits(self.size[at] - shorter, max_edits, chars_per_edit)
+            for k in range(max(shorter, 1) if chars_per_edit else max_edits, max_edits + 1):
+                some = at[edits == k]
+                size, start, parts = self.size[some], self.a[some], k + 1
+                length = size - shorter  # of the lines whose segments are probed
+                base, longer = length // parts, length % parts
+                place = np.zeros(len(some), np.int64)
+                for i in range(parts):  # the last ``longer`` segments have one more
+                    width = base + (i >= parts - longer)
+                    tag = mix64((length * parts + i).astype(np.uint64))
+                    # offsets that leave i edits before the segment and the rest behind it
+                    for shift in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
+                        a = place + shift
+                        ok = (a >= 0) & (a + width <= size) & (length > 0)
+                        out.append(mix64(self.spans(start[ok] + a[ok], start[ok] + a[ok] + width[ok]) ^ tag[ok]))
+                        lines.append(some[ok])
+                        roles.append(np.full(int(ok.sum()), int(shorter == 0 and shift == 0), np.int32))
+                    place = place + width
         return np.concatenate(out), np.concatenate(lines), np.concatenate(roles)
 
 
+def allowed_edits(size: np.ndarray, max_edits: int, chars_per_edit: int) -> np.ndarray:
+    """Edits by which a line may differ from another that is not shorter."""
+    return np.minimum(size // chars_per_edit, max_edits) if chars_per_edit else np.full(len(size), max_edits)
+
+
 def _lines(row, min_exact):
     return Lines(row["ids"], row["known"], row["sizes"], row["text"], min_exact)
 
@@ -176,19 +185,19 @@ def _banded(pairs, longest, k):
     return ok & ((done[k] >> np.where(ok, o, 0).astype(np.uint32)) & one).astype(bool)
 
 
-def _postings(held, n_buckets, max_edits, min_exact, min_near):
+def _postings(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit):
     """(token, key, role) of the shared keys, and (key, text, bits) of their lines."""
 
     def prints_of(row):
         x = _lines(row, min_exact)
-        tokens, lines, _ = x.tokens(x.distinct(min_near), max_edits)
+        tokens, lines, _ = x.tokens(x.distinct(min_near), max_edits, chars_per_edit)
         return row["block"], twice_at_most(tokens, x.low[lines])
 
     def expand(block: pa.Table, answer: pa.Table) -> pa.Table:
         if not block.num_rows or not answer.num_rows:
             return empty
         x = _lines(block.to_pylist()[0], min_exact)
-        tokens, lines, roles = x.tokens(x.distinct(min_near), max_edits)
+        tokens, lines, roles = x.tokens(x.distinct(min_near), max_edits, chars_per_edit)
         hit = np.flatnonzero(is_shared(answer, tokens, n_buckets))
         at, which = np.unique(lines[hit], return_inverse=True)
         keys = x.keys(at)
@@ -207,21 +216,26 @@ def _postings(held, n_buckets, max_edits, min_exact, min_near):
     return held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(expand, POSTING)
 
 
-def _verified(pairs, texts, max_edits):
-    both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+def _verified(pairs, texts, max_edits, chars_per_edit):
+    held = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
 
     def run(batches):
         for b in batches:
-            ok = within_edits(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())), max_edits)
+            both = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            edits = allowed_edits(np.array([min(len(x), len(y)) for x, y in both], np.int64), max_edits, chars_per_edit)
+            ok = np.zeros(len(both), bool)
+            for k in np.unique(edits[edits > 0]).tolist():
+                at = np.flatnonzero(edits == k)
+                ok[at] = within_edits([both[i] for i in at.tolist()], k)
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return written(both.mapInArrow(run, "a binary, b binary"), "links")
+    return written(held.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def line_classes(held, n_buckets: int, max_edits: int, min_exact: int, min_near: int):
+def line_classes(held, n_buckets: int, max_edits: int, min_exact: int, min_near: int, chars_per_edit: int):
     """(node, component) of the lines that near links join, by key."""
-    rows = written(_postings(held, n_buckets, max_edits, min_exact, min_near), "line-postings")
+    rows = written(_postings(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit), "line-postings")
     texts = written(rows.filter("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("bits").alias("bits")), "line-texts")
     posts = (rows.filter("text IS NULL").groupBy("token", "key").agg(F.max("role").alias("role"), F.count(F.lit(1)).alias("blocks")))
     # keys that one line alone has, in several blocks, are of no use
@@ -231,17 +245,18 @@ def line_classes(held, n_buckets: int, max_edits: int, min_exact: int, min_near:
     # a key's most common line with that segment against all others that have or probe it
     centre = posts.filter("role = 1").groupBy("token").agg(F.max(F.struct("blocks", "key"))["key"].alias("c"))
     star = posts.join(centre, "token").filter("key <> c").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b"))
-    links = _verified(star.distinct(), texts, max_edits)
+    links = _verified(star.distinct(), texts, max_edits, chars_per_edit)
     part = written(components(links), "line-components")
     named = posts.join(part, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
     mixed = named.groupBy("token").agg(F.min("part").alias("l"), F.max("part").alias("h")).filter("l < h").select("token")
-    named = written(named.join(mixed, "token").join(texts.select("key", "bits"), "key"), "line-mixed")
+    named = written(named.join(mixed, "token").join(texts.select("key", "bits", F.length("text").alias("size")), "key"), "line-mixed")
     x, y = named.filter("role = 1").alias("x"), named.alias("y")
+    edits = F.least(F.floor(F.least("x.size", "y.size") / chars_per_edit), F.lit(max_edits)) if chars_per_edit else F.lit(max_edits)
     # an edit changes three 3-grams at most on either side
     apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
-    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & (apart <= 6 * max_edits))
+    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & (apart <= 6 * edits))
              .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")))
-    return components(links.union(_verified(pairs.distinct(), texts, max_edits)))
+    return components(links.union(_verified(pairs.distinct(), texts, max_edits, chars_per_edit)))
 
 
 def _occurrences(held, min_exact):
@@ -258,9 +273,9 @@ def _occurrences(held, min_exact):
     return held.drop("extra").mapInArrow(run, "key binary, doc_id long, line long")
 
 
-def _removed(held, n_buckets, max_edits, min_exact, min_near):
+def _removed(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit):
     """(doc_id, line, near): the lines to remove; near: the first of the class is another line."""
-    part = line_classes(held, n_buckets, max_edits, min_exact, min_near)
+    part = line_classes(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit)
     seen = written(_occurrences(held, min_exact), "line-occurrences")
     # per different line first, so that a very common one is one row per task
     firsts = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("own"), F.count(F.lit(1)).alias("times"))
@@ -271,11 +286,11 @@ def _removed(held, n_buckets, max_edits, min_exact, min_near):
     return (seen.join(repeated, "key").filter(F.struct("doc_id", "line") > F.col("keep")).select("doc_id", "line", "near"))
 
 
-def repeated_lines(docs, max_edits: int = 2, min_exact: int = 12, min_near: int = 40, id_col: str = "doc_id", text_col: str = "text"):
+def repeated_lines(docs, max_edits: int = 2, min_exact: int = 12, min_near: int = 40, id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = 0):
     """(doc_id, n_lines, n_removed, n_near, removed_lines) of every row; line numbers
     begin at 0, removed_lines ascends."""
     held = written(blocks(docs.select(id_col, text_col), id_col, text_col), "line-blocks")
-    gone = _removed(held, _n_buckets(docs, text_col), max_edits, min_exact, min_near)
+    gone = _removed(held, _n_buckets(docs, text_col), max_edits, min_exact, min_near, chars_per_edit)
     per_doc = gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("near"), 1)).alias("n_near"),
                                          F.sort_array(F.collect_list("line")).alias("removed_lines"))
 
@@ -294,9 +309,9 @@ def repeated_lines(docs, max_edits: int = 2, min_exact: int = 12, min_near: int
                     F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines")))
 
 
-def drop_repeated_lines(docs, max_edits: int = 2, min_exact: int = 12, min_near: int = 40, id_col: str = "doc_id", text_col: str = "text"):
+def drop_repeated_lines(docs, max_edits: int = 2, min_exact: int = 12, min_near: int = 40, id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = 0):
     """``docs`` with the repeated lines taken out of the text, all other columns kept."""
-    gone = (repeated_lines(docs, max_edits, min_exact, min_near, id_col, text_col).dropDuplicates(["doc_id"])
+    gone = (repeated_lines(docs, max_edits, min_exact, min_near, id_col, text_col, chars_per_edit).dropDuplicates(["doc_id"])
             .select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__gone")))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")

@@ -97,4 +97,5 @@ def op9(spark, sf_dir):
 
 @register("op10_line_dedup")
 def op10(spark, sf_dir):
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    """Every line that is not blank; an edit for each 10 code points, two at most."""
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), max_edits=2, min_exact=1, min_near=10, chars_per_edit=10)

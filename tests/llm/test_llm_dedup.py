@@ -205,6 +205,43 @@ def test_lines_edges(spark):
         (str(i), {5: "", 7: "", 8: "tie tie tie tie"}.get(i, str(t))) for i, t in rows)
 
 
+def test_short_lines_of_the_query_equal_brute_force(spark, tmp_path):
+    from hatefold.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (1, 2, 4, 8, 9, 10, 11, 12, 15, 18, 19, 20, 21, 22, 28, 39, 41)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            s = list(rng.choice(base))
+            for _ in range(rng.randint(0, 3)):
+                p, op = rng.randint(0, len(s)), rng.random()
+                s[p:p + (op < 0.6)] = [] if op < 0.3 else [rng.choice("abcx")]
+            lines.append("".join(s))
+        rows.append((i * 7 % 120, "\n".join([*lines, "Les.", " "])))
+    frame(spark, rows, clash=False).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()
+    seen, u = defaultdict(list), Union()
+    for i, t in rows:
+        for n, line in enumerate(t.split("\n")):
+            if line.strip():
+                seen[line].append((i, n))
+    texts = sorted(seen)
+    for a, x in enumerate(texts):
+        u.find(x)
+        for y in texts[:a]:
+            allowed = min(len(x), len(y)) // 10
+            if allowed and abs(len(x) - len(y)) <= 2 and edits(x, y) <= min(allowed, 2):
+                u.tie(x, y)
+    first = {}
+    for x, places in seen.items():
+        first[u.find(x)] = min([first.get(u.find(x), min(places)), *places])
+    want = sorted((i, [n for n, x in enumerate(t.split("\n")) if x in seen and (i, n) > first[u.find(x)]]) for i, t in rows)
+    assert sorted((r.doc_id, r.removed_lines) for r in got) == want
+    assert sum(r.n_near for r in got) > 0
+
+
 def test_banded_edit_distance():
     rng, pairs = random.Random(2), []
     for _ in range(1500):
