@@ -11,7 +11,8 @@ An exact check by markup follows, as articles can repeat a passage and menus
 can differ from page to page: a line inside <article>, <main> or role=main stays
 even if a neighbour has it; lines in menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments go; of a page that marks its article, only
-lines inside it stay.
+lines inside it stay. An <article> or <main> inside an element that goes stays, unless
+that is hidden; <article> also goes inside elements for other texts (comments, teasers).
 
 Cases: null html is empty, its text is the empty string; a null URL stands for a
 host of its own; equal URLs are neighbours in page_id order; repeated rows are
@@ -45,22 +46,48 @@ MARKS = re.compile(
     r"overlay|newsletter|subscribe|signup|sign-up|login|share|sharing|social|related|recommended|comments?|comment-list|respond|"
     r"replies|disqus|pagination|pager|widget|toolbar|skip-link)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Of these, what holds comments, teasers or adverts, which can be articles of their own.
+OTHERS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|side-bar|aside|complementary|contentinfo|footer|nav|"
+    r"navigation|related|recommended|comments?|comment-list|respond|replies|disqus|widget)(?:$|[\s_-])", re.I)
+OTHER_ELEMENTS = frozenset("nav footer aside menu".split())
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Parts of class words that say what an element has or how it is, not what it is.
+MODIFIERS = frozenset("with without has no not is show hide open opened closed visible active enabled disabled".split())
 
 KEEP, PLAIN, DROP = "keep", "plain", "drop"
+OTHER, HIDDEN = "drop other texts", "drop all"  # where <article>, and where <main> too, goes
+DROPS = (DROP, OTHER, HIDDEN)  # ascending
+
+
+def _words(value: str) -> str:
+    """The words of a class, id or role value that can name an element."""
+    words = (w.split("--")[0] for w in value.split())
+    return " ".join(w for w in words if w and MODIFIERS.isdisjoint(re.split(r"[_-]+", w.lower())))
 
 
 def _marked(name: str, attributes: str) -> str | None:
-    if name in FURNITURE:
-        return DROP
-    if attributes:
-        for key, value in ATTRIBUTE.findall(attributes):
-            value, key = value.strip("\"'"), key.lower()
-            if key == "role" and value.lower() == "main":
-                return KEEP
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or name not in ("body", "html", *ARTICLE) and key in ("class", "id", "role") and MARKS.search(value):
-                return DROP
-    return KEEP if name in ARTICLE else None
+    found = KEEP if name in ARTICLE else (OTHER if name in OTHER_ELEMENTS else DROP) if name in FURNITURE else None
+    for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        value, key = value.strip("\"'"), key.lower()
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
+            return HIDDEN
+        if key == "role" and value.strip().lower() == "main" and name not in FURNITURE:
+            found = KEEP
+        elif key in ("class", "id", "role") and name not in ("body", "html", *ARTICLE) and found != KEEP:
+            words = _words(value)
+            if MARKS.search(words):
+                found = OTHER if found == OTHER or OTHERS.search(words) else DROP
+    return found
+
+
+def _set(mark: str, found: str | None, name: str) -> str | None:
+    """The mark inside an element, if it is another than outside."""
+    if found is None or mark not in DROPS:
+        return found
+    if found == KEEP:
+        return KEEP if mark == DROP or mark == OTHER and name != "article" else None
+    return found if DROPS.index(found) > DROPS.index(mark) else None
 
 
 def lines(page: str) -> list[tuple[str, str]]:
@@ -112,9 +139,9 @@ def lines(page: str) -> list[tuple[str, str]]:
                 _close(opened, stack, "p", within=True)
                 mark = stack[-1][1] if stack else PLAIN
             opened.append(name)
-            set_to = _marked(name, attributes)
-            if set_to and mark != DROP:
-                if name in BLOCKS or set_to == DROP:
+            set_to = _set(mark, _marked(name, attributes), name)
+            if set_to:
+                if name in BLOCKS or set_to in DROPS or mark in DROPS:
                     end_line()
                 mark = set_to
                 stack.append((len(opened), mark))
@@ -126,7 +153,7 @@ def lines(page: str) -> list[tuple[str, str]]:
                 _close(opened, stack, name)
                 mark = stack[-1][1] if stack else PLAIN
             if before != mark:
-                parts.clear() if before == DROP else None
+                parts.clear() if before in DROPS else None
     end_line()
     return out
 

@@ -97,6 +97,21 @@ def test_page_markup(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body style='overflow:hidden'><p>a</p></body>", "a"),
+    ("<p>see <a href='/posts/hidden-gems'>these gems</a> and <a title=\"the hidden cost\">that</a></p>", "see these gems and that"),
+    ("<p data-x='class=ads' data-hidden>a</p><p HIDDEN=''>b</p><p aria-hidden='TRUE'>c</p>", "a"),
+    ("<div class='layout with-sidebar'><article>a</article></div>", "a"),
+    ("<div class='post has-comments no-header page--sidebar'><p>a</p><div class='left-sidebar'>s</div></div>", "a"),
+    ("<form class=search>f<main><p>a</p><nav>n</nav>b</main>g</form>", "a\nb"),
+    ("<div class=overlay>o<article><p>a</p></article>p</div><p>q</p>", "a"),
+    ("<div class=overlay>o<span role=main>a</span>p</div>", "a"),
+    ("<p>a</p><div id=comments><article>c</article></div><aside><article>t</article></aside><div hidden><main>h</main></div>", "a"),
+])
+def test_attributes_count_by_name_and_articles_outlive_wrappers(page, text):
+    assert text_of(page) == text
+
+
 def test_shared_lines_go_unless_marked_as_article():
     site = "<p>Welcome to the site</p>{}<p>All rights</p>"
     a, b = site.format("<p>Story one</p><p>More</p>"), site.format("<p>Other story</p>")
