@@ -41,13 +41,13 @@ def small_batches(spark):
         spark.conf.set(key, before)
 
 
-def written(df, name: str):
+def written(df, name: str, **options):
     """``df`` as a Parquet table in the cluster's shared folder, read back: cuts
     the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,18 +17,27 @@ that is hidden; <article> also goes inside elements for other texts (comments, t
 Cases: null html is empty, its text is the empty string; a null URL stands for a
 host of its own; equal URLs are neighbours in page_id order; repeated rows are
 returned each; broken or truncated markup is read as far as it goes; other columns
-are not read. A page whose host has no other page in its range is not differenced.
+are not read. The first and last page of each range wait until they are joined with
+the last and first page of the ranges beside it, so that the ranges do not show.
 """
 
 from __future__ import annotations
 
 import html as _html
+import json
 import re
+import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from .common import written
+
 SCHEMA = "page_id long, url string, text string, n_chars long, n_shared long"
+#: Of the pages at the ends of a range: its number, which end, the host and the lines with
+#: their marks and the places that the neighbour within the range shares.
+ENDS = "part int, first boolean, last boolean, host string, lines array<string>, marks array<string>, shared array<int>"
 
 #: Elements whose content is never text, and elements that are not the article.
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea select title head".split())
@@ -218,50 +227,96 @@ def common_lines(a: list, b: list) -> set[int]:
     return shared
 
 
+def shared_lines(own: list[str], neighbours: list[list[str]]) -> set[int]:
+    """Places of the lines that a neighbour shares."""
+    return set().union(*(common_lines(own, other) for other in neighbours))
+
+
 def main_text(own: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]]) -> tuple[str, int]:
     """The lines that stay, and how many a neighbour shares."""
-    texts = [t for t, _ in own]
-    shared: set[int] = set()
-    for other in neighbours:
-        shared |= common_lines(texts, [t for t, _ in other])
+    shared = shared_lines([t for t, _ in own], [[t for t, _ in other] for other in neighbours])
+    return _kept(own, shared), len(shared)
+
+
+def _kept(own, shared) -> str:
     article = any(mark == KEEP for _, mark in own)
-    kept = [t for i, (t, mark) in enumerate(own) if mark == KEEP or mark == PLAIN and not article and i not in shared]
-    return "\n".join(kept), len(shared)
+    return "\n".join(t for i, (t, mark) in enumerate(own) if mark == KEEP or mark == PLAIN and not article and i not in shared)
 
 
 def extract(pages, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
     """(page_id, url, text, n_chars, n_shared) of every page."""
+    def read(batches):
+        """Packed lines in place of pages, so that less is dealt."""
+        for b in batches:
+            packed = [zlib.compress(json.dumps(lines(x or "")).encode(), 1) for x in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(packed, pa.binary())], names=["page_id", "url", "host", "path", "tie", "lines"])
+
     url = F.coalesce(F.col(url_col), F.lit(""))
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     dealt = (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                           F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"),
                           F.regexp_replace(F.regexp_replace(rest, r"^[^/?#]*", ""), r"[?#].*$", "").alias("path"))
-             .repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id"))
+             .withColumn("tie", F.xxhash64("url", "html")).select("page_id", "url", "host", "path", "tie", "html")
+             .mapInArrow(read, "page_id long, url string, host string, path string, tie long, lines binary")
+             .repartitionByRange("host", "path", "page_id", "tie").sortWithinPartitions("host", "path", "page_id", "tie"))
 
     def run(batches):
+        part = TaskContext.get().partitionId()
+
         def rows():
             for b in batches:
                 for x in zip(*(b.column(k).to_pylist() for k in range(4))):
-                    yield (*x, lines(x[2] or ""))
-
-        def out(held):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (
-                pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "url", "text", "n_chars", "n_shared"])
+                    yield (*x, json.loads(zlib.decompress(x[2])))
 
         held, before, here = [], None, None
         for after in _with_end(rows()):
             if here is not None:
                 beside = [x[4] for x in (before, after) if x is not None and here[1] is not None and x[3] == here[3]]
-                text, n = main_text(here[4], beside)
-                held.append((here[0], here[1], text, len(text), n))
+                own, first, last = here[4], before is None, after is None
+                shared = shared_lines([t for t, _ in own], [[t for t, _ in x] for x in beside])
+                text = _kept(own, shared)
+                end = (part, first, last, here[3], [t for t, _ in own], [m for _, m in own], sorted(shared)) if first or last else (None,) * 7
+                held.append((here[0], here[1], text, len(text), len(shared), *end))
                 if len(held) >= 200:
-                    yield out(held)
+                    yield _batch(held, schema)
                     held = []
             before, here = here, after
         if held:
-            yield out(held)
-
-    return dealt.select("page_id", "url", "html", "host").mapInArrow(run, SCHEMA)
+            yield _batch(held, schema)
+
+    def meet(batches):
+        for b in batches:
+            held = []
+            for x in b.to_pylist():
+                own, shared = list(zip(x["lines"], x["marks"])), set(x["shared"])
+                if x["url"] is not None:
+                    shared |= shared_lines(x["lines"], [x[k] for k in ("before", "after") if x[k] is not None])
+                text = _kept(own, shared)
+                held.append((x["page_id"], x["url"], text, len(text), len(shared)))
+            yield _batch(held, list(schema)[:5])
+
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()),
+                        ("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("host", pa.string()),
+                        ("lines", pa.list_(pa.string())), ("marks", pa.list_(pa.string())), ("shared", pa.list_(pa.int32()))])
+    done = written(dealt.select("page_id", "url", "lines", "host").mapInArrow(run, f"{SCHEMA}, {ENDS}"), "pages-dealt", compression="zstd")
+    ends = done.filter("part IS NOT NULL")
+    # one number per range that has pages
+    parts = sorted(r.part for r in ends.filter("first").select("part").collect())
+    steps = F.broadcast(pages.sparkSession.createDataFrame(list(zip(parts, parts[1:])), "p int, q int"))
+
+    def beside(end, key, other, name):
+        """(part, host, lines) of the pages at that end of the range beside."""
+        return (ends.filter(end).select(F.col("part").alias(other), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name))
+                .join(steps, other).select(F.col(key).alias(f"{name}_part"), f"{name}_host", name))
+
+    joined = (ends.join(beside("last", "q", "p", "before"), F.col("first") & (F.col("part") == F.col("before_part")) & (F.col("host") == F.col("before_host")), "left")
+              .join(beside("first", "p", "q", "after"), F.col("last") & (F.col("part") == F.col("after_part")) & (F.col("host") == F.col("after_host")), "left"))
+    met = joined.select("page_id", "url", "lines", "marks", "shared", "before", "after").mapInArrow(meet, SCHEMA)
+    return done.filter("part IS NULL").select("page_id", "url", "text", "n_chars", "n_shared").unionByName(met)
+
+
+def _batch(rows, fields):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], names=[f.name for f in fields])
 
 
 def _with_end(rows):

@@ -148,6 +148,24 @@ def test_extract_edges(spark):
     assert html_extract.extract(pages(spark, [])).collect() == []
 
 
+def test_pages_at_the_ends_of_ranges_have_their_neighbours(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://{'abcde'[i % 5] if i > 30 else 'big'}.org/{i:03}", f"<p>Menu {rng.choice('xy')}</p><p>page {i}</p><p>Legal notes</p>") for i in range(60)]
+    rows += [(100 + i, None, "<p>Menu x</p>") for i in range(3)]
+    table = pages(spark, rows)
+    want = sorted(map(str, html_extract.extract(table.coalesce(1)).collect()))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = html_extract.extract(table.repartition(4)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(str, got)) == want and not any("Legal" in r.text for r in got if r.url)
+
+
 def test_extract_of_the_given_pages(spark):
     import html
     import re
