@@ -52,3 +52,14 @@ def test_fit_with_validation_keeps_first_best_epoch(spark):
     assert m.stop_epoch == last
     after = [v for e, v in fine if e > m.best_epoch]
     assert len(after) <= 2
+
+
+def test_baselines_fit_down_to_the_tight_tolerances():
+    import inspect
+
+    from hatefold.operators.train import fit_baseline, sweep_baseline
+    from hatefold.plans.q_models import SWEEP
+
+    assert inspect.signature(fit_baseline).parameters["tol"].default == 1e-6
+    assert inspect.signature(sweep_baseline).parameters["tols"].default == (1e-4, 1e-6)
+    assert all(min(tols) == 1e-6 and max(tols) <= 1e-4 for *_, tols in SWEEP) and sum(len(r) * len(t) for *_, r, t in SWEEP) == 19
