@@ -13,8 +13,8 @@ the languages that the text alone suggests; every level is smoothed with ``alpha
 pseudo-counts of the level above it, so a small host leans on its domain.
 
 The trigram models are fitted on a bounded sample of labelled rows
-(``per_language`` rows of each label, drawn by the hash of the id), at most
-``MAX_LANGUAGES`` labels; everything else covers all rows.
+(``per_language`` rows of each label, drawn by the hash of the id), for every label
+that occurs (256 KB a label); everything else covers all rows.
 
 Cases: a null text is empty; a text without a trigram has no text evidence, its
 language follows from the rest, and it is not accepted if it has no letter at all; null declared,
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import mix64, slices, small_batches, text_buffer, written
 
 CELLS = 1 << 16
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: Trigrams overlap and are far from independent; their log-likelihood counts by this much.
 TEXT_WEIGHT = 0.25
@@ -74,38 +73,37 @@ def fit(labelled, per_language: int = 400, id_col: str = "doc_id", text_col: str
     """(languages, log-probabilities [CELLS, languages + 1]) from about
     ``per_language`` rows of each label."""
     sizes = {r[0]: r[1] for r in (labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-                                  .groupBy(F.col(label_col).cast("string").alias("l")).count()
-                                  .orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect())}
+                                  .groupBy(F.col(label_col).cast("string").alias("l")).count().collect())}
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, per_language / sizes[l]))]) if languages else None
-    counts = np.zeros((CELLS, len(languages)), np.float64)
+    model = np.empty((CELLS, len(languages) + 1), np.float32)
+    model[:, -1] = -np.log(CELLS)
     if languages:
+        number = {l: i for i, l in enumerate(languages)}
         draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
         sample = (labelled.filter(F.col(label_col).cast("string").isin(languages))
                   .select(F.col(label_col).cast("string").alias("l"), F.col(text_col).alias("t"), draw.alias("d"))
                   .filter(F.col("d") < share[F.col("l")]).select("l", "t"))
 
         def count(batches):
-            total = np.zeros((len(languages), CELLS), np.int64)
-            seen = set()
             for b in batches:
-                label = [languages.index(x) for x in b.column(0).to_pylist()]
+                label = [number[x] for x in b.column(0).to_pylist()]
                 buf, off = text_buffer(b.column(1))
                 for i, j in slices(off):
                     doc, cells = _document_cells(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                     which = np.array(label[i:j], np.int64)[doc]
-                    np.add.at(total, (which, cells), 1)
-                    seen.update(label[i:j])
-            for l in seen:
-                at = np.flatnonzero(total[l])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), l)), pa.array(at), pa.array(total[l, at])], names=["l", "cell", "n"])
+                    at, n = np.unique(which * CELLS + cells, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at // CELLS), pa.array(at % CELLS), pa.array(n.astype(np.int64))], names=["l", "cell", "n"])
 
         with small_batches(labelled.sparkSession):
             rows = sample.mapInArrow(count, "l long, cell long, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
-        counts[rows["cell"].to_numpy(np.int64), rows["l"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    model = np.empty((CELLS, len(languages) + 1), np.float32)
-    model[:, :-1] = np.log((counts + 0.05) / (counts.sum(0) + 0.05 * CELLS))
-    model[:, -1] = -np.log(CELLS)
+        rows = rows.sort_values("l", kind="stable")
+        label, cell, n = (rows[c].to_numpy(np.int64) for c in ("l", "cell", "n"))
+        ends = np.searchsorted(label, np.arange(len(languages) + 1))
+        for l, (i, j) in enumerate(zip(ends, ends[1:])):  # one label's counts at a time
+            counts = np.zeros(CELLS)
+            counts[cell[i:j]] = n[i:j]
+            model[:, l] = np.log((counts + 0.05) / (counts.sum() + 0.05 * CELLS))
     return languages, model
 
 
@@ -113,7 +111,7 @@ def text_scores(docs, languages, model, columns, text_col: str = "text"):
     """``columns`` (column expressions by name) + ll (weighted log-likelihood per
     language, ``und`` last) + n_grams + n_letters (bytes), of every whole text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # CELLS x at most MAX_LANGUAGES + 1 floats
+    shared = spark.sparkContext.broadcast(model)  # CELLS floats a language
     kept = docs.select(*[c.alias(k) for k, c in columns.items()], F.col(text_col).alias("__text"))
     width = len(languages) + 1
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["ll array<double>", "n_grams long", "n_letters long"])
@@ -166,10 +164,13 @@ def identify(docs, model, id_col: str = "doc_id", text_col: str = "text", declar
         *[F.count(F.when(F.col("guess") == l, 1)).alias(f"n{i}") for i, l in enumerate(names)]), "language-counts")
     n = [F.col(f"n{i}") for i in range(len(names))]
 
+    def added(of):
+        return F.aggregate(F.array(*of), F.lit(0.0), lambda s, x: s + x)
+
     def level(keys, parent):
         """Smoothed log-shares by ``keys``: (n_i + alpha * parent_i) / (sum + alpha)."""
         g = counts.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(f"n{i}") for i, c in enumerate(n)])
-        total = sum(n[1:], n[0])
+        g, total = g.withColumn("total", added(n)), F.col("total")
         if parent is None:
             return g, F.array(*[(c + 1.0) / (total + float(len(names))) for c in n])
         g = g.join(parent, [k for k in keys if k in parent.columns]) if any(k in parent.columns for k in keys) else g.crossJoin(F.broadcast(parent))
@@ -186,9 +187,9 @@ def identify(docs, model, id_col: str = "doc_id", text_col: str = "text", declar
         """Per value of ``key``: P(value | language), smoothed by the share of the value over all languages."""
         g, _ = level([key], None)
         sums = counts.agg(*[F.sum(c).cast("double").alias(f"s{i}") for i, c in enumerate(n)])
-        all_n, all_s = sum(n[1:], n[0]), sum([F.col(f"s{i}") for i in range(1, len(names))], F.col("s0"))
-        return g.crossJoin(F.broadcast(sums)).select(key, F.array(*[
-            (c + alpha * (all_n + 1.0) / (all_s + 1.0)) / (F.col(f"s{i}") + alpha) for i, c in enumerate(n)]).alias(f"of_{key}"))
+        sums = sums.withColumn("whole", added([F.col(f"s{i}") for i in range(len(names))]))
+        return g.crossJoin(F.broadcast(sums)).withColumn("usual", (F.col("total") + 1.0) / (F.col("whole") + 1.0)).select(key, F.array(*[
+            (c + alpha * F.col("usual")) / (F.col(f"s{i}") + alpha) for i, c in enumerate(n)]).alias(f"of_{key}"))
 
     # one row per combination of evidence, then one join with the documents
     evidence = (counts.select(*groups).join(hosts, ["domain", "host"]).join(likelihood("declared"), "declared").join(likelihood("suffix"), "suffix")

@@ -216,6 +216,20 @@ def test_language_edges(spark, model):
     assert {r.lang for r in language_id.identify(docs, (languages, table)).collect()} == {"und"}
 
 
+def test_every_label_is_modelled(spark):
+    rng = random.Random(3)
+    rows = []
+    for l in range(70):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(40)), f"l{l:02}") for i in range(3 if l < 6 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).coalesce(4)
+    languages, table = language_id.fit(docs)
+    assert languages == sorted({r[2] for r in rows}) and table.shape == (language_id.CELLS, 71)
+    got = {r.doc_id: r for r in language_id.identify(docs, (languages, table), declared_col="lang", host_col="source", suffix=False).collect()}
+    assert all(got[i].lang == l and got[i].accepted for i, _, l in rows)
+
+
 def test_page_evidence(spark):
     rows = [(1, "https://blog.x.example.FR:80/fr/1", "<!DOCTYPE html><HTML class=a lang='fr-CA'>"), (2, None, None), (3, "x.org", "<p>")]
     got = [(r["__declared"], r["__host"]) for r in language_id.page_evidence(pages(spark, rows)).collect()]
