@@ -1,4 +1,4 @@
-"""Removal of repeated passages by suffix arrays and longest-previous-factor arrays.
+"""Removal of repeated passages by ranks of equal windows.
 
 Each byte covered by a string of ``width`` bytes that also starts in a document
 with a smaller id is removed; the first document keeps its copy. Strings are
@@ -14,12 +14,11 @@ A suffix array over a whole corpus fits no task, so the work is dealt by content
 3. A block sends, for each shared anchor, the context: the bytes of all windows that
    have that anchor. Equal contexts of one block are sent once, with the smallest id,
    so a passage that a third of all documents hold costs one row per block.
-4. Per part of a hash bucket the distinct contexts form one text. Its suffix order is built by
-   rank doubling (8, 16, 32, width bytes). Where neighbours in suffix order share
-   ``width`` bytes, LCP values reach ``width``, and the previous and next smaller
-   document of a suffix within that stretch are its earlier matches: its longest
-   previous factor is at least ``width`` exactly if the smallest document of the
-   stretch is smaller than its own. One bit per window goes back to the block.
+4. Per part of a hash bucket the distinct contexts form one text. Windows are ranked by
+   rank doubling (from 5 bytes up to width), equal windows equally, and each
+   rank gets its smallest document: a window is an earlier one's copy exactly if that is
+   smaller than its own. This stands in for longest-previous-factor arrays, which are not
+   built. One bit per window goes back to the block.
 5. The blocks cut the bytes out.
 
 Cases: a null text is empty; a text shorter than ``width`` stays as it is; a row
@@ -227,8 +226,7 @@ def _dense(key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def earliest_owner(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each suffix, the smallest owner among those whose LCP with it reaches the
-    width: the end of the chain of previous and next smaller owners in suffix order."""
+    """For each window, the smallest owner among those of equal rank."""
     least = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, rank, owner)
     return least[rank]
