@@ -59,9 +59,10 @@ def single_label_scores(conf: DataFrame) -> DataFrame:
         F.avg(f1).alias("macro_f1"))
 
 
-def _single_label_bundle(rows: DataFrame, n_classes: int) -> DataFrame:
-    """accuracy, micro F1, macro F1 over the classes seen, mean LRAP, from rows
-    (y, pred, lrap): one aggregation with conditional counts per class."""
+def _single_label_bundle(rows: DataFrame, n_classes: int, full: bool = False) -> DataFrame:
+    """accuracy, micro F1, macro F1 over the classes seen, mean LRAP and, if ``full``,
+    Hamming loss, subset accuracy and Jaccard scores, from rows (y, pred, lrap): one
+    aggregation with conditional counts per class."""
     y, pred = F.col("y"), F.col("pred")
     aggs = [F.count(F.lit(1)).alias("n"), F.count(F.when(y == pred, 1)).alias("hit"), F.sum("lrap").alias("lrap_sum")]
     for c in range(n_classes):
@@ -70,17 +71,23 @@ def _single_label_bundle(rows: DataFrame, n_classes: int) -> DataFrame:
     s = rows.agg(*aggs)
     # 2 tp + fp + fn = tp + (rows that have the class on either side)
     f1 = [_div0(2 * F.col(f"tp{c}"), F.col(f"tp{c}") + F.col(f"any{c}")) for c in range(n_classes)]
+    jaccard = [_div0(F.col(f"tp{c}"), F.col(f"any{c}")) for c in range(n_classes)]
     seen = sum((F.col(f"any{c}") > 0).cast("int") for c in range(n_classes))
-    return s.select((F.col("hit") / F.col("n")).alias("accuracy"), (F.col("hit") / F.col("n")).alias("micro_f1"),
-                    (sum(f1) / F.when(seen > 0, seen)).alias("macro_f1"), (F.col("lrap_sum") / F.col("n")).alias("lrap"))
+    hit, n, of_seen = F.col("hit"), F.col("n"), F.when(seen > 0, seen)
+    out = [(hit / n).alias("accuracy"), (hit / n).alias("micro_f1"), (sum(f1) / of_seen).alias("macro_f1"), (F.col("lrap_sum") / n).alias("lrap")]
+    if full:  # one label a row: a miss is one class too many and one too few
+        out += [((n - hit) / n).alias("hamming_loss"), (hit / n).alias("subset_accuracy"), (hit / (2 * n - hit)).alias("jaccard_micro"),
+                (sum(jaccard) / of_seen).alias("jaccard_macro")]
+    return s.select(*out)
 
 
 def coarse_metrics(scored: DataFrame, y_col: str = "y_coarse", logits_col: str = "logits_coarse",
-                   n_classes: int = 3) -> DataFrame:
-    """Accuracy, micro F1, macro F1, LRAP (one row, one pass)."""
+                   n_classes: int = 3, full: bool = False) -> DataFrame:
+    """Accuracy, micro F1, macro F1, LRAP (one row, one pass); ``full`` adds what
+    the epoch records hold beside them."""
     probs = scored.select(F.col(y_col).cast("int").alias("y"), softmax(logits_col).alias("p"))
     return _single_label_bundle(probs.select("y", argmax("p").alias("pred"),
-                                             lrap_row(one_hot(F.col("y"), n_classes), F.col("p")).alias("lrap")), n_classes)
+                                             lrap_row(one_hot(F.col("y"), n_classes), F.col("p")).alias("lrap")), n_classes, full)
 
 
 def single_label_metrics(scored: DataFrame, y_col: str = "y", logits_col: str = "logits",

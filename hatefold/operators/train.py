@@ -1,19 +1,19 @@
 """Distributed model jobs.
 
-Two-head model (M2 flat, M3 hierarchical): a linear layer over hashed char
-n-gram features with a 3-way softmax head and 8 sigmoid heads, fitted by
-full-batch gradient steps until the loss stops falling. The rows are packed once
-into sparse blocks (index, row and value arrays of some thousand rows), which stay
-persisted. Each step is one Spark job: every partition turns its blocks into one
-partial gradient (dense dim x 11 plus loss sums) with vectorised numpy, partials
-are merged with a tree reduction, and the driver applies an Adam update to the
-11 x (dim + 1) weight matrix and broadcasts it. The driver only ever holds the
-weights (bounded by ``dim``), never rows.
+Two-head model (M2 flat, M3 hierarchical): a linear layer over hashed char n-gram
+features with a 3-way softmax head and 8 sigmoid heads, fitted by L-BFGS until the
+gradient is small. The rows are packed once into blocks of some hundred rows (a dense
+matrix of counts, or sparse arrays where these are smaller), which stay persisted. Each
+evaluation is one Spark job: every partition turns its blocks into one partial loss and
+gradient per model, merged by a tree reduction. Models over the same rows share the
+evaluations: one scan of the blocks serves the trial points of all that are still open.
+The driver holds weights and the solver's last few steps (bounded by ``dim``), never rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,9 @@ N_COARSE = 3
 N_FINE = 8
 N_OUT = N_COARSE + N_FINE
 ROWS_PER_TASK = 256
-#: A bound far above what the tolerances need.
+#: A bound far above what the tolerances need; a fit that reaches it raises.
 MAX_STEPS = 1000
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -38,7 +39,8 @@ class TwoHeadModel:
     weights: np.ndarray  # 11 x (dim + 1), last column is the bias
     dim: int
     hierarchical: bool
-    history: list        # (step, train loss)
+    history: list        # (step, train loss); step 0 is the start
+    gradient_norms: list | None = None   # one per step of the history
     records: list | None = None   # validation records (epoch, head, metric, value)
     best_epoch: int | None = None
     stop_epoch: int | None = None
@@ -49,10 +51,9 @@ class TwoHeadModel:
         return spark.createDataFrame(rows, "output int, w array<double>")
 
 
-def _rows_matrix(features: pd.Series):
+def _rows_counts(features: pd.Series):
     """CSR-like arrays from sparse vectors (Arrow hands them over as
-    {indices, values}): feature index, row number, value / sqrt(row total)."""
-    n = len(features)
+    {indices, values}): feature index, row number, value."""
     ind, vals = [], []
     for v in features:
         if v is None:
@@ -74,10 +75,14 @@ def _rows_matrix(features: pd.Series):
     lens = np.array([len(a) for a in ind], dtype=np.int64)
     idx = np.concatenate(ind) if lens.sum() else np.zeros(0, dtype=np.int64)
     cnt = np.concatenate(vals) if lens.sum() else np.zeros(0)
-    row = np.repeat(np.arange(n), lens)
-    totals = np.bincount(row, weights=cnt, minlength=n)
-    val = cnt / np.sqrt(np.maximum(totals, 1.0))[row]
-    return idx, row, val
+    return idx, np.repeat(np.arange(len(features)), lens), cnt
+
+
+def _rows_matrix(features: pd.Series):
+    """The same with each value divided by the root of its row's total."""
+    idx, row, cnt = _rows_counts(features)
+    totals = np.bincount(row, weights=cnt, minlength=len(features))
+    return idx, row, cnt / np.sqrt(np.maximum(totals, 1.0))[row]
 
 
 def _forward(Wt: np.ndarray, dim: int, idx, row, val, n: int) -> np.ndarray:
@@ -90,29 +95,69 @@ def _forward(Wt: np.ndarray, dim: int, idx, row, val, n: int) -> np.ndarray:
     return Z
 
 
-PACKED = "n int, idx binary, row binary, val binary, y binary, yf binary"
+PACKED = "n int, dense string, idx binary, row binary, val binary, y binary, yf binary"
 
 
-def _packed_blocks(data: DataFrame, feat_col: str) -> DataFrame:
-    """Rows (features, y, yf) as blocks of sparse arrays, one per Arrow batch."""
+def _packed_blocks(data: DataFrame, feat_col: str, dim: int) -> DataFrame:
+    """Rows (features, y, yf) as blocks of at most BLOCK_BYTES as dense matrices: the
+    counts in the narrowest type that holds them exactly, if that is no larger than the
+    sparse arrays."""
+    n_block = max(1, BLOCK_BYTES // (4 * dim))
+
     def pack(batches):
         for pdf in batches:
-            if len(pdf):
-                idx, row, val = _rows_matrix(pdf[feat_col])
-                yield pd.DataFrame({"n": [len(pdf)], "idx": [idx.astype(np.int32).tobytes()],
-                                    "row": [row.astype(np.int32).tobytes()], "val": [val.tobytes()],
-                                    "y": [pdf["y"].to_numpy().astype(np.int32).tobytes()],
-                                    "yf": [np.stack(pdf["yf"].to_numpy()).astype(np.int8).tobytes()]})
+            for at in range(0, len(pdf), n_block):
+                part = pdf.iloc[at:at + n_block]
+                idx, row, cnt = _rows_counts(part[feat_col])
+                kind = next((t for t in ("u1", "<u2", "<f4") if cnt.min(initial=0) >= 0 and np.array_equal(cnt, cnt.astype(t))), None)
+                if kind and np.dtype(kind).itemsize * dim * len(part) <= 16 * len(idx):
+                    m = np.zeros((len(part), dim), kind)
+                    m[row, idx] = cnt
+                    idx, row, cnt = np.zeros(0, np.int32), np.zeros(0, np.int32), m
+                else:
+                    kind = None
+                yield pd.DataFrame({"n": [len(part)], "dense": [kind], "idx": [idx.astype(np.int32).tobytes()],
+                                    "row": [row.astype(np.int32).tobytes()], "val": [cnt.tobytes()],
+                                    "y": [part["y"].to_numpy().astype(np.int32).tobytes()],
+                                    "yf": [np.stack(part["yf"].to_numpy()).astype(np.int8).tobytes()]})
     return data.mapInPandas(pack, PACKED)
 
 
+class _Block:
+    """A packed block: products with weights (outputs x (dim + 1), bias last) and back."""
+
+    def __init__(self, b, dim: int):
+        self.n, self.dim, self.dense = b.n, dim, b.dense
+        if b.dense:
+            counts = np.frombuffer(b.val, b.dense).reshape(b.n, dim).astype(np.float64)
+            self.X = counts / np.sqrt(np.maximum(counts.sum(axis=1), 1.0))[:, None]
+        else:
+            self.idx, self.row, cnt = np.frombuffer(b.idx, np.int32), np.frombuffer(b.row, np.int32), np.frombuffer(b.val)
+            self.val = cnt / np.sqrt(np.maximum(np.bincount(self.row, weights=cnt, minlength=b.n), 1.0))[self.row]
+
+    def outputs(self, W: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.X @ W[:, :-1].T + W[:, -1]
+        return _forward(W, self.dim, self.idx, self.row, self.val, self.n)
+
+    def gradient(self, dZ: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return np.column_stack([dZ.T @ self.X, dZ.sum(axis=0)])
+        G = np.zeros((dZ.shape[1], self.dim + 1))
+        for k, d in enumerate(np.ascontiguousarray(dZ.T)):
+            if len(self.idx):
+                G[k, :-1] = np.bincount(self.idx, weights=d[self.row] * self.val, minlength=self.dim)
+            G[k, -1] = d.sum()
+        return G
+
+
 def _softmax(z):
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
 def _sigmoid(z):
-    return 1.0 / (1.0 + np.exp(-z))
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
 def _softplus(x):
@@ -146,122 +191,214 @@ def head_gradients(zc, zf, y, Y, cw, pw, n_total, w_total, lambda_fine, lambda_h
     return loss, np.concatenate([dzc, dzf], axis=1)
 
 
-def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0,
-                 lambda_hier: float = 0.0, weighted: bool = True, iterations: int | None = None,
-                 lr: float = 0.2, tol: float = 1e-3, feat_col: str = "features",
-                 y_col: str = "y_coarse", yf_col: str = "y_fine", checkpoint: bool = True,
-                 valid: DataFrame | None = None, steps_per_epoch: int = 10,
-                 monitor: str = "fine_macro_f1", patience: int = FV.PATIENCE) -> TwoHeadModel:
-    """M2 (``lambda_hier=0``, class / positive weights from A2 / A3) and M3
-    (``lambda_hier>0``, unweighted, as the hierarchical objective).
+class Lbfgs:
+    """Minimisation by L-BFGS as a dialogue: evaluate ``trial``, ``tell`` loss and
+    gradient there. A step is accepted by the weak Wolfe conditions, found by doubling
+    and halving; so the loss falls at every step. It is ``done`` when the gradient's norm
+    is ``tol`` of the first one, or when no step lowers the loss in floating point."""
 
-    With ``valid``, every ``steps_per_epoch`` steps form an epoch: the valid
-    split is scored (M6), its 11 metrics are recorded, the weights with the
-    best ``monitor`` value are kept (strictly greater wins, W1), and training
-    stops after ``patience`` epochs without improvement (W2).
+    MEMORY, TRIALS, SUFFICIENT, CURVATURE = 10, 40, 1e-4, 0.9
 
-    Training ends when ``steps_per_epoch`` steps lower the loss by less than the
-    share ``tol`` of the first loss (on separable data the loss falls for ever, but
-    not at that rate); ``iterations`` is an optional budget of steps.
+    def __init__(self, start: np.ndarray, tol: float):
+        self.trial, self.tol, self.x, self.done = start, tol, None, False
+        self.pairs, self.trace = [], []  # (step, gradient change), (loss, gradient norm) per accepted point
+
+    def tell(self, loss: float, grad: np.ndarray) -> bool:
+        """True if the trial point was accepted."""
+        if self.x is not None:
+            slope = float((grad * self.direction).sum())
+            if not loss <= self.loss + self.SUFFICIENT * self.t * self.slope:
+                self.high = self.t
+            elif slope < self.CURVATURE * self.slope:
+                self.low, self.fallback = self.t, (self.trial, loss, grad)
+            else:
+                return self._accept(self.trial, loss, grad)
+            self.trials += 1
+            if self.trials == self.TRIALS:
+                if self.fallback:
+                    return self._accept(*self.fallback)
+                self.done = True
+                return False
+            self.t = 2 * self.low if self.high is None else (self.low + self.high) / 2
+            self.trial = self.x + self.t * self.direction
+            return False
+        return self._accept(self.trial, loss, grad)
+
+    def _accept(self, x, loss, grad) -> bool:
+        if self.x is not None:
+            s, y = x - self.x, grad - self.grad
+            if (s * y).sum() > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+                self.pairs = [*self.pairs, (s, y)][-self.MEMORY:]
+        self.x, self.loss, self.grad = x, loss, grad
+        self.trace.append((loss, float(np.linalg.norm(grad))))
+        if self.trace[-1][1] <= self.tol * self.trace[0][1]:
+            self.done = True
+            return True
+        self.direction = -self._scaled(grad)
+        self.slope = float((grad * self.direction).sum())
+        if self.slope >= 0:  # the memory misleads (the penalty is not convex)
+            self.pairs, self.direction = [], -grad
+            self.slope = -float((grad * grad).sum())
+        self.t = 1.0 if self.pairs else min(1.0, 1.0 / self.trace[-1][1])
+        self.low, self.high, self.trials, self.fallback = 0.0, None, 0, None
+        self.trial = x + self.t * self.direction
+        return True
+
+    def _scaled(self, grad):
+        q, back = grad.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s * q).sum() / (s * y).sum()
+            q -= a * y
+            back.append(a)
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s * y).sum() / (y * y).sum()
+        for (s, y), a in zip(self.pairs, reversed(back)):
+            q += s * (a - (y * q).sum() / (s * y).sum())
+        return q
+
+
+@dataclass(frozen=True)
+class Objective:
+    """M2 (``lambda_hier`` 0, class and positive weights from A2 / A3) or M3
+    (``lambda_hier`` over 0, unweighted, as the hierarchical objective)."""
+    lambda_fine: float = 1.0
+    lambda_hier: float = 0.0
+    weighted: bool = True
+
+
+FLAT, HIERARCHICAL = Objective(), Objective(lambda_hier=1.0, weighted=False)
+
+
+class _Selection:
+    """W1 / W2 on the valid split: the best epoch's weights, strictly greater wins."""
+
+    def __init__(self, valid, monitor, patience, feat_col, y_col, yf_col):
+        from .history import check_monitor
+        self.valid, self.patience, self.columns = valid, patience, (feat_col, y_col, yf_col)
+        head, _, metric = check_monitor(monitor).partition("_")
+        self.monitor, self.epoch, self.stale = (head, metric), 0, 0
+        self.records, self.best, self.weights, self.best_epoch = [], float("-inf"), None, None
+
+    def look(self, W, dim, hierarchical) -> bool:
+        """Scores one more epoch; True when patience has run out."""
+        feat_col, y_col, yf_col = self.columns
+        self.epoch += 1
+        scored = score_two_head(self.valid, TwoHeadModel(W, dim, hierarchical, []), feat_col=feat_col, keep=(y_col, yf_col))
+        ev = {(r["head"], r["metric"]): r["value"] for r in evaluate_two_head(
+            scored.withColumnRenamed(y_col, "y_coarse").withColumnRenamed(yf_col, "y_fine")).collect()}
+        self.records += [(self.epoch, h, m, v) for (h, m), v in sorted(ev.items())]
+        current = ev[self.monitor]
+        if current is not None and current > self.best:
+            self.best, self.weights, self.best_epoch, self.stale = current, W.copy(), self.epoch, 0
+        else:
+            self.stale += 1
+        return self.stale >= self.patience
+
+
+def fit_two_heads(train: DataFrame, objectives, dim: int = DEFAULT_DIM, iterations: int | None = None,
+                  tol: float = 1e-3, feat_col: str = "features", y_col: str = "y_coarse", yf_col: str = "y_fine",
+                  checkpoint: bool = True, valid: DataFrame | None = None, steps_per_epoch: int = 10,
+                  monitor: str = "fine_macro_f1", patience: int = FV.PATIENCE) -> list[TwoHeadModel]:
+    """One model per objective over the same rows; an evaluation of the blocks yields
+    the losses and gradients of all models that are still open.
+
+    With ``valid``, every ``steps_per_epoch`` accepted steps form an epoch: the valid
+    split is scored (M6), its metrics are recorded, the weights with the best
+    ``monitor`` value are kept (W1), and a model ends after ``patience`` epochs without
+    improvement (W2). Otherwise it ends when its gradient's norm has fallen to the share
+    ``tol`` of the first one; ``iterations`` is an optional budget of steps.
 
     The packed blocks are written once to the shared checkpoint folder (lineage
     cut, so a lost executor does not recompute features mid-training) and
-    kept in memory for the iterations."""
+    kept in memory for the evaluations."""
     from ..session import checkpoint_root
     spark = train.sparkSession
     data = train.select(feat_col, F.col(y_col).cast("int").alias("y"), F.col(yf_col).alias("yf"))
-    # Every step is one pass over the blocks: spread small inputs (one file is one
-    # partition) over the cores, at about ROWS_PER_TASK rows per partition.
-    n_rows = data.count()
-    target = min(spark.sparkContext.defaultParallelism, max(1, n_rows // ROWS_PER_TASK))
     labels = data.select("y", "yf")
+    counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_total = float(sum(counts.values()))
+    # Every evaluation is one pass over the blocks: spread small inputs (one file is one
+    # partition) over the cores, at about ROWS_PER_TASK rows per partition.
+    target = min(spark.sparkContext.defaultParallelism, max(1, int(n_total) // ROWS_PER_TASK))
     if data.rdd.getNumPartitions() < target:
         data = data.repartition(target)
-    blocks = _packed_blocks(data, feat_col)
+    blocks = _packed_blocks(data, feat_col, dim)
     if checkpoint:
         checkpoint_root(spark)
         blocks = blocks.checkpoint(eager=True)
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    if weighted and not lambda_hier:
+    cw, pw = np.ones(N_COARSE), np.ones(N_FINE)
+    if n_total and any(o.weighted for o in objectives):
         cw = np.array(_collect_weights(class_weights(labels, "y", list(range(N_COARSE))), "class_ord", N_COARSE))
         yf = labels.select([F.col("yf")[j].alias(f"f{j}") for j in range(N_FINE)])
         pw = np.array(_collect_weights(pos_weights(yf, [f"f{j}" for j in range(N_FINE)]), "label_ord", N_FINE))
-    else:
-        cw, pw = np.ones(N_COARSE), np.ones(N_FINE)
-    counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_total = float(sum(counts.values()))
-    w_total = float(sum(cw[k] * v for k, v in counts.items()))
+    terms = []  # what head_gradients takes beside the rows, per model
+    for o in objectives:
+        c, p = (cw, pw) if o.weighted else (np.ones(N_COARSE), np.ones(N_FINE))
+        terms.append((c, p, n_total, float(sum(c[k] * v for k, v in counts.items())), o.lambda_fine, o.lambda_hier))
     # Partial gradients are merged on executors in a tree once there are many
-    # partitions; with few, one reduce level avoids an extra stage per step.
-    depth = 2 if blocks.rdd.getNumPartitions() > 32 else 1
-    W = np.zeros((N_OUT, dim + 1))
-    m1, m2 = np.zeros_like(W), np.zeros_like(W)
-    history = []
-    records, best_val, best_W, best_ep, stale, stop_ep = [], float("-inf"), None, None, 0, None
-    head_metric = None
-    if valid is not None:
-        from .history import check_monitor
-        head, _, metric = check_monitor(monitor).partition("_")
-        head_metric = (head, metric)
-    it = 0
-    while iterations is None or it < iterations:
-        it += 1
-        bw = spark.sparkContext.broadcast(W)
-
-        def partial(batches, _bw=bw):
-            Wl = _bw.value
-            G = np.zeros_like(Wl)
-            loss = 0.0
+    # partitions; a few come to the driver as they are.
+    few = blocks.rdd.getNumPartitions() <= 32
+
+    def evaluate(points: dict):
+        """{model: (loss, gradient)} at one point each, in one job."""
+        models = list(points)
+        sent = spark.sparkContext.broadcast(np.concatenate([points[m] for m in models]))
+
+        def partial(batches):
+            W = sent.value
+            G, losses = np.zeros_like(W), np.zeros(len(models))
             for pdf in batches:
                 for b in pdf.itertuples(index=False):
-                    idx, row = np.frombuffer(b.idx, np.int32), np.frombuffer(b.row, np.int32)
-                    val, y = np.frombuffer(b.val), np.frombuffer(b.y, np.int32)
-                    Y = np.frombuffer(b.yf, np.int8).reshape(b.n, N_FINE).astype(float)
-                    Z = _forward(Wl, dim, idx, row, val, b.n)
-                    bl, dZ = head_gradients(Z[:, :N_COARSE], Z[:, N_COARSE:], y, Y, cw, pw, n_total, w_total,
-                                            lambda_fine, lambda_hier)
-                    loss += bl
-                    dZt = np.ascontiguousarray(dZ.T)
-                    for k in range(N_OUT):
-                        if len(idx):
-                            G[k, :dim] += np.bincount(idx, weights=dZt[k][row] * val, minlength=dim)
-                        G[k, dim] += dZt[k].sum()
-            yield pd.DataFrame({"g": [G.tobytes()], "loss": [loss]})
-
-        parts = blocks.mapInPandas(partial, "g binary, loss double")
-        G, loss = parts.rdd.map(lambda r: (np.frombuffer(r["g"]), r["loss"])).treeReduce(
-            lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=depth)
-        G = G.reshape(W.shape)
-        # Adam step on the driver (weights are bounded by dim).
-        m1 = 0.9 * m1 + 0.1 * G
-        m2 = 0.999 * m2 + 0.001 * G * G
-        W = W - lr * (m1 / (1 - 0.9 ** it)) / (np.sqrt(m2 / (1 - 0.999 ** it)) + 1e-8)
-        history.append((it, float(loss)))
-        bw.unpersist()
-        settled = it > steps_per_epoch and history[-1 - steps_per_epoch][1] - loss < tol * history[0][1]
-        if valid is not None and it % steps_per_epoch == 0:
-            epoch = it // steps_per_epoch
-            probe = TwoHeadModel(W, dim, bool(lambda_hier), history)
-            scored = score_two_head(valid, probe, feat_col=feat_col, keep=(y_col, yf_col))
-            ev = {(r["head"], r["metric"]): r["value"] for r in evaluate_two_head(
-                scored.withColumnRenamed(y_col, "y_coarse").withColumnRenamed(yf_col, "y_fine")).collect()}
-            records += [(epoch, h, m, v) for (h, m), v in sorted(ev.items())]
-            current = ev[head_metric]
-            if current is not None and current > best_val:
-                best_val, best_W, best_ep, stale = current, W.copy(), epoch, 0
-            else:
-                stale += 1
-                if stale >= patience:
-                    stop_ep = epoch
-                    break
-        if settled and (valid is None or it % steps_per_epoch == 0):
-            break
+                    block = _Block(b, dim)
+                    y, Y = np.frombuffer(b.y, np.int32), np.frombuffer(b.yf, np.int8).reshape(b.n, N_FINE).astype(float)
+                    Z, dZ = block.outputs(W), []
+                    for i, m in enumerate(models):
+                        own = Z[:, i * N_OUT:(i + 1) * N_OUT]
+                        loss, d = head_gradients(own[:, :N_COARSE], own[:, N_COARSE:], y, Y, *terms[m])
+                        losses[i] += loss
+                        dZ.append(d)
+                    G += block.gradient(np.concatenate(dZ, axis=1))
+            yield pd.DataFrame({"g": [G.tobytes()], "loss": [losses.tobytes()]})
+
+        parts = blocks.mapInPandas(partial, "g binary, loss binary")
+        pair, add = lambda r: (np.frombuffer(r["g"]), np.frombuffer(r["loss"])), lambda a, b: (a[0] + b[0], a[1] + b[1])
+        G, losses = reduce(add, map(pair, parts.collect())) if few else parts.rdd.map(pair).treeReduce(add)
+        sent.unpersist()
+        G = G.reshape(len(models), N_OUT, dim + 1)
+        return {m: (float(losses[i]), G[i]) for i, m in enumerate(models)}
+
+    solvers = [Lbfgs(np.zeros((N_OUT, dim + 1)), tol) for _ in objectives]
+    looks = [_Selection(valid, monitor, patience, feat_col, y_col, yf_col) if valid is not None else None for _ in objectives]
+    open_ = set(range(len(solvers))) if n_total else set()
+    while open_:
+        for m, (loss, grad) in evaluate({m: solvers[m].trial for m in sorted(open_)}).items():
+            s, look = solvers[m], looks[m]
+            accepted, steps = s.tell(loss, grad), len(s.trace) - 1
+            ended = s.done or (accepted and iterations is not None and steps >= iterations)
+            if look is not None and steps and ((accepted and steps % steps_per_epoch == 0) or (ended and steps % steps_per_epoch)):
+                ended = look.look(s.x, dim, bool(objectives[m].lambda_hier)) or ended
+            if ended:
+                open_.discard(m)
+            elif steps >= MAX_STEPS:
+                raise RuntimeError(f"no convergence in {MAX_STEPS} steps: gradient norm {s.trace[-1][1]:.3g} of {s.trace[0][1]:.3g} at first")
     blocks.unpersist()
-    if valid is not None:
-        final = best_W if best_W is not None else W
-        return TwoHeadModel(final, dim, bool(lambda_hier), history, records, best_ep,
-                            stop_ep or (len(history) // steps_per_epoch))
-    return TwoHeadModel(W, dim, bool(lambda_hier), history)
+    out = []
+    for o, s, look in zip(objectives, solvers, looks):
+        W = s.trial if s.x is None else s.x
+        model = TwoHeadModel(W, dim, bool(o.lambda_hier), [(i, t[0]) for i, t in enumerate(s.trace)], [t[1] for t in s.trace])
+        if look is not None:
+            model.weights = W if look.weights is None else look.weights
+            model.records, model.best_epoch, model.stop_epoch = look.records, look.best_epoch, look.epoch
+        out.append(model)
+    return out
+
+
+def fit_two_head(train: DataFrame, dim: int = DEFAULT_DIM, lambda_fine: float = 1.0, lambda_hier: float = 0.0,
+                 weighted: bool = True, **options) -> TwoHeadModel:
+    """M2 or M3 alone; see :func:`fit_two_heads`."""
+    return fit_two_heads(train, [Objective(lambda_fine, lambda_hier, weighted and not lambda_hier)], dim, **options)[0]
 
 
 def score_two_head(df: DataFrame, model: TwoHeadModel, feat_col: str = "features",
@@ -294,14 +431,10 @@ def score_two_head(df: DataFrame, model: TwoHeadModel, feat_col: str = "features
 
 def evaluate_two_head(scored: DataFrame, threshold: float = FV.TWO_HEAD_THRESHOLD) -> DataFrame:
     """M6: coarse + fine bundles as a long (head, metric, value) table."""
-    c = coarse_metrics(scored)
-    f = fine_metrics(scored, threshold=threshold)
-    cs = ", ".join(f"'{m}', {m}" for m in ("accuracy", "micro_f1", "macro_f1", "lrap"))
-    fs = ", ".join(f"'{m}', {m}" for m in ("micro_f1", "macro_f1", "hamming_loss", "subset_accuracy",
-                                          "jaccard_micro", "jaccard_macro", "lrap"))
-    return (c.selectExpr(f"stack(4, {cs}) as (metric, value)").select(F.lit("coarse").alias("head"), "*")
-            .unionByName(f.selectExpr(f"stack(7, {fs}) as (metric, value)")
-                         .select(F.lit("fine").alias("head"), "*")))
+    def long(head, bundle):
+        pairs = ", ".join(f"'{m}', {m}" for m in bundle.columns)
+        return bundle.selectExpr(f"stack({len(bundle.columns)}, {pairs}) as (metric, value)").select(F.lit(head).alias("head"), "*")
+    return long("coarse", coarse_metrics(scored, full=True)).unionByName(long("fine", fine_metrics(scored, threshold=threshold)))
 
 
 # ---------------------------------------------------------------- M4 / M5: baseline classifier
@@ -312,7 +445,13 @@ def fit_baseline(train: DataFrame, label_col: str = "labels", features_col: str
     from pyspark.ml.classification import LogisticRegression
     lr = LogisticRegression(family="multinomial", labelCol=label_col, featuresCol=features_col,
                             regParam=reg_param, maxIter=MAX_STEPS, tol=tol)
-    return lr.fit(train)
+    return _converged(lr.fit(train))
+
+
+def _converged(model):
+    if model.summary.totalIterations >= MAX_STEPS:
+        raise RuntimeError(f"no convergence in {MAX_STEPS} steps")
+    return model
 
 
 def baseline_logits(model, df: DataFrame, keep: tuple = ("row_key", "labels"),
@@ -346,7 +485,7 @@ def sweep_baseline(train: DataFrame, valid: DataFrame, reg_params=(0.0, 0.01, 0.
     models = [None] * len(grid)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for idx, model in pool.map(lambda _: next(fits), range(len(grid))):
-            models[idx] = model
+            models[idx] = _converged(model)
     train.unpersist()
     out = []
     for pm, model in zip(grid, models):

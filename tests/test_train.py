@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from hatefold.operators import train as TR
 from hatefold.operators.train import head_gradients
 
 
@@ -37,14 +39,13 @@ def test_hier_gradient_finite_differences():
 
 def test_fit_with_validation_keeps_first_best_epoch(spark):
     from hatefold.operators import features as FE
-    from hatefold.operators import train as TR
     rows = [(i, ("trash " if i % 2 else "") + f"word{i % 5}", (i % 2) * 2, [i % 2] + [0] * 7) for i in range(40)]
     df = FE.hashed_features(spark.createDataFrame(rows, "doc_id long, text string, y_coarse int, y_fine array<int>"),
                             dim=128)
-    m = TR.fit_two_head(df, dim=128, iterations=30, lr=0.2, valid=df, steps_per_epoch=3,
+    m = TR.fit_two_head(df, dim=128, iterations=30, valid=df, steps_per_epoch=3,
                         patience=2, checkpoint=False)
     fine = [(e, v) for e, h, k, v in m.records if (h, k) == ("fine", "macro_f1")]
-    assert len(m.records) == 11 * len(fine)
+    assert len(m.records) == 15 * len(fine)  # 8 coarse and 7 fine metrics an epoch
     best = max(v for _, v in fine)
     assert m.best_epoch == min(e for e, v in fine if v == best)
     # stopped by patience or ran to the end
@@ -54,6 +55,68 @@ def test_fit_with_validation_keeps_first_best_epoch(spark):
     assert len(after) <= 2
 
 
+def test_solver_ends_at_the_minimum():
+    rng = np.random.default_rng(3)
+    A = rng.normal(size=(40, 12)) * np.logspace(-1, 0.5, 12)
+    b = rng.normal(size=40)
+    s = TR.Lbfgs(np.zeros(12), 1e-6)
+    for _ in range(2000):
+        if s.done:
+            break
+        r = A @ s.trial - b
+        s.tell(float(r @ r), 2 * A.T @ r)
+    assert s.done and s.trace[-1][1] <= 1e-6 * s.trace[0][1]
+    assert np.allclose(A @ s.x, A @ np.linalg.lstsq(A, b, rcond=None)[0], atol=1e-3)
+    assert all(y[0] < x[0] for x, y in zip(s.trace, s.trace[1:]))
+
+
+def test_solver_gives_up_when_nothing_falls():
+    s = TR.Lbfgs(np.ones(2), 1e-9)
+    for _ in range(100):
+        if s.done:
+            break
+        s.tell(1.0, np.ones(2))  # a gradient that lies
+    assert s.done and len(s.trace) == 1
+
+
+def _toy(spark, dim, n=90):
+    from hatefold.operators import features as FE
+    rows = [(i, ("trash " if i % 3 else "nice ") * (1 + i % 4) + f"word{i % 7}", i % 3, [int(i % 3 == 2)] + [int(i % 2)] * 7) for i in range(n)]
+    return FE.hashed_features(spark.createDataFrame(rows, "doc_id long, text string, y_coarse int, y_fine array<int>"), dim=dim)
+
+
+def test_models_of_one_batch_equal_separate_fits(spark):
+    df = _toy(spark, 64)
+    both = TR.fit_two_heads(df, [TR.FLAT, TR.HIERARCHICAL], dim=64, tol=1e-2)
+    for model, objective in zip(both, (TR.FLAT, TR.HIERARCHICAL)):
+        alone = TR.fit_two_heads(df, [objective], dim=64, tol=1e-2)[0]
+        assert np.allclose(model.weights, alone.weights, atol=1e-6)
+        loss, norm = [v for _, v in model.history], model.gradient_norms
+        assert norm[-1] <= 1e-2 * norm[0] and all(b < a for a, b in zip(loss, loss[1:]))
+
+
+def test_dense_and_sparse_blocks_agree(spark, monkeypatch):
+    df = _toy(spark, 64)
+    dense = TR.fit_two_head(df, 64, iterations=5)
+    monkeypatch.setattr(TR, "BLOCK_BYTES", 4 * 64 * 7)  # many blocks
+    assert np.allclose(TR.fit_two_head(df, 64, iterations=5).weights, dense.weights, atol=1e-8)
+    wide = _toy(spark, 1 << 12)  # few of 4096 columns: sparse
+    blocks = TR._packed_blocks(wide.select("features", wide.y_coarse.alias("y"), wide.y_fine.alias("yf")), "features", 1 << 12).collect()
+    assert not any(b.dense for b in blocks) and sum(b.n for b in blocks) == 90
+    assert TR._packed_blocks(df.select("features", df.y_coarse.alias("y"), df.y_fine.alias("yf")), "features", 64).first().dense
+
+
+def test_empty_training_set(spark):
+    m = TR.fit_two_head(_toy(spark, 64).limit(0), 64)
+    assert not m.weights.any() and m.history == []
+
+
+def test_unconverged_fit_raises(spark, monkeypatch):
+    monkeypatch.setattr(TR, "MAX_STEPS", 2)
+    with pytest.raises(RuntimeError, match="no convergence"):
+        TR.fit_two_head(_toy(spark, 64), 64, tol=1e-12)
+
+
 def test_baselines_fit_down_to_the_tight_tolerances():
     import inspect
 
