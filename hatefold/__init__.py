@@ -26,9 +26,10 @@ from .operators.lexicon import (LEXICON_SCHEMA, clean_terms, explode_matches, lo
 from .operators.metrics import (class_weights, coarse_metrics, confusion, confusion_matrix,
                                 consistency_penalty, fine_metrics, losses, pos_weights,
                                 single_label_metrics)
+from .operators.ranking import numbered
 from .operators.score import compare_predictions, suspect, two_head_record
 from .operators.split import stratified_split
-from .operators.train import evaluate_two_head, fit_baseline, fit_two_head, score_two_head
+from .operators.train import evaluate_two_head, fit_baseline, fit_two_head, fit_two_heads, score_two_head
 from .session import get_spark
 from .sources.io import (convert_tsv, read_lexicon, read_posts_csv, read_term_freq, read_term_freq_lines,
                          read_tsv, write_lexicon, write_table)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import posexplode_kept, text_or_empty
+from ..session import written
+from .ranking import numbered
 
 DEFAULT_DIM = 1 << 13
 
@@ -47,17 +49,16 @@ def mllib_features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM
     return out.drop("_grams"), stages
 
 
-def term_vocabulary(terms: DataFrame, vocab_size: int, term_col: str = "term",
+def term_vocabulary(terms: DataFrame, vocab_size: int | None = None, term_col: str = "term",
                     freq_col: str = "freq", reserved: int = 2) -> DataFrame:
-    """The ``vocab_size`` most frequent terms with ids by descending frequency
-    (ties by term); ids 0 and 1 are reserved for padding and unknown.
+    """All terms, or the ``vocab_size`` most frequent ones, with ids by descending
+    frequency (ties by term); ids 0 and 1 are reserved for padding and unknown.
 
-    The vocabulary size is the model's feature, and it bounds what is ranked:
-    a distributed top-k (per-partition partial sort) feeds a window over at
-    most ``vocab_size`` rows."""
-    top = terms.select(term_col, freq_col).orderBy(F.desc(freq_col), F.asc(term_col)).limit(vocab_size)
-    w = Window.orderBy(F.desc(freq_col), F.asc(term_col))
-    return top.select(term_col, (F.row_number().over(w) - 1 + reserved).cast("int").alias("token_id"))
+    Terms are ranked over ranges of (frequency, term); no task sees the whole table."""
+    ranked = numbered(terms.select(term_col, freq_col), [F.desc(freq_col), F.asc(term_col)], "token_id", reserved)
+    if vocab_size is not None:
+        ranked = ranked.where(F.col("token_id") < vocab_size + reserved)
+    return ranked.select(term_col, F.col("token_id").cast("int").alias("token_id"))
 
 
 def encode_text(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -67,12 +68,13 @@ def encode_text(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_co
     are re-assembled in order per row."""
     # The whole text is tokenised; truncation to the model length happens on
     # the token array, so only max_len tokens per row are exploded. A row number
-    # keeps rows that share an id apart (all tokens of a row leave one task, so
-    # it need only be unique there), and a text without tokens keeps its null
-    # row: the input is read once and joined with nothing but the vocabulary.
+    # keeps rows that share an id apart; the tokens are written with it before they
+    # are dealt, as a recomputed task could number its rows anew. A text without
+    # tokens keeps its null row: the input is read once and joined with nothing but
+    # the vocabulary.
     tokens = F.slice(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(pattern), 0), 1, max_len)
-    toks = df.select(id_col, F.monotonically_increasing_id().alias("_row"), tokens.alias("_tokens")).select(
-        id_col, "_row", posexplode_kept("_tokens").alias("pos", "term"))
+    rows = written(df.select(id_col, F.monotonically_increasing_id().alias("_row"), tokens.alias("_tokens")), "tokens")
+    toks = rows.select(id_col, "_row", posexplode_kept("_tokens").alias("pos", "term"))
     # No broadcast hint: a small vocabulary is broadcast by its measured size.
     ids = (toks.join(vocab.withColumnRenamed(vocab.columns[0], "term"), "term", "left")
            .withColumn("token_id", F.when(F.col("term").isNotNull(), F.coalesce("token_id", F.lit(unk_id)))))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from ..functions.text import (explode_kept, let, prefix_sum, py_isdigit, py_strip, regex_escape_char,
                               text_or_empty)
 from ..plans import fixed_values as FV
+from .ranking import numbered
 
 LEXICON_SCHEMA = T.StructType([
     T.StructField("seed", T.StringType(), False),
@@ -387,8 +388,8 @@ def merge_lexicon(manual: DataFrame, mined: DataFrame, auto_type: str = FV.AUTO_
     nor any canonical / jamo form of the manual lexicon.
 
     Added seeds follow the manual ones with an ordinal each, by their position
-    in the mined table, else by descending frequency, then by term. The result
-    is one plan: write it (``write_lexicon``) before using it more than once."""
+    in the mined table, else by descending frequency, then by term; the ranking
+    is distributed (``numbered``)."""
     existing = (manual.select(F.explode(F.array_union(
         F.array(F.col("seed")),
         F.array_union(F.coalesce("canonical", F.array().cast("array<string>")),
@@ -397,11 +398,9 @@ def merge_lexicon(manual: DataFrame, mined: DataFrame, auto_type: str = FV.AUTO_
     max_ord = manual.agg(F.max("seed_ord")).first()[0]
     base = (max_ord + 1) if max_ord is not None else 0
     # The side is broadcast if its measured size allows it; no hint.
-    added = (mined.join(existing, "term", "left_anti").select("term", "pos", "freq")
-             .orderBy(F.asc_nulls_last("pos"), F.desc("freq"), "term"))
-    numbered = added.select("term").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    added = (mined.sparkSession.createDataFrame(numbered, "term string, rank long")
-             .select(F.col("term").alias("seed"), (F.lit(base).cast("long") + F.col("rank")).alias("seed_ord"),
+    added = mined.join(existing, "term", "left_anti").select("term", "pos", "freq")
+    added = (numbered(added, [F.asc_nulls_last("pos"), F.desc("freq"), F.asc("term")], "rank", base)
+             .select(F.col("term").alias("seed"), F.col("rank").alias("seed_ord"),
                      F.array(F.col("term")).alias("canonical"),
                      F.array().cast("array<string>").alias("jamo"),
                      F.lit(auto_type).alias("type"),

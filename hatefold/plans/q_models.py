@@ -22,9 +22,6 @@ QUERIES = {}
 ORACLE = {}
 SEED = 42
 DIM = 1 << 12
-LEARNING_RATE = 0.2
-#: A bound; fits end at their tolerance before it, or by early stopping.
-BUDGET = 200
 
 
 def register(name, sql=None):
@@ -68,7 +65,7 @@ _ENCODE_SQL = with_views("posts") + """,
 toks AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS ts FROM posts),
 terms AS (SELECT t AS term, count(*) AS freq FROM (SELECT unnest(ts) AS t FROM toks) GROUP BY 1),
 vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY freq DESC, term) + 1 AS INTEGER) AS token_id
-          FROM (SELECT * FROM terms ORDER BY freq DESC, term LIMIT 30000)),
+          FROM terms),
 pos AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM toks),
 ids AS (SELECT p.doc_id, list(coalesce(v.token_id, 1) ORDER BY p.pos) AS ids
         FROM pos p LEFT JOIN vocab v ON p.term = v.term WHERE p.pos < 128 GROUP BY p.doc_id),
@@ -82,55 +79,97 @@ FROM enc
 @register("encoded_text", _ENCODE_SQL)
 def encoded_text(spark, sf_dir):
     posts = B.posts(spark, sf_dir)
-    vocab = FE.term_vocabulary(LX.mine_terms(posts), vocab_size=30_000)
+    vocab = FE.term_vocabulary(LX.mine_terms(posts))
     enc = FE.encode_text(posts, vocab)
     return enc.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
 
 
+@register("vocabulary_ids", with_views("posts") + """,
+terms AS (SELECT term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM posts) GROUP BY 1)
+SELECT term, CAST(row_number() OVER (ORDER BY freq DESC, term) + 1 AS INTEGER) AS token_id FROM terms
+""")
+def vocabulary_ids(spark, sf_dir):
+    """every term of the posts with its id, by a distributed ranking."""
+    return FE.term_vocabulary(LX.mine_terms(B.posts(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- M2 / M3 / M6
 
-def _fit_eval(spark, sf_dir, hierarchical: bool, augment: bool, eval_split: str = "valid"):
+OBJECTIVES = {"flat": TR.FLAT, "hierarchical": TR.HIERARCHICAL}
+
+
+def _two_head_data(spark, sf_dir, augment: bool = False):
     posts = B.posts(spark, sf_dir)
     if augment:
         ts = AU.build_training_set(posts, B.lexicon(spark), seed=SEED)
     else:
         ts = SP.stratified_split(posts, "hate_label", "doc_id", seed=SEED)
-    data = _materialised(_two_head_input(ts), "features")
-    train = data.where(F.col("split") == "train")
-    # Scores of the test part come from the best epoch on the valid part.
-    valid = data.where(F.col("split") == "valid") if eval_split == "test" else None
-    model = TR.fit_two_head(train, dim=DIM, lambda_hier=1.0 if hierarchical else 0.0,
-                            weighted=not hierarchical, lr=LEARNING_RATE, iterations=BUDGET, valid=valid)
-    ev = data.where(F.col("split") == eval_split).where(
-        F.col("origin") == "original" if "origin" in data.columns else F.lit(True))
-    scored = TR.score_two_head(ev, model, keep=("doc_id", "y_coarse", "y_fine"))
-    return model, TR.evaluate_two_head(scored)
+    return _materialised(_two_head_input(ts), "features")
+
+
+def _part(data, split):
+    rows = data.where(F.col("split") == split)
+    return rows.where(F.col("origin") == "original") if split != "train" and "origin" in data.columns else rows
+
+
+def fitted(data, *names):
+    """The named models, fitted on train in one batch; the best epoch on valid is kept."""
+    return TR.fit_two_heads(_part(data, "train"), [OBJECTIVES[n] for n in names], dim=DIM, valid=_part(data, "valid"))
+
+
+def _evaluated(data, model, split):
+    return TR.evaluate_two_head(TR.score_two_head(_part(data, split), model, keep=("doc_id", "y_coarse", "y_fine")))
 
 
 @register("two_head_flat")
 def two_head_flat(spark, sf_dir):
-    """M2 + M6: flat two-head fit on train, metrics on valid."""
-    _, m = _fit_eval(spark, sf_dir, hierarchical=False, augment=False)
-    return B.rounded(m)
+    """M2 + M6: flat two-head fit on train, metrics of the best epoch on valid."""
+    data = _two_head_data(spark, sf_dir)
+    return B.rounded(_evaluated(data, fitted(data, "flat")[0], "valid"))
 
 
 @register("two_head_hierarchical")
 def two_head_hierarchical(spark, sf_dir):
     """M3 + M6: hierarchical objective (consistency penalty), metrics on valid."""
-    _, m = _fit_eval(spark, sf_dir, hierarchical=True, augment=False)
-    return B.rounded(m)
+    data = _two_head_data(spark, sf_dir)
+    return B.rounded(_evaluated(data, fitted(data, "hierarchical")[0], "valid"))
+
+
+_Q = 0.5 ** TR.N_FINE
+
+
+@register("two_head_convergence", with_views("posts") + f""",
+t AS (SELECT {', '.join(FV.FINE_COLS)} FROM {SP.split_oracle_sql("posts", "hate_label", "doc_id", FV.THREE_WAY_RATIOS, FV.SPLIT_NAMES_3)} WHERE split = 'train'),
+n AS (SELECT count(*) AS n FROM t),
+pos AS (SELECT sum(y) AS p, count(*) AS n FROM (SELECT unnest(['{"', '".join(FV.FINE_COLS)}']) AS col, unnest([{', '.join(FV.FINE_COLS)}]) AS y FROM t) GROUP BY col),
+bce AS (SELECT sum((n - p) / (p + 1e-6) * p + n - p) * ln(2) / (max(n) * {TR.N_FINE}) AS flat FROM pos)
+SELECT model, n AS n_rows, round(ln(3) + CASE WHEN model = 'flat' THEN flat ELSE ln(2) + (1 - {_Q}) / 3 + 2 * {_Q} / 3 END, 5) AS loss_first,
+  true AS falls_at_every_step, true AS below_a_tenth, true AS gradient_small
+FROM n, bce, (VALUES ('flat'), ('hierarchical')) m(model)
+""")
+def two_head_convergence(spark, sf_dir):
+    """M2 / M3 over the train part, both models in one batch, down to the gradient
+    tolerance: the loss at zero weights, that it falls at every step to a tenth or
+    less, and that the gradient's norm falls to a thousandth."""
+    train = _part(_two_head_data(spark, sf_dir), "train")
+    models = TR.fit_two_heads(train, list(OBJECTIVES.values()), dim=DIM, tol=1e-3)
+    n, rows = train.count(), []
+    for name, m in zip(OBJECTIVES, models):
+        loss, norm = [v for _, v in m.history], m.gradient_norms
+        rows.append((name, n, round(loss[0], 5), all(b < a for a, b in zip(loss, loss[1:])), loss[-1] < loss[0] / 10, norm[-1] <= 1e-3 * norm[0]))
+    return spark.createDataFrame(rows, "model string, n_rows long, loss_first double, falls_at_every_step boolean, below_a_tenth boolean, gradient_small boolean")
 
 
 @register("experiment_matrix")
 def experiment_matrix(spark, sf_dir):
-    """M9: flat / hierarchical x without / with train-only augmentation, test split."""
+    """M9: flat / hierarchical x without / with train-only augmentation, test split;
+    the two models over the same rows are fitted together."""
     out = None
-    for hier in (False, True):
-        for aug in (False, True):
-            _, m = _fit_eval(spark, sf_dir, hierarchical=hier, augment=aug, eval_split="test")
-            m = m.select(F.lit("hierarchical" if hier else "flat").alias("model"),
-                         F.lit(aug).alias("augmented"), "head", "metric", "value")
+    for aug in (False, True):
+        data = _two_head_data(spark, sf_dir, aug)
+        for name, model in zip(OBJECTIVES, fitted(data, *OBJECTIVES)):
+            m = _evaluated(data, model, "test").select(F.lit(name).alias("model"), F.lit(aug).alias("augmented"), "head", "metric", "value")
             out = m if out is None else out.unionByName(m)
     return out
 
@@ -138,11 +177,8 @@ def experiment_matrix(spark, sf_dir):
 @register("batch_scoring")
 def batch_scoring(spark, sf_dir):
     """M7: score every post with a fitted flat model; two-head result record."""
-    posts = B.posts(spark, sf_dir)
-    ts = SP.stratified_split(posts, "hate_label", "doc_id", seed=SEED)
-    data = _materialised(_two_head_input(ts), "features")
-    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, lr=LEARNING_RATE, iterations=BUDGET)
-    scored = TR.score_two_head(data, model, keep=("doc_id",))
+    data = _two_head_data(spark, sf_dir)
+    scored = TR.score_two_head(data, fitted(data, "flat")[0], keep=("doc_id",))
     rec = S.two_head_record(scored, keep=("doc_id",))
     return rec.select("doc_id", "coarse_pred", F.round("coarse_confidence", 6).alias("coarse_confidence"),
                       F.array_join("fine_pred", "|").alias("fine_pred"))
@@ -223,10 +259,8 @@ def training_history(spark, sf_dir):
     epoch records appended to a metrics table partitioned by run (IO9), and
     the test metrics of the best weights appended as split 'test' (IO10)."""
     from ..session import scratch_path
-    ts = SP.stratified_split(B.posts(spark, sf_dir), "hate_label", "doc_id", seed=SEED)
-    data = _materialised(_two_head_input(ts), "features")
-    model = TR.fit_two_head(data.where(F.col("split") == "train"), dim=DIM, lr=LEARNING_RATE, iterations=BUDGET, valid=data.where(F.col("split") == "valid"),
-                            steps_per_epoch=10, monitor="fine_macro_f1")
+    data = _two_head_data(spark, sf_dir)
+    model = fitted(data, "flat")[0]
     path = scratch_path(spark, "train-history")
     rec = spark.createDataFrame([("flat", e, "valid", h, m, float(v) if v is not None else None)
                                  for e, h, m, v in model.records],
