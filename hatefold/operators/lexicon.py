@@ -9,9 +9,11 @@ Python ``re.finditer``'s left-to-right non-overlapping matches. No shuffle and
 no text x lexicon nested loop.
 
 The compiled lexicon is inlined in the plan, as one constant, only behind a
-size check (form count and total characters). Above it, a distributed q-gram
-candidate join finds the forms per text instead, so an unbounded mined lexicon
-never passes through the driver. Both paths give the same matches for every row.
+size check (form count and total characters). Above it, up to a bound on their
+characters, the forms are broadcast as the shards of an automaton, still row-local
+(``automata``). Above that, a distributed q-gram candidate join finds the forms per
+text, so an unbounded mined lexicon never passes through the driver. All three give
+the same matches for every row.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.text import (explode_kept, let, prefix_sum, py_isdigit, py_strip, regex_escape_char,
                               text_or_empty)
 from ..plans import fixed_values as FV
+from .automata import MAX_AUTOMATON_CHARS, automaton_matcher
 from .ranking import numbered
 
 LEXICON_SCHEMA = T.StructType([
@@ -151,17 +154,19 @@ def _match_structs(text: Column, form: Column, entries: Column) -> Column:
 def match_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "text",
                   id_col: str = "doc_id", out_col: str = "matches",
                   max_inline_forms: int = MAX_INLINE_FORMS,
-                  max_inline_chars: int = MAX_INLINE_CHARS) -> DataFrame:
+                  max_inline_chars: int = MAX_INLINE_CHARS,
+                  max_automaton_chars: int = MAX_AUTOMATON_CHARS) -> DataFrame:
     """Add ``out_col``: array of match structs ordered by (start, seed_ord, form_ord).
 
     Every non-overlapping occurrence of every canonical form is reported;
     overlaps between different forms are kept.
     """
-    return prepare_matcher(lexicon, max_inline_forms, max_inline_chars)(df, text_col, id_col, out_col)
+    return prepare_matcher(lexicon, max_inline_forms, max_inline_chars, max_automaton_chars=max_automaton_chars)(df, text_col, id_col, out_col)
 
 
 def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS,
-                    max_inline_chars: int = MAX_INLINE_CHARS, counts_only: bool = False):
+                    max_inline_chars: int = MAX_INLINE_CHARS, counts_only: bool = False,
+                    max_automaton_chars: int = MAX_AUTOMATON_CHARS):
     """Compile the lexicon once; returns ``f(df, text_col, id_col, out_col)``.
 
     Reused across micro-batches of a stream so the lexicon is read once. With
@@ -174,6 +179,9 @@ def prepare_matcher(lexicon: DataFrame, max_inline_forms: int = MAX_INLINE_FORMS
         compiled = _compile_inline(forms.collect())
         return lambda df, text_col="text", id_col="doc_id", out_col="matches": _apply_inline(
             df, compiled, text_col, out_col, counts_only)
+    if n_chars <= max_automaton_chars:
+        find = automaton_matcher(forms, counts_only)
+        return lambda df, text_col="text", id_col="doc_id", out_col="matches": df.withColumn(out_col, find(F.col(text_col)))
     if counts_only:
         return lambda df, text_col="text", id_col="doc_id", out_col="matches": _match_distributed(
             df, forms, text_col, out_col).withColumn(out_col, form_counts(F.col(out_col)))

@@ -68,6 +68,18 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, LEXICON_SCHEMA)
 
 
+#: A lexicon that occurs in the messages: this many of their most frequent words of
+#: five letters or more, each with its first four letters as a second form.
+TALK_WORDS = 10
+
+
+def talk_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.lexicon import mine_terms
+    words = mine_terms(table(spark, sf_dir, "conversations")).where(F.length("term") >= 5)
+    top = [r["term"] for r in words.orderBy(F.desc("freq"), "term").limit(TALK_WORDS).collect()]
+    return spark.createDataFrame([(w, i, [w, w[:4]], [], "profanity", []) for i, w in enumerate(top)], LEXICON_SCHEMA)
+
+
 def scored(spark: SparkSession, sf_dir: str, coarse_from: int = 1, fine_from: int = 4) -> DataFrame:
     """FX9 stand-in from embeddings (1-based dims): 3 coarse and 8 fine logits,
     y_coarse = label % 3, y_fine[j] = dim(12 + j) > 0."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .bindings import AUX_CROSSWALK, LANG_TARGETS, WORD_TYPES, WORDS
+from .bindings import AUX_CROSSWALK, LANG_TARGETS, TALK_WORDS, WORD_TYPES, WORDS
 from . import fixed_values as FV
 
 
@@ -42,6 +42,12 @@ VIEWS = {
   SELECT seed, seed_ord, type, CAST(i - 1 AS INTEGER) AS form_ord, canonical[i] AS form
   FROM lexicon, range(1, len(canonical) + 1) r(i)
   WHERE canonical[i] IS NOT NULL AND length(canonical[i]) > 0)""",
+    "talk_forms": f"""talk_words AS (
+  SELECT term AS seed, row_number() OVER (ORDER BY freq DESC, term) - 1 AS seed_ord FROM (
+    SELECT term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM conversations)
+    WHERE length(term) >= 5 GROUP BY term ORDER BY freq DESC, term LIMIT {TALK_WORDS})),
+talk_forms AS (
+  SELECT seed, seed_ord, seed AS form FROM talk_words UNION ALL SELECT seed, seed_ord, seed[1:4] FROM talk_words)""",
     "scored": """scored AS (
   SELECT vec_id AS id, CAST(label % 3 AS INTEGER) AS y_coarse,
     list_transform(embedding[12:19], lambda x: CAST(x > 0 AS INTEGER)) AS y_fine,

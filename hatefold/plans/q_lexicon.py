@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_kept
 from ..operators import lexicon as LX
+from ..session import written
 from . import bindings as B
+from . import fixed_values as FV
 from .oracle_views import with_views
 
 QUERIES = {}
@@ -145,25 +147,51 @@ def merged_lexicon(spark, sf_dir):
 
 # ---------------------------------------------------------------- J2, both paths
 
-_PATHS_SQL = with_views("lexicon_forms") + """,
+_PATHS_SQL = with_views("talk_forms") + """,
 hits AS (
-  SELECT c.conv_id, c.turn, f.form,
+  SELECT c.conv_id, c.turn, f.seed, f.form,
     CAST((length(c.text) - length(replace(c.text, f.form, ''))) / length(f.form) AS INTEGER) AS n
-  FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations) c, lexicon_forms f)
-SELECT p.path, conv_id, turn, form, n FROM hits, (VALUES ('inline'), ('distributed')) p(path) WHERE n > 0
+  FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations) c, talk_forms f)
+SELECT p.path, conv_id, turn, seed, form, n FROM hits, (VALUES ('inline'), ('automata'), ('distributed')) p(path) WHERE n > 0
 """
 
+#: (forms, characters of an automaton) up to which a tier is used.
+MATCHER_TIERS = {"inline": (LX.MAX_INLINE_FORMS, LX.MAX_AUTOMATON_CHARS), "automata": (0, LX.MAX_AUTOMATON_CHARS), "distributed": (0, 0)}
+
 
 @register("matcher_paths", _PATHS_SQL)
 def matcher_paths(spark, sf_dir):
-    """The same lexicon through the inlined and the distributed matcher, over
-    messages whose conv_id repeats."""
+    """The same lexicon through all three matchers, over messages whose conv_id repeats."""
     conv = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
-    out = None
-    for path, limit in (("inline", LX.MAX_INLINE_FORMS), ("distributed", 0)):
-        matcher = LX.prepare_matcher(B.lexicon(spark), max_inline_forms=limit, counts_only=True)
+    lexicon, out = B.talk_lexicon(spark, sf_dir), None
+    for path, (n_forms, n_chars) in MATCHER_TIERS.items():
+        matcher = LX.prepare_matcher(lexicon, max_inline_forms=n_forms, counts_only=True, max_automaton_chars=n_chars)
         rows = (matcher(conv, "text", "conv_id", "counts").select("conv_id", "turn", explode_kept(F.col("counts")).alias("c"))
                 .where(F.col("c").isNotNull())
-                .select(F.lit(path).alias("path"), "conv_id", "turn", "c.form", "c.n"))
+                .select(F.lit(path).alias("path"), "conv_id", "turn", "c.seed", "c.form", "c.n"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_MINED_SQL = with_views("posts") + """,
+forms AS (SELECT DISTINCT term AS form FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM posts) WHERE length(term) >= 3),
+sizes AS (SELECT DISTINCT length(form) AS k FROM forms),
+msgs AS (SELECT conv_id, turn, lower(text) AS text FROM conversations),
+pairs AS (SELECT DISTINCT conv_id, turn, text, g AS form FROM (
+  SELECT conv_id, turn, text, unnest(list_distinct(list_transform(range(1, length(text) - k + 2), lambda i: text[i:i + k - 1]))) AS g FROM msgs, sizes WHERE length(text) >= k)
+  WHERE g IN (SELECT form FROM forms))
+SELECT form, count(*) AS n_messages, CAST(sum((length(text) - length(replace(text, form, ''))) / length(form)) AS BIGINT) AS n_matches FROM pairs GROUP BY form
+"""
+
+
+@register("mined_form_matches", _MINED_SQL)
+def mined_form_matches(spark, sf_dir):
+    """J2 with a large mined lexicon, every term of three letters or more of the posts,
+    over the messages: partitioned automata, no shuffle of texts."""
+    mined = LX.mine_terms(B.posts(spark, sf_dir)).where(F.length("term") >= 3)
+    lexicon = mined.select(F.col("term").alias("seed"), F.lit(0).cast("long").alias("seed_ord"), F.array("term").alias("canonical"),
+                           F.array().cast("array<string>").alias("jamo"), F.lit(FV.AUTO_TYPE).alias("type"), F.array().cast("array<string>").alias("targets"))
+    conv = B.table(spark, sf_dir, "conversations").select(F.lower("text").alias("text"))
+    counted = LX.prepare_matcher(written(lexicon, "mined"), counts_only=True)(conv, "text", "conv_id", "counts")
+    hits = counted.select(explode_kept(F.col("counts")).alias("c")).where(F.col("c").isNotNull())
+    return hits.groupBy("c.form").agg(F.count(F.lit(1)).alias("n_messages"), F.sum(F.col("c.n").cast("long")).alias("n_matches"))

@@ -203,21 +203,22 @@ def test_count_lexicon_inline_and_distributed(spark):
     want = {}
     for doc_id, seed, form, _, _, _ in _expected(texts, forms_by_seed):
         want[(doc_id, seed, form)] = want.get((doc_id, seed, form), 0) + 1
-    for limit in (LX.MAX_INLINE_FORMS, 0):
-        out = LX.prepare_matcher(lex, max_inline_forms=limit, counts_only=True)(df, "text", "doc_id", "counts")
+    for limit, chars in ((LX.MAX_INLINE_FORMS, 0), (0, LX.MAX_AUTOMATON_CHARS), (0, 0)):
+        out = LX.prepare_matcher(lex, max_inline_forms=limit, counts_only=True, max_automaton_chars=chars)(df, "text", "doc_id", "counts")
         got = {(r["doc_id"], c["seed"], c["form"]): c["n"] for r in out.collect() for c in r["counts"]}
         assert got == want, limit
 
 
-def test_both_paths_agree_on_repeated_and_null_ids(spark):
+def test_all_paths_agree_on_repeated_and_null_ids(spark):
     texts = [(7, "ab aba"), (7, "ab"), (None, "aa c."), (8, None), (7, "ab aba"), (None, "z")]
     forms = [("s0", ["ab", "aba"]), ("s1", ["a"]), ("s2", ["c.", "*a"])]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     lex = _lexicon(spark, forms)
     for counts_only in (False, True):
-        a, b = ([(str(r["doc_id"]), r["text"], [tuple(x) for x in r["m"]]) for r in LX.prepare_matcher(
-            lex, max_inline_forms=n, counts_only=counts_only)(df, "text", "doc_id", "m").collect()] for n in (LX.MAX_INLINE_FORMS, 0))
-        assert sorted(a, key=str) == sorted(b, key=str) and sum(len(x[2]) for x in a) > 0
+        a, b, c = ([(str(r["doc_id"]), r["text"], [tuple(x) for x in r["m"]]) for r in LX.prepare_matcher(
+            lex, max_inline_forms=n, counts_only=counts_only, max_automaton_chars=m)(df, "text", "doc_id", "m").collect()]
+            for n, m in ((LX.MAX_INLINE_FORMS, 0), (0, LX.MAX_AUTOMATON_CHARS), (0, 0)))
+        assert sorted(a, key=str) == sorted(b, key=str) == sorted(c, key=str) and sum(len(x[2]) for x in a) > 0
 
 
 def test_large_lexicon_compiles_in_seconds(spark):
@@ -236,3 +237,33 @@ def test_added_seeds_have_an_ordinal_each(spark):
     mined = spark.createDataFrame([("zz", 5, None), ("aab", 3, None), ("aaa", 5, None), ("ab", 9, None)], "term string, freq long, pos long")
     got = {r["seed"]: r["seed_ord"] for r in LX.merge_lexicon(manual, mined).collect()}
     assert got == {"s0": 0, "s1": 1, "aaa": 2, "zz": 3, "aab": 4}
+
+
+def test_automata_equal_finditer(spark):
+    from hatefold.operators import automata as A
+    texts = _random_texts(120, seed=5) + [(998, ""), (999, "ab" * 4000), (997, None), (996, "é́é́中文中文中")]
+    forms_by_seed = [("s0", FORMS), ("s1", ["aa", "baa", "é́", "中文中"]), ("s2", ["a" * 60])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    forms = LX.lexicon_forms(_lexicon(spark, forms_by_seed))
+    for shard_chars in (1, 5, A.SHARD_CHARS):  # many automata, or one
+        m = df.withColumn("matches", A.automaton_matcher(forms, shard_chars=shard_chars)(F.col("text")))
+        got = _actual(LX.explode_matches(m).select("doc_id", "seed", "form", "form_ord", "start", "end"))
+        assert got == _expected([(i, t or "") for i, t in texts], forms_by_seed)
+
+
+def test_shards_are_bounded_and_complete():
+    from hatefold.operators.automata import shards
+    rows = [{"form": f"{c}{i}", "seed": c, "seed_ord": 0, "form_ord": i, "type": None} for c in "abc" for i in range(50)]
+    made = shards(rows + rows[:3], 20)
+    assert sorted(f for _, e in made for f, _ in e) == sorted(r["form"] for r in rows)
+    assert all(sum(len(f) for f, _ in e[:-1]) < 20 and heads == {f[0] for f, _ in e} for heads, e in made)
+    assert shards([]) == []
+
+
+def test_large_lexicon_stays_row_local(spark):
+    forms = [f"w{i}x" for i in range(6000)]
+    lex = spark.createDataFrame([(f, i, [f], [], "profanity", []) for i, f in enumerate(forms)], LX.LEXICON_SCHEMA)
+    df = spark.createDataFrame([(i, f"a w{i}x w{i * 7 % 6000}x b") for i in range(200)], "doc_id long, text string")
+    out = LX.match_lexicon(df, lex)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all({m["form"] for m in r["matches"]} == {f"w{r['doc_id']}x", f"w{r['doc_id'] * 7 % 6000}x"} for r in out.collect())
