@@ -429,6 +429,17 @@ def score_two_head(df: DataFrame, model: TwoHeadModel, feat_col: str = "features
     return src.mapInPandas(run, schema)
 
 
+def score_with(df: DataFrame, make_predict, input_col: str, n_outputs: int, n_inputs: int, out_col: str = "logits",
+               batch_size: int = 1024) -> DataFrame:
+    """M7 with a model of the user's: ``make_predict()`` loads it once per Python worker
+    and returns a function from a batch (rows x ``n_inputs``) to scores (rows x
+    ``n_outputs``)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+    predict = predict_batch_udf(make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[n_inputs]])
+    return df.withColumn(out_col, predict(F.col(input_col)))
+
+
 def evaluate_two_head(scored: DataFrame, threshold: float = FV.TWO_HEAD_THRESHOLD) -> DataFrame:
     """M6: coarse + fine bundles as a long (head, metric, value) table."""
     def long(head, bundle):

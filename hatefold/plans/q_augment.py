@@ -165,6 +165,17 @@ def training_set_counts(spark, sf_dir):
     return ts.groupBy("split", "origin", "hate_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("written_set_counts", _training_set_sql())
+def written_set_counts(spark, sf_dir):
+    """The same counts, observed while the training set is written."""
+    from ..session import scratch_path
+    from ..sources.io import write_counted
+    ts = AU.build_training_set(B.posts(spark, sf_dir), B.lexicon(spark), seed=SEED)
+    keys = [(s, o, c) for s in FV.SPLIT_NAMES_3 for o in ("original", "augmented") for c in FV.COARSE_CLASSES]
+    seen = write_counted(ts, scratch_path(spark, "training-set"), {"|".join(k): (F.col("split") == k[0]) & (F.col("origin") == k[1]) & (F.col("hate_label") == k[2]) for k in keys})
+    return spark.createDataFrame([(*k, seen["|".join(k)]) for k in keys if seen["|".join(k)]], "split string, origin string, hate_label string, n long")
+
+
 # ---------------------------------------------------------------- offline pipeline
 
 def _offline_sql() -> str:

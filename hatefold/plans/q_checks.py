@@ -49,13 +49,16 @@ _X = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
 # ---------------------------------------------------------------- M7
 
 
-@register("fixed_weight_logits", f"""
+_LOGITS_SQL = f"""
 WITH e AS (SELECT vec_id AS id, {_X} AS x FROM embeddings)
 SELECT id, CAST(k AS INTEGER) AS output,
   round(list_sum(list_transform(range({DIMS}), lambda j: ((7 * k + 3 * j) % 11 - 5) / 10.0 * x[j + 1])) / sqrt(greatest(list_sum(x), 1))
         + ((7 * k + 3 * {DIMS}) % 11 - 5) / 10.0, 5) AS logit
 FROM e, range({TR.N_OUT}) r(k)
-""")
+"""
+
+
+@register("fixed_weight_logits", _LOGITS_SQL)
 def fixed_weight_logits(spark, sf_dir):
     """M7: the logits of both heads under a fixed weight table."""
     model = TR.TwoHeadModel(_weights(), DIMS, False, [])
@@ -64,6 +67,20 @@ def fixed_weight_logits(spark, sf_dir):
             .select("id", "output", F.round("z", 5).alias("logit")))
 
 
+@register("user_model_logits", _LOGITS_SQL)
+def user_model_logits(spark, sf_dir):
+    """M7 with a model that the caller brings, loaded once per worker: the same weights."""
+    weights = _weights()
+
+    def load():
+        def predict(x):
+            return (x / np.sqrt(np.maximum(x.sum(axis=1), 1.0))[:, None]) @ weights[:, :DIMS].T + weights[:, DIMS]
+        return predict
+    rows = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    scored = TR.score_with(rows, load, "x", TR.N_OUT, DIMS)
+    return scored.select("id", F.posexplode("logits").alias("output", "z")).select("id", "output", F.round("z", 5).alias("logit"))
+
+
 # ---------------------------------------------------------------- M2 / M3
 
 def _gradient_sql() -> str:

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.lexicon import LEXICON_SCHEMA, parse_count
+from ..operators.ranking import numbered
+from .splitting import split_csv, split_json_object
 
 
 def _text_reader(spark: SparkSession, schema: T.StructType, sep: str, multi_line: bool):
     # Quoted fields that hold newlines need multiLine, which makes a file one
-    # task; without such fields, turn it off and files are split. A UTF-8 BOM
-    # on the header is stripped by Spark's CSV source.
+    # task; without such fields, turn it off and files are split (``split`` splits
+    # them all the same). A UTF-8 BOM on the header is stripped by Spark's CSV source.
     return (spark.read.schema(schema).option("header", True).option("sep", sep)
             .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             .option("encoding", "UTF-8").option("mode", "FAILFAST"))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """IO1: tab-separated corpus with a header."""
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, split: bool = False) -> DataFrame:
+    """IO1: tab-separated corpus with a header; ``split``: many tasks for each file,
+    quoted newlines or not (``splitting``)."""
+    if split:
+        return split_csv(spark, path, schema, "\t")
     return _text_reader(spark, schema, "\t", multi_line).csv(path)
 
 
-def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """IO2 / IO3: comma-separated corpus, with or without a BOM."""
+def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, split: bool = False) -> DataFrame:
+    """IO2 / IO3: comma-separated corpus, with or without a BOM; ``split`` as in ``read_tsv``."""
+    if split:
+        return split_csv(spark, path, schema)
     return _text_reader(spark, schema, ",", multi_line).csv(path)
 
 
@@ -44,6 +51,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
+def write_counted(df: DataFrame, path: str, counted: dict, fmt: str = "parquet") -> dict:
+    """Writes ``df`` and returns the number of rows that meet each condition of
+    ``counted`` (name -> Column), observed while writing: no second scan."""
+    seen = Observation()
+    df.observe(seen, *[F.count(F.when(c, 1)).alias(name) for name, c in counted.items()]).write.format(fmt).save(path)
+    return seen.get
+
+
 def convert_tsv(spark: SparkSession, src: str, dst: str, schema: T.StructType,
                 partition_by: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """IO4: TSV corpus -> parquet table; returns the table as read back."""
@@ -57,11 +72,15 @@ _STRICT = {"mode": "FAILFAST"}
 TERM_FREQ_SCHEMA = "map<string,string>"
 
 
-def read_term_freq(spark: SparkSession, path: str) -> DataFrame:
+def read_term_freq(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """IO6: one JSON object {term: count} per file -> (term, freq, pos).
 
-    A single JSON object cannot be split, so each file is one task; large
-    mined tables should use the JSON-lines form (``read_term_freq_lines``)."""
+    Each file is one task, or with ``split`` many: then positions count on over
+    all files, in the order of their names."""
+    if split:
+        entries = split_json_object(spark, path)
+        return (numbered(entries, [F.asc("file"), F.asc("split"), F.asc("place")], "pos")
+                .select(F.col("key").alias("term"), parse_count(F.col("value")).alias("freq"), "pos"))
     raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.from_json("value", TERM_FREQ_SCHEMA, _STRICT).alias("m"))
     e = m.select(F.posexplode(F.map_entries("m")).alias("pos", "kv"))
