@@ -5,19 +5,21 @@ Euclidean distance, and each group into blocks of similar distance to the pivot,
 of at most ``block_rows`` vectors. A block's summary is its pivot p and its largest
 distance r to it, so that q.x <= q.p + |q| r for every x in it. The pivots are
 vectors of the table themselves: the k-th best pivot score is a lower bound of a
-query's k-th best score. Queries are grouped by their nearest pivot, and packed
-queries are replicated only to blocks whose upper bound reaches that lower bound.
-Each block is solved alone, and the partial results meet in one window per query.
+query's k-th best score. Queries are grouped by their nearest pivot and sent only to
+blocks whose upper bound reaches that lower bound; their vectors follow once that is
+known. Each block is solved for some thousand queries at a time, and the partial results
+meet in one window per query.
 
 Of equal vectors only the k + 1 smallest ids can be among the k best (ties go to
-the smaller id, one may be the query itself); the others are dropped before any
-block is formed, by a partial limit in front of the shuffle, so one very common
-vector is no hot group.
+the smaller id, one may be the query itself), and only k rows of each; the others are
+dropped before any block is formed. Rows are first counted by vector and id, and the
+ids limited in front of the shuffle by vector, so one very common vector is no hot group.
 
 Cases: components become floor(scale * x); vectors that are null, empty, or hold
 null or non-finite components take no part, nor rows with a null id; only vectors
 of equal length are compared; a row with the query's id is the query's own, repeated
-rows included; other columns are not read; an empty table gives no rows. Scores are
+rows included; repeated query rows are one query, and an id with several vectors is a
+query for each; other columns are not read; an empty table gives no rows. Scores are
 exact while |component| < 2**53 and every product sum fits in 64 bits.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "uid long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors, id_col: str, vector_col: str, scale: float):
@@ -81,16 +83,19 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def topk(vectors, queries, k: int = 10, scale: float = 1024.0, n_pivots: int = 256, block_rows: int = 2048,
-         id_col: str = "vec_id", vector_col: str = "embedding"):
+         queries_per_task: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"):
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the highest
     inner product with each row of ``queries``, the query's own row aside.
 
     ``n_pivots`` bounds the pivots of one vector length that are sent to all tasks.
     """
     data = integer_vectors(vectors, id_col, vector_col, scale)
-    data = written(data.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")))
-                   .filter(F.col("n") <= k + 1).drop("n"), "vectors")
-    asked = integer_vectors(queries, id_col, vector_col, scale)
+    data = (data.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("rows"))
+            .withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+            .select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.least("rows", F.lit(k)).cast("int"))).alias("copy")).drop("copy"))
+    data = written(data, "vectors")
+    # a query has a number of its own, as an id may have several vectors; it is written before it is used
+    asked = written(integer_vectors(queries, id_col, vector_col, scale).distinct().withColumn("uid", F.monotonically_increasing_id()), "queries")
 
     # bounded: n_pivots rows for each of at most 16 vector lengths (the others form one group each)
     lengths = [r[0] for r in data.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(16).collect()]
@@ -140,7 +145,10 @@ def topk(vectors, queries, k: int = 10, scale: float = 1024.0, n_pivots: int = 2
     def bounds(batches):
         """A row per (query, pivot) with the radius from which a block can hold a result."""
         for b in batches:
+            uids = b.column(2).to_numpy()
+            lengths_ = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for d, ids, q in _by_length(b):
+                uid = uids[lengths_ == d]
                 p = pivots[d] if d in pivots else np.zeros((1, d), np.int64)
                 group, _ = _nearest(q, p)
                 norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
@@ -154,24 +162,27 @@ def topk(vectors, queries, k: int = 10, scale: float = 1024.0, n_pivots: int = 2
                         floor = np.partition(have, -k, axis=1)[:, -k]
                 least = (floor[:, None] - to_pivot) / np.maximum(norm, 1e-12)[:, None]
                 least = np.where(norm[:, None] == 0, np.where(floor[:, None] <= 0, -np.inf, np.inf), least - np.abs(least) * 1e-9 - 1e-6)
-                rows = [r.tobytes() for r in np.ascontiguousarray(q)]
                 for j in range(len(p)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(ids), d), pa.int64()), pa.array(np.full(len(ids), j), pa.int64()), pa.array(group.astype(np.int64)),
-                         pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array(least[:, j])],
-                        names=["d", "pivot", "q_group", "query_id", "q", "least"])
+                         pa.array(uid), pa.array(least[:, j])], names=["d", "pivot", "q_group", "uid", "least"])
 
-    wanted = asked.mapInArrow(bounds, "d long, pivot long, q_group long, query_id long, q binary, least double")
+    wanted = asked.select("vec_id", "v", "uid").mapInArrow(bounds, "d long, pivot long, q_group long, uid long, least double")
     sent = (wanted.join(summaries, ["d", "pivot"])
-            .select("query_id", "q_group", "q", F.explode(F.filter("blocks", lambda x: x["radius"] >= F.col("least"))["block"]).alias("block")))
-    return _solve(packed, sent, k)
+            .select("uid", "q_group", F.explode(F.filter("blocks", lambda x: x["radius"] >= F.col("least"))["block"]).alias("block")))
+    sent = written(sent, "queries-of-blocks")
+    return _solve(packed, sent, asked.select("uid", F.col("vec_id").alias("query_id"), "v"), k, queries_per_task)
 
 
-def _solve(packed, sent, k):
-    """The k best of each (query, block), then of each query."""
+def _solve(packed, sent, asked, k, queries_per_task):
+    """The k best of each (query, block), then of each query. A block that many queries
+    reach is solved in parts of about ``queries_per_task`` of them."""
+    parts = sent.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / queries_per_task).alias("parts"))
+    sent = sent.join(parts, "block").select("uid", "q_group", "block", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part")).join(asked, "uid")
+    packed = packed.join(parts, "block").select(*packed.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def solve(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
+        none = pd.DataFrame({"uid": pd.Series([], dtype="int64"), "query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
         if not len(data) or not len(asked):
             return none
         d = int(data["d"].iloc[0])
@@ -181,15 +192,14 @@ def _solve(packed, sent, k):
         out = []
         for i in range(0, len(asked), 512):
             part = asked.iloc[i:i + 512]
-            q = np.frombuffer(b"".join(part["q"]), np.int64).reshape(-1, d)
+            q = np.stack(part["v"].to_numpy()).astype(np.int64).reshape(-1, d)
             scores = _scores(q, x)
-            for query, row in zip(part["query_id"].tolist(), scores):
+            for uid, query, row in zip(part["uid"].tolist(), part["query_id"].tolist(), scores):
                 other = np.flatnonzero(ids != query)
                 at = other[best(row[other], ids[other], k)]
-                out.append((np.full(len(at), query), ids[at], row[at]))
-        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]),
-                             "score": np.concatenate([o[2] for o in out])}) if out else none
+                out.append((np.full(len(at), uid), np.full(len(at), query), ids[at], row[at]))
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(none.columns)}) if out else none
 
-    near = packed.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(solve, RESULT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = packed.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(solve, RESULT)
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -59,6 +59,16 @@ def test_topk_edges(spark):
     assert topk.topk(empty, empty).collect() == [] and topk.topk(data, empty).collect() == [] and topk.topk(empty, data).collect() == []
 
 
+def test_repeated_rows_hide_no_other_id(spark):
+    """A query row repeated more than k times, and other ids with its vector."""
+    rows = [(100, [2.0, 1.0])] * 11 + [(300, [2.0, 1.0]), (7, [2.0, 1.0])] + [(400, [0.5, 0.25])] * 9 + [(k, [0.0, float(k)]) for k in range(1, 6)] + [(500, [1.0, -1.0])] * 3
+    data = vectors(spark, rows).repartition(3)
+    for k in (1, 3, 10):
+        got = [tuple(r) for r in topk.topk(data, data.filter("vec_id % 100 = 0"), k=k, n_pivots=3, block_rows=4, queries_per_task=2).collect()]
+        want = brute_topk(rows, [(i, list(v)) for i, v in {(i, tuple(v)) for i, v in rows if i % 100 == 0}], k)
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_blocks_are_pruned_without_loss(spark):
     """Far clusters: the bounds rule out blocks, and the results stay the same."""
     rng = random.Random(9)
