@@ -11,13 +11,14 @@ Two documents link when the Jaccard similarity of their sets of word n-grams
    sets share an n-gram among the first n - ceil(percent * n / 100) + 1 of each.
 3. Classes with identical prefixes and size collapse into one group. Only n-grams
    that stand in the prefixes of two groups are dealt out (``shared``).
-4. Group pairs are filtered by size and by the places of the shared n-gram, and
-   expanded to their members. A parity bitmap of each set bounds the overlap of a
+4. Group pairs are filtered by size, by the places of the shared n-gram and by the
+   number of n-grams that the prefixes share, and expanded to their members: first to
+   one of each component, then, where components still differ, to all. A parity bitmap of each set bounds the overlap of a
    pair from above (a differing bit stands for at least one n-gram that only one
    side has); pairs that can still link are verified over the whole texts. First
-   each n-gram's groups are compared with its smallest group alone, which is linear
-   and joins most groups of copies; links make components, and only pairs of
-   different components remain. No link between different components is lost.
+   each n-gram's groups are compared with its smallest group alone, and then with other
+   single ones while lists stay long; that is linear and joins most groups of copies.
+   Links make components, and only pairs of different components remain. No link between different components is lost.
 
 Cases: null and empty texts, and texts without words, have empty sets and link with
 nothing; fewer than n words are one n-gram; a null id links with nothing and has no
@@ -297,40 +298,54 @@ def _size_fits(x, y, percent):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
-    """(doc_id, n_shingles, component_id) of every row."""
-    rows = written(prefixes(docs, frequent_order(docs, text_col, k), id_col, text_col, k, percent), "prefixes")
-    classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "sig").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
-    bits = classes.select("rep", "n", "bits")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = classes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
-    postings = written(_postings(groups), "postings")
-    members = written(classes.withColumn("key", F.md5("prefix")).join(
-        groups.filter("members > 1").select("n", F.md5("prefix").alias("key"), "gid"), ["n", "key"]).select("rep", "gid"), "members")
+def _expanded(pairs, named):
+    """(a, b): the classes of two groups that are of different components."""
+    p, q = named.alias("p"), named.alias("q")
+    return (pairs.join(p, F.col("g") == F.col("p.gid")).join(q, F.col("h") == F.col("q.gid"))
+            .filter((F.col("p.part") != F.col("q.part")) & ((F.col("g") != F.col("h")) | (F.col("p.rep") < F.col("q.rep"))))
+            .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")))
+
+
+#: Lists are long while the sum of their squared lengths is over so many times the postings.
+LONG = 8
+ROUNDS = 2
 
-    # links with each n-gram's smallest group, and of each group with its smallest class
-    least = postings.groupBy("token").agg(F.min_by(F.struct("gid", "n"), "gid").alias("c"))
-    star = (postings.join(least, "token").select(F.col("c.gid").alias("a"), F.col("c.n").alias("m"), F.col("gid").alias("b"), "n")
-            .filter((F.col("a") < F.col("b")) & _size_fits("m", "n", percent)).select("a", "b"))
-    inner = members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    links = _verified(star.union(inner), bits, texts, k, percent)
 
-    # pairs of different components only
-    part = written(components(links), "components")
-    named = (classes.select("rep", "n").join(members.select("rep", F.col("gid").alias("g")), "rep", "left")
-             .select("rep", F.coalesce("g", "rep").alias("gid"))
-             .join(part, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("part")))
-    of_group = named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
+def _mixed(postings, of_group):
+    """The postings of the n-grams whose groups are of more than one component."""
     left = postings.join(of_group, "gid")
     mixed = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
+    return left.join(mixed, "token")
+
+
+def _star(rows, by, percent):
+    """(a, b): for each n-gram, its group that comes first by ``by`` with each group that
+    is not wholly of the same component."""
+    centre = rows.groupBy("token").agg(F.min_by(F.struct("gid", "n", "low", "high"), by).alias("c"))
+    apart = (F.col("low") != F.col("c.low")) | (F.col("high") != F.col("c.high")) | (F.col("low") != F.col("high"))
+    return (rows.join(centre, "token").select("*", F.col("c.n").alias("m")).filter((F.col("gid") != F.col("c.gid")) & apart & _size_fits("m", "n", percent))
+            .select(F.least("gid", "c.gid").alias("a"), F.greatest("gid", "c.gid").alias("b")))
+
+
+#: Shared n-grams of a group that decide where a pair of groups is formed.
+LEAD = 16
+
+
+def _group_pairs(left, postings, groups, bits, percent):
+    """(g, h): the pairs of groups of different components whose classes may link.
+
+    Two groups meet at each n-gram that their prefixes share, but form a pair only where
+    neither of their LEAD lowest n-grams tells of a lower one in common (there they meet
+    as well). Then all the n-grams that two prefixes share are counted: of the set whose
+    prefix ends first, these and what follows its prefix bound the overlap."""
+    lead = left.groupBy("gid").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LEAD).alias("lead"))  # no more than a prefix is long
     # the bitmap of a group of one is that of its member, folded to four words, as it
     # travels with every n-gram; the whole bitmaps follow in _possible
     fold = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(
         F.filter("bits", lambda x, k: k % 4 == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
     alone = bits.select(F.col("rep").alias("gid"), fold.alias("bits"))
-    left = left.join(mixed, "token").join(alone, "gid").withColumn("bits", F.when(F.col("members") == 1, F.col("bits")))
-    left = written(left.drop("members"), "mixed")
+    left = left.join(alone, "gid").join(lead, "gid").withColumn("bits", F.when(F.col("members") == 1, F.col("bits")))
+    left = written(left.drop("members"), "meetings")
     x, y = left.alias("x"), left.alias("y")
     overlap = (F.least("x.place", "y.place") + 1
                + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1)
@@ -338,14 +353,71 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                     & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
                     & _size_fits("x.n", "y.n", percent)
                     & (overlap * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+                    & (F.coalesce(F.array_min(F.array_intersect("x.lead", "y.lead")), F.col("x.token")) >= F.col("x.token"))
                     & (F.col("x.bits").isNull() | F.col("y.bits").isNull() | _room(percent)))
              .select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct())
+    pairs = written(pairs, "meeting")
+    ends = pairs.select(F.col("g").alias("gid")).union(pairs.select(F.col("h").alias("gid"))).distinct()
+    sides = written(postings.join(ends, "gid", "left_semi").groupBy("gid").agg(F.collect_list("token").alias("tokens"))
+                    .join(groups.select("gid", "n", (F.octet_length("prefix") / 4).cast("long").alias("length")), "gid"), "sides")
+    u, v = sides.alias("u"), sides.alias("v")
+    # n-grams of one prefix that share their 32 bits are one element of the intersection
+    alike = lambda c: F.size(c) - F.size(F.array_distinct(c))
+    both = F.size(F.array_intersect("u.tokens", "v.tokens")) + F.greatest(alike(F.col("u.tokens")), alike(F.col("v.tokens")))
+    most = both + F.greatest(F.col("u.n") - F.col("u.length"), F.col("v.n") - F.col("v.length"))
+    return (pairs.join(u, F.col("g") == F.col("u.gid")).join(v, F.col("h") == F.col("v.gid"))
+            .filter(most * (100 + percent) >= (F.col("u.n") + F.col("v.n")) * percent).select("g", "h"))
+
+
+def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows = written(prefixes(docs, frequent_order(docs, text_col, k), id_col, text_col, k, percent), "prefixes")
+    classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "sig").agg(
+        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+    bits = classes.select("rep", "n", "bits")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    groups = classes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
+    postings = written(_postings(groups), "postings")
+    members = written(classes.withColumn("key", F.md5("prefix")).join(
+        groups.filter("members > 1").select("n", F.md5("prefix").alias("key"), "gid"), ["n", "key"]).select("rep", "gid"), "members")
+
+    # links with each n-gram's smallest group, and of each group with its smallest class
+    star = _star(postings.withColumns({"low": F.col("gid"), "high": F.col("gid")}), F.col("gid"), percent)
+    n_postings = postings.count()
+    inner = members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    links = _verified(star.union(inner), bits, texts, k, percent)
+
+    # pairs of groups of different components only
+    def parted(links):
+        """(rep, gid, part): the component of each class; and the span of each group's components."""
+        part = written(components(links), "components")
+        named = written(classes.select("rep", "n").join(members.select("rep", F.col("gid").alias("g")), "rep", "left")
+                        .select("rep", F.coalesce("g", "rep").alias("gid"))
+                        .join(part, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("part")), "parts")
+        return named, named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
+
+    # long lists of groups that are still apart: each list is compared with another of its
+    # groups, ROUNDS times (that steers the work; what stays apart forms pairs below)
+    for turn in range(1, ROUNDS + 2):
+        named, of_group = parted(links)
+        mixed = written(_mixed(postings, of_group), "mixed")
+        squares = mixed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+        if turn > ROUNDS or squares <= LONG * n_postings:
+            break
+        more = _verified(_star(mixed, F.xxhash64("gid", F.lit(turn)), percent), bits, texts, k, percent)
+        if more.isEmpty():
+            break
+        links = written(links.union(more), "links")
+    pairs = written(_group_pairs(mixed, postings, groups, bits, percent), "group-pairs")
+    # one class of each component of a group first: what these join needs no expansion
+    one = named.groupBy("gid", "part").agg(F.min("rep").alias("rep"))
+    links = written(links.union(_verified(_expanded(pairs, one), bits, texts, k, percent)), "links")
+    named, of_group = parted(links)
+    g, h = of_group.select(*[F.col(c).alias(f"g_{c}") for c in of_group.columns]), of_group.select(*[F.col(c).alias(f"h_{c}") for c in of_group.columns])
+    apart = (pairs.join(g, F.col("g") == F.col("g_gid")).join(h, F.col("h") == F.col("h_gid"))
+             .filter("g_low <> h_low OR g_high <> h_high OR g_low <> g_high").select("g", "h"))
     own = of_group.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    g, h = named.alias("p"), named.alias("q")
-    expanded = (pairs.union(own).join(g, F.col("g") == F.col("p.gid")).join(h, F.col("h") == F.col("q.gid"))
-                .filter((F.col("p.part") != F.col("q.part")) & ((F.col("g") != F.col("h")) | (F.col("p.rep") < F.col("q.rep"))))
-                .select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")))
-    links = links.union(_verified(expanded, bits, texts, k, percent))
+    links = links.union(_verified(_expanded(apart.union(own), named), bits, texts, k, percent))
     # rows that share an id but not the set: one node
     several = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("l"), F.max("sig").alias("h")).filter("l <> h")
     same_id = rows.join(several, "doc_id").join(classes.select("n", "sig", "rep"), ["n", "sig"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
