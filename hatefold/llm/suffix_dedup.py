@@ -1,4 +1,4 @@
-"""Removal of repeated passages by ranks of equal windows.
+"""Removal of repeated passages by longest-previous-factor arrays.
 
 Each byte covered by a string of ``width`` bytes that also starts in a document
 with a smaller id is removed; the first document keeps its copy. Strings are
@@ -14,11 +14,12 @@ A suffix array over a whole corpus fits no task, so the work is dealt by content
 3. A block sends, for each shared anchor, the context: the bytes of all windows that
    have that anchor. Equal contexts of one block are sent once, with the smallest id,
    so a passage that a third of all documents hold costs one row per block.
-4. Per part of a hash bucket the distinct contexts form one text. Windows are ranked by
-   rank doubling (from 5 bytes up to width), equal windows equally, and each
-   rank gets its smallest document: a window is an earlier one's copy exactly if that is
-   smaller than its own. This stands in for longest-previous-factor arrays, which are not
-   built. One bit per window goes back to the block.
+4. Per part of a hash bucket the distinct contexts form one text, in the order of their
+   smallest ids. Its windows are put in suffix order (ranks by doubling, from 5 bytes up to
+   width), with the longest common prefix of each neighbour pair. From a window, the
+   previous and the next one in that order with a smaller document give its longest previous
+   factor; with ``width`` bytes or more, the window is a copy of an earlier document's.
+   One bit per window goes back to the block.
 5. The blocks cut the bytes out.
 
 Cases: a null text is empty; a text shorter than ``width`` stays as it is; a row
@@ -195,20 +196,79 @@ def _contexts(width, gram, n_buckets):
     return run
 
 
-def suffix_ranks(text: np.ndarray, width: int) -> np.ndarray:
-    """Rank of the first ``width`` bytes of every suffix with that many bytes, in
-    suffix order, by doubling from 8 bytes; equal prefixes have equal ranks."""
+def prefix_ranks(text: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """(length, ranks) by doubling from 5 bytes to ``width``: of every suffix with so
+    many bytes, the rank of its first ``length`` bytes; equal prefixes rank equally."""
     n = len(text)
     have = min(5, width)
     key = np.zeros(max(n - have + 1, 0), np.uint64)
     for k in range(have):
         key = key << np.uint64(8) | text[k:n - have + 1 + k]
-    rank = _dense(key, 8 * have)
-    while have < width and len(rank):
+    levels = [(have, _dense(key, 8 * have))]
+    while have < width and len(levels[-1][1]):
+        rank = levels[-1][1]
         step, bits = min(have, width - have), int(rank.max()).bit_length()
-        rank = _dense(rank[:-step].astype(np.uint64) << np.uint64(bits) | rank[step:].astype(np.uint64), 2 * bits)
         have += step
-    return rank
+        levels.append((have, _dense(rank[:-step].astype(np.uint64) << np.uint64(bits) | rank[step:].astype(np.uint64), 2 * bits)))
+    return levels
+
+
+def suffix_order(text: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``start`` in suffix order, by their first ``width`` bytes and
+    then by place, and each one's longest common prefix with the one before (``width``
+    at most; the first has none)."""
+    levels = prefix_ranks(text, width)
+    rank = levels[-1][1][start]
+    low = np.uint64(len(start).bit_length())
+    order = (np.sort(rank.astype(np.uint64) << low | np.arange(len(start), dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    lcp = np.full(len(start), width, np.int64)
+    lcp[:1] = 0
+    differ = np.flatnonzero(rank[order[1:]] != rank[order[:-1]]) + 1
+    a, b = start[order[differ - 1]], start[order[differ]]
+    same = np.zeros(len(differ), np.int64)
+    for length, ranks in reversed(levels[:-1]):
+        fits = np.flatnonzero(same + length <= width)
+        equal = ranks[a[fits] + same[fits]] == ranks[b[fits] + same[fits]]
+        same[fits[equal]] += length
+    go = np.arange(len(differ))
+    while len(go):  # fewer bytes than the shortest ranked prefix
+        go = go[same[go] < width]
+        go = go[text[a[go] + same[go]] == text[b[go] + same[go]]]
+        same[go] += 1
+    lcp[differ] = same
+    return order, lcp
+
+
+def _to_smaller(owner: np.ndarray, lcp: np.ndarray, width: int) -> np.ndarray:
+    """Along a suffix order, the common prefix of each suffix with the previous one of
+    a smaller owner. Pointers jump over stretches of owners that are not smaller, all at
+    once; a suffix whose common prefix has fallen below ``width`` ends there."""
+    n = len(owner)
+    to, least = np.arange(n) - 1, lcp.copy()
+    go = np.flatnonzero(least >= width)  # the first has no common prefix, so none points before it
+    go = go[owner[to[go]] >= owner[go]]
+    while len(go):
+        over = to[go]
+        beyond, with_it = to[over], least[over]  # read before any pointer of the round moves
+        least[go] = np.minimum(least[go], with_it)
+        to[go] = beyond
+        go = go[least[go] >= width]
+        go = go[owner[to[go]] >= owner[go]]
+    return least
+
+
+def previous_factors(text: np.ndarray, start: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix at ``start``, the longest prefix (``width`` bytes at most) that
+    also starts with a smaller owner: the larger of the common prefixes with the
+    previous and the next smaller owner in suffix order. Where it is below ``width``
+    the value is a bound from above and itself below ``width``."""
+    order, lcp = suffix_order(text, start, width)
+    along = owner[order]
+    before = _to_smaller(along, lcp, width)
+    after = _to_smaller(along[::-1], np.r_[lcp[1:], 0][::-1], width)[::-1] if len(order) else before
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def _dense(key: np.ndarray, bits: int) -> np.ndarray:
@@ -225,32 +285,29 @@ def _dense(key: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def earliest_owner(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each window, the smallest owner among those of equal rank."""
-    least = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, rank, owner)
-    return least[rank]
-
-
 def _masks(keys, firsts, sizes, begin, text, width):
     """Bit j of a context: its window j also starts in a smaller document than its ``first``."""
-    # distinct contexts, each with the smallest id of all blocks
+    # distinct contexts, each with the smallest id of all blocks, laid out by that id
     order, runs, first = lowest(keys, firsts)
-    chosen = order[runs[:-1]]
+    by_id = np.argsort(first, kind="stable")
+    chosen, first = order[runs[:-1]][by_id], first[by_id]
+    place = np.empty(len(by_id), np.int64)
+    place[by_id] = np.arange(len(by_id))
     which = np.empty(len(keys), np.int64)
-    which[order] = np.repeat(np.arange(len(chosen)), np.diff(runs))
+    which[order] = np.repeat(place, np.diff(runs))
     n = sizes[chosen]
     ends = np.cumsum(n)
     flat = text[np.arange(ends[-1]) + np.repeat(begin[chosen] - (ends - n), n)]
     room = n - width + 1
     head = np.cumsum(room) - room
     start = np.arange(room.sum()) + np.repeat((ends - n) - head, room)
-    earliest = earliest_owner(suffix_ranks(flat, width)[start], np.repeat(first, room))
-    mask = np.zeros(len(keys), np.uint64)
+    copied = previous_factors(flat, start, np.repeat(first, room), width) >= width
+    mask = np.zeros(len(chosen), np.uint64)
     for j in range(int(room.max())):
-        has = room[which] > j
-        mask |= np.where(has & (earliest[np.where(has, head[which] + j, 0)] < firsts), np.uint64(1 << j), np.uint64(0))
-    return mask
+        has = room > j
+        mask[has] |= copied[head[has] + j].astype(np.uint64) << np.uint64(j)
+    # where a smaller document has the whole context, all its windows are copies
+    return np.where(first[which] < firsts, np.uint64(2 ** 64 - 1), mask[which])
 
 
 def _earlier(width):

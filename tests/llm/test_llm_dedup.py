@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 from llm_brute import EDGE, LONG, Union, cut, cut_digest, edits, frame, lower, near, shingles
 
 from hatefold.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup
@@ -132,6 +133,27 @@ def test_repeats_at_the_width(spark):
     assert sorted(got) == sorted(cut_digest(rows))
 
 
+def test_previous_factors_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for turn in range(300):
+        n, width = int(rng.integers(1, 120)), int(rng.integers(1, 60))
+        text = rng.integers(0, int(rng.integers(1, 4)), n).astype(np.uint8)
+        if n < width:
+            continue
+        start = np.sort(rng.choice(n - width + 1, size=int(rng.integers(1, n - width + 2)), replace=False))
+        owner = rng.integers(0, 6, len(start))
+        if turn % 2:
+            owner = np.sort(owner)
+        windows = [text[a:a + width].tobytes() for a in start]
+        common = lambda i, j: next((k for k in range(width) if windows[i][k] != windows[j][k]), width)
+        order, lcp = suffix_dedup.suffix_order(text, start, width)
+        assert order.tolist() == sorted(range(len(start)), key=lambda i: (windows[i], i))
+        assert lcp.tolist() == [0, *map(common, order[:-1], order[1:])]
+        for i, got in enumerate(suffix_dedup.previous_factors(text, start, owner, width).tolist()):
+            want = max((common(i, j) for j in range(len(start)) if owner[j] < owner[i]), default=0)
+            assert got == want if want >= width else want <= got < width
+
+
 def test_repeats_edges(spark):
     got = [tuple(r) for r in suffix_dedup.repeat_digest(frame(spark, EDGE).repartition(3)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, cut_digest(EDGE)))
