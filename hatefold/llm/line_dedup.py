@@ -13,8 +13,8 @@ the shorter line, ``max_edits`` at most.
    lines of its own and slightly smaller length, at the few places where a match can
    be part of a full alignment. Keys of segments and probes hash (length, segment
    number, substring).
-2. Keys that two lines share are found block by block (``shared``); only lines with
-   such keys leave their block.
+2. Keys that two lines share, and lines that occur twice, are found block by block
+   (``shared``); only these lines leave their block.
 3. Candidates are verified by banded bit-parallel edit distance over whole lines:
    first each key's lines against its most common one (of copies with edits, the
    original), then those pairs of a segment and a probe whose lines are still in
@@ -40,7 +40,7 @@ from .components import components
 from .shared import arrow, batch, is_shared, shared_prints, twice_at_most
 from .suffix_dedup import _n_buckets, _unzip, blocks
 
-POSTING = "token long, key binary, role int, text string, bits array<long>"
+POSTING = "token long, key binary, role int, text string, bits array<long>, doc_id long, line long"
 GRAM_BITS = 256
 
 
@@ -79,6 +79,10 @@ class Lines:
         """128-bit keys of lines: digests of their UTF-8 bytes."""
         return [hashlib.md5(self.text[a:z].encode(), usedforsecurity=False).digest() for a, z in zip(self.a[at].tolist(), self.z[at].tolist())]
 
+    def prints(self) -> np.ndarray:
+        """Fingerprints of whole lines, apart from those of segments."""
+        return mix64(self.low ^ np.uint64(0x6C696E65))
+
     def grams(self, at: np.ndarray) -> np.ndarray:
         """GRAM_BITS parity bits of the 3-grams of lines, as words."""
         n = np.maximum(self.size[at] - 2, 0)
@@ -186,12 +190,14 @@ def _banded(pairs, longest, k):
 
 
 def _postings(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit):
-    """(token, key, role) of the shared keys, and (key, text, bits) of their lines."""
+    """Rows of three kinds: (token, key, role) of the shared keys, (key, text, bits) of
+    their lines, and (key, doc_id, line) of every line that can be a repeat: its
+    fingerprint or one of its keys occurs in another place."""
 
     def prints_of(row):
         x = _lines(row, min_exact)
         tokens, lines, _ = x.tokens(x.distinct(min_near), max_edits, chars_per_edit)
-        return row["block"], twice_at_most(tokens, x.low[lines])
+        return row["block"], np.concatenate([twice_at_most(tokens, x.low[lines]), twice_at_most(x.prints(), np.arange(len(x.low)))])
 
     def expand(block: pa.Table, answer: pa.Table) -> pa.Table:
         if not block.num_rows or not answer.num_rows:
@@ -200,17 +206,23 @@ def _postings(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit):
         tokens, lines, roles = x.tokens(x.distinct(min_near), max_edits, chars_per_edit)
         hit = np.flatnonzero(is_shared(answer, tokens, n_buckets))
         at, which = np.unique(lines[hit], return_inverse=True)
-        keys = x.keys(at)
-        posts = pa.RecordBatch.from_arrays(
-            [pa.array(tokens[hit].view(np.int64)), pa.array([keys[i] for i in which.tolist()], pa.binary()), pa.array(roles[hit], pa.int32()),
-             pa.nulls(len(hit), pa.string()), pa.nulls(len(hit), pa.list_(pa.int64()))], schema=empty.schema)
-        texts = pa.RecordBatch.from_arrays(
-            [pa.nulls(len(at), pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(at), pa.int32()),
-             pa.array([x.text[a:z] for a, z in zip(x.a[at].tolist(), x.z[at].tolist())], pa.string()),
-             pa.array(x.grams(at).tolist(), pa.list_(pa.int64()))], schema=empty.schema)
-        return pa.Table.from_batches([posts, texts])
-
-    empty = pa.schema([("token", pa.int64()), ("key", pa.binary()), ("role", pa.int32()), ("text", pa.string()), ("bits", pa.list_(pa.int64()))]).empty_table()
+        some = np.flatnonzero(is_shared(answer, x.prints(), n_buckets) | np.isin(x.low, x.low[at]))
+        one, of = np.unique(x.low[some], return_index=True, return_inverse=True)[1:]
+        line_keys = x.keys(some[one])  # one digest for each different line
+        keys = [line_keys[i] for i in of[np.searchsorted(some, at)].tolist()]
+
+        def rows(**columns):
+            n = len(columns["key"])
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in empty.schema], schema=empty.schema)
+
+        posts = rows(token=pa.array(tokens[hit].view(np.int64)), key=pa.array([keys[i] for i in which.tolist()], pa.binary()), role=pa.array(roles[hit], pa.int32()))
+        texts = rows(key=pa.array(keys, pa.binary()), bits=pa.array(x.grams(at).tolist(), pa.list_(pa.int64())),
+                     text=pa.array([x.text[a:z] for a, z in zip(x.a[at].tolist(), x.z[at].tolist())], pa.string()))
+        seen = rows(key=pa.array(line_keys, pa.binary()).take(pa.array(of)), doc_id=pa.array(x.ids[x.doc[some]]), line=pa.array(x.number[some].astype(np.int64)))
+        return pa.Table.from_batches([posts, texts, seen])
+
+    empty = pa.schema([("token", pa.int64()), ("key", pa.binary()), ("role", pa.int32()), ("text", pa.string()), ("bits", pa.list_(pa.int64())),
+                       ("doc_id", pa.int64()), ("line", pa.int64())]).empty_table()
     held = held.drop("extra")
     shared = shared_prints(held, prints_of, n_buckets)
     return held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(expand, POSTING)
@@ -233,11 +245,10 @@ def _verified(pairs, texts, max_edits, chars_per_edit):
     return written(held.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def line_classes(held, n_buckets: int, max_edits: int, min_exact: int, min_near: int, chars_per_edit: int):
-    """(node, component) of the lines that near links join, by key."""
-    rows = written(_postings(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit), "line-postings")
+def line_classes(rows, max_edits: int, chars_per_edit: int):
+    """(node, component) of the lines that near links join, by key, from their postings."""
     texts = written(rows.filter("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("bits").alias("bits")), "line-texts")
-    posts = (rows.filter("text IS NULL").groupBy("token", "key").agg(F.max("role").alias("role"), F.count(F.lit(1)).alias("blocks")))
+    posts = (rows.filter("token IS NOT NULL").groupBy("token", "key").agg(F.max("role").alias("role"), F.count(F.lit(1)).alias("blocks")))
     # keys that one line alone has, in several blocks, are of no use
     many = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
     posts = written(posts.join(many, "token"), "line-keys")
@@ -259,24 +270,11 @@ def line_classes(held, n_buckets: int, max_edits: int, min_exact: int, min_near:
     return components(links.union(_verified(pairs.distinct(), texts, max_edits, chars_per_edit)))
 
 
-def _occurrences(held, min_exact):
-    """(key, doc_id, line) of every line that can be a repeat."""
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                x = _lines(row, min_exact)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.keys(np.arange(len(x.doc))), pa.binary()), pa.array(x.ids[x.doc]), pa.array(x.number.astype(np.int64))],
-                    names=["key", "doc_id", "line"])
-
-    return held.drop("extra").mapInArrow(run, "key binary, doc_id long, line long")
-
-
 def _removed(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit):
     """(doc_id, line, near): the lines to remove; near: the first of the class is another line."""
-    part = line_classes(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit)
-    seen = written(_occurrences(held, min_exact), "line-occurrences")
+    rows = written(_postings(held, n_buckets, max_edits, min_exact, min_near, chars_per_edit), "line-postings")
+    part = line_classes(rows, max_edits, chars_per_edit)
+    seen = rows.filter("line IS NOT NULL").select("key", "doc_id", "line")
     # per different line first, so that a very common one is one row per task
     firsts = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("own"), F.count(F.lit(1)).alias("times"))
     firsts = firsts.join(part, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
