@@ -88,32 +88,57 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int):
     return sets, np.searchsorted(of, np.arange(n_docs + 1))
 
 
+def _often(grams: np.ndarray, min_count: int):
+    """(gram, count) of what occurs ``min_count`` times or more; sorts ``grams`` in place."""
+    grams.sort()
+    last = len(grams) - min_count + 1
+    if last <= 0:
+        return grams[:0], np.zeros(0, np.int64)
+    begins = grams[:last] == grams[min_count - 1:]
+    begins[1:] &= grams[1:last] != grams[:last - 1]
+    often = grams[:last][begins]
+    return often, np.searchsorted(grams, often, "right") - np.flatnonzero(begins)
+
+
 def frequent_order(docs, text_col: str, k: int, min_count: int = 4) -> np.ndarray:
-    """The most frequent n-grams, rarest first (at most FREQUENT)."""
+    """The most frequent n-grams, rarest first: those above the lowest count, by
+    eighths of a power of two, that leaves FREQUENT of them at most."""
 
     def run(batches):
-        held, size = [], 0
+        # one buffer, sorted in place, in which only the used part takes memory
+        held, size = np.empty(COUNTED, np.uint64), 0
 
         def out():
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= min_count
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+            grams, n = _often(held[:size], min_count)
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
         for b in batches:
             buf, off = text_buffer(b.column(0))
             for i, j in slices(off):
-                held.append(shingle_sets(buf, off[i:j + 1], k)[0])
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield out()
-                    held, size = [], 0
-        if held:
+                grams = shingle_sets(buf, off[i:j + 1], k)[0]
+                while len(grams):
+                    part, grams = grams[:COUNTED - size], grams[COUNTED - size:]
+                    held[size:size + len(part)] = part
+                    size += len(part)
+                    if size == COUNTED:
+                        yield out()
+                        size = 0
+        if size:
             yield out()
 
+    level = F.floor(F.log2("n") * 8)
     counts = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    with small_batches(docs.sparkSession):
-        top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
-    return top["gram"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    counts = written(counts.withColumn("level", level), "gram-counts")
+    cut, room = None, FREQUENT
+    for at, n in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some 500 levels at most
+        if n > room:
+            break
+        cut, room = at, room - n
+    if cut is None:
+        return np.zeros(0, np.uint64)
+    top = counts.filter(F.col("level") >= cut).select("gram", "n").toPandas()
+    grams = top["gram"].to_numpy(np.int64).view(np.uint64)
+    return grams[np.lexsort((grams, top["n"].to_numpy()))]
 
 
 class GramOrder:

@@ -275,3 +275,13 @@ def test_banded_edit_distance():
         pairs.append((a, "".join(b)))
     for k in (1, 2, 3):
         assert line_dedup.within_edits(pairs, k).tolist() == [edits(a, b) <= k for a, b in pairs]
+
+
+def test_often_equals_counting():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 3, 4, 5, 50, 5000):
+        for span in (1, 2, 10, 900):
+            grams = r.integers(0, span, n).astype(np.uint64)
+            values, counts = np.unique(grams, return_counts=True)
+            often, times = jaccard_join._often(grams.copy(), 4)
+            assert often.tolist() == values[counts >= 4].tolist() and times.tolist() == counts[counts >= 4].tolist()
