@@ -267,3 +267,12 @@ def test_large_lexicon_stays_row_local(spark):
     out = LX.match_lexicon(df, lex)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert all({m["form"] for m in r["matches"]} == {f"w{r['doc_id']}x", f"w{r['doc_id'] * 7 % 6000}x"} for r in out.collect())
+
+
+def test_rules_run_on_counted_terms_only(spark):
+    """Pushed below the count, the rules would run on every occurrence of a term."""
+    df = spark.createDataFrame([("fuckx fuckx fuckx 병신 병신 ok",)], "text string")
+    cleaned = LX.clean_terms(LX.mine_terms(df), min_freq=2, rules=LX.InsultRules(ban_prefix=["fuck"], exception_prefix=None, fragments=["병신"]))
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert "병신" not in plan[plan.index("count(1)"):]
+    assert {tuple(r) for r in cleaned.select("term", "freq").collect()} == {("fuckx", 3), ("병신", 2)}
