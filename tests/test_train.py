@@ -126,3 +126,22 @@ def test_baselines_fit_down_to_the_tight_tolerances():
     assert inspect.signature(fit_baseline).parameters["tol"].default == 1e-6
     assert inspect.signature(sweep_baseline).parameters["tols"].default == (1e-4, 1e-6)
     assert all(min(tols) == 1e-6 and max(tols) <= 1e-4 for *_, tols in SWEEP) and sum(len(r) * len(t) for *_, r, t in SWEEP) == 19
+
+
+def test_epoch_records_equal_the_metrics_of_the_scored_rows(spark):
+    """The packed valid rows give what score_two_head and evaluate_two_head give, without a query per epoch."""
+    from pyspark.sql import functions as F
+
+    from hatefold.operators import features as FE
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["aa", "bcd", "trash", "x", "yz"], 4)), int(rng.integers(0, 3)), [int(v) for v in rng.integers(0, 2, 8)]) for i in range(90)]
+    df = FE.hashed_features(spark.createDataFrame(rows, "doc_id long, text string, y_coarse int, y_fine array<int>"), dim=64).repartition(3)
+    valid = df.withColumn("y_coarse", F.expr("if(doc_id % 7 = 0, null, y_coarse)"))
+    fit = lambda v: TR.fit_two_head(df, dim=64, iterations=4, valid=v, steps_per_epoch=4, checkpoint=False)
+    m = fit(valid)
+    want = {(r["head"], r["metric"]): r["value"] for r in TR.evaluate_two_head(TR.score_two_head(
+        valid, TR.TwoHeadModel(m.weights, 64, False, []), keep=("doc_id", "y_coarse", "y_fine"))).collect()}
+    got = {(h, k): v for e, h, k, v in m.records if e == 1}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    assert all(v is None for *_, k, v in fit(df.where("doc_id < 0")).records if k != "macro_f1")
