@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+MAX_LINKS = 1 << 20
+
+
+def _stars(batches):
+    """The links of a partition, by a million, as stars around their smallest nodes:
+    fewer and shorter links with the same components."""
+
+    def star(held):
+        nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        x, y = at.reshape(2, -1)
+        low = np.arange(len(nodes))
+        while (low[x] != low[y]).any():
+            u, v = low[x], low[y]
+            np.minimum.at(low, u, np.minimum(u, v))
+            np.minimum.at(low, v, np.minimum(u, v))
+            while (low[low] != low).any():
+                low = low[low]
+        tied = np.flatnonzero(low != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[low[tied]])], names=["a", "b"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(np.stack([b.column(c).to_numpy() for c in range(2)]))
+        size += b.num_rows
+        if size >= MAX_LINKS:
+            yield star(held)
+            held, size = [], 0
+    if size:
+        yield star(held)
+
+
 def _state(edges):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
 
@@ -17,7 +50,8 @@ def components(edges):
     large stars tie a node's larger neighbours to its smallest one, small stars its
     smaller ones; after O(log**2) steps every node is tied to its component's smallest.
     Null ends are dropped; an empty table gives no rows."""
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    edges = written(edges.mapInArrow(_stars, "a long, b long").distinct(), "links")
     state = _state(edges)
     while True:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))

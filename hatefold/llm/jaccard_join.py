@@ -5,9 +5,9 @@ Two documents link when the Jaccard similarity of their sets of word n-grams
 
 1. Equal sets are one class; its smallest id stands for it.
 2. All sets are sorted by one order: rare n-grams by hash, frequent ones last, by
-   count. (Frequent: met ``min_count`` times in a few million n-grams of one task.
-   The order only steers the work: any order gives the same links. The
-   ``FREQUENT`` most frequent ones are broadcast, 8 MB at most.) Two linked
+   count. (Frequent: in ``min_count`` texts; blocks of texts send their n-grams to be
+   counted, as 32 bits each. The order only steers the work: any order gives the same
+   links. The ``FREQUENT`` most frequent ones are broadcast, 16 MB at most.) Two linked
    sets share an n-gram among the first n - ceil(percent * n / 100) + 1 of each.
 3. Classes with identical prefixes and size collapse into one group. Only n-grams
    that stand in the prefixes of two groups are dealt out (``shared``).
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import SpanHash, mix64, packed, slices, small_batches, text_buffer, written
 from .components import components
-from .shared import arrow, batch, bucket_of, is_shared, shared_prints, twice_at_most
+from .shared import arrow, batch, bucket_of, by_bucket, is_shared, shared_prints, twice_at_most
 
-FREQUENT = 1 << 20
-COUNTED = 4 << 20
+FREQUENT = 1 << 21
+COUNTED = 1 << 20
 BLOCK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1 << 20
 MIN_BITS = 1024
@@ -100,17 +100,30 @@ def _often(grams: np.ndarray, min_count: int):
     return often, np.searchsorted(grams, often, "right") - np.flatnonzero(begins)
 
 
-def frequent_order(docs, text_col: str, k: int, min_count: int = 4) -> np.ndarray:
-    """The most frequent n-grams, rarest first: those above the lowest count, by
-    eighths of a power of two, that leaves FREQUENT of them at most."""
+def gram_id(grams: np.ndarray, n_buckets: int) -> np.ndarray:
+    """32 bits and the bucket of each n-gram, by which it is counted and ordered."""
+    return (grams >> np.uint64(32) << np.uint64(32)) | bucket_of(grams, n_buckets).astype(np.uint64)
+
+
+def frequent_order(docs, text_col: str, k: int, min_count: int = 4) -> tuple[np.ndarray, int]:
+    """(ids, number of buckets) of the most frequent n-grams, rarest first: those above
+    the lowest count, by eighths of a power of two, that leaves FREQUENT of them at most.
+    Each block of texts sends its n-grams once, with their counts up to 255 there."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n_buckets = max(64, n_bytes // (8 * BUCKET_TOKENS))
+
+    def send(batches):
+        from pyspark import TaskContext
 
-    def run(batches):
         # one buffer, sorted in place, in which only the used part takes memory
-        held, size = np.empty(COUNTED, np.uint64), 0
+        block, held, size = TaskContext.get().partitionId() << 32, np.empty(COUNTED, np.uint64), 0
 
         def out():
-            grams, n = _often(held[:size], min_count)
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            grams, n = _often(held[:size], 1)
+            n = np.minimum(n, 255).astype(np.uint8)
+            prints = (grams >> np.uint64(32)).astype(np.uint32)
+            rows = [(bucket, block, packed(prints[at]), packed(n[at])) for bucket, at in by_bucket(bucket_of(grams, n_buckets))]
+            return batch(rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "block", "prints", "n"])
 
         for b in batches:
             buf, off = text_buffer(b.column(0))
@@ -122,39 +135,48 @@ def frequent_order(docs, text_col: str, k: int, min_count: int = 4) -> np.ndarra
                     size += len(part)
                     if size == COUNTED:
                         yield out()
-                        size = 0
+                        block, size = block + 1, 0
         if size:
             yield out()
 
-    level = F.floor(F.log2("n") * 8)
-    counts = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = written(counts.withColumn("level", level), "gram-counts")
+    def count(rows: pa.Table) -> pa.Table:
+        prints = np.concatenate([np.frombuffer(p, np.uint32) for p in rows.column("prints").to_pylist()])
+        times = np.concatenate([np.frombuffer(p, np.uint8) for p in rows.column("n").to_pylist()])
+        often, n = _often(np.repeat(prints, times), min_count)
+        level = np.floor(np.log2(np.maximum(n, 1)) * 8).astype(np.int64)
+        bucket = rows.column("bucket")[0].as_py()
+        return arrow([(bucket, at, len(of), packed(often[of])) for at, of in by_bucket(level)],
+                     [pa.int64()] * 3 + [pa.binary()], ["bucket", "level", "n", "prints"])
+
+    counts = written(docs.select(text_col).mapInArrow(send, "bucket long, block long, prints binary, n binary")
+                     .groupBy("bucket").applyInArrow(count, "bucket long, level long, n long, prints binary"), "gram-counts")
     cut, room = None, FREQUENT
-    for at, n in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some 500 levels at most
+    for at, n in sorted(counts.groupBy("level").agg(F.sum("n")).collect(), reverse=True):  # some 500 levels at most
         if n > room:
             break
         cut, room = at, room - n
     if cut is None:
-        return np.zeros(0, np.uint64)
-    top = counts.filter(F.col("level") >= cut).select("gram", "n").toPandas()
-    grams = top["gram"].to_numpy(np.int64).view(np.uint64)
-    return grams[np.lexsort((grams, top["n"].to_numpy()))]
+        return np.zeros(0, np.uint64), n_buckets
+    top = counts.filter(F.col("level") >= cut).select("bucket", "level", "prints").toPandas()
+    ids = np.concatenate([np.frombuffer(p, np.uint32).astype(np.uint64) << np.uint64(32) | np.uint64(b) for b, p in zip(top["bucket"], top["prints"])])
+    return ids[np.lexsort((ids, np.repeat(top["level"].to_numpy(), [len(p) // 4 for p in top["prints"]])))], n_buckets
 
 
 class GramOrder:
     """Sort keys of n-grams: rare ones by hash, frequent ones after them by rank."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.order = np.argsort(frequent)
+    def __init__(self, frequent: np.ndarray, n_buckets: int):
+        self.n_buckets = n_buckets
+        self.order = np.argsort(frequent).astype(np.uint32)
         self.sorted = frequent[self.order]
         self.seen = np.zeros(1 << 22, bool)
-        self.seen[(frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.seen[(frequent >> np.uint64(42)).astype(np.int64)] = True
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         keys = grams >> np.uint64(1)
-        maybe = np.flatnonzero(self.seen[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.seen[(grams >> np.uint64(42)).astype(np.int64)])
         if len(maybe):
-            g = grams[maybe]
+            g = gram_id(grams[maybe], self.n_buckets)
             at = np.minimum(np.searchsorted(self.sorted, g), len(self.sorted) - 1)
             hit = self.sorted[at] == g
             keys[maybe[hit]] = np.uint64(1 << 63) | self.order[at[hit]].astype(np.uint64)
@@ -180,7 +202,7 @@ def prefixes(docs, frequent, id_col, text_col, k, percent):
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        order = GramOrder(shared.value)
+        order = GramOrder(*shared.value)
         for b in batches:
             buf, off = text_buffer(b.column(1))
             for i, j in slices(off):
@@ -279,12 +301,43 @@ def _possible(pairs, bits, percent):
             .filter(_room(percent)).select("a", "b").distinct())
 
 
-def _verified(pairs, bits, all_texts, k, percent):
+MAX_MARKS = 1 << 26
+
+
+def _texts_of(texts, ends):
+    """The rows (doc_id, text) whose id is among ``ends``, and a few others: by a bitmap of
+    the hashed ids, 16 bits an id and 8 MB at most, so that only these texts are dealt out."""
+    ends = written(ends.distinct(), "ends")
+    n_bits = min(MAX_MARKS, 1 << max(16, (16 * ends.count()).bit_length()))
+
+    def place(ids):
+        return (mix64(ids.view(np.uint64)) & np.uint64(n_bits - 1)).astype(np.int64)
+
+    def mark(batches):
+        for b in batches:
+            at = np.unique(place(b.column(0).to_numpy()))
+            words, first = np.unique(at >> 6, return_index=True)
+            if len(words):
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    found = ends.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    marks = np.zeros(n_bits >> 6, np.uint64)
+    marks[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        for b in batches:
+            at = place(b.column(0).to_numpy())
+            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return written(texts.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, text string"), "texts")
+
+
+def _verified(pairs, bits, texts, k, percent):
     """The pairs (a, b) whose texts link. Rows of b meet the text of a in slices of at
     most about 64 pairs per (a, salt), read as a stream, so no node is a hot group."""
     pairs = written(_possible(pairs, bits, percent), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(all_texts.join(ends, "doc_id", "left_semi"), "texts")
     count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).alias("parts"))
     salted = pairs.join(count, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")))
     right = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
@@ -400,12 +453,15 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "sig").agg(
         F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     bits = classes.select("rep", "n", "bits")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     groups = classes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
     postings = written(_postings(groups), "postings")
     members = written(classes.withColumn("key", F.md5("prefix")).join(
         groups.filter("members > 1").select("n", F.md5("prefix").alias("key"), "gid"), ["n", "key"]).select("rep", "gid"), "members")
 
+    # no other text can be of a pair
+    texts = _texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
+                      postings.select("gid").union(members.select("rep")))
+
     # links with each n-gram's smallest group, and of each group with its smallest class
     star = _star(postings.withColumns({"low": F.col("gid"), "high": F.col("gid")}), F.col("gid"), percent)
     n_postings = postings.count()
@@ -413,18 +469,19 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     links = _verified(star.union(inner), bits, texts, k, percent)
 
     # pairs of groups of different components only
-    def parted(links):
-        """(rep, gid, part): the component of each class; and the span of each group's components."""
-        part = written(components(links), "components")
+    def parted(links, part=None):
+        """The links as stars; (rep, gid, part): the component of each class; and the span
+        of each group's components. ``part``: the stars of earlier links."""
+        part = written(components(links if part is None else links.union(part)).select(F.col("component").alias("a"), F.col("node").alias("b")), "components")
         named = written(classes.select("rep", "n").join(members.select("rep", F.col("gid").alias("g")), "rep", "left")
                         .select("rep", F.coalesce("g", "rep").alias("gid"))
-                        .join(part, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("part")), "parts")
-        return named, named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
+                        .join(part, F.col("rep") == F.col("b"), "left").select("rep", "gid", F.coalesce("a", "rep").alias("part")), "parts")
+        return part, named, named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
 
     # long lists of groups that are still apart: each list is compared with another of its
     # groups, ROUNDS times (that steers the work; what stays apart forms pairs below)
+    stars, named, of_group = parted(links)
     for turn in range(1, ROUNDS + 2):
-        named, of_group = parted(links)
         mixed = written(_mixed(postings, of_group), "mixed")
         squares = mixed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
         if turn > ROUNDS or squares <= LONG * n_postings:
@@ -432,17 +489,19 @@ def near_duplicates(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         more = _verified(_star(mixed, F.xxhash64("gid", F.lit(turn)), percent), bits, texts, k, percent)
         if more.isEmpty():
             break
-        links = written(links.union(more), "links")
+        stars, named, of_group = parted(more, stars)
     pairs = written(_group_pairs(mixed, postings, groups, bits, percent), "group-pairs")
     # one class of each component of a group first: what these join needs no expansion
     one = named.groupBy("gid", "part").agg(F.min("rep").alias("rep"))
-    links = written(links.union(_verified(_expanded(pairs, one), bits, texts, k, percent)), "links")
-    named, of_group = parted(links)
+    more = _verified(_expanded(pairs, one), bits, texts, k, percent)
+    if not more.isEmpty():
+        stars, named, of_group = parted(more, stars)
     g, h = of_group.select(*[F.col(c).alias(f"g_{c}") for c in of_group.columns]), of_group.select(*[F.col(c).alias(f"h_{c}") for c in of_group.columns])
     apart = (pairs.join(g, F.col("g") == F.col("g_gid")).join(h, F.col("h") == F.col("h_gid"))
-             .filter("g_low <> h_low OR g_high <> h_high OR g_low <> g_high").select("g", "h"))
+             .filter("(g_low <> h_low OR g_high <> h_high OR g_low <> g_high) AND (g_members > 1 OR h_members > 1)").select("g", "h"))
     own = of_group.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    links = links.union(_verified(_expanded(apart.union(own), named), bits, texts, k, percent))
+    rest = written(apart.union(own), "apart")  # a pair of groups of one has had its turn
+    links = stars if rest.isEmpty() else stars.union(_verified(_expanded(rest, named), bits, texts, k, percent))
     # rows that share an id but not the set: one node
     several = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("l"), F.max("sig").alias("h")).filter("l <> h")
     same_id = rows.join(several, "doc_id").join(classes.select("n", "sig", "rep"), ["n", "sig"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -285,3 +285,21 @@ def test_often_equals_counting():
             values, counts = np.unique(grams, return_counts=True)
             often, times = jaccard_join._often(grams.copy(), 4)
             assert often.tolist() == values[counts >= 4].tolist() and times.tolist() == counts[counts >= 4].tolist()
+
+
+def test_order_counts_ngrams_over_all_tasks(spark):
+    rows = [(i, f"often met here w{i} x{i} y{i}") for i in range(6)]  # at most one in each task
+    ids, n_buckets = jaccard_join.frequent_order(frame(spark, rows).repartition(6, "doc_id"), "text", 3)
+    text = np.frombuffer(b"often met here", np.uint8)
+    gram = jaccard_join.shingle_sets(text, np.array([0, len(text)]), 3)[0]
+    assert ids.tolist() == jaccard_join.gram_id(gram, n_buckets).tolist()
+    keys = jaccard_join.GramOrder(ids, n_buckets)(np.concatenate([gram, gram + np.uint64(1 << 50)]))
+    assert keys[0] >= 1 << 63 > keys[1]
+
+
+def test_texts_of_pairs_only(spark):
+    rows = [(i, f"text {i}") for i in range(2000)] + [(None, "no id"), (7, None)]
+    ends = spark.createDataFrame([(i,) for i in range(0, 2000, 50)] + [(7,), (7,)], "gid long")
+    got = [(r.doc_id, r.text) for r in jaccard_join._texts_of(frame(spark, rows), ends).collect()]
+    assert len(got) < 100 and len(got) == len(set(got))
+    assert {(i, f"text {i}") for i in [*range(0, 2000, 50), 7]} | {(7, None)} <= set(got)
