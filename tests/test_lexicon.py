@@ -299,3 +299,13 @@ def test_lexicon_over_the_bound_is_not_fetched(spark):
     out = LX.count_lexicon(df, lex)
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["doc_id"], c["form"], c["n"]) for r in out.collect() for c in r["counts"]} == {(i, forms[i], 1) for i in range(20)}
+
+
+def test_distributed_matcher_writes_only_words_with_a_form(spark, monkeypatch):
+    kept, write = {}, LX.written
+    monkeypatch.setattr(LX, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame([(1, " one trash\ttwo  trashy "), (2, "three four"), (3, None), (4, "trash")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("trash", 0, ["trash"], [], "profanity", [])], LX.LEXICON_SCHEMA)
+    got = LX.match_lexicon(docs, lexicon, max_inline_forms=0, max_automaton_chars=0).collect()
+    assert {r.doc_id: [m.start for m in r.matches] for r in got} == {1: [5, 16], 2: [], 3: [], 4: [0]}
+    assert sorted(r.word for r in kept["words"].collect()) == ["trash", "trashy"]
