@@ -50,8 +50,10 @@ def components(edges):
     large stars tie a node's larger neighbours to its smallest one, small stars its
     smaller ones; after O(log**2) steps every node is tied to its component's smallest.
     Null ends are dropped; an empty table gives no rows."""
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    edges = written(edges.mapInArrow(_stars, "a long, b long").distinct(), "links")
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if [t for _, t in edges.dtypes] == ["bigint"] * 2:
+        edges = edges.mapInArrow(_stars, "a long, b long")
+    edges = written(edges.distinct(), "links")
     state = _state(edges)
     while True:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))

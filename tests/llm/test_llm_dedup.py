@@ -303,3 +303,9 @@ def test_texts_of_pairs_only(spark):
     got = [(r.doc_id, r.text) for r in jaccard_join._texts_of(frame(spark, rows), ends).collect()]
     assert len(got) < 100 and len(got) == len(set(got))
     assert {(i, f"text {i}") for i in [*range(0, 2000, 50), 7]} | {(7, None)} <= set(got)
+
+
+def test_components_of_other_types(spark):
+    links = [(b"c", b"b"), (b"b", b"a"), (b"x", b"y"), (None, b"z"), (b"z", b"z")]
+    got = {bytes(r.node): bytes(r.component) for r in components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    assert got == {b"a": b"a", b"b": b"a", b"c": b"a", b"x": b"x", b"y": b"x"}
