@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SpanHash, mix64, packed, slices, small_batches, text_buffer, written
+from .common import SpanHash, mix64, packed, released, slices, small_batches, text_buffer, written
 from .components import components
 from .shared import arrow, batch, bucket_of, by_bucket, is_shared, shared_prints, twice_at_most
 
@@ -148,7 +148,7 @@ def frequent_order(docs, text_col: str, k: int, min_count: int = 4) -> tuple[np.
         return arrow([(bucket, at, len(of), packed(often[of])) for at, of in by_bucket(level)],
                      [pa.int64()] * 3 + [pa.binary()], ["bucket", "level", "n", "prints"])
 
-    counts = written(docs.select(text_col).mapInArrow(send, "bucket long, block long, prints binary, n binary")
+    counts = written(docs.select(text_col).mapInArrow(released(send), "bucket long, block long, prints binary, n binary")
                      .groupBy("bucket").applyInArrow(count, "bucket long, level long, n long, prints binary"), "gram-counts")
     cut, room = None, FREQUENT
     for at, n in sorted(counts.groupBy("level").agg(F.sum("n")).collect(), reverse=True):  # some 500 levels at most
@@ -228,7 +228,7 @@ def prefixes(docs, frequent, id_col, text_col, k, percent):
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(words))],
                     names=["doc_id", "n", "sig", "prefix", "bits"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, sig binary, prefix binary, bits array<long>")
+    return docs.select(id_col, text_col).mapInArrow(released(run), "doc_id long, n long, sig binary, prefix binary, bits array<long>")
 
 
 def _blocks_of_groups(groups):
@@ -254,7 +254,7 @@ def _blocks_of_groups(groups):
         if held:
             yield out()
 
-    return groups.select("gid", "n", "prefix").mapInArrow(run, "block long, gids binary, ns binary, sizes binary, tokens binary")
+    return groups.select("gid", "n", "prefix").mapInArrow(released(run), "block long, gids binary, ns binary, sizes binary, tokens binary")
 
 
 def _postings(groups):
@@ -321,7 +321,7 @@ def _texts_of(texts, ends):
                 bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    found = ends.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = ends.mapInArrow(released(mark), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     marks = np.zeros(n_bits >> 6, np.uint64)
     marks[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     shared = texts.sparkSession.sparkContext.broadcast(marks)
@@ -331,7 +331,7 @@ def _texts_of(texts, ends):
             at = place(b.column(0).to_numpy())
             yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    return written(texts.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, text string"), "texts")
+    return written(texts.filter("doc_id IS NOT NULL").mapInArrow(released(run), "doc_id long, text string"), "texts")
 
 
 def _verified(pairs, bits, texts, k, percent):
@@ -369,7 +369,7 @@ def _verified(pairs, bits, texts, k, percent):
                 if found:
                     yield batch(found, [pa.int64()] * 2, ["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a long, b long"), "links")
+    return written(dealt.mapInArrow(released(run), "a long, b long"), "links")
 
 
 def _size_fits(x, y, percent):

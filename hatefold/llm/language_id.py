@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches, text_buffer, written
+from .common import mix64, released, slices, small_batches, text_buffer, written
 
 CELLS = 1 << 16
 UNKNOWN = "und"
@@ -96,7 +96,7 @@ def fit(labelled, per_language: int = 400, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(at // CELLS), pa.array(at % CELLS), pa.array(n.astype(np.int64))], names=["l", "cell", "n"])
 
         with small_batches(labelled.sparkSession):
-            rows = sample.mapInArrow(count, "l long, cell long, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
+            rows = sample.mapInArrow(released(count), "l long, cell long, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toPandas()
         rows = rows.sort_values("l", kind="stable")
         label, cell, n = (rows[c].to_numpy(np.int64) for c in ("l", "cell", "n"))
         ends = np.searchsorted(label, np.arange(len(languages) + 1))
@@ -132,7 +132,7 @@ def text_scores(docs, languages, model, columns, text_col: str = "text"):
                      pa.array(np.diff(np.concatenate([[0], np.cumsum(fold[buf[off[i]:off[j]]] != 0x20)])[off[i:j + 1] - off[i]]), pa.int64())],
                     names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def _best(array, names):

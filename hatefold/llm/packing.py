@@ -27,7 +27,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from .common import worker_cache
+from .common import released, worker_cache
 from .token_counts import byte_symbols
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -203,4 +203,4 @@ def pack(docs, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_toke
                     yield from flush(False)
         yield from flush(True)
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return docs.select(id_col, text_col).mapInArrow(released(run, key), SCHEMA)

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, SpanHash, lowest, mix64, packed, slices, text_buffer, written
+from .common import SLICE_BYTES, SpanHash, lowest, mix64, packed, released, slices, text_buffer, written
 from .shared import arrow, bucket_of, by_bucket, is_shared, shared_prints, twice_at_most
 
 WIDTH = 50
@@ -104,7 +104,7 @@ def blocks(docs, id_col: str, text_col: str):
         if held:
             yield out()
 
-    return chosen.mapInArrow(run, BLOCK)
+    return chosen.mapInArrow(released(run), BLOCK)
 
 
 class Block:

@@ -10,7 +10,7 @@ from test_llm_tokens import check_pieces
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from hatefold.llm.common import written  # noqa: E402
+from hatefold.llm.common import released, worker_cache, written  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +77,30 @@ def test_sql_twins(spark, name):
     df = E.queries()[name](spark, SF)
     sql = E.oracle_sql()[name]
     assert {tuple(r) for r in df.collect()} == set(con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall())
+
+
+def test_tasks_drop_what_other_operators_cached(monkeypatch):
+    import pyspark
+
+    monkeypatch.setitem(vars(pyspark), "_hatefold_worker_cache", {})
+    first = {k: worker_cache(k, object) for k in ("powers", "words:a", "words:b")}
+    assert list(released(iter, "words:a")([1, 2])) == [1, 2]
+    assert worker_cache("powers", object) is first["powers"] and worker_cache("words:a", object) is first["words:a"]
+    assert worker_cache("words:b", object) is not first["words:b"]
+
+
+def test_tasks_give_unused_memory_back():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    pins = []
+
+    def run(batches):
+        held = [bytes(3000) for _ in range(40_000)]
+        pins.append([bytes(3000) for _ in range(100)])  # lies behind, so that the C library alone frees nothing
+        yield from batches
+        pins.append(resident())
+        del held
+
+    assert list(released(run)([1])) == [1]
+    assert pins[-1] - resident() > 60_000_000
