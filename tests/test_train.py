@@ -199,3 +199,36 @@ def test_trust_region_ends_at_the_minimum_or_gives_up():
     assert norm(found[1e-8]) < norm(found[1e-2]) <= 1e-2 * norm(np.zeros(12))
     found, _ = run(TR.trust_region(np.zeros(2), [1e-9]), lambda x, v: v if v is not None else (1.0, np.ones(2)))  # a gradient that lies
     assert not found[1e-9].any()
+
+
+def test_packed_blocks_give_the_products_of_the_vectors(spark):
+    """Frequent and rare columns, wide steps, large, fractional and negative values, dense vectors and empty rows."""
+    from pyspark.ml.linalg import DenseVector, SparseVector
+    rng = np.random.default_rng(6)
+    M = np.where(rng.random((60, 2000)) < np.where(np.arange(2000) % 5 == 0, 0.6, 0.01), rng.integers(1, 9, (60, 2000)), 0).astype(float)
+    M[:, 300:900] = 0
+    M[0, 950], M[1, 1000], M[2, 5], M[3, 7] = 300, 70000, 0.25, -2
+    M[4] = 0
+    vectors = [DenseVector(m) if i % 9 == 1 else SparseVector(2000, np.flatnonzero(m).tolist(), m[m != 0].tolist()) for i, m in enumerate(M)]
+    df = spark.createDataFrame([(v, i % 3, [i % 2] * 8) for i, v in enumerate(vectors)], ["features", "y", "yf"]).coalesce(1)
+    W = rng.normal(size=(11, 2001))
+    packed = [tuple(r) for r in TR._packed_blocks(df, "features", 2000).collect()]
+    assert sum(len(x) for r in packed for x in r if isinstance(x, (bytes, bytearray))) < 8 * (M != 0).sum()
+    for scaled in (True, False):
+        X = M / np.sqrt(np.maximum(M.sum(axis=1), 1.0))[:, None] if scaled else M
+        Z, G, at = [], np.zeros((11, 2001)), 0
+        dZ = rng.normal(size=(60, 11))
+        for block, y, Y in TR._unpacked(packed, 2000, scaled):
+            assert len(block.cols) and len(block.idx) and Y.shape == (block.n, 8) and y[:3].tolist() == [0, 1, 2]
+            Z.append(block.outputs(W))
+            G, at = G + block.gradient(dZ[at:at + block.n]), at + block.n
+        assert np.allclose(np.concatenate(Z), X @ W[:, :-1].T + W[:, -1])
+        assert np.allclose(G[:, :-1], dZ.T @ X) and np.allclose(G[:, -1], dZ.sum(axis=0))
+
+
+def test_an_evaluation_has_one_task_per_core(spark):
+    """A Python task has a fixed cost, so many small partitions are dealt to one per core."""
+    df = _toy(spark, 64).repartition(5 * spark.sparkContext.defaultParallelism)
+    blocks = TR._kept_blocks(df.select("features", df.y_coarse.alias("y"), df.y_fine.alias("yf")), "features", 64, False, 90)
+    assert blocks.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sum(r[0] for r in blocks.collect()) == 90
